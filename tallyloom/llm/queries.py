@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import url_filter
+from tallyloom.llm import hilbert_shards, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,13 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op1_url_filter(_table(spark, sf_dir, "pages"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.op9_hilbert_shards(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": _op1,
+    "op9_hilbert_shards": _op9,
 }
 
 _OP1_SQL = r"""
