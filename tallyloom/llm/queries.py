@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import hilbert_shards, url_filter
+from tallyloom.llm import decontaminate, hilbert_shards, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,17 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op1_url_filter(_table(spark, sf_dir, "pages"))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op3_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.op9_hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": _op1,
+    "op3_decontaminate": _op3,
     "op9_hilbert_shards": _op9,
 }
 
@@ -50,4 +55,28 @@ SELECT page_id, host, path, rule, method_rule,
 FROM ruled
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1_SQL}
+_OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item, 10 AS m, array_to_string(list_slice(w, i, i + 9), ' ') AS g FROM b, unnest(range(1, len(w) - 8)) t(i) WHERE len(w) >= 10
+  UNION
+  SELECT item, len(w), array_to_string(w, ' ') FROM b WHERE len(w) BETWEEN 1 AND 9
+), lens AS (SELECT DISTINCT m FROM win
+), dw AS (
+  SELECT doc_id, i, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g FROM d, lens, unnest(range(1, len(w) - m + 2)) t(i) WHERE len(w) >= m
+), occ AS (SELECT doc_id, i, dw.m, item FROM dw JOIN win ON dw.m = win.m AND dw.g = win.g
+), hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM occ, unnest(range(i, i + m)) t(p) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1_SQL, "op3_decontaminate": _OP3_SQL}
