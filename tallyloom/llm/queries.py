@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, hilbert_shards, mixing, url_filter
+from tallyloom.llm import decontaminate, hilbert_shards, mixing, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op5_secrets(_table(spark, sf_dir, "documents"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7_mixing(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": _op1,
     "op3_decontaminate": _op3,
+    "op5_secrets": _op5,
     "op7_mixing": _op7,
     "op9_hilbert_shards": _op9,
 }
