@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, hilbert_shards, mixing, secrets, url_filter
+from tallyloom.llm import decontaminate, hilbert_shards, mixing, pii, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,17 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.op9_hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op10_pii(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": _op1,
     "op3_decontaminate": _op3,
     "op5_secrets": _op5,
     "op7_mixing": _op7,
     "op9_hilbert_shards": _op9,
+    "op10_pii": _op10,
 }
 
 _OP1_SQL = r"""
