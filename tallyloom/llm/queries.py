@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, hilbert_shards, mixing, pii, secrets, url_filter
+from tallyloom.llm import decontaminate, hilbert_shards, language_id, mixing, pii, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op5_secrets(_table(spark, sf_dir, "documents"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op6_language_id(_table(spark, sf_dir, "documents"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7_mixing(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": _op1,
     "op3_decontaminate": _op3,
     "op5_secrets": _op5,
+    "op6_language_id": _op6,
     "op7_mixing": _op7,
     "op9_hilbert_shards": _op9,
     "op10_pii": _op10,
