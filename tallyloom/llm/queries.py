@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, hilbert_shards, language_id, mixing, pii, secrets, url_filter
+from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, mixing, pii, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7_mixing(_table(spark, sf_dir, "documents"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.op8_jpeg(_table(spark, sf_dir, "documents"))
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.op9_hilbert_shards(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": _op5,
     "op6_language_id": _op6,
     "op7_mixing": _op7,
+    "op8_jpeg": _op8,
     "op9_hilbert_shards": _op9,
     "op10_pii": _op10,
 }
