@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, mixing, pii, secrets, url_filter
+from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, minhash_join, mixing, pii, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op1_url_filter(_table(spark, sf_dir, "pages"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.op2_ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": _op1,
+    "op2_ngram_join": _op2,
     "op3_decontaminate": _op3,
     "op5_secrets": _op5,
     "op6_language_id": _op6,

@@ -10,14 +10,14 @@ import pyarrow.compute as pc
 
 
 def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[memoryview, np.ndarray]:
-    """All bytes of a string column end to end, and the offsets of its rows; null counts as empty."""
+    """All bytes of a string or binary column end to end, and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     if column.null_count:
-        column = pc.fill_null(column, "")
-    wide = pa.types.is_large_string(column.type)
+        column = pc.fill_null(column, pa.scalar(b"").cast(column.type))
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     if offsets is None or len(column) == 0:
         return memoryview(b""), np.zeros(len(column) + 1, np.int64)
