@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from tallyloom.llm.columns import set_aside
 from tallyloom.llm.textbatch import utf8_rows, words_of
 from tallyloom.plans.lineage import cut_lineage
 
@@ -235,15 +236,16 @@ def decontaminate(
     At the default every document with a hit goes. Returns the columns of ``docs``; where spans are cut, ``n_chars``
     (if present) follows the text.
     """
-    found = find_leaks(docs, benchmark, window, clean=cut and max_coverage > 0)
+    length = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    rows, restore = set_aside(docs, ("text", "n_chars"))
+    found = find_leaks(rows, benchmark, window, clean=cut and max_coverage > 0)
     hit = F.expr("aggregate(_spans, 0L, (n, s) -> n + s.end - s.start)")
     kept = found.where(hit <= max_coverage * F.col("_n_words"))
     if cut and max_coverage > 0:
-        text = F.coalesce("_cut", "text")
-        kept = kept.withColumn("text", text)
-        if "n_chars" in docs.columns:
-            kept = kept.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+        kept = kept.withColumn("text", F.coalesce("_cut", "text"))
+        if length:
+            kept = kept.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(length))
+    return restore(kept)
 
 
 def op3_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Three metadata dimensions (language, source, text size) are quantised to 16 step
 the Hilbert index of their cell, and the order is cut into runs of near-equal bytes. Neighbouring cells are
 neighbours in all three dimensions, so a shard covers a compact box and files can be pruned on any of them.
 
-Rows are never sorted as a whole. Every cell is dealt into sub-bins by a hash of ``doc_id``, so that a hot
+The running order of equal cells follows ``doc_id``. Rows are never sorted as a whole. Every cell is dealt into sub-bins by a hash of ``doc_id``, so that a hot
 source or a group of copies spreads over many tasks; running totals go cells -> sub-bins -> rows.
 
 Edge cases: a null text counts 0 bytes (size 1, crc32 of nothing is 0); null dimensions have a step of their own
@@ -14,9 +14,13 @@ and are interchangeable beyond that); an empty table gives no rows; further colu
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.columns import set_aside
 from tallyloom.plans.lineage import cut_lineage
 
 BITS, STEPS = 4, 16
@@ -134,6 +138,32 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     return place(cut_lineage(slim_columns(docs)), n_shards).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
+def attach_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot`` (which replace columns of these names); texts are shuffled once.
+
+    Rows that agree in everything (crc32 and size stand for the text) are interchangeable: one of them meets the list of
+    their places and is repeated.
+    """
+    docs, restore = set_aside(docs.drop("shard", "slot"), ("doc_id", "text", "lang", "source"))
+    data = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumns(
+        {"text_crc32": F.crc32(F.encode(data, "UTF-8")), "size": (F.octet_length(data) + 1).cast("long"), "no_text": F.col("text").isNull()}
+    )
+    keys = [c for c in rows.columns if c != "text"]
+    places = place(cut_lineage(rows.select(*keys)), n_shards)
+    places = places.groupBy(*keys).agg(F.collect_list(F.struct("shard", "slot")).alias("places"))
+    places = places.select(*(F.col(c).alias(f"__at_{k}") for k, c in enumerate(keys)), "places")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__at_{k}")) for k, c in enumerate(keys)))
+    joined = rows.dropDuplicates(keys).join(places, same).withColumn("place", F.explode("places"))
+    return restore(joined.withColumns({"shard": F.col("place.shard"), "slot": F.col("place.slot")}), "shard", "slot")
+
+
+def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+    """One folder a shard; a file holds runs of consecutive slots, in order."""
+    run = F.floor(F.col("slot") / rows_per_file)
+    sharded.repartition("shard", run).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
 def op9_hilbert_shards(docs: DataFrame) -> DataFrame:
     placed = shard_documents(docs)
     return placed.select(

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.columns import set_aside
 from tallyloom.llm.textbatch import pieces, utf8_column
 
 UNKNOWN = "und"
@@ -157,7 +158,7 @@ def has_letter(text: bytes) -> bool:
 OUT = ("lang_pred", "score", "bits_per_byte")
 
 
-def _scorer(shared):
+def _scorer(shared, drop: tuple[str, ...]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: ContextTrees | None = shared.value
         for batch in batches:
@@ -175,7 +176,7 @@ def _scorer(shared):
                     names.append(trees.languages[best[i]] if known else UNKNOWN)
                     scores.append(float(share[i]) if known else 0.0)
                     rates.append(float(least[i] / (cut[i + 1] - cut[i])) if known else None)
-            columns = {c: batch[c] for c in batch.schema.names if c not in ("text", *OUT)}
+            columns = {c: batch[c] for c in batch.schema.names if c not in drop}
             columns |= {OUT[0]: pa.array(names, pa.string()), OUT[1]: pa.array(scores, pa.float64()), OUT[2]: pa.array(rates, pa.float64())}
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -195,15 +196,28 @@ def _costs(trees: ContextTrees, data: np.ndarray, offsets: np.ndarray) -> np.nda
     return total
 
 
-def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
-    """The columns of ``docs`` but ``text``, with ``lang_pred``, ``score`` (its share of the likelihood) and ``bits_per_byte``."""
+def identify(docs: DataFrame, trees: ContextTrees | None, keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (``text`` on demand), with ``lang_pred``, ``score`` (its share of the likelihood) and ``bits_per_byte``."""
+    drop = OUT if keep_text else ("text", *OUT)
     kept = [c for c in docs.columns if c not in OUT]
     schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(c for c in kept if c != "text")).schema]
+        [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(c for c in kept if c not in drop)).schema]
         + ["lang_pred string", "score double", "bits_per_byte double"]
     )
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    return docs.select(*kept).mapInArrow(_scorer(shared), schema)
+    return docs.select(*kept).mapInArrow(_scorer(shared, drop), schema)
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is told: not ``und``, and with a score of at least ``least_score``.
+
+    Learns from the labelled rows of ``docs`` that are not held out; without any, all rows with a letter stay.
+    """
+    trees = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
+    if trees is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows, restore = set_aside(docs, ("doc_id", "text"))
+    return restore(identify(rows, trees, keep_text=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)))
 
 
 def held_out(doc_id: str = "doc_id"):

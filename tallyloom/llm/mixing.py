@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.columns import set_aside
 from tallyloom.plans.lineage import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -145,15 +146,11 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = SEED) -> DataFrame:
     """
     slim = cut_lineage(docs.select("doc_id", "source", word_count().alias("size")))
     plan = plan_mix(slim, n_shards, seed).where("passes > 0").dropDuplicates(["doc_id", "source", "size"])
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("size").alias("_size"), "shards")
-    rows = docs.drop("mix_shard", "mix_order")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_src")) & (word_count() == F.col("_size"))
-    return (
-        rows.join(plan, same)
-        .select(*(F.col(c) for c in rows.columns), F.posexplode("shards").alias("_pass", "mix_shard"))
-        .withColumn("mix_order", F.xxhash64(F.lit(seed + 1), "doc_id", "_pass"))
-        .drop("_pass")
-    )
+    plan = plan.select(F.col("doc_id").alias("its_id"), F.col("source").alias("its_source"), F.col("size").alias("its_size"), "shards")
+    rows, restore = set_aside(docs.drop("mix_shard", "mix_order"), ("doc_id", "source", "text"))
+    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & F.col("source").eqNullSafe(F.col("its_source")) & (word_count() == F.col("its_size"))
+    taken = rows.join(plan, same).select(*rows.columns, F.posexplode("shards").alias("pass", "mix_shard"))
+    return restore(taken.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), "doc_id", "pass")), "mix_shard", "mix_order")
 
 
 def write_mix(mixed: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, minhash_join, mixing, pii, secrets, url_filter
+from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, licenses, minhash_join, mixing, pii, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op4_licenses(_table(spark, sf_dir, "documents"))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op5_secrets(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": _op1,
     "op2_ngram_join": _op2,
     "op3_decontaminate": _op3,
+    "op4_licenses": _op4,
     "op5_secrets": _op5,
     "op6_language_id": _op6,
     "op7_mixing": _op7,
