@@ -34,16 +34,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
+#: Hubs of more neighbours are joined by broadcast; there is at most one such hub for so many edges.
+HEAVY = 50_000
+
+
 def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
     """Point each node's neighbours at the least of the node and its neighbours.
 
-    The least neighbour comes from a map-side combined aggregate and goes back by a join, so a hub
-    with very many neighbours is a skewed join that AQE can split, never one collected group.
+    The least neighbour comes from a map-side combined aggregate. It goes back to the edges of ordinary hubs by a
+    shuffled join and to those of very large hubs by a broadcast one, so no hub's edges meet in one task.
     """
-    least = pairs.groupBy("a").agg(F.min("b").alias("least_b")).select(
-        F.col("a").alias("hub"), F.least("a", "least_b").alias("least")
-    )
-    linked = pairs.join(least, pairs["a"] == least["hub"])
+    least = pairs.groupBy("a").agg(F.min("b").alias("least_b"), F.count("*").alias("n")).select(
+        F.col("a").alias("hub"), F.least("a", "least_b").alias("least"), "n"
+    )
+    heavy = least.where(F.col("n") > HEAVY).select(F.col("hub").alias("heavy_hub"), F.col("least").alias("heavy_least"))
+    marked = pairs.join(F.broadcast(heavy), F.col("a") == F.col("heavy_hub"), "left")
+    ordinary = marked.where("heavy_hub is null").select("a", "b").join(least, F.col("a") == F.col("hub")).select("a", "b", "least")
+    linked = ordinary.union(marked.where("heavy_hub is not null").select("a", "b", "heavy_least"))
     if larger_only:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
