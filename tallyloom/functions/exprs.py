@@ -46,7 +46,7 @@ def hex_digest(text: Column) -> Column:
 def key63(text: Column) -> Column:
     """The first 8 bytes of SHA-256 without their top bit, as BIGINT."""
     head = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    return (head % F.lit(1 << 63).cast("decimal(20,0)")).cast("bigint")
+    return (head % F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("bigint")
 
 
 def hmac_hex(message: Column, inner_pad: Column, outer_pad: Column) -> Column:

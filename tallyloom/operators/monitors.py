@@ -44,7 +44,7 @@ def mon_capacity(sizes: DataFrame, limit_bytes: int) -> DataFrame:
     """Partitions that near a limit; ``sizes``: ``partition_key, bytes``, one row a file."""
     used = sizes.groupBy("partition_key").agg(F.sum("bytes").alias("bytes")).withColumn("pct", F.round(F.col("bytes") / limit_bytes * 100, 1))
     severity = F.when(F.col("pct") >= 95, "critical").when(F.col("pct") >= 80, "warn")
-    return used.where("pct >= 80").select(F.concat(F.lit("capacity:"), "partition_key").alias("alert_key"), severity.alias("severity"), F.concat(F.format_number("pct", "0.0"), F.lit("% used")).alias("message"))
+    return used.where("pct >= 80").select(F.concat(F.lit("capacity:"), "partition_key").alias("alert_key"), severity.alias("severity"), F.format_string("%.1f%% used", "pct").alias("message"))
 
 
 def file_sizes(spark: SparkSession, path: str, partition_column: str) -> DataFrame:

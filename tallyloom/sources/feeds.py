@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.schemas import RAW_EVENTS, RAW_ORDERS
 
-#: A feed file is named <tenant>-<yyyymmddhh>.ndjson.
-_HOUR = r"-(\d{10})\.ndjson$"
+#: A feed file is named <tenant>-<yyyymmddhh>.ndjson, or lies in a folder hour=<yyyymmddhh>.
+_HOUR = r"(?:-|hour=)(\d{10})(?:\.ndjson$|/)"
 
 
 def _with_file(raw: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def src_event_feed(spark: SparkSession, path: str, now: datetime, max_files: int
 
     ``max_files`` takes only the oldest ones; file names are listed by Spark, so any store it reads will do.
     """
-    raw = spark.read.schema(RAW_EVENTS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    raw = spark.read.schema(RAW_EVENTS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path)
     closed = _with_file(raw).where((F.col("_hour") != "") & (F.col("_hour") < now.strftime("%Y%m%d%H")))
     if max_files is not None:
         oldest = closed.select("_file", "_hour").distinct().orderBy("_hour", "_file").limit(max_files).select("_file")
@@ -35,7 +35,7 @@ def stream_event_feed(spark: SparkSession, path: str, max_files: int = 200) -> D
     """The same feed as a stream; the checkpoint takes the place of moving files away."""
     raw = (
         spark.readStream.schema(RAW_EVENTS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        .option("maxFilesPerTrigger", max_files).json(path)
+        .option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).json(path)
     )
     return _with_file(raw)
 
