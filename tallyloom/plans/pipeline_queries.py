@@ -499,7 +499,7 @@ def _write_feed(s, d, path: str) -> None:
     lines.withColumn("hour", hour).write.partitionBy("hour").json(path)
 
 
-@query("src_event_feed", f"SELECT '202401300' || ms % 8 AS hour, count(*) AS lines, count(DISTINCT id) AS ids FROM (SELECT 'e' || event_id AS id, CASE WHEN k % 10 = 0 THEN 12 ELSE epoch_ms(ts) END AS ms FROM {_E} WHERE event_id % 9 <> 0) WHERE ms % 8 < 5 GROUP BY 1", dates=())
+@query("src_event_feed", f"SELECT '202401300' || ms % 8 AS hour, count(*) AS lines, count(DISTINCT id) AS ids FROM (SELECT 'e' || event_id AS id, CASE WHEN k % 10 = 0 THEN 12 ELSE epoch_us(ts) // 1000 END AS ms FROM {_E} WHERE event_id % 9 <> 0) WHERE ms % 8 < 5 GROUP BY 1", dates=())
 def src_event_feed(s, d):
     folder = _folder(s)
     _write_feed(s, d, f"{folder}/feed")
