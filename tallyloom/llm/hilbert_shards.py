@@ -78,7 +78,7 @@ def text_steps(df: DataFrame, column: str) -> Column:
     lead = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     low, high = df.select(lead.alias("v")).agg(F.min("v"), F.max("v")).first()
     scaled = F.floor((lead - low) / max(high - low, 1.0) * (STEPS - 1)) + 1
-    return F.coalesce(F.least(scaled, F.lit(STEPS - 1)).cast("int"), F.lit(0))
+    return F.when(F.col(column).isNull(), 0).otherwise(F.least(scaled, F.lit(STEPS - 1)).cast("int"))
 
 
 def size_steps(size: Column) -> Column:

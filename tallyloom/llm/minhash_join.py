@@ -15,7 +15,7 @@ with, so a group of n near copies gives n rows, not n^2. Buckets beyond BLOCK me
 every pair of blocks is a task of its own: no task holds more than two blocks, however large the bucket.
 
 Edge cases: a null or empty text, or one without words, has no shingles and no links; a text of one to four words is one
-shingle; repeated rows are members of one class; rows with a null doc_id are not linked and are kept; texts of any length
+shingle; repeated rows are members of one class (a doc_id stands for one text); rows with a null doc_id are not linked and are kept; texts of any length
 are used whole; empty tables give no rows; other columns pass through ``drop_near_duplicates``.
 """
 
@@ -372,7 +372,7 @@ def _band_values(sig: str):
 
 
 def drop_near_duplicates(docs: DataFrame, **join) -> DataFrame:
-    """Keep the document of least doc_id of each class, once; rows without doc_id stay."""
+    """Keep the document of least doc_id of each class; of rows with equal doc_id and text one stays; rows without doc_id stay."""
     found = similarity_classes(docs, **join).where("doc_id is not null")
     gone = found.where("class_id <> doc_id").select("doc_id").distinct()
     repeated = found.where("class_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -380,7 +380,7 @@ def drop_near_duplicates(docs: DataFrame, **join) -> DataFrame:
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
     if n := repeated.count():
         once = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
-        kept = kept.join(once, "doc_id", "left_anti").unionByName(kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.join(once, "doc_id", "left_anti").unionByName(kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*docs.columns)
 
 
