@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.small import small_table
 from tallyloom.schemas import DEFAULT_RULES, DIRECT, GRACE_HOURS, LOOKBACK_DAYS, OTHER, RECLOSE_DAYS
 
 FACTS = ("utm_source", "utm_medium", "utm_campaign", "referrer_host", "landing_path", "has_gclid", "has_fbclid")
@@ -69,50 +70,57 @@ def attr_pixel_first_last(orders: DataFrame, visitor_set: DataFrame, touches: Da
 
 
 def default_rules(spark, tenant_id: int = 0) -> DataFrame:
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         [(tenant_id, *r, True) for r in DEFAULT_RULES],
         "tenant_id INT, priority INT, match_field STRING, match_op STRING, match_value STRING, channel STRING, enabled BOOLEAN",
     )
 
 
 def _rule_matches(field: str, op: str, value: str | None) -> Column | None:
-    """A rule as a column over FACTS; None if it can never match. Letters are compared without case."""
+    """A rule as a column over FACTS (texts are lower-case, not null); None if it can never match.
+
+    Regular expressions see the lower-case text too, under ``(?i)``.
+    """
     if field in ("has_gclid", "has_fbclid"):
-        return F.coalesce(F.col(field), F.lit(False)) if op == "exists" else None
+        return F.col(field) if op == "exists" else None
     if field not in FACTS:
         return None
-    have = F.lower(F.coalesce(F.col(field), F.lit("")))
     if op == "exists":
-        return have != ""
+        return F.col(field) != ""
     if op == "equals":
-        return have == (value or "").lower() if value is not None else have == ""
+        return F.col(field) == (value or "").lower()
     if op == "contains":
-        return have.contains(value.lower()) if value else None
+        return F.col(field).contains(value.lower()) if value else None
     if op == "regex" and value is not None:
         try:
             re.compile(value)
         except re.error:
             return None
-        return F.coalesce(F.col(field), F.lit("")).rlike("(?i)" + value)
+        return F.col(field).rlike("(?i)" + value)
     return None
 
 
 def channel_of(rules: list[tuple]) -> Column:
-    """The channel of a row with FACTS: the first matching enabled rule of its tenant.
+    """The channel of a row with FACTS: the first matching enabled rule of its tenant, as one flat CASE.
 
     Rules are (tenant_id, priority, match_field, match_op, match_value, channel, enabled).
     """
-    anything = F.coalesce(*(F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) != "", 1) for f in FACTS[:5]), F.when(F.col("has_gclid") | F.col("has_fbclid"), 1))
-    fallback = F.when(anything.isNotNull(), OTHER).otherwise(DIRECT)
-    by_tenant: dict[int, Column] = {}
-    for tenant in {r[0] for r in rules}:
-        mine = sorted((r for r in rules if r[0] == tenant and r[6]), key=lambda r: -r[1])
-        chain = fallback
-        for _, _, field, op, value, channel, _ in mine:
-            hit = _rule_matches(field, op, value)
-            chain = chain if hit is None else F.when(hit, channel).otherwise(chain)
-        by_tenant[tenant] = chain
-    return reduce(lambda rest, t: F.when(F.col("tenant_id") == t, by_tenant[t]).otherwise(rest), sorted(by_tenant), fallback)
+    anything = reduce(lambda a, b: a | b, [*(F.col(f) != "" for f in FACTS[:5]), F.col("has_gclid"), F.col("has_fbclid")])
+    several = len({r[0] for r in rules}) > 1
+    whens = []
+    for tenant, _, field, op, value, channel, enabled in sorted(rules, key=lambda r: (r[0], r[1])):
+        hit = _rule_matches(field, op, value) if enabled else None
+        if hit is not None:
+            whens.append(((F.col("tenant_id") == tenant) & hit if several else hit, channel))
+    if not several and rules:
+        whens = [(F.col("tenant_id") != rules[0][0], None), *whens]
+    fallback = F.when(anything, OTHER).otherwise(DIRECT)
+    chain = None
+    for hit, channel in whens:
+        value = F.lit(channel) if channel is not None else fallback
+        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
+    return fallback if chain is None else chain.otherwise(fallback)
 
 
 def _collected(rules: DataFrame) -> list[tuple]:
@@ -130,7 +138,10 @@ def channel_classify(triples: DataFrame, rules: DataFrame, campaigns: DataFrame,
         .join(referrers.select("tenant_id", "referrer_id", "referrer_host"), ["tenant_id", "referrer_id"], "left")
         .join(paths.select("tenant_id", "path_id", F.col("path").alias("landing_path")), ["tenant_id", "path_id"], "left")
     )
-    return facts.withColumn("channel", channel_of(_collected(rules))).select(*triples.columns, "channel")
+    texts = [F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in FACTS[:5]]
+    flags = [F.coalesce(f, F.lit(False)).alias(f) for f in FACTS[5:]]
+    plain = facts.select(*triples.columns, *texts, *flags)
+    return plain.withColumn("channel", channel_of(_collected(rules))).select(*triples.columns, "channel")
 
 
 def _with_channel(attribution: DataFrame, rules, campaigns, referrers, paths) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import I63, U16, U32, fitted, ip_number, key63, unsigned, url_part
+from tallyloom.functions.small import small_table
 from tallyloom.operators.dims import agent_key, path_key, referrer_key, visitor_hash, with_campaign
 from tallyloom.schemas import EVENT_CODES, THEME
 
@@ -50,7 +51,7 @@ def ingest_explode(batches: DataFrame) -> DataFrame:
 
 
 def event_codes(spark) -> DataFrame:
-    return spark.createDataFrame([(s, n, c) for s, names in EVENT_CODES.items() for n, c in names.items()], "source INT, name STRING, event_type INT")
+    return small_table(spark, [(s, n, c) for s, names in EVENT_CODES.items() for n, c in names.items()], "source INT, name STRING, event_type INT")
 
 
 def event_map_type(raw: DataFrame, name: str = "n", source: str = "s") -> DataFrame:

@@ -7,13 +7,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.small import small_table
+
 # Hours after which a job without success is late.
 JOB_HOURS = {"import": 2, "rollup": 3, "sync": 3, "identity": 3, "attribute": 3, "compliance": 48}
 
 
 def mon_freshness(job_runs: DataFrame, now: datetime | str, hours: dict[str, int] | None = None) -> DataFrame:
     """Jobs whose last success is too old; critical beyond six times the limit. Jobs that never ran are skipped."""
-    limits = job_runs.sparkSession.createDataFrame(list((hours or JOB_HOURS).items()), "job STRING, limit_hours INT")
+    limits = small_table(job_runs.sparkSession, list((hours or JOB_HOURS).items()), "job STRING, limit_hours INT")
     last = job_runs.where("status = 'ok'").groupBy("job").agg(F.max("finished_at").alias("last_success"))
     age = F.lit(now).cast("timestamp").cast("long") - F.col("last_success").cast("long")
     late = last.join(F.broadcast(limits), "job").withColumn("hours", F.floor(age / 3600)).where(age > F.col("limit_hours") * 3600)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import is_provisional, local_day
+from tallyloom.functions.small import small_table
 from tallyloom.schemas import (
     CART, CHECKOUT, CHECKOUT_STAGES, COHORT_DAYS, DIRECT, FUNNEL_STEPS, MODELS, PAGE, PAYMENT, PRODUCT, RECLOSE_DAYS, SESSION_GAP_SECONDS,
 )
@@ -30,7 +31,8 @@ def zones(tenants: DataFrame) -> DataFrame:
     from zoneinfo import available_timezones
 
     known = available_timezones()
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         [(r["tenant_id"], r["iana_timezone"] if r["iana_timezone"] in known else "UTC") for r in rows], "tenant_id INT, iana_timezone STRING"
     )
 
@@ -183,7 +185,7 @@ def abandon_daily(spine: DataFrame, visitors: DataFrame, checkouts: DataFrame) -
 
 
 def _models(spark, name: str = "model") -> DataFrame:
-    return spark.createDataFrame([(m,) for m in MODELS], f"{name} STRING")
+    return small_table(spark, [(m,) for m in MODELS], f"{name} STRING")
 
 
 def campaign_daily(events: DataFrame, orders: DataFrame, attribution: DataFrame) -> DataFrame:

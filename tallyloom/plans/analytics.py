@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.small import small_table
 from tallyloom.operators import attribution as at
 from tallyloom.operators import identity, metrics_extra, reports, rollups
 from tallyloom.plans import common as c
@@ -123,7 +124,7 @@ _NEW_RULES.sort()
 
 
 def _proposed(s):
-    return s.createDataFrame([(1, *r, True) for r in _NEW_RULES], ad.rules(s).schema)
+    return small_table(s, [(1, *r, True) for r in _NEW_RULES], ad.rules(s).schema)
 
 
 def _case(rules) -> str:

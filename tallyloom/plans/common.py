@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.small import small_table
 from tallyloom.operators import attribution as at
 from tallyloom.operators import identity, rollups
 from tallyloom.sources import adapters as ad
@@ -33,7 +34,7 @@ def oc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spine(spark: SparkSession, d: str) -> DataFrame:
-    nothing = spark.createDataFrame([], "tenant_id INT, stat_date DATE, is_provisional INT")
+    nothing = small_table(spark, [], "tenant_id INT, stat_date DATE, is_provisional INT")
     return rollups.day_spine(store(spark), ad.event_orders(spark, d), nothing, ad.NOW_EVENTS, limit=100)
 
 
@@ -62,7 +63,7 @@ def pixel(spark: SparkSession, d: str) -> DataFrame:
 
 def platform(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("order_id")
-    models = spark.createDataFrame([("shopify_first",), ("shopify_last",)], "model STRING")
+    models = small_table(spark, [("shopify_first",), ("shopify_last",)], "model STRING")
     orders = ad.event_orders(spark, d).where(key % 3 != 0).join(F.broadcast(models))
     return orders.select(
         "tenant_id", "order_id", "model", F.when((key % 97 + 1) % 4 != 0, key % 97 + 1).alias("campaign_id"), F.when(key % 2 == 0, key % 5 + 1).alias("referrer_id"),

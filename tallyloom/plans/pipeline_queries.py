@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import PAGE_PREFIXES, hmac_pads
+from tallyloom.functions.small import small_table
 from tallyloom.operators import dims, identity, ingest, monitors, orders, privacy, rollups
 from tallyloom.plans import common as c
 from tallyloom.plans.cte import sql
@@ -317,7 +318,7 @@ def platform_attribution(s, d):
 
 @query("orders_hash_contacts", dates=())
 def orders_hash_contacts(s, d):
-    pads = s.createDataFrame([(1, *map(bytearray, hmac_pads(b"tenant-salt")))], "tenant_id INT, inner_pad BINARY, outer_pad BINARY")
+    pads = small_table(s, [(1, *map(bytearray, hmac_pads(b"tenant-salt")))], "tenant_id INT, inner_pad BINARY, outer_pad BINARY")
     return orders.orders_hash_contacts(flat(s, d), pads).select("tenant_id", "order_id", "email_hash", "phone_hash", "customer_hash")
 
 
@@ -466,10 +467,10 @@ def mon_backlog(s, d):
 _CAP = "SELECT event_type, CAST(sum(length(props) * 1000) AS BIGINT) AS b FROM events GROUP BY 1"
 
 
-@query("mon_capacity", f"SELECT 'capacity:' || event_type AS alert_key, CASE WHEN p >= 95 THEN 'critical' ELSE 'warn' END AS severity, printf('%.1f', p) || '% used' AS message FROM (SELECT event_type, round(CAST(b AS DOUBLE) / 18600000 * 100, 1) AS p FROM ({_CAP})) WHERE p >= 80", dates=())
+@query("mon_capacity", f"SELECT 'capacity:' || event_type AS alert_key, CASE WHEN p >= 95 THEN 'critical' ELSE 'warn' END AS severity, printf('%.1f', p) || '% used' AS message FROM (SELECT event_type, round(CAST(b AS DOUBLE) / CAST(floor(sum(b) OVER () * 0.21) AS BIGINT) * 100, 1) AS p FROM ({_CAP})) WHERE p >= 80", dates=())
 def mon_capacity(s, d):
     sizes = _raw(s, d).select(F.col("event_type").alias("partition_key"), (F.length("props") * 1000).cast("bigint").alias("bytes"))
-    return monitors.mon_capacity(sizes, 18_600_000)
+    return monitors.mon_capacity(sizes, int((sizes.agg(F.sum("bytes")).first()[0] or 5) * 0.21))
 
 
 @query("mon_compliance", f"SELECT 'compliance:' || topic AS alert_key, CASE WHEN min(received_at) < TIMESTAMP '2024-01-29 00:00:00' THEN 'critical' ELSE 'warn' END AS severity, count(*) || ' requests open' AS message FROM ({_REQ}) WHERE completed_at IS NULL AND received_at < TIMESTAMP '2024-01-30 00:00:00' GROUP BY topic", dates=())

@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.small import small_table
 from tallyloom.schemas import DEFAULT_RULES
 
 ZONE = "Asia/Kolkata"
@@ -32,7 +33,7 @@ def tenants(spark: SparkSession) -> DataFrame:
         "tenant_id INT, shop_domain STRING, custom_domain STRING, write_key STRING, iana_timezone STRING, "
         "refunded_counts_as_order BOOLEAN, status STRING, installed_at TIMESTAMP, uninstalled_at TIMESTAMP, purge_after TIMESTAMP, purged_at TIMESTAMP"
     )
-    return spark.createDataFrame(rows, ddl)
+    return small_table(spark, rows, ddl)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def dim_campaign(spark: SparkSession) -> DataFrame:
 
 def dim_referrer(spark: SparkSession) -> DataFrame:
     hosts = ["www.google.com", "l.facebook.com", "shop.partner.example", "www.bing.com", "www.pinterest.com"]
-    return spark.createDataFrame([(1, i + 1, h) for i, h in enumerate(hosts)], "tenant_id INT, referrer_id BIGINT, referrer_host STRING")
+    return small_table(spark, [(1, i + 1, h) for i, h in enumerate(hosts)], "tenant_id INT, referrer_id BIGINT, referrer_host STRING")
 
 
 def dim_path(spark: SparkSession) -> DataFrame:
@@ -85,7 +86,7 @@ def dim_path(spark: SparkSession) -> DataFrame:
 
 def dim_useragent(spark: SparkSession) -> DataFrame:
     rows = [(1, 1, 1, "Safari", "iOS"), (1, 2, 1, "Chrome", "Android"), (1, 3, 2, "Chrome", "Windows"), (1, 4, 2, "Chrome", "Windows"), (1, 5, 3, "Safari", "iOS"), (1, 6, 4, None, None)]
-    return spark.createDataFrame(rows, "tenant_id INT, ua_id BIGINT, device_type INT, browser STRING, os STRING")
+    return small_table(spark, rows, "tenant_id INT, ua_id BIGINT, device_type INT, browser STRING, os STRING")
 
 
 def dim_geo(spark: SparkSession) -> DataFrame:
@@ -149,4 +150,4 @@ def identity_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, tenant_ids: tuple[int, ...] = (1,)) -> DataFrame:
     rows = [(t, *r, True) for t in tenant_ids for r in DEFAULT_RULES]
-    return spark.createDataFrame(rows, "tenant_id INT, priority INT, match_field STRING, match_op STRING, match_value STRING, channel STRING, enabled BOOLEAN")
+    return small_table(spark, rows, "tenant_id INT, priority INT, match_field STRING, match_op STRING, match_value STRING, channel STRING, enabled BOOLEAN")
