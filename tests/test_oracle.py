@@ -26,6 +26,14 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """Tables are tiny here: interpreting plans is quicker than compiling them."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
