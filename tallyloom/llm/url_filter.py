@@ -185,4 +185,4 @@ def judge_urls(
 
 
 def op1_url_filter(pages: DataFrame) -> DataFrame:
-    return judge_urls(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "method_rule", "verdict")
+    return judge_urls(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "method_rule")
