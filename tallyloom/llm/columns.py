@@ -19,3 +19,15 @@ def set_aside(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callab
         return changed.select(*(F.col(v).alias(k) for k, v in names.items()), *more)
 
     return df.select(*(F.col(f"`{k}`").alias(v) for k, v in names.items())), restore
+
+
+#: Texts may be long: at 10,000 rows, Spark's default, a batch of them takes tens of MB in each Python worker.
+ROWS_PER_BATCH = 1000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches held to ROWS_PER_BATCH rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= ROWS_PER_BATCH:
+        conf.set(name, str(ROWS_PER_BATCH))
+    return df

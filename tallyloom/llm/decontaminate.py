@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tallyloom.llm.columns import set_aside
+from tallyloom.llm.columns import bound_batches, set_aside
 from tallyloom.llm.textbatch import utf8_rows, words_of
 from tallyloom.plans.lineage import cut_lineage
 
@@ -212,7 +212,7 @@ def _scanner(shared, clean: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean: bool = False) -> DataFrame:
     """Add ``_n_words``, ``_spans`` (hit word spans), ``_items`` and, if ``clean``, ``_cut`` (the text without its spans)."""
-    state = docs.drop("_n_words", "_spans", "_items", "_cut").withColumns(
+    state = bound_batches(docs).drop("_n_words", "_spans", "_items", "_cut").withColumns(
         {"_n_words": F.lit(None).cast("long"), "_spans": F.lit(None).cast(FOUND["spans"].dataType), "_items": F.lit(None).cast("array<string>")}
     )
     if clean:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.columns import bound_batches
 from tallyloom.llm.textbatch import pieces, utf8_column
 
 BLOCKS = 64
@@ -395,7 +396,7 @@ def store_as_media(docs: DataFrame) -> DataFrame:
     """Replace ``text`` by its UTF-8 ``n_bytes`` and ``media``, JPEGs that hold its bytes padded to 64."""
     kept = docs.select(*(c for c in docs.columns if c not in ("text", "n_bytes", "media")))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["n_bytes bigint", "media binary"])
-    return docs.select(*kept.columns, "text").mapInArrow(_store, schema)
+    return bound_batches(docs).select(*kept.columns, "text").mapInArrow(_store, schema)
 
 
 MEDIA = ("width", "height", "thumbnail_hash", "payload", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "payload_bytes")

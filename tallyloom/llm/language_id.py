@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.columns import set_aside
+from tallyloom.llm.columns import bound_batches, set_aside
 from tallyloom.llm.textbatch import pieces, utf8_column
 
 UNKNOWN = "und"
@@ -110,7 +110,7 @@ def fit(labelled: DataFrame, max_order: int = MAX_ORDER, max_contexts: int = MAX
     for name, rows in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(fit_rows / rows)).otherwise(share)
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) / float(1 << 20) < share)
-    counts = sample.select("lang", "text").mapInArrow(_grams(max_order), "lang string, n int, gram long, times long")
+    counts = bound_batches(sample).select("lang", "text").mapInArrow(_grams(max_order), "lang string, n int, gram long, times long")
     counts = counts.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     contexts = (
         counts.where("n > 0").groupBy("n", F.shiftright("gram", 8).alias("context")).agg(F.sum("times").alias("times"))
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, keep_text: bool = Fals
         + ["lang_pred string", "score double", "bits_per_byte double"]
     )
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    return docs.select(*kept).mapInArrow(_scorer(shared, drop), schema)
+    return bound_batches(docs).select(*kept).mapInArrow(_scorer(shared, drop), schema)
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.columns import bound_batches
 from tallyloom.llm.secrets import in_code_points
 from tallyloom.llm.textbatch import hashed_words, mix, pieces, utf8_column, words_of
 
@@ -300,7 +301,7 @@ def scan_licenses(docs: DataFrame, model: Classifier, sure: float = 0.7) -> Data
     fields += ["n_paragraphs bigint", "n_license bigint", "family string", "score double"]
     fields += ["matches array<struct<family: string, start: bigint, end: bigint, score: double>>"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return kept.mapInArrow(_scanner(shared, sure), ", ".join(fields))
+    return bound_batches(kept).mapInArrow(_scanner(shared, sure), ", ".join(fields))
 
 
 def op4_licenses(docs: DataFrame) -> DataFrame:

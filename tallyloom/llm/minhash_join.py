@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.columns import bound_batches
 from tallyloom.llm.textbatch import hashed_words, mix, pieces, utf8_column
 from tallyloom.operators.components import connected_components
 from tallyloom.plans.lineage import cut_lineage
@@ -311,7 +312,7 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     ``n_links``: other documents of similarity >= ``threshold``, copies included; ``n_text_links``: other texts.
     """
     least = least_matches(threshold, tolerance)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = cut_lineage(texts.mapInArrow(_sketch, "doc_id long, n_words long, f1 long, f2 long, sig binary"))
     worded = sketch.where("n_words > 0 and doc_id is not null")
     same = ["n_words", "f1", "f2"]

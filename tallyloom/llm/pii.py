@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.columns import bound_batches
 from tallyloom.llm.secrets import in_code_points
 from tallyloom.llm.textbatch import utf8_rows
 
@@ -290,8 +291,9 @@ def find_pii(docs: DataFrame, **fit) -> DataFrame:
         [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(c for c in kept if c != "text")).schema]
         + [f"{c} bigint" for c in OUT[:5]] + [f"{c} string" for c in OUT[5:]]
     )
-    return docs.select(*kept).mapInArrow(_scanner(fit_model(docs, **fit)), schema)
+    return bound_batches(docs).select(*kept).mapInArrow(_scanner(fit_model(docs, **fit)), schema)
 
 
 def op10_pii(docs: DataFrame) -> DataFrame:
-    return find_pii(docs.select("doc_id", "text"))
+    found = find_pii(docs.select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyloom.llm.columns import bound_batches
 from tallyloom.llm.textbatch import utf8_rows
 
 #: Kinds in the order in which they are listed; the first three are the base.
@@ -216,8 +217,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(c for c in kept if c != "text")).schema]
         + [f"{c} bigint" for c in OUT[:4]] + [f"{c} string" for c in OUT[4:]]
     )
-    return docs.select(*kept).mapInArrow(_scan, schema)
+    return bound_batches(docs).select(*kept).mapInArrow(_scan, schema)
 
 
 def op5_secrets(docs: DataFrame) -> DataFrame:
-    return find_secrets(docs.select("doc_id", "text"))
+    found = find_secrets(docs.select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed")
