@@ -1,15 +1,22 @@
 """Licence scans by a trained paragraph classifier.
 
-A multinomial logistic regression over hashed word one- and two-grams scores every paragraph (a line, in parts of at most
-MAX_WORDS words). It is trained on notices of each family with random neighbours and gaps, against paragraphs of a
-bounded sample of documents. Its probabilities are calibrated by a temperature fitted on held-out examples. A paragraph
-whose best family stays below ``sure`` while "no licence" is unlikely too is ``unknown``; and a family counts only if one
-of its notices confirms it by common word pairs, otherwise the paragraph is ``unknown`` as well. An unknown licence must
-have one of TERMS, else it is none.
-
-All paragraphs of all documents are scored, in numpy on whole batches.
-
-Edge cases: null and empty texts have no paragraphs; blank lines are none; very long lines are scored in parts, whole;
+A multinomial logistic regression over hashed word one- and two-grams scores every line (in parts of at most MAX_WORDS
+words) and every window of WINDOWS words of every paragraph. A paragraph is all lines up to a blank one (a line without
+words), joined; windows of one length overlap by half, so each notice lies whole in a window at most about twice its
+length or in its whole paragraph, wherever lines break. The classifier is trained on notices of each family with random
+neighbours and gaps, and in windows of the same lengths, against paragraphs of a bounded sample of documents and windows
+of them. Its probabilities are calibrated by a temperature fitted on held-out examples. A line or window whose best
+family stays below ``sure`` while "no licence" is unlikely too is ``unknown``; and a family counts only if one of its
+notices confirms it by common word pairs, otherwise it is ``unknown`` as well. An unknown licence must have one of TERMS,
+else it is none.
+
+Of matches that share words, the one stays that has the largest part of its notice; unknown ones come last. A match is
+the whole line where its notice lies in one of at most MAX_WORDS words that has no other match, else it reaches from the
+notice's first word to its last. ``n_paragraphs`` counts lines with words, long ones in parts of MAX_WORDS.
+
+All lines and windows of all documents are scored, in numpy on whole batches.
+
+Edge cases: null and empty texts have no paragraphs; blank lines are none; very long lines are scored in windows, whole;
 repeated rows are judged one by one; without documents only the notices and fixed phrases train; other columns pass
 through ``scan_licenses`` and clashing names are replaced.
 """
@@ -26,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.columns import bound_batches
 from tallyloom.llm.secrets import in_code_points
-from tallyloom.llm.textbatch import hashed_words, mix, pieces, utf8_column, words_of
+from tallyloom.llm.textbatch import folded, hashed_words, mix, pieces, utf8_column, words_of
 
 NONE, UNKNOWN = "none", "unknown"
 #: How each family announces itself.
@@ -105,6 +112,10 @@ TERMS = frozenset(
 )
 FAMILIES = (NONE, *NOTICES)
 BITS, MAX_WORDS, PIECE_BYTES = 16, 64, 1 << 19
+#: Lengths of windows in words. Half of the last, and one, is at least the longest notice.
+WINDOWS = (8, 16, 32, MAX_WORDS)
+#: Windows are scored in runs of so many words.
+WORDS_AT_ONCE = 1 << 16
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,8 +141,27 @@ class Classifier:
         """Rows by families; rows must have words."""
         slots, counts = grams(words, n_words)
         starts = np.cumsum(counts) - counts
-        z = np.add.reduceat(self.weights[slots], starts, axis=0) / np.sqrt(counts)[:, None] + self.bias
-        z = z / self.temperature
+        return self._softmax(np.add.reduceat(self.weights[slots], starts, axis=0) / np.sqrt(counts)[:, None])
+
+    def of_windows(self, words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Windows, of words ``first`` to before ``last`` (MAX_WORDS at most) and in order of ``first``, by families."""
+        out = np.empty((len(first), len(FAMILIES)))
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            lo, hi = np.searchsorted(first, (at, at + WORDS_AT_ONCE))
+            if lo == hi:
+                continue
+            slots, _ = grams(words[at : at + WORDS_AT_ONCE + MAX_WORDS], np.array([len(words[at : at + WORDS_AT_ONCE + MAX_WORDS])]))
+            single, pair = self.weights[slots[::2]], self.weights[slots[1::2]]
+            sums = np.zeros((len(single) + 1, len(FAMILIES)))
+            np.cumsum(single + pair, axis=0, dtype=np.float64, out=sums[1:])
+            a, b = first[lo:hi] - at, last[lo:hi] - at
+            # as in grams, the last word counts twice and makes no pair
+            z = sums[b] - sums[a] - pair[b - 1] + single[b - 1]
+            out[lo:hi] = self._softmax(z / np.sqrt(2 * (b - a))[:, None])
+        return out
+
+    def _softmax(self, z: np.ndarray) -> np.ndarray:
+        z = (z + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -144,10 +174,21 @@ def _hashes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(other: list[list[bytes]], rounds: int = 12, copies: int = 40, seed: int = 4) -> Classifier:
-    """Fit on varied notices against ``other`` paragraphs (lists of words); every fifth example sets the temperature."""
+    """Fit on varied notices against ``other`` paragraphs (lists of words), both as they are and in windows of WINDOWS words.
+
+    Every fifth example sets the temperature.
+    """
     rng = np.random.default_rng(seed)
     other = [w[:MAX_WORDS] for w in other if w] + [words_of(p.encode()) for p in OTHER_PHRASES]
     examples, labels = [], []
+
+    def filler(n: int) -> list[bytes]:
+        found: list[bytes] = []
+        while len(found) < n:
+            found += other[rng.integers(len(other))]
+        at = rng.integers(len(found) - n + 1)
+        return found[at : at + n]
+
     for k, family in enumerate(FAMILIES[1:], 1):
         for notice in NOTICES[family]:
             base = words_of(notice.encode())
@@ -157,6 +198,15 @@ def train(other: list[list[bytes]], rounds: int = 12, copies: int = 40, seed: in
                     words = [*other[rng.integers(len(other))][: rng.integers(0, 6)], *words, *other[rng.integers(len(other))][: rng.integers(0, 10)]]
                 examples.append(words[:MAX_WORDS])
                 labels.append(k)
+                words = [w for w in base if len(base) < 6 or rng.random() > 0.08]
+                fits = [n for n in WINDOWS if len(words) <= n and (n == WINDOWS[0] or n < 4 * len(words))]
+                more = int(rng.choice(fits)) - len(words)
+                before = int(rng.integers(more + 1))
+                examples.append([*filler(before), *words, *filler(more - before)])
+                labels.append(k)
+    windows = [filler(int(rng.choice(WINDOWS))) for _ in other]
+    examples += windows
+    labels += [0] * len(windows)
     phrases = [words_of(p.encode()) for p in OTHER_PHRASES] * (copies // 4)
     examples += [*other, *phrases]
     labels += [0] * (len(other) + len(phrases))
@@ -209,8 +259,27 @@ _TEMPLATES = {f: [_pairs(words_of(n.encode())) for n in notices] for f, notices
 
 def confirmed(family: str, words: list[bytes], share: float = 0.6) -> bool:
     """Whether one notice of the family has at least ``share`` of its word pairs in the paragraph."""
+    return _best_notice(family, words, share) is not None
+
+
+def _best_notice(family: str, words: list[bytes], share: float = 0.6) -> tuple[float, int, set[bytes]] | None:
+    """The share and number of word pairs found of the notice that has the largest share, and its pairs."""
     have = _pairs(words)
-    return any(len(t & have) >= share * len(t) for t in _TEMPLATES[family])
+    found = [(len(t & have) / len(t), len(t & have), t) for t in _TEMPLATES[family] if len(t & have) >= share * len(t)]
+    return max(found, key=lambda f: f[:2], default=None)
+
+
+def _core(words: list[bytes], pairs: set[bytes]) -> tuple[int, int]:
+    """The run of words in which the pairs lie densest, as (first, end)."""
+    best, total, start = (0.0, 0, len(words)), 0.0, None
+    at = [k for k, w in enumerate(words) if not w.isdigit()]
+    for i, j in zip(at, at[1:], strict=False):
+        if total <= 0:
+            total, start = 0.0, i
+        total += 1.0 if words[i] + b" " + words[j] in pairs else -0.5
+        if total > best[0]:
+            best = (total, start, j + 1)
+    return best[1:]
 
 
 def _paragraph_offsets(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -250,35 +319,80 @@ def _scanner(shared, sure: float):
     return scan
 
 
+def _windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) words of all windows of paragraphs of ``n_words`` words each, end to end, in order of the first."""
+    begin = np.cumsum(n_words) - n_words
+    firsts, lasts, least = [], [], 0
+    for size in WINDOWS:
+        # a paragraph that a shorter window holds whole has none of this size
+        mine = np.flatnonzero(n_words > least)
+        n, step = n_words[mine], size // 2
+        count = np.maximum(n - size + step - 1, 0) // step + 1
+        owner = np.repeat(np.arange(len(mine)), count)
+        rank = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        start = np.minimum(rank * step, np.maximum(n - size, 0)[owner])
+        firsts.append(begin[mine][owner] + start)
+        lasts.append(begin[mine][owner] + np.minimum(start + size, n[owner]))
+        least = size
+    first, last = np.concatenate(firsts), np.concatenate(lasts)
+    order = np.argsort(first, kind="stable")
+    return first[order], last[order]
+
+
 def _matches(model: Classifier, part: bytes, cut: np.ndarray, sure: float) -> tuple[dict[int, list[tuple[str, int, int, float]]], np.ndarray]:
-    """Matches of each row as (family, first byte, end, probability), and its number of paragraphs."""
+    """Matches of each row as (family, first byte, end, probability), and its number of lines with words."""
     lines = _paragraph_offsets(np.frombuffer(part, np.uint8), cut)
     words, owner, begins = hashed_words(memoryview(part), lines)
     n_paragraphs = np.zeros(len(cut) - 1, np.int64)
     found: dict[int, list[tuple[str, int, int, float]]] = {}
     if not len(words):
         return found, n_paragraphs
-    first = np.searchsorted(owner, owner, side="left")
-    new = np.concatenate(([True], owner[1:] != owner[:-1])) | ((np.arange(len(words)) - first) % MAX_WORDS == 0)
-    starts = np.flatnonzero(new)
-    n_words = np.diff(np.append(starts, len(words)))
-    rows = np.searchsorted(cut, begins[starts], side="right") - 1
-    np.add.at(n_paragraphs, rows, 1)
-    p = model.probabilities(words, n_words)
-    for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
-        start = int(begins[starts[k]])
-        line_end = int(lines[owner[starts[k]] + 1])
-        end = line_end if k + 1 == len(starts) else min(line_end, int(begins[starts[k + 1]]))
-        paragraph = part[start:end].rstrip()
-        best = int(p[k, 1:].argmax()) + 1
-        family, chance = FAMILIES[best], float(p[k, best])
-        its_words = words_of(paragraph)
-        if chance < sure or not confirmed(family, its_words):
-            if TERMS.isdisjoint(its_words):
-                continue
-            family, chance = UNKNOWN, float(1 - p[k, 0])
-        row = int(rows[k])
-        found.setdefault(row, []).append((family, start - int(cut[row]), start + len(paragraph) - int(cut[row]), chance))
+    row = np.searchsorted(cut, begins, side="right") - 1
+    line_first, line_end = np.searchsorted(owner, owner, side="left"), np.searchsorted(owner, owner, side="right")
+    starts = np.flatnonzero((np.arange(len(words)) - line_first) % MAX_WORDS == 0)
+    ends = np.append(starts[1:], len(words))
+    np.add.at(n_paragraphs, row[starts], 1)
+    paragraph = np.flatnonzero(np.concatenate(([True], (owner[1:] > owner[:-1] + 1) | (row[1:] != row[:-1]))))
+    first, last = _windows(np.diff(np.append(paragraph, len(words))))
+    begins_to = np.append(begins, len(part))
+
+    known, unknown = [], []
+    for is_line, a, b in ((True, starts, ends), (False, first, last)):
+        p = model.of_windows(words, a, b)
+        for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
+            i, j = int(a[k]), int(b[k])
+            its_words = words_of(part[begins_to[i] : begins_to[j]])
+            best = int(p[k, 1:].argmax()) + 1
+            chance = float(p[k, best])
+            notice = _best_notice(FAMILIES[best], its_words) if chance >= sure else None
+            if notice:
+                c, d = _core(its_words, notice[2])
+                known.append((notice[0], notice[1], is_line, chance, i + c, i + d, FAMILIES[best]))
+            elif not TERMS.isdisjoint(its_words):
+                unknown.append((is_line, j - i, float(1 - p[k, 0]), i, j))
+    # the fullest are placed first, and none on words that are taken
+    taken = np.zeros(len(words), bool)
+    placed = []
+    for _, _, _, chance, i, j, family in sorted(known, key=lambda m: (*(-x for x in m[:4]), *m[4:])):
+        if not taken[i:j].any():
+            taken[i:j] = True
+            placed.append((i, j, family, chance))
+    for _, _, chance, i, j in sorted(unknown, key=lambda m: (*(-x for x in m[:3]), *m[3:])):
+        if not taken[i:j].any():
+            taken[i:j] = True
+            placed.append((i, j, UNKNOWN, chance))
+    placed.sort()
+    for k, (i, j, family, chance) in enumerate(placed):
+        a, b = int(line_first[i]), int(line_end[i])
+        alone = (k == 0 or placed[k - 1][1] <= a) and (k + 1 == len(placed) or placed[k + 1][0] >= b)
+        if j <= b and b - a <= MAX_WORDS and alone:
+            start = int(begins[a])
+            end = start + len(part[start : int(lines[owner[a] + 1])].rstrip())
+        else:
+            start, tail = int(begins[i]), int(begins[j - 1])
+            end = tail + len(folded(part[tail : int(begins_to[j])]).rstrip(b" "))
+        at = int(row[i])
+        found.setdefault(at, []).append((family, start - int(cut[at]), end - int(cut[at]), chance))
     return found, n_paragraphs
 
 

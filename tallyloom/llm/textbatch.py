@@ -38,8 +38,13 @@ _FOLD = bytes(
 )
 
 
+def folded(text: bytes) -> bytes:
+    """``text`` in lower case, with a space for each byte that separates words."""
+    return text.translate(_FOLD)
+
+
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+    return folded(text).split()
 
 
 _MULTIPLIER, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -78,8 +83,8 @@ def hashed_words(data: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, np.
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    folded = _FOLDED[raw]
-    inside = folded != 32
+    plain = _FOLDED[raw]
+    inside = plain != 32
     edge = np.zeros(len(raw) + 1, bool)
     edge[0] = edge[-1] = True
     edge[offsets] = True
@@ -87,7 +92,7 @@ def hashed_words(data: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, np.
     ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
     up, down = _power_table(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[folded] * up, out=sums[1:])
+    np.cumsum(_VALUES[plain] * up, out=sums[1:])
     hashes = mix((sums[ends] - sums[begins]) * down[begins])
     rows = np.searchsorted(offsets, begins, side="right") - 1
     return hashes, rows, begins

@@ -260,6 +260,29 @@ def test_licence_recall_and_precision(spark):
     assert want and got == want
 
 
+def test_licences_wrapped_and_straddling(spark):
+    import random
+    import textwrap
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rng, known = random.Random(5), sorted({w for r in docs.limit(50).collect() for w in (r["text"] or "").split()})
+    rows = []
+    for family, notices in licenses.NOTICES.items():
+        for notice in notices:
+            rows.append((family, notice, "intro\n\n" + textwrap.fill(notice, 40) + "\n\nafter"))
+            rows.append((family, notice, "\n".join("# " + x for x in textwrap.wrap(notice, 50))))
+            for before in (0, 50, 61, 63, 100):
+                around = rng.choices(known, k=before + 150)
+                rows.append((family, notice, " ".join([*around[:before], notice, *around[before:]])))
+                rows.append((family, notice, textwrap.fill(rows[-1][2], 70)))
+    df = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "doc_id BIGINT, text STRING")
+    for r in licenses.scan_licenses(df, licenses.fit(docs)).collect():
+        family, notice, text = rows[r["doc_id"]]
+        assert r["family"] == family, text
+        spans = [text[m["start"] : m["end"]] for m in r["matches"] if m["family"] == family]
+        assert any(len(set(words(notice)) & set(words(s))) >= 0.6 * len(set(words(notice))) for s in spans), text
+
+
 # --- mixing ---
 
 
