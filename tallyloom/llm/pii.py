@@ -7,10 +7,13 @@ candidates held out from the trees, and a threshold per kind, chosen for precisi
 is added. The features leave out what makes a strict pattern strict (the plus sign, the checksum), so a candidate that
 looks and stands like personal data is found though it fails the strict rule.
 
-The trees are fitted on the candidates of a sample of documents (parameter ``fit_rows``; labels: confirmed by a strict
-pattern or not). All documents are scored.
+The trees are fitted on the candidates of a sample of documents (parameter ``fit_rows``). A candidate is positive if it is
+confirmed by a strict pattern, or by a rule of its own kind where no strict pattern can: a full or shortened IPv6 or a MAC
+address, or an email once its bracketed "at" and "dot" are written as signs. Because the sample may hold few of these,
+EXAMPLES made ones of each of the two kinds, and look-alikes (times, ratios, other hex groups, words around an "at"), train
+and calibrate along with it. All documents are scored.
 
-Edge cases: null and empty texts have no spans; without candidates of both labels in the sample nothing is added; texts
+Edge cases: null and empty texts have no spans; without documents nothing is added; texts
 of any length are scanned whole, in linear time; repeated rows are scanned one by one; other columns pass through
 ``find_pii`` and clashing names are replaced.
 """
@@ -18,6 +21,8 @@ of any length are scanned whole, in linear time; repeated rows are scanned one b
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,9 +44,16 @@ _IP = re.compile(rb"[0-9][0-9]*(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER_LIKE = re.compile(rb"\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}")
-_IP_LIKE = re.compile(rb"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){4,7}")
+_IP_LIKE = re.compile(rb"(?:[0-9A-Fa-f]{1,4}|:(?=:))(?::[0-9A-Fa-f]{0,4}){1,6}(?::[0-9A-Fa-f]{1,4}|:(?<=::))")
+_MAC = re.compile(rb"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}")
 _EMAIL_LIKE = re.compile(rb"[A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\)|\{at\}|@)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|\.)\s?[A-Za-z0-9-]{2,24})+", re.I)
+#: Up to a dot and space that may end the sentence.
+_EMAIL_TIGHT = re.compile(rb"[A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\)|\{at\}|@)\s?[A-Za-z0-9-]{1,63}(?:(?:\s?(?:\[dot\]|\(dot\))\s?|\.|\s\.\s?)[A-Za-z0-9-]{2,24})+", re.I)
+_AT, _DOT = re.compile(rb"\s?[\[({]at[\])}]\s?", re.I), re.compile(rb"\s?[\[(]dot[\])]\s?", re.I)
+_PLAIN_EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _DIGIT = re.compile(rb"[0-9]")
+#: Made examples for each of email_like and ip_like and each label.
+EXAMPLES = 200
 Span = tuple[int, int, int]
 
 
@@ -90,16 +102,87 @@ def candidates(text: bytes) -> list[Span]:
     found = []
     if _DIGIT.search(text):
         found += [(m.start(), 5, m.end()) for m in _NUMBER_LIKE.finditer(text)]
-        if b":" in text:
-            found += [(m.start(), 6, m.end()) for m in _IP_LIKE.finditer(text)]
-    if b"@" in text or b"at]" in text or b"at)" in text or b"at}" in text:
-        found += [(m.start(), 4, m.end()) for m in _EMAIL_LIKE.finditer(text)]
+    if b":" in text:
+        found += [(m.start(), 6, m.end()) for m in _IP_LIKE.finditer(text)]
+    if b"@" in text or _AT.search(text):
+        for m in _EMAIL_LIKE.finditer(text):
+            found.append((m.start(), 4, (_EMAIL_TIGHT.match(text, m.start(), m.end()) or m).end()))
     return found
 
 
+def own_positive(text: bytes, span: Span) -> bool:
+    """Whether a candidate of a form that no strict pattern takes is surely personal data."""
+    start, kind, end = span
+    part = text[start:end]
+    if kind == 4:
+        return bool(_AT.search(part) and _PLAIN_EMAIL.fullmatch(_DOT.sub(b".", _AT.sub(b"@", part))))
+    if kind != 6:
+        return False
+    before, after = text[start - 1 : start] if start else b"", text[end : end + 2]
+    if before.isalnum() or before == b":" or after[:1].isalnum() or (after[:1] == b":" and after[1:].isalnum()):
+        return False  # a part of something longer
+    if _MAC.fullmatch(part):
+        return True
+    if b"::" in part and not _DIGIT.search(part):
+        return False  # rather a name in code
+    try:
+        return ipaddress.IPv6Address(part.decode()).packed != bytes(16)
+    except ValueError:
+        return False
+
+
+def made_examples(seed: int = 10) -> list[tuple[bytes, int]]:
+    """Texts with one candidate or more of email_like and ip_like each, and the kind."""
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(2, 9)))
+    hexes = lambda n, low, high: [f"{rng.randrange(16 ** rng.randint(low, high)):0{low}x}" for _ in range(n)]
+
+    def address() -> str:
+        form = rng.randrange(3)
+        if form == 0:
+            return ":".join(hexes(6, 2, 2))
+        groups = hexes(8, 1, 4) if form == 1 else hexes(rng.randint(2, 6), 1, 4)
+        cut = rng.randint(0, len(groups))
+        groups[0] = rng.choice(("2001", "2a02", "fe80", "fd12", groups[0]))
+        return ":".join(groups) if form == 1 else ":".join(groups[:cut]) + "::" + ":".join(groups[cut:])
+
+    def no_address() -> str:
+        two = lambda n: ":".join(f"{rng.randrange(60):02d}" for _ in range(n))
+        return rng.choice((
+            two(3), two(3), two(4), two(5), f"{rng.randint(1, 20)}:{rng.randint(1, 20)}:{rng.randint(1, 20)}", ":".join(hexes(rng.choice((16, 20, 32)), 2, 2)),
+            ":".join(hexes(rng.choice((3, 4, 5, 7)), 2, 2)), f"{name()}d::{rng.choice('abcdef')}{name()}", f"{name()}::{name()}e::add", ":".join(hexes(5, 3, 4)),
+        ))
+
+    def email() -> str:
+        at, dot = rng.choice((("[at]", "[dot]"), ("(at)", "(dot)"), ("{at}", "."), ("[at]", "."), ("(at)", ".")))
+        gap = rng.choice(("", " "))
+        local = name() + rng.choice(("", ".", "_")) + rng.choice((name(), str(rng.randrange(99))))
+        last = rng.choice(("com", "org", "de", "fr", "info"))
+        return f"{local}{gap}{at}{gap}{name()}{(gap if dot != '.' else '') + dot + (gap if dot != '.' else '')}{last}"
+
+    def no_email() -> str:
+        at = rng.choice(("@", "(at)", "[at]"))
+        return f"{rng.randrange(100)} {at} {rng.randrange(50)}.{rng.randrange(10, 99)}"
+
+    out = []
+    for kind, forms in ((4, (email, no_email)), (6, (address, no_address))):
+        for make in forms:
+            for _ in range(EXAMPLES):
+                lead = " ".join(name() for _ in range(rng.randint(0, 4))) + rng.choice((" ", ": ", ", ", "\n", " (", "=")) if rng.random() < 0.9 else ""
+                tail = rng.choice(("", ".", ",", ")", "\n")) + (" " + " ".join(name() for _ in range(rng.randint(1, 3))) if rng.random() < 0.8 else "")
+                out.append(((lead + make() + tail).encode(), kind))
+    rng.shuffle(out)
+    return out
+
+
 _CUES = (b"call", b"tel", b"phone", b"mobile", b"contact", b"fax", b"mail", b"card", b"account", b"iban", b"ssn", b"ip", b"addr")
 
 
+def _colon_groups(part: bytes) -> tuple[int, int, int]:
+    sizes = [len(g) for g in part.split(b":") if g]
+    return len(sizes), min(sizes, default=0), max(sizes, default=0)
+
+
 def features(text: bytes, span: Span) -> list[float]:
     start, kind, end = span
     part, before, after = text[start:end], text[max(0, start - 24) : start].lower(), text[end : end + 12].lower()
@@ -113,6 +196,9 @@ def features(text: bytes, span: Span) -> list[float]:
         float(any(cue in before for cue in _CUES)), float(before[-1:] in (b" ", b"", b"\n", b"(", b"+")),
         float(before.rstrip(b"+ (")[-1:] in (b":", b",", b".", b"=")), float(after[:1] in (b" ", b"", b".", b",", b"\n", b")")),
         sum(48 <= c <= 57 for c in before + after),
+        part.count(b"::"), *_colon_groups(part), float(before[-1:].isalnum() or before[-1:] == b":"),
+        float(after[:1].isalnum() or (after[:1] == b":" and after[1:2].isalnum())), part.count(b"[") + part.count(b"{"),
+        sum(65 <= c <= 90 or 97 <= c <= 122 for c in part[-2:]),
     ]
 
 
@@ -223,26 +309,25 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             for c in candidates(text):
                 rows.append(features(text, c))
-                labels.append(_overlaps(c, base))
+                labels.append(_overlaps(c, base) or own_positive(text, c))
         yield pa.RecordBatch.from_pydict({"x": pa.array(rows, pa.list_(pa.float64())), "y": pa.array(labels, pa.bool_())})
 
 
 def fit_model(docs: DataFrame, fit_rows: int = 4000, fit_candidates: int = 20_000, precision: float = 0.95) -> BoostedTrees | None:
     """Fit on about ``fit_rows`` documents, picked by a hash of doc_id, and at most ``fit_candidates`` of their candidates.
 
-    Every fourth candidate calibrates. None where the sample has no candidates of both labels.
+    Made examples join them. Every fourth candidate calibrates. None without documents.
     """
     n = docs.count()
+    if not n:
+        return None
     share = min(1.0, fit_rows / max(n, 1))
     picked = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     found = picked.select("text").mapInArrow(_sample, "x array<double>, y boolean").orderBy(F.xxhash64("x"), "y").limit(fit_candidates).toArrow()
-    if not len(found):
-        return None
-    x = np.array(found["x"].to_pylist(), float)
-    y = np.array(found["y"].to_pylist(), float)
+    made = [(t, c) for t, kind in made_examples() for c in candidates(t) if c[1] == kind]
+    x = np.array(found["x"].to_pylist() + [features(t, c) for t, c in made], float)
+    y = np.array(found["y"].to_pylist() + [own_positive(t, c) for t, c in made], float)
     held = np.arange(len(y)) % 4 == 3
-    if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
-        return None
     model = BoostedTrees()
     model.fit(x[~held], y[~held])
     model.calibrate(x[held], y[held], precision)

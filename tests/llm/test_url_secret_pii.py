@@ -185,6 +185,34 @@ def test_pii_query(spark):
         assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(w[0] == k for w in want) for k in range(4))
 
 
+def test_planted_loose_spans_of_each_kind(spark):
+    rng = random.Random(7)
+    planted = {
+        "ip_like": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2a02:8108:1:2:3:4:5:6", "fe80::1ff:fe23:4567:890a", "2001:db8::1", "00:1A:2b:3c:4d:5e", "aa:bb:cc:dd:ee:ff"],
+        "email_like": ["jane.doe [at] example [dot] org", "max(at)mustermann.de", "info[at]shop[dot]com", "joe {at} mail.net"],
+        "number_like": ["49 30 1234567", "49 40 7654321"],
+    }
+    ended = ("email_like", "kim [at] example [dot] net")
+    near = ["10:20:30", "Namespace::dad", "7 @ 3.50", ":".join(["ab"] * 16), "ratio 1:2:3"]
+    rows = [f"please call +{rng.randint(40, 49)} {rng.randint(20, 90)} {rng.randint(1000000, 9999999)} or later, version {rng.randint(1, 9)}.{rng.randint(0, 9)}" for _ in range(300)]
+    rows += [f"item {rng.randint(10**9, 10**10)} in stock-{rng.randint(10**8, 10**9)}" for _ in range(300)]
+    first = len(rows)
+    wanted = [(kind, span) for kind, spans in planted.items() for span in spans]
+    rows += [f"please call {span} or later" for _, span in wanted]
+    wanted.append(ended)
+    rows.append(f"please call {ended[1]}. Then wait")
+    rows += [f"é see {span} or later" for span in near]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id BIGINT, text STRING")).collect()}
+    for i, (kind, span) in enumerate(wanted, first):
+        at = rows[i].index(span)
+        assert f"{kind}:{at}:{at + len(span)}" in got[i]["spans"].split(","), span
+    for i in range(first + len(wanted), len(rows)):
+        assert got[i]["spans"] == "", rows[i]
+    for text in ("2001:db8::1", "x 2a02:8108:1:2:3:4:5:6: y"):
+        (alone,) = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id BIGINT, text STRING")).collect()
+        assert alone["spans"].startswith("ip_like:"), text
+
+
 def test_trees_learn_and_calibrate():
     import numpy as np
 
