@@ -158,6 +158,22 @@ def test_join_edges(spark):
     assert minhash_join.similarity_classes(df.limit(0)).count() == 0
 
 
+def test_pruning_keeps_pairs_at_the_threshold():
+    from math import comb
+
+    least, step = minhash_join.least_matches(minhash_join.THRESHOLD, minhash_join.TOLERANCE), minhash_join.STEP
+    alive, lost, p = {0: 1.0}, 0.0, minhash_join.THRESHOLD
+    for n in range(step, minhash_join.HASHES + 1, step):
+        after = Counter()
+        for k, chance in alive.items():
+            for more in range(step + 1):
+                after[k + more] += chance * comb(step, more) * p**more * (1 - p) ** (step - more)
+        lost += sum(c for k, c in after.items() if k < least[n])
+        alive = {k: c for k, c in after.items() if k >= least[n]}
+    assert lost < 1e-8
+    assert lost + (1 - p**minhash_join.BAND_ROWS) ** minhash_join.BANDS < 1e-7
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     least = minhash_join.least_matches(0.8, 1e-4)
     rng = np.random.default_rng(1)
