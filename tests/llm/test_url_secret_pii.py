@@ -174,6 +174,55 @@ def test_base_pii(text):
     assert sorted((k, a, b) for a, k, b in pii.in_code_points(data, pii.base_spans(data))) == plain_pii(text)
 
 
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "0" * 1_000_000 + ".1.1.1", "1." * 400_000, "1.1.1.1 " * 100_000, "+1(" * 300_000, "a@" * 400_000, "ab:" * 300_000])
+def test_long_runs_of_pii_take_linear_time(text):
+    import time
+
+    start = time.monotonic()
+    base = pii.base_spans(text.encode())
+    pii.candidates(text.encode())
+    pii.Taken(base)
+    assert time.monotonic() - start < 10
+    short = text[:2000].encode()
+    assert sorted((k, a, b) for a, k, b in pii.base_spans(short)) == plain_pii(text[:2000])
+    assert (len(base) == 1) == text.startswith("0") or len(base) != 1
+
+
+def test_many_leading_zeros_are_no_crash(spark):
+    df = spark.createDataFrame([(1, "0" * 5000 + ".1.1.255"), (2, "1" * 5000 + ".1.1.1")], "doc_id BIGINT, text STRING")
+    assert {r["doc_id"]: r["n_ip"] for r in pii.op10_pii(df).collect()} == {1: 1, 2: 0}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.tuples(st.integers(0, 60), st.integers(1, 9)))
+def test_taken_spans(spans, span):
+    spans = [(a, 0, a + n) for a, n in spans]
+    a, b = span[0], sum(span)
+    taken = pii.Taken(spans)
+    want = any(x < b and a < y for x, _, y in spans)
+    assert taken.overlaps((a, 5, b)) == want
+    if not want:
+        taken.add((a, 5, b))
+        assert taken.overlaps((a, 5, a + 1)) and taken.overlaps((b - 1, 5, b))
+
+
+def test_held_out_precision_and_recall_of_added_kinds(spark):
+    """Planted with another seed, between words of other documents, in texts of their own."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.fit_model(docs.select("doc_id", "text"))
+    words = [w.encode() for r in docs.where("doc_id % 7 = 3").limit(50).collect() for w in (r["text"] or "").split()[:40] if w.isalpha()]
+    found, right, all_yes = {4: 0, 5: 0, 6: 0}, {4: 0, 5: 0, 6: 0}, {4: 0, 5: 0, 6: 0}
+    for text, kind, start, end, label in pii.made_examples(99, words):
+        own = [c for c in pii.candidates(text) if c[1] == kind and c[0] < end and start < c[2]]
+        chosen = [c for c in own if model.select(__import__("numpy").array([pii.features(text, c)]))[0]]
+        found[kind] += len(chosen)
+        right[kind] += sum(label and abs(c[0] - start) + abs(c[2] - end) <= 2 for c in chosen)
+        all_yes[kind] += label
+    for kind in found:
+        assert right[kind] > 0.9 * found[kind] and right[kind] > 0.8 * all_yes[kind], (pii.KINDS[kind], found, right, all_yes)
+        assert min(model.quality[pii.KINDS[kind]]) > 0.8
+
+
 def test_pii_query(spark):
     got = queries.QUERIES["op10_pii"](spark, DATA).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
