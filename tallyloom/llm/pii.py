@@ -124,12 +124,13 @@ def made_examples(seed: int = 10, words: list[bytes] | None = None) -> list[tupl
     rng = random.Random(seed)
     name = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(2, 9)))
     hexes = lambda n, low, high: [f"{rng.randrange(16 ** rng.randint(low, high)):0{low}x}" for _ in range(n)]
+    letters = lambda n: ["".join(rng.choices("abcdef", k=2)) for _ in range(n)]
     digits = lambda n: str(rng.randint(1, 9)) + "".join(rng.choices("0123456789", k=n - 1))
 
     def address() -> str:
         form = rng.randrange(3)
         if form == 0:
-            mac = ":".join(hexes(6, 2, 2) if rng.random() < 0.8 else ["".join(rng.choices("abcdef", k=2)) for _ in range(6)])
+            mac = ":".join(hexes(6, 2, 2) if rng.random() < 0.8 else letters(6))
             return mac if rng.random() < 0.7 else mac.upper()
         groups = hexes(8, 1, 4) if form == 1 else hexes(rng.randint(2, 6), 1, 4)
         cut = rng.randint(0, len(groups))
@@ -140,7 +141,7 @@ def made_examples(seed: int = 10, words: list[bytes] | None = None) -> list[tupl
         two = lambda n: ":".join(f"{rng.randrange(60):02d}" for _ in range(n))
         return rng.choice((
             two(3), two(3), two(4), two(5), f"{rng.randint(1, 20)}:{rng.randint(1, 20)}:{rng.randint(1, 20)}", ":".join(hexes(rng.choice((16, 20, 32)), 2, 2)),
-            ":".join(hexes(rng.choice((3, 4, 5, 7)), 2, 2)), f"{name()}d::{rng.choice('abcdef')}{name()}", f"{name()}::{name()}e::add", ":".join(hexes(5, 3, 4)),
+            ":".join(hexes(rng.choice((3, 4, 5, 7)), 2, 2)), ":".join(letters(rng.choice((4, 5, 7, 16, 20)))), f"{name()}d::{rng.choice('abcdef')}{name()}", f"{name()}::{name()}e::add", ":".join(hexes(5, 3, 4)),
         ))
 
     def email() -> str:
