@@ -102,18 +102,40 @@ def code(data):
     return base64.urlsafe_b64encode(data).rstrip(b"=").decode()
 
 
+def ssh_fields(*parts):
+    return b"".join(len(p).to_bytes(4, "big") + p for p in parts)
+
+
+def openssh(rng, cipher=b"none", count=1):
+    public = ssh_fields(b"ssh-ed25519", rng.randbytes(32))
+    private = b"abcdabcd" + ssh_fields(b"ssh-ed25519", rng.randbytes(32), rng.randbytes(64), b"me@host")
+    private += bytes(range(1, 1 + -len(private) % 8))
+    kdf = (b"none", b"") if cipher == b"none" else (b"bcrypt", ssh_fields(rng.randbytes(16)) + b"\0\0\0\x10")
+    return b"openssh-key-v1\0" + ssh_fields(cipher, *kdf) + count.to_bytes(4, "big") + ssh_fields(public, private)
+
+
 def test_confirmed_structures():
     rng = random.Random(1)
     key = der(0x30, der(2, b"\0"), der(2, rng.randbytes(128)), der(0x30, der(6, b"\x2a\x86\x48"), der(5)))
-    ssh = b"".join(len(p).to_bytes(4, "big") + p for p in (b"ssh-rsa", b"\1\0\1", rng.randbytes(129)))
+    pkcs8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, rng.randbytes(300)))
+    ssh = openssh(rng)
     token = f"{code(json.dumps({'alg': 'HS256'}).encode())}.{code(json.dumps({'sub': 1}).encode())}.{code(b'signature')}"
-    good = {"der": [base64.b64encode(key).decode(), key.hex()], "ssh": [base64.b64encode(ssh).decode()], "token": [token], "pem": ["-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END RSA PRIVATE KEY-----"]}
+    frame = lambda body: f"-----BEGIN PRIVATE KEY-----\n{body}-----END PRIVATE KEY-----"
+    lines = base64.encodebytes(pkcs8).decode()
+    good = {
+        "der": [base64.b64encode(key).decode(), key.hex(), "0x" + key.hex(), "path/" + key.hex(), lines.strip(), lines.strip().replace("\n", "\\n")],
+        "ssh": [base64.b64encode(ssh).decode(), base64.b64encode(openssh(rng, b"aes256-ctr")).decode()],
+        "token": [token, "v1." + token, "eyes.only." + token],
+        "pem": [frame(lines), json.dumps({"key": frame(lines)}), "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n" + base64.encodebytes(rng.randbytes(128)).decode() + "-----END RSA PRIVATE KEY-----"],
+    }
     for kind, texts in good.items():
         for t in texts:
             text = f"é see {t} end".encode()
             found = secrets.in_code_points(text, secrets.confirmed_spans(text))
-            assert any(secrets.KINDS[k] == kind and text.decode()[a:b].strip("=") == t.strip("=") for a, k, b in found), kind
-    broken = [key[:-1], key + b"\0", rng.randbytes(150), ssh[:-2], b"\x30\x84\xff\xff\xff\xff" + bytes(60), b"\x30\x80" * 40]
+            spans = [text.decode()[a:b] for a, k, b in found if secrets.KINDS[k] == kind]
+            want = t.removeprefix("0x").removeprefix("path/").removeprefix("v1.").removeprefix("eyes.only.").removeprefix('{"key": "').removesuffix('"}')
+            assert any(s.strip("=") == want.strip("=") for s in spans), (kind, t, found)
+    broken = [key[:-1], key + b"\0", rng.randbytes(150), ssh[:-2], b"openssh-key-v1\0" + rng.randbytes(90), openssh(rng, count=2), b"\x30\x84\xff\xff\xff\xff" + bytes(60), b"\x30\x80" * 40]
     for data in broken:
         text = base64.b64encode(data)
         assert not secrets.confirmed_spans(text)
@@ -121,6 +143,45 @@ def test_confirmed_structures():
         assert not [s for s in secrets.confirmed_spans(t.encode()) if s[1] == secrets.KINDS.index("token")]
 
 
+def test_what_is_public_is_no_secret():
+    rng = random.Random(2)
+    algorithm = der(0x30, der(6, b"\x2a\x86\x48"), der(5))
+    numbers = der(0x30, der(2, b"\1" + rng.randbytes(128)), der(2, b"\1\0\1"))
+    spki = der(0x30, algorithm, der(3, b"\0" + numbers))
+    certificate = der(0x30, der(0x30, der(2, b"\1"), algorithm, der(0x30), spki), algorithm, der(3, b"\0" + rng.randbytes(128)))
+    public = ssh_fields(b"ssh-rsa", b"\1\0\1", rng.randbytes(129))
+    for data in (numbers, spki, certificate, public):
+        coded = base64.b64encode(data).decode()
+        for text in (coded, data.hex(), "ssh-rsa " + coded, base64.encodebytes(data).decode()):
+            assert not secrets.confirmed_spans(text.encode())
+        for name in ("PUBLIC KEY", "CERTIFICATE", "RSA PUBLIC KEY"):
+            assert not secrets.confirmed_spans(f"-----BEGIN {name}-----\n{base64.encodebytes(data).decode()}-----END {name}-----".encode())
+
+
+def test_many_planted_keys_and_no_false_reports():
+    """400 keys in random surroundings, and as many look-alikes of the same alphabet and length."""
+    rng = random.Random(3)
+    hits = false = 0
+    for i in range(400):
+        body = der(0x30, der(2, b"\0"), der(0x30, der(6, rng.randbytes(9)), der(5)), der(4, rng.randbytes(rng.randint(40, 400))))
+        data = body if i % 2 else openssh(rng)
+        write = rng.choice((lambda d: base64.b64encode(d).decode(), lambda d: d.hex(), lambda d: base64.encodebytes(d).decode()))
+        text = f"x{rng.choice((': ', '=', ' ', chr(10)))}{write(data)} y".encode()
+        hits += bool(secrets.confirmed_spans(text))
+        false += bool(secrets.confirmed_spans(f"x {write(rng.randbytes(len(data)))} y".encode()))
+    assert hits >= 396 and false == 0, (hits, false)
+
+
+@pytest.mark.parametrize("text", ["ey" * 500_000, "eyJ." * 250_000, "a." * 500_000, "-----BEGIN KEY-----" * 50_000, ("A" * 64 + "\n") * 15_000, "=" * 1_000_000, "A" * 40 + "=A" * 400_000, "\\n" * 400_000, "MAA" * 300_000, "a/" * 400_000])
+def test_long_runs_of_secrets_take_linear_time(text):
+    import time
+
+    start = time.monotonic()
+    secrets.base_spans(text.encode())
+    secrets.confirmed_spans(text.encode())
+    assert time.monotonic() - start < 8
+
+
 def test_secret_query(spark):
     got = queries.QUERIES["op5_secrets"](spark, DATA).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
