@@ -32,7 +32,6 @@ from tallyloom.llm.textbatch import pieces, utf8_column
 UNKNOWN = "und"
 MAX_ORDER, MAX_CONTEXTS, FIT_ROWS, MAX_LANGUAGES = 3, 8192, 500, 64
 PIECE_BYTES = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -152,7 +151,7 @@ def _tables(languages: list[str], chosen: list[tuple[int, int]], rows: pa.Table,
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_ASCII_LETTER.search(text)) or bool(_LETTER.search(text.decode("utf-8", "replace")))
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 OUT = ("lang_pred", "score", "bits_per_byte")

@@ -8,7 +8,7 @@ character stands for itself; a glob must fit the whole canonical URL. The rule w
 ties go to the rule listed first.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, matches no rule and is blocked;
-empty tables give empty results; repeated rows are judged one by one; other columns pass through.
+empty tables give empty results; repeated rows are judged one by one; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.columns import set_aside
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: URLs that are simulated together; bounds the state to CHUNK x words x 8 bytes.
-CHUNK = 8192
+#: Bytes of state that URLs simulated together may take, and the most of them: many rules make chunks short, not memory large.
+STATE_BYTES, CHUNK = 1 << 25, 8192
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,7 @@ class ShiftAnd:
         self.words = max(1, -(-bits // 64))
         step, stay = np.zeros((classes, self.words * 64), bool), np.zeros((classes, self.words * 64), bool)
         self.start = np.zeros(self.words * 64, bool)
-        self.accept: list[tuple[int, np.uint64]] = []
+        ends: list[int] = []
         slash, at = literals.index("/"), 0
         for symbols, loops in parsed:
             self.start[at] = True
@@ -78,8 +80,11 @@ class ShiftAnd:
                 stay[:, at + i] = True
                 stay[slash, at + i] = loop == "all"
             at += len(symbols) + 1
-            self.accept.append(((at - 1) // 64, np.uint64(1) << np.uint64((at - 1) % 64)))
+            ends.append(at - 1)
         self.step, self.stay, self.start = self._pack(step), self._pack(stay), self._pack(self.start[None])[0]
+        self.accept_word = np.array(ends, np.int64) // 64
+        self.accept_bit = np.uint64(1) << (np.array(ends, np.uint64) % np.uint64(64))
+        self.chunk = max(1, min(CHUNK, STATE_BYTES // (8 * self.words + len(ends) * 9)))
 
     @staticmethod
     def _parse(glob: str) -> tuple[list[str], dict[int, str]]:
@@ -101,13 +106,27 @@ class ShiftAnd:
 
     def match(self, texts: Sequence[str]) -> np.ndarray:
         """Boolean matrix: texts by globs."""
-        out = np.zeros((len(texts), len(self.accept)), bool)
-        order = np.argsort([-len(t) for t in texts], kind="stable")
-        for at in range(0, len(order), CHUNK):
-            rows = order[at : at + CHUNK]
-            out[rows] = self._match_sorted([texts[i] for i in rows])
+        out = np.zeros((len(texts), len(self.accept_word)), bool)
+        for rows, fits in self.matches(texts):
+            out[rows] = fits
         return out
 
+    def first(self, texts: Sequence[str], owner: np.ndarray) -> np.ndarray:
+        """For each text the least ``owner`` of the globs that fit, or -1; ``owner`` must ascend."""
+        out = np.full(len(texts), -1)
+        for rows, fits in self.matches(texts):
+            best = fits.argmax(axis=1) if fits.shape[1] else np.zeros(len(rows), np.int64)
+            some = fits.any(axis=1)
+            out[rows[some]] = owner[best[some]]
+        return out
+
+    def matches(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of ``texts``, some at a time, and which globs fit them."""
+        order = np.argsort([-len(t) for t in texts], kind="stable")
+        for at in range(0, len(order), self.chunk):
+            rows = order[at : at + self.chunk]
+            yield rows, self._match_sorted([texts[i] for i in rows])
+
     def _match_sorted(self, texts: list[str]) -> np.ndarray:
         """``texts`` come longest first, so that those still running are always a leading slice."""
         lengths = np.array([len(t) for t in texts])
@@ -124,7 +143,7 @@ class ShiftAnd:
             shifted = moved << one
             shifted[:, 1:] |= moved[:, :-1] >> top
             state[:n] = shifted | (state[:n] & self.stay[c])
-        return np.stack([(state[:, w] & bit) != 0 for w, bit in self.accept], axis=1)
+        return (state[:, self.accept_word] & self.accept_bit) != 0
 
 
 def judge_urls(
@@ -139,49 +158,49 @@ def judge_urls(
     ``rule`` is the longest of ``rules`` that fits; without one the longest of ``method_rules`` decides,
     and ``otherwise`` where none fits either. Columns of these names that ``pages`` has are replaced.
     """
-    everything = [*rules, *method_rules]
-    globs = [(g, k) for k, r in enumerate(everything) for g in r.globs]
-    machine = ShiftAnd([g for g, _ in globs])
-    owner = np.array([k for _, k in globs])
-    longest = sorted(range(len(everything)), key=lambda k: (-len(everything[k].text), k))
-    names = [[k for k in longest if k < len(rules)], [k for k in longest if k >= len(rules)]]
+    ranked = [sorted(some, key=lambda r: -len(r.text)) for some in (rules, method_rules)]
+    machines = []
+    for some in ranked:
+        globs = [(g, k) for k, r in enumerate(some) for g in r.globs]
+        machines.append((ShiftAnd([g for g, _ in globs]), np.array([k for _, k in globs], np.int64)))
 
     def decide(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for hosts, paths in batches:
-            fits = machine.match((hosts + paths).tolist()) if len(hosts) else np.zeros((0, len(globs)), bool)
-            best = []
-            for order in names:
-                pick = np.full(len(hosts), -1)
-                for k in reversed(order):
-                    pick[fits[:, owner == k].any(axis=1)] = k
-                best.append(pick)
+            urls = (hosts + paths).tolist()
+            best = [
+                [some[k] if k >= 0 else None for k in machine.first(urls, owner).tolist()]
+                for some, (machine, owner) in zip(ranked, machines, strict=True)
+            ]
             yield pd.DataFrame(
                 {
-                    "rule": [everything[k].text if k >= 0 else None for k in best[0]],
-                    "method_rule": [everything[k].text if k >= 0 else None for k in best[1]],
+                    "rule": [r.text if r else None for r in best[0]],
+                    "method_rule": [r.text if r else None for r in best[1]],
                     "verdict": [
-                        everything[a].verdict if a >= 0 else "block" if not h else everything[b].verdict if b >= 0 else otherwise
-                        for a, b, h in zip(best[0], best[1], hosts, strict=True)
+                        a.verdict if a else "block" if not h else b.verdict if b else otherwise for a, b, h in zip(*best, hosts, strict=True)
                     ],
                 }
             )
 
     decide_udf = F.pandas_udf(decide, "rule string, method_rule string, verdict string")
     added = ("host", "path", "rule", "method_rule", "verdict")
-    kept = [c for c in pages.columns if c not in added]
+    others = [c for c in pages.columns if c not in added]
+    kept, restore = set_aside(pages.select(*others), ())
     split = (
-        pages.withColumn("_address", F.coalesce(F.col(url), F.lit("")))
-        .withColumn("_start", F.instr("_address", "://"))
-        .withColumn("_rest", F.when(F.col("_start") > 0, F.expr("substring(_address, _start + 3)")).otherwise(""))
-        .select(
-            *kept,
-            F.translate(F.regexp_extract("_rest", "^[^/?#]*", 0), UPPER, LOWER).alias("host"),
-            F.regexp_extract("_rest", "^[^/?#]*([^?#]*)", 1).alias("path"),
-        )
-    )
-    return split.withColumn("_j", decide_udf("host", "path")).select(
-        *kept, "host", "path", "_j.rule", "_j.method_rule", "_j.verdict"
+        pages.select(F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("address"), *(F.col(f"`{c}`").alias(k) for c, k in zip(others, kept.columns, strict=True)))
+        .withColumn("start", F.instr("address", "://"))
+        .withColumn("rest", F.when(F.col("start") > 0, F.expr("substring(address, start + 3)")).otherwise(""))
+        .withColumn("host", F.translate(F.regexp_extract("rest", "^[^/?#]*", 0), UPPER, LOWER))
+        .withColumn("path", F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1))
     )
+    judged = split.select(*kept.columns, "host", "path").withColumn("judged", decide_udf("host", "path"))
+    judged = judged.select(*kept.columns, "host", "path", "judged.rule", "judged.method_rule", "judged.verdict")
+    return restore(judged, *added)
+
+
+def site_rules(rules: DataFrame) -> list[Rule]:
+    """Rules from a table of ``host, path, verdict``, in order of host and path; they become one automaton, so the table must fit a worker."""
+    rows = rules.select("host", "path", "verdict").distinct().orderBy("host", "path", "verdict").toLocalIterator()
+    return [site_rule(r["host"], r["path"], r["verdict"]) for r in rows]
 
 
 def op1_url_filter(pages: DataFrame) -> DataFrame:

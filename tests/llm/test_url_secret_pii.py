@@ -62,6 +62,31 @@ def test_urls(spark):
         assert r["verdict"] == (best[1] if best else "block" if not host or "spam" in host else "allow")
 
 
+def test_urls_leave_other_columns_alone(spark):
+    df = spark.createDataFrame([("http://x.com/fr/", 1, 2, 3, 4, 5, 6, 7)], "url STRING, _address INT, _start INT, _rest INT, _j INT, address INT, judged INT, page_id INT")
+    row = url_filter.judge_urls(df).first()
+    assert [row[c] for c in df.columns] == ["http://x.com/fr/", 1, 2, 3, 4, 5, 6, 7] and row["rule"] == "com/fr/"
+    renamed = url_filter.judge_urls(df.select(df.url.alias("path"), "page_id"), url="path")
+    assert renamed.columns.count("page_id") == 1 and renamed.first()["verdict"] == "allow"
+    assert url_filter.op1_url_filter(df.limit(0)).collect() == []
+
+
+def test_many_rules_from_a_table(spark):
+    """5,000 rules: chunks get short, results stay those of a plain look-up."""
+    table = spark.createDataFrame([(f"h{i % 500}.net", f"/p{i // 500}", "block" if i % 2 else "allow") for i in range(5000)], "host STRING, path STRING, verdict STRING")
+    rules = url_filter.site_rules(table)
+    machine = url_filter.ShiftAnd([g for r in rules for g in r.globs])
+    assert len(rules) == 5000 and machine.chunk < url_filter.CHUNK
+    urls = [(i, f"http://{'www.' * (i % 2)}h{i * 7 % 510}.net/p{i % 12}/x") for i in range(300)]
+    got = url_filter.judge_urls(spark.createDataFrame(urls, "page_id INT, url STRING"), rules=rules)
+    verdicts = {r.text: r.verdict for r in rules}
+    for r in got.collect():
+        host, k = f"h{r['page_id'] * 7 % 510}.net", r["page_id"] % 12
+        fits = [x for x in (f"{host}/p{k}", f"{host}/p{str(k)[0]}") if x in verdicts]
+        want = max(fits, key=len, default=None)
+        assert (r["rule"], r["verdict"]) == (want, verdicts.get(want, "allow"))
+
+
 def test_all_page_urls(spark):
     got = queries.QUERIES["op1_url_filter"](spark, DATA)
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
