@@ -4,28 +4,26 @@ Three metadata dimensions (language, source, text size) are quantised to 16 step
 the Hilbert index of their cell, and the order is cut into runs of near-equal bytes. Neighbouring cells are
 neighbours in all three dimensions, so a shard covers a compact box and files can be pruned on any of them.
 
-The running order of equal cells follows ``doc_id``. Rows are never sorted as a whole. Every cell is dealt into sub-bins by a hash of ``doc_id``, so that a hot
-source or a group of copies spreads over many tasks; running totals go cells -> sub-bins -> rows.
+Text dimensions are cut at quantiles of their distinct values, in byte order, alike at every number of values. Rows are
+never sorted as a whole. Every cell is dealt into sub-bins by a hash of doc_id, size, crc32 and the number among rows that
+agree in these, so that a hot source, a group of copies or an id that all rows share spreads over many tasks; running totals
+go cells -> sub-bins -> rows, and rows of one sub-bin follow ``doc_id``.
 
 Edge cases: a null text counts 0 bytes (size 1, crc32 of nothing is 0); null dimensions have a step of their own
 (the first); repeated rows, also with the same doc_id, are placed one by one (ties are ordered by doc_id, size and crc
-and are interchangeable beyond that); an empty table gives no rows; further columns pass through ``assign_shards``.
+and are interchangeable beyond that); an empty table gives no rows; further columns pass through ``attach_shards``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.columns import set_aside
+from tallyloom.llm.ranks import identity, meet_places, number_peers, running_totals
 from tallyloom.plans.lineage import cut_lineage
 
 BITS, STEPS = 4, 16
-#: Up to so many distinct values a text dimension is ranked exactly; beyond it is cut by its leading bytes.
-MAX_RANKED = 4096
 ROWS_PER_BIN = 50_000
 LEAST_BINS = 32
 
@@ -67,18 +65,20 @@ def curve_table() -> list[int]:
 
 
 def text_steps(df: DataFrame, column: str) -> Column:
-    """An order-preserving step 0..15 for a string column; null is 0."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_RANKED + 1).collect()]
-    if not values:
+    """An order-preserving step 0..15 for a string column; null is 0, and each other step has as many distinct values."""
+    values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
+    ranked = running_totals(values, [F.col("value")], {"rank": F.lit(1)})
+    n = ranked.count()
+    step = F.expr(f"1 + rank * {STEPS - 1} div {max(n, 1)}")
+    firsts = [r["first"] for r in ranked.groupBy(step.alias("step")).agg(F.min("value").alias("first")).orderBy("step").collect()]  # 15 at most
+    if not firsts:
         return F.lit(0)
-    if len(values) <= MAX_RANKED:
-        ordered = sorted(values, key=lambda v: v.encode())
-        step = F.lit([1 + i * (STEPS - 1) // len(ordered) for i in range(len(ordered))])
-        return F.coalesce(F.get(step, F.array_position(F.lit(ordered), F.col(column)).cast("int") - 1), F.lit(0))
-    lead = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    low, high = df.select(lead.alias("v")).agg(F.min("v"), F.max("v")).first()
-    scaled = F.floor((lead - low) / max(high - low, 1.0) * (STEPS - 1)) + 1
-    return F.when(F.col(column).isNull(), 0).otherwise(F.least(scaled, F.lit(STEPS - 1)).cast("int"))
+    # fewer values than steps leave steps out
+    steps = sorted({1 + k * (STEPS - 1) // n for k in range(n)}) if n < STEPS else list(range(1, STEPS))
+    cut = F.lit(steps[0])
+    for low, number in zip(firsts[1:], steps[1:], strict=True):
+        cut = F.when(F.col(column) >= low, number).otherwise(cut)
+    return F.when(F.col(column).isNull(), 0).otherwise(cut)
 
 
 def size_steps(size: Column) -> Column:
@@ -87,14 +87,16 @@ def size_steps(size: Column) -> Column:
 
 
 def place(slim: DataFrame, n_shards: int) -> DataFrame:
-    """Add ``shard`` and ``slot`` to rows with ``doc_id, size, text_crc32`` and the dimensions ``lang, source``."""
+    """Add ``peer, shard, slot`` to rows with ``doc_id, size, text_crc32`` and the dimensions ``lang, source``, which must be materialised."""
     cell = F.get(
         F.lit(curve_table()),
         text_steps(slim, "lang") * STEPS * STEPS + text_steps(slim, "source") * STEPS + size_steps(F.col("size")),
     )
     n_rows = slim.count()
     n_bins = max(LEAST_BINS, -(-n_rows // (ROWS_PER_BIN * 64)))
-    binned = slim.withColumn("cell", cell).withColumn("bin", F.pmod(F.xxhash64("doc_id"), F.lit(n_bins)).cast("int"))
+    same = ["doc_id", "size", "text_crc32"]
+    binned = number_peers(slim, same).withColumn("cell", cell).withColumn("bin", F.pmod(F.xxhash64(*same, "peer"), F.lit(n_bins)).cast("int"))
+    binned = cut_lineage(binned)
 
     bins = binned.groupBy("cell", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     inside = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,7 +112,7 @@ def place(slim: DataFrame, n_shards: int) -> DataFrame:
         F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("cell_b0"),
         F.sum("bytes").over(Window.partitionBy()).alias("all_bytes"),
     )
-    row = Window.partitionBy("cell", "bin").orderBy("doc_id", "size", "text_crc32")
+    row = Window.partitionBy("cell", "bin").orderBy(*same, "peer")
     running = (
         binned.join(bins, ["cell", "bin"])
         .withColumn("rank", F.col("n0") + F.row_number().over(row) - 1)
@@ -125,11 +127,11 @@ def place(slim: DataFrame, n_shards: int) -> DataFrame:
     return running.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("rank") - F.col("first")).drop("rank", "first")
 
 
-def slim_columns(docs: DataFrame) -> DataFrame:
+def slim_columns(docs: DataFrame, *more: str) -> DataFrame:
     """What placing needs of each row, without its text."""
     data = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     return docs.select(
-        "doc_id", "lang", "source", (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32")
+        "doc_id", "lang", "source", (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), *more
     )
 
 
@@ -141,20 +143,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
 def attach_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (which replace columns of these names); texts are shuffled once.
 
-    Rows that agree in everything (crc32 and size stand for the text) are interchangeable: one of them meets the list of
-    their places and is repeated.
+    Rows that agree in everything are interchangeable: one of them meets the lists of their places and is repeated.
     """
     docs, restore = set_aside(docs.drop("shard", "slot"), ("doc_id", "text", "lang", "source"))
-    data = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns(
-        {"text_crc32": F.crc32(F.encode(data, "UTF-8")), "size": (F.octet_length(data) + 1).cast("long"), "no_text": F.col("text").isNull()}
-    )
-    keys = [c for c in rows.columns if c != "text"]
-    places = place(cut_lineage(rows.select(*keys)), n_shards)
-    places = places.groupBy(*keys).agg(F.collect_list(F.struct("shard", "slot")).alias("places"))
-    places = places.select(*(F.col(c).alias(f"__at_{k}") for k, c in enumerate(keys)), "places")
-    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__at_{k}")) for k, c in enumerate(keys)))
-    joined = rows.dropDuplicates(keys).join(places, same).withColumn("place", F.explode("places"))
+    rows = docs.withColumns(identity(docs))
+    places = place(cut_lineage(slim_columns(rows, "__k1", "__k2")), n_shards)
+    joined = meet_places(rows, places, F.struct("shard", "slot"))
     return restore(joined.withColumns({"shard": F.col("place.shard"), "slot": F.col("place.slot")}), "shard", "slot")
 
 

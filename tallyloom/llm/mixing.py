@@ -7,25 +7,32 @@ output shards: at each node of a binary tree the left half draws its blocks with
 (a multivariate hypergeometric draw), so each shard's composition is that of a random shuffle of all blocks while every
 quota is met exactly. A shard takes disjoint runs of each source's permuted blocks and shuffles its rows locally.
 
-Only the table of sources (checked: at most MAX_SOURCES rows) and its block counts meet on the driver.
+The tree works on GROUPS hash groups of sources: their totals meet on the driver, and inside each group a task draws the
+sources' blocks for each shard from what is left, which has the same distribution. Any number of sources is weighed; targets
+come from running totals over ranges of the table of sources.
 
 Edge cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; repeated rows
-(equal doc_id, source and size) share one plan; empty tables give no rows; other columns pass through ``mix``.
+(equal doc_id, source and size, also null) are numbered and planned one by one, so a source of one id only meets its target
+like any other; empty tables give no rows; other columns pass through ``mix``.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.columns import set_aside
+from tallyloom.llm.ranks import identity, meet_places, number_peers, running_totals
 from tallyloom.plans.lineage import cut_lineage
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_EPOCHS = 1.5, 2
 ROWS_PER_BLOCK, BLOCKS_PER_GROUP = 64, 4096
-MAX_SOURCES = 200_000
+GROUPS = 1024
+#: Up to so many sources their table is broadcast; beyond it the join is shuffled.
+BROADCAST_SOURCES = 100_000
 SEED = 20_240_607
 
 
@@ -35,18 +42,20 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     The cap is met by water filling: sources in order of cap per weight; one is capped if the level that the ones not
     yet capped would share reaches its cap.
     """
-    everything = Window.partitionBy()
-    ranked = sources.withColumn(
-        "weight",
-        F.element_at(F.lit(list(weights)), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int")),
-    ).withColumn("cap", (F.col("source_size") * max_epochs).cast("double"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, onward = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    levels = ranked.withColumn("level", level).withColumn("k", F.row_number().over(by_ratio))
+    by_name = F.col("source").asc_nulls_last()
+    ranked = running_totals(sources, [by_name], {"rank": F.lit(1)}).withColumn(
+        "weight", F.element_at(F.lit(list(weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    )
+    ranked = ranked.drop("rank").withColumn("cap", (F.col("source_size") * max_epochs).cast("long"))
+    levels = running_totals(ranked, [F.col("cap") / F.col("weight"), by_name], {"k": F.lit(1), "caps": F.col("cap"), "weights": F.col("weight")})
+    words, weight = levels.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(share * (words or 0)) - F.col("caps")) / (F.lit(weight or 1) - F.col("weights"))
+    levels = levels.withColumn("level", level)
     free = F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("k"))
-    settled = F.min_by("level", free).over(everything)
-    return levels.withColumn("target", F.coalesce(F.least(F.col("cap"), settled * F.col("weight")), F.col("cap"))).drop("cap", "level", "k")
+    settled = levels.agg(F.min_by("level", free)).first()[0]
+    cap = F.col("cap").cast("double")
+    target = cap if settled is None else F.least(cap, F.lit(float(settled)) * F.col("weight"))
+    return levels.withColumn("target", target).drop("cap", "level", "k", "caps", "weights")
 
 
 def splitting_tree(blocks: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
@@ -67,15 +76,15 @@ def splitting_tree(blocks: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
 
 
 def plan_mix(slim: DataFrame, n_shards: int = 8, seed: int = SEED, rows_per_block: int = ROWS_PER_BLOCK, **targets) -> DataFrame:
-    """Add ``source_size, target, passes, shards`` to rows with ``doc_id, source, size``.
+    """Add ``peer, source_size, target, passes, shards`` to rows with ``doc_id, source, size``, which must be materialised.
 
-    ``passes`` is how often the row is taken; ``shards`` names the output shard of each time. ``slim`` is read several
-    times and should be materialised.
+    ``peer`` numbers rows that agree in these; ``passes`` is how often the row is taken; ``shards`` names the output shard
+    of each time.
     """
-    spark = slim.sparkSession
     n_rows = slim.count()
     rows_per_block = max(rows_per_block, n_rows // 200_000_000)
-    keyed = slim.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    keyed = number_peers(slim, ["source", "doc_id", "size"]).withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    keyed = cut_lineage(keyed)
     sources = keyed.groupBy("source", "_s").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     sources = cut_lineage(
         with_targets(sources, **targets)
@@ -84,10 +93,9 @@ def plan_mix(slim: DataFrame, n_shards: int = 8, seed: int = SEED, rows_per_bloc
         .withColumn("extra", F.col("target") - F.col("epochs") * F.col("source_size"))
         .drop("rows", "weight")
     )
-    if (n_sources := sources.count()) > MAX_SOURCES:
-        raise ValueError(f"{n_sources} sources; at most {MAX_SOURCES} can be weighed against each other")
-    small = F.broadcast(sources.drop("source"))
-    order = F.xxhash64(F.lit(seed), "doc_id")
+    few = sources.count() <= BROADCAST_SOURCES
+    small = F.broadcast(sources.drop("source")) if few else sources.drop("source")
+    order = F.xxhash64(F.lit(seed), "doc_id", "size", "peer")
     dealt = keyed.join(small, "_s").withColumn("_order", order).withColumn("block", F.pmod("_order", "n_blocks"))
     dealt = dealt.withColumn("_group", (F.col("block") / BLOCKS_PER_GROUP).cast("long"))
 
@@ -112,28 +120,47 @@ def plan_mix(slim: DataFrame, n_shards: int = 8, seed: int = SEED, rows_per_bloc
         blocks.join(small, "_s")
         .groupBy("_s")
         .agg(F.count("*").alias("n"), F.count_if(F.col("block_w0") < F.col("extra")).alias("part"), F.first("epochs").alias("epochs"))
-        .orderBy("_s")
-        .collect()
-    )
-    quotas = splitting_tree(np.array([r["epochs"] * r["n"] + r["part"] for r in used], np.int64), n_shards, seed)
-    ends = spark.createDataFrame(
-        [(r["_s"], int(r["n"]), [int(x) for x in np.cumsum(q)]) for r, q in zip(used, quotas, strict=True)], "_s string, _n long, _ends array<long>"
+        .select("_s", "n", (F.col("epochs") * F.col("n") + F.col("part")).alias("quota"), F.pmod(F.xxhash64("_s"), F.lit(GROUPS)).alias("_g"))
     )
-    # by range, so that repeated rows (peers) get the same plan
-    row = Window.partitionBy("_s", "block").orderBy("_order", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    used = cut_lineage(used)
+    ends = used.groupBy("_g").applyInPandas(_source_ends(_group_quotas(used, n_shards, seed), seed), "_s string, _n long, _ends array<long>")
+    ends = cut_lineage(ends)
+    row = Window.partitionBy("_s", "block").orderBy("_order", "doc_id", "size", "peer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum("size").over(row) - F.col("size") + F.col("block_w0")
     again = (start + F.col("size") / 2 <= F.col("extra")) & (F.col("extra") > 0) & (F.col("size") > 0)
     placed = (
         dealt.join(blocks.select("_s", "block", "block_w0", "ordinal"), ["_s", "block"])
         .withColumn("passes", F.when(F.col("size") > 0, F.col("epochs") + again.cast("int")).otherwise(0))
-        .join(F.broadcast(ends), "_s")
+        .join(F.broadcast(ends) if few else ends, "_s")
     )
     shards = F.expr("transform(sequence(0, passes - 1), p -> size(filter(_ends, e -> e <= p * _n + ordinal)))")
     return placed.withColumn("shards", F.when(F.col("passes") > 0, shards).otherwise(F.lit([]).cast("array<int>"))).select(
-        *slim.columns, "source_size", "target", "passes", "shards"
+        *slim.columns, "peer", "source_size", "target", "passes", "shards"
     )
 
 
+def _group_quotas(used: DataFrame, n_shards: int, seed: int) -> dict[int, np.ndarray]:
+    """Blocks of each group of sources for each shard."""
+    totals = used.groupBy("_g").agg(F.sum("quota").alias("quota")).orderBy("_g").collect()  # at most GROUPS rows
+    quotas = splitting_tree(np.array([r["quota"] for r in totals], np.int64), n_shards, seed)
+    return {r["_g"]: q for r, q in zip(totals, quotas, strict=True)}
+
+
+def _source_ends(quotas: dict[int, np.ndarray], seed: int):
+    """For each source of a group, how many of its blocks go to the first shard, the first two, and so on."""
+
+    def run(key: tuple, sources: pd.DataFrame) -> pd.DataFrame:
+        sources = sources.sort_values("_s", key=lambda s: s.map(str.encode))
+        rng, left, taken = np.random.default_rng([seed, int(key[0])]), sources["quota"].to_numpy(np.int64), []
+        for share in quotas[int(key[0])].tolist():
+            drawn = rng.multivariate_hypergeometric(left, share, method="marginals")
+            left = left - drawn
+            taken.append(drawn)
+        return pd.DataFrame({"_s": sources["_s"], "_n": sources["n"], "_ends": list(np.cumsum(np.stack(taken, axis=1), axis=1))})
+
+    return run
+
+
 def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -142,25 +169,23 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = SEED) -> DataFrame:
     """The mixture itself: a row for each time a document is taken, with ``mix_shard`` and ``mix_order``.
 
     ``write_mix`` stores it by shard, each shard in ``mix_order``.
-    Rows with equal doc_id, source and size share their plan.
     """
-    slim = cut_lineage(docs.select("doc_id", "source", word_count().alias("size")))
-    plan = plan_mix(slim, n_shards, seed).where("passes > 0").dropDuplicates(["doc_id", "source", "size"])
-    plan = plan.select(F.col("doc_id").alias("its_id"), F.col("source").alias("its_source"), F.col("size").alias("its_size"), "shards")
     rows, restore = set_aside(docs.drop("mix_shard", "mix_order"), ("doc_id", "source", "text"))
-    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & F.col("source").eqNullSafe(F.col("its_source")) & (word_count() == F.col("its_size"))
-    taken = rows.join(plan, same).select(*rows.columns, F.posexplode("shards").alias("pass", "mix_shard"))
-    return restore(taken.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), "doc_id", "pass")), "mix_shard", "mix_order")
+    rows = rows.withColumns(identity(rows))
+    slim = cut_lineage(rows.select("doc_id", "source", word_count().alias("size"), "__k1", "__k2"))
+    plan = plan_mix(slim, n_shards, seed).where("passes > 0").select("__k1", "__k2", "peer", "shards")
+    taken = meet_places(rows, plan, F.struct("peer", "shards")).select("*", F.posexplode("place.shards").alias("pass", "mix_shard"))
+    return restore(taken.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), "doc_id", "__k1", "place.peer", "pass")), "mix_shard", "mix_order")
+
+
+def in_mixed_order(mixed: DataFrame) -> DataFrame:
+    """Rows by shard, each shard in its shuffled order."""
+    return mixed.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
 
 
 def write_mix(mixed: DataFrame, path: str) -> None:
     """One folder a shard, each in its shuffled order; large shards may hold several files, in order."""
-    (
-        mixed.repartitionByRange("mix_shard", "mix_order")
-        .sortWithinPartitions("mix_shard", "mix_order")
-        .write.partitionBy("mix_shard")
-        .parquet(path)
-    )
+    in_mixed_order(mixed).write.partitionBy("mix_shard").parquet(path)
 
 
 def op7_mixing(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, licenses, minhash_join, mixing, queries, textbatch
+from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, licenses, minhash_join, mixing, queries, ranks, textbatch
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
@@ -497,10 +497,70 @@ def test_shard_edges(spark):
     assert hilbert_shards.attach_shards(df.limit(0)).count() == 0
 
 
-def test_many_values_fall_back_to_bytes(spark, monkeypatch):
-    monkeypatch.setattr(hilbert_shards, "MAX_RANKED", 10)
-    df = spark.createDataFrame([(f"{chr(97 + i % 26)}{i}",) for i in range(100)] + [(None,)], "source STRING")
+@pytest.mark.parametrize("n", [1, 3, 14, 15, 16, 100, 10_000])
+def test_values_are_cut_at_quantiles(spark, n):
+    """Also with a long common beginning, and alike at every number of values."""
+    df = spark.range(n).selectExpr("concat('https://a.very.long.host/', lpad(id, 6, '0')) as source").union(spark.createDataFrame([(None,)], "source STRING"))
     steps = {r["source"]: r["s"] for r in df.select("source", hilbert_shards.text_steps(df, "source").alias("s")).collect()}
-    assert steps[None] == 0
-    ordered = [steps[k] for k in sorted(k for k in steps if k)]
-    assert ordered == sorted(ordered) and ordered[0] == 1 and ordered[-1] == 15
+    assert steps.pop(None) == 0
+    assert [steps[k] for k in sorted(steps)] == [1 + i * 15 // n for i in range(n)]
+
+
+def test_shards_against_a_plain_placement(spark, texts):
+    """Order by curve, sub-bin and id, cut by bytes: shard and slot recomputed from rows alone."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    got = {r["doc_id"]: r for r in hilbert_shards.op9_hilbert_shards(docs).collect()}
+    step = {}
+    for c in ("lang", "source"):
+        values = sorted({r[c] for r in rows.values() if r[c] is not None}, key=str.encode)
+        step[c] = {v: 1 + i * 15 // len(values) for i, v in enumerate(values)} | {None: 0}
+    bins = {r["doc_id"]: r["bin"] for r in hilbert_shards.slim_columns(docs).selectExpr("doc_id", "pmod(xxhash64(doc_id, size, text_crc32, 0L), 32) as bin").collect()}
+
+    def key(i):
+        size = len((rows[i]["text"] or "").encode()) + 1
+        point = (step["lang"][rows[i]["lang"]], step["source"][rows[i]["source"]], max(0, min(15, size.bit_length() - 1 - 4)))
+        return hilbert_shards.hilbert_index(point, 4), bins[i], i
+
+    total, at, seen = sum(r["size"] for r in got.values()), 0, Counter()
+    for i in sorted(rows, key=key):
+        shard = min(7, at * 8 // total)
+        assert (got[i]["shard"], got[i]["slot"]) == (shard, seen[shard])
+        seen[shard] += 1
+        at += got[i]["size"]
+
+
+@pytest.mark.parametrize("doc_id", [None, 1])
+def test_one_id_for_all_rows(spark, doc_id):
+    """Shards stay even and the mixture meets its target though ids tell nothing apart."""
+    rows = [(doc_id, "ten words are in this text as you can see", "en", "s", 1)] * 100
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    check_shards(hilbert_shards.shard_documents(df).collect(), [50])
+    assert len({(r["shard"], r["slot"]) for r in hilbert_shards.attach_shards(df).collect()}) == 100
+    got = mixing.op7_mixing(df).collect()
+    assert sum(r["taken"] for r in got) == 1500 == got[0]["target"]
+    assert max(r["taken"] for r in got) == 20
+    assert mixing.mix(df).count() == 150
+
+
+def test_peers_and_running_totals(spark):
+    df = ranks.cut_lineage(spark.range(1000).selectExpr("if(id % 3 = 0, null, id % 7) as a", "id").repartition(6))
+    by = defaultdict(list)
+    for r in ranks.number_peers(df, ["a"]).collect():
+        by[r["a"]].append(r["peer"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    total = 0
+    for r in sorted(ranks.running_totals(df, [df["id"]], {"before": df["id"]}).collect(), key=lambda r: r["id"]):
+        assert r["before"] == total
+        total += r["id"]
+
+
+def test_ten_thousand_sources(spark):
+    rows = [(i, "w " * (1 + i % 5), "en", f"s{i % 10_000:05d}", 1) for i in range(30_000)]
+    got = mixing.op7_mixing(spark.createDataFrame(rows, DOCS)).collect()
+    sizes = Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += len(text.split())
+    target = plain_targets(sizes)
+    assert all(r["target"] == pytest.approx(target[f"s{r['doc_id'] % 10_000:05d}"]) for r in got)
+    assert sum(r["taken"] for r in got) == pytest.approx(sum(target.values()), rel=0.1)
