@@ -89,7 +89,7 @@ def size_steps(size: Column) -> Column:
 def place(slim: DataFrame, n_shards: int) -> DataFrame:
     """Add ``peer, shard, slot`` to rows with ``doc_id, size, text_crc32`` and the dimensions ``lang, source``, which must be materialised."""
     cell = F.get(
-        F.lit(curve_table()),
+        F.split(F.lit(",".join(map(str, curve_table()))), ",").cast("array<int>"),  # one literal, folded to an array
         text_steps(slim, "lang") * STEPS * STEPS + text_steps(slim, "source") * STEPS + size_steps(F.col("size")),
     )
     n_rows = slim.count()
