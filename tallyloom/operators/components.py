@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.plans.lineage import cut_lineage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Return ``node, component`` for every endpoint; the component is its least node.
 
     ``edges`` has two columns, ``a`` and ``b``, of one orderable type; self loops only add their node.
@@ -20,34 +20,33 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     current = cut_lineage(
         clean.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    previous = None
-    for _ in range(max_rounds):
-        large = _star(current.union(current.select("b", "a")), larger_only=True)
-        current = cut_lineage(_star(large, larger_only=False))
+    previous, n_edges = None, current.count()
+    while n_edges:
+        large = cut_lineage(_star(current.union(current.select("b", "a")), 2 * n_edges, larger_only=True))
+        current = cut_lineage(_star(large, n_edges, larger_only=False))
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == previous:
             break
-        previous = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        previous, n_edges = now, now[0]
     roots = current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
-#: Hubs of more neighbours are joined by broadcast; there is at most one such hub for so many edges.
-HEAVY = 50_000
+#: A hub of more neighbours than this, and than one in MOST_HEAVY edges, is joined by broadcast: there are at most
+#: MOST_HEAVY of them, and no task gets more edges of one hub by the shuffled join.
+HEAVY, MOST_HEAVY = 1000, 100_000
 
 
-def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
-    """Point each node's neighbours at the least of the node and its neighbours.
+def _star(pairs: DataFrame, n_pairs: int, larger_only: bool) -> DataFrame:
+    """Point each node's neighbours at the least of the node and its neighbours; ``n_pairs`` is a bound of the rows.
 
     The least neighbour comes from a map-side combined aggregate. It goes back to the edges of ordinary hubs by a
-    shuffled join and to those of very large hubs by a broadcast one, so no hub's edges meet in one task.
+    shuffled join and to those of large hubs by a broadcast one, so no hub's edges meet in one task.
     """
     least = pairs.groupBy("a").agg(F.min("b").alias("least_b"), F.count("*").alias("n")).select(
         F.col("a").alias("hub"), F.least("a", "least_b").alias("least"), "n"
     )
-    heavy = least.where(F.col("n") > HEAVY).select(F.col("hub").alias("heavy_hub"), F.col("least").alias("heavy_least"))
+    heavy = least.where(F.col("n") > max(HEAVY, n_pairs // MOST_HEAVY)).select(F.col("hub").alias("heavy_hub"), F.col("least").alias("heavy_least"))
     marked = pairs.join(F.broadcast(heavy), F.col("a") == F.col("heavy_hub"), "left")
     ordinary = marked.where("heavy_hub is null").select("a", "b").join(least, F.col("a") == F.col("hub")).select("a", "b", "least")
     linked = ordinary.union(marked.where("heavy_hub is not null").select("a", "b", "heavy_least"))
