@@ -13,11 +13,14 @@ representatives:
 
 Pairs never leave a task: a bucket yields for each member the number of its links and the least member it hangs together
 with, so a group of n near copies gives n rows, not n^2. Buckets beyond BLOCK members are cut into blocks by a hash, and
-every pair of blocks is a task of its own: no task holds more than two blocks, however large the bucket.
+every pair of blocks is a task of its own; for the exact check the blocks of a bucket are also as many as keep the shingles
+of one below BLOCK_SHINGLES. A bucket of n members is shuffled ceil(n / BLOCK) times, once up to BLOCK members.
+Inside a task, tiles of pairs are compared as matrices: a pair that shares an earlier band costs one comparison of two keys.
 
 Edge cases: a null or empty text, or one without words, has no shingles and no links; a text of one to four words is one
-shingle; repeated rows are members of one class (a doc_id stands for one text); rows with a null doc_id are not linked and are kept; texts of any length
-are used whole; empty tables give no rows; other columns pass through ``drop_near_duplicates``.
+shingle; repeated rows are members of one class; different texts under one doc_id are told apart by their fingerprints, and
+texts without doc_id are compared like others (an id is null in the result where no text of a class has one); texts of any
+length are used whole; empty tables give no rows; other columns pass through ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.columns import bound_batches
+from tallyloom.llm.columns import bound_batches, set_aside
 from tallyloom.llm.textbatch import hashed_words, mix, pieces, utf8_column
 from tallyloom.operators.components import connected_components
 from tallyloom.plans.lineage import cut_lineage
@@ -38,11 +41,13 @@ from tallyloom.plans.lineage import cut_lineage
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 HASHES, BAND_ROWS = 128, 4
 BANDS, STEP = HASHES // BAND_ROWS, 32
-BLOCK = 256
+#: Members of a bucket in one block, and the shingles that a block of the exact check holds (a longer text is a block of its own).
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 PIECE_BYTES = 1 << 19
-PAIRS_AT_ONCE = 1 << 16
-#: Up to so many ids a list of documents is broadcast (8 bytes each); beyond it the join is shuffled.
-BROADCAST_IDS = 2_000_000
+#: Members of a tile whose pairs are compared at a time, bands compared as matrices, bytes of bits for the exact check.
+TILE, DENSE_BANDS, BITS_AT_ONCE = 512, 4, 1 << 25
+#: Up to so many rows of two numbers a list of documents is broadcast (some 40 bytes each); beyond it the join is shuffled.
+BROADCAST_IDS = 500_000
 
 _WEIGHTS = mix(np.arange(1001, 1001 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 _MULTIPLY = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -100,21 +105,29 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
-def surviving_pairs(sig: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, least: dict[int, int]) -> np.ndarray:
-    """Which of the pairs have ``band`` as their first common band and are not pruned."""
+def surviving_pairs(sig: np.ndarray, rows: np.ndarray, columns: np.ndarray, band: int, least: dict[int, int], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a row and a column (of later ones, if both are the ``same`` members) that have ``band`` as their first common band and are not pruned."""
     keys = sig.view(np.uint64).reshape(len(sig), BANDS)
-    keep = np.flatnonzero(keys[left, band] == keys[right, band])
-    if band and len(keep):
-        keep = keep[(keys[left[keep], :band] != keys[right[keep], :band]).all(axis=1)]
-    matches = np.zeros(len(keep), np.int32)
+    fresh = keys[rows, band][:, None] == keys[columns, band][None, :]
+    if same:
+        fresh &= np.arange(len(rows))[:, None] < np.arange(len(columns))[None, :]
+    for earlier in range(min(band, DENSE_BANDS)):
+        fresh &= keys[rows, earlier][:, None] != keys[columns, earlier][None, :]
+    left, right = np.nonzero(fresh)
+    left, right = rows[left], columns[right]
+    for earlier in range(DENSE_BANDS, band):
+        if not len(left):
+            break
+        apart = keys[left, earlier] != keys[right, earlier]
+        left, right = left[apart], right[apart]
+    matches = np.zeros(len(left), np.int32)
     for n in range(STEP, HASHES + 1, STEP):
-        if not len(keep):
+        if not len(left):
             break
-        a, b = sig[left[keep], n - STEP : n], sig[right[keep], n - STEP : n]
-        matches = matches + (a == b).sum(axis=1, dtype=np.int32)
+        matches = matches + (sig[left, n - STEP : n] == sig[right, n - STEP : n]).sum(axis=1, dtype=np.int32)
         good = matches >= least[n]
-        keep, matches = keep[good], matches[good]
-    return keep
+        left, right, matches = left[good], right[good], matches[good]
+    return left, right
 
 
 @dataclass
@@ -128,19 +141,18 @@ class Task:
     weight: np.ndarray | None = None
     sets: list[np.ndarray] | None = None
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def tiles(self, size: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Rows and columns of members whose pairs are to be compared, and whether both are the same members."""
         n = len(self.ids)
-        if self.second:
-            left, right = np.divmod(np.arange(self.second * (n - self.second)), n - self.second)
-            right = right + self.second
-        else:
-            left, right = np.triu_indices(n, 1)
-        for at in range(0, len(left), PAIRS_AT_ONCE):
-            yield left[at : at + PAIRS_AT_ONCE], right[at : at + PAIRS_AT_ONCE]
+        for a in range(0, self.second or n, size):
+            rows = np.arange(a, min(a + size, self.second or n))
+            for b in range(self.second or a, n, size):
+                columns = np.arange(b, min(b + size, n))
+                yield rows, columns, not self.second and a == b
 
 
 def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[Task]:
-    """Rows come sorted by (band, bucket, first, second block, block); a task may span batches, and holds two blocks at most."""
+    """Rows come sorted by (band, bucket, first and second block, block); a task may span batches, and holds two blocks at most."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -161,7 +173,7 @@ def _task_keys(table: pa.Table) -> np.ndarray:
 
 def _split(table: pa.Table, keys: np.ndarray, edges: np.ndarray) -> Iterator[Task]:
     table = table.combine_chunks()
-    ids, block = table["rep"].to_numpy(), table["block"].to_numpy()
+    ids, block = table["node"].to_numpy(), table["block"].to_numpy()
     view, _ = utf8_column(table["sig"])
     sig = np.frombuffer(view, np.uint16).reshape(-1, HASHES)
     weight = table["weight"].to_numpy() if "weight" in table.column_names else None
@@ -185,46 +197,56 @@ def _candidates(least: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task in _tasks(batches):
             hit = np.zeros(len(task.ids), bool)
-            for left, right in task.pairs():
-                keep = surviving_pairs(task.sig, left, right, task.key[0], least)
-                hit[left[keep]] = hit[right[keep]] = True
+            for rows, columns, same in task.tiles():
+                left, right = surviving_pairs(task.sig, rows, columns, task.key[0], least, same)
+                hit[left] = hit[right] = True
             if hit.any():
-                n = int(hit.sum())
-                band, bucket, lo, hi = task.key
-                block = np.where(np.arange(len(hit)) >= task.second, hi, lo)[hit]
-                columns = {"band": (band, pa.int32()), "bucket": (bucket, pa.int64()), "lo": (lo, pa.int32()), "hi": (hi, pa.int32())}
+                n, (band, bucket, _, _) = int(hit.sum()), task.key
                 yield pa.RecordBatch.from_pydict(
-                    {"rep": pa.array(task.ids[hit], pa.int64()), "block": pa.array(block, pa.int32())}
-                    | {c: pa.array(np.full(n, v), t) for c, (v, t) in columns.items()}
+                    {
+                        "node": pa.array(task.ids[hit], pa.int64()),
+                        "band": pa.array(np.full(n, band), pa.int32()),
+                        "bucket": pa.array(np.full(n, bucket), pa.int64()),
+                    }
                 )
 
     return run
 
 
-def verified(task: Task, least: dict[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Exactly verified pairs of a task: a bit for each shingle that two members share, and one count of bits a pair."""
+def verified(task: Task, least: dict[int, int], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Exactly verified pairs of a task, a tile at a time: a bit for each shingle that two members of a tile share, and one count of bits a pair."""
     sizes = np.array([len(s) for s in task.sets])
-    flat = np.concatenate(task.sets)
-    _, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[inverse]
-    width = -(-max(int(shared.sum()), 1) // 64) * 64
-    bits = np.zeros((len(sizes), width), np.uint8)
-    bits[np.repeat(np.arange(len(sizes)), sizes)[keep], column[inverse[keep]]] = 1
-    packed = np.packbits(bits, axis=1).view(np.uint64)
-    lefts, rights = [], []
-    for left, right in task.pairs():
-        alive = surviving_pairs(task.sig, left, right, task.key[0], least)
-        left, right = left[alive], right[alive]
-        at_once = max(1, (1 << 22) // packed.shape[1])
+    for rows, columns, same in task.tiles():
+        left, right = surviving_pairs(task.sig, rows, columns, task.key[0], least, same)
+        if not len(left):
+            continue
+        members, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+        packed = _shared_bits([task.sets[m] for m in members.tolist()])
+        at_once = max(1, (1 << 22) // max(1, packed.shape[1]))
         for at in range(0, len(left), at_once):
             a, b = left[at : at + at_once], right[at : at + at_once]
-            common = np.bitwise_count(packed[a] & packed[b]).sum(axis=1, dtype=np.int64)
+            i, j = place[: len(left)][at : at + at_once], place[len(left) :][at : at + at_once]
+            common = np.bitwise_count(packed[i] & packed[j]).sum(axis=1, dtype=np.int64)
             good = common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9
-            lefts.append(a[good])
-            rights.append(b[good])
-    return (np.concatenate(lefts), np.concatenate(rights)) if lefts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield a[good], b[good]
+
+
+def _shared_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """Sets by words of 64 bits; each bit stands for a value that two sets or more hold."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    keep = times[inverse] > 1
+    owner, column = owner[keep], column[inverse[keep]]
+    width = -(-max(int((times > 1).sum()), 1) // 64) * 64
+    packed = np.zeros((len(sets), width // 64), np.uint64)
+    step = max(1, BITS_AT_ONCE // width)
+    for a in range(0, len(sets), step):
+        lo, hi = np.searchsorted(owner, (a, a + step))
+        bits = np.zeros((min(step, len(sets) - a), width), np.uint8)
+        bits[owner[lo:hi] - a, column[lo:hi]] = 1
+        packed[a : a + step] = np.packbits(bits, axis=1).view(np.uint64)
+    return packed
 
 
 def _least_linked(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -242,22 +264,23 @@ def _least_linked(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _links(least: dict[int, int], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task in _tasks(batches):
-            left, right = verified(task, least, threshold)
-            if not len(left):
-                continue
             n = len(task.ids)
-            links = np.bincount(left, task.weight[right], n) + np.bincount(right, task.weight[left], n)
-            distinct = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
-            root = _least_linked(n, left, right)
+            links, distinct, root = np.zeros(n), np.zeros(n, np.int64), np.arange(n)
+            for left, right in verified(task, least, threshold):
+                links += np.bincount(left, task.weight[right], n) + np.bincount(right, task.weight[left], n)
+                distinct += np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
+                # what hung together before stays together
+                root = _least_linked(n, np.concatenate([left, np.arange(n)]), np.concatenate([right, root]))
             linked = np.flatnonzero(distinct)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "rep": pa.array(task.ids[linked], pa.int64()),
-                    "root": pa.array(task.ids[root[linked]], pa.int64()),
-                    "links": pa.array(links[linked].astype(np.int64), pa.int64()),
-                    "text_links": pa.array(distinct[linked].astype(np.int64), pa.int64()),
-                }
-            )
+            if len(linked):
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "node": pa.array(task.ids[linked], pa.int64()),
+                        "root": pa.array(task.ids[root[linked]], pa.int64()),
+                        "links": pa.array(links[linked].astype(np.int64), pa.int64()),
+                        "text_links": pa.array(distinct[linked], pa.int64()),
+                    }
+                )
 
     return run
 
@@ -275,6 +298,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch["doc_id"].slice(a, b - a),
+                    "print": batch["print"].slice(a, b - a),
                     "n_words": pa.array(n_words, pa.int64()),
                     "f1": pa.array(prints[0], pa.int64()),
                     "f2": pa.array(prints[1], pa.int64()),
@@ -303,7 +327,11 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for a, b in pieces(offsets, PIECE_BYTES):
             hashes, ends = shingles(*row_words(view[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
             sets = [np.unique(hashes[s:e]).tobytes() for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"rep": batch["rep"].slice(a, b - a), "shingles": pa.array(sets, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": batch["node"].slice(a, b - a), "shingles": pa.array(sets, pa.binary())})
+
+
+#: What makes texts the same: their number of words and two fingerprints of the sequence.
+SAME = ["n_words", "f1", "f2"]
 
 
 def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
@@ -312,61 +340,88 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     ``rep_id``: the least doc_id with the same words; ``class_id``: the least doc_id of all that links connect;
     ``n_links``: other documents of similarity >= ``threshold``, copies included; ``n_text_links``: other texts.
     """
-    least = least_matches(threshold, tolerance)
-    texts = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = cut_lineage(texts.mapInArrow(_sketch, "doc_id long, n_words long, f1 long, f2 long, sig binary"))
-    worded = sketch.where("n_words > 0 and doc_id is not null")
-    same = ["n_words", "f1", "f2"]
-    classes = cut_lineage(worded.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")))
-    # a representative may be a repeated row: its signature is taken once
-    reps = worded.select("doc_id", *same, "sig").join(
-        classes.select(*same, F.col("rep").alias("doc_id"), "weight"), ["doc_id", *same]
-    ).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "weight", "sig")
-    reps = cut_lineage(reps)
-
-    banded = reps.select("rep", F.posexplode(_band_values("sig")).alias("band", "bucket"))
-    crowded = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = banded.join(crowded, ["band", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    # each member goes to the task of every pair of blocks that its own block is in
-    members = members.select(
-        "rep", "band", "bucket", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("rep", "band", "bucket", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    task, order = ["band", "bucket", "lo", "hi"], ["band", "bucket", "lo", "hi", "block", "rep"]
-    tasks = members.join(reps.select("rep", "sig"), "rep").select(*order, "sig")
-    hits = (
-        tasks.repartition(*task)
-        .sortWithinPartitions(*order)
-        .mapInArrow(_candidates(least), "rep long, block int, band int, bucket long, lo int, hi int")
+    placed = _placed_texts(docs, threshold, tolerance, block)
+    worded, zero = F.col("node").isNotNull(), F.lit(0).cast("long")
+    return placed.select(
+        "doc_id",
+        F.when(worded, F.col("rep")).otherwise(F.col("doc_id")).alias("rep_id"),
+        F.when(worded, F.col("least_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(worded, F.col("weight") - 1 + F.col("links")).otherwise(zero).alias("n_links"),
+        F.when(worded, F.col("text_links")).otherwise(zero).alias("n_text_links"),
     )
-    hits = cut_lineage(hits)
 
-    needed = hits.select("rep").distinct()
+
+def _placed_texts(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """Each row's ``doc_id, print`` (a hash of its text), and of its class of same words ``node, rep, weight, links, text_links``,
+    and of all that links connect ``least_id, kept_id, kept_print`` (the row to keep; null ids come last). ``node`` is null without words.
+    """
+    least = least_matches(threshold, tolerance)
+    texts = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    sketch = cut_lineage(texts.mapInArrow(_sketch, "doc_id long, print long, n_words long, f1 long, f2 long, sig binary"))
+    worded = sketch.where("n_words > 0")
+    last = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
+    # a class has a number of its own: a doc_id may stand for several texts
+    classes = cut_lineage(
+        worded.groupBy(*SAME)
+        .agg(F.min(last).alias("first"), F.count("*").alias("weight"))
+        .select(*SAME, "weight", "first.*", F.monotonically_increasing_id().alias("node"))
+    )
+    keys = classes.select(*SAME, "node", "weight", F.col("doc_id").alias("rep"), F.col("print").alias("rep_print"))
+    # the representative may be a repeated row: its signature is taken once
+    reps = cut_lineage(
+        worded.join(keys, SAME).where(F.col("print").eqNullSafe(F.col("rep_print")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+        .select("node", "weight", "sig").dropDuplicates(["node"])
+    )
+
+    banded = reps.select("node", F.posexplode(_band_values("sig")).alias("band", "bucket"))
+    crowded = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = crowded.select("band", "bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    order = ["band", "bucket", "lo", "hi", "block", "node"]
+    tasks = _dealt(banded.join(crowded, ["band", "bucket"])).join(reps.select("node", "sig"), "node").select(*order, "sig")
+    hits = tasks.repartition(*order[:4]).sortWithinPartitions(*order).mapInArrow(_candidates(least), "node long, band int, bucket long")
+    hits = cut_lineage(hits.distinct())
+
+    # node, doc_id and print lead back to one text of each node that has a surviving pair
+    needed = hits.select("node").distinct().join(keys.select("node", "rep", "rep_print"), "node")
+    needed = cut_lineage(needed)
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    sets = texts.withColumnRenamed("doc_id", "rep").join(needed, "rep", "left_semi").mapInArrow(_shingle_sets, "rep long, shingles binary")
-    sets = sets.dropDuplicates(["rep"]).join(reps, "rep")
+    found = F.col("print").eqNullSafe(F.col("rep_print")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    sets = texts.join(needed, found).select("node", "text").mapInArrow(_shingle_sets, "node long, shingles binary")
+    sets = sets.dropDuplicates(["node"]).join(reps, "node")
+    sized = hits.join(sets.select("node", F.floor(F.octet_length("shingles") / 8).alias("n_shingles")), "node")
+    heavy = sized.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    heavy = heavy.select("band", "bucket", F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     linked = (
-        hits.join(sets, "rep")
+        _dealt(hits.join(heavy, ["band", "bucket"]))
+        .join(sets, "node")
         .select(*order, "sig", "weight", "shingles")
-        .repartition(*task)
+        .repartition(*order[:4])
         .sortWithinPartitions(*order)
-        .mapInArrow(_links(least, threshold), "rep long, root long, links long, text_links long")
+        .mapInArrow(_links(least, threshold), "node long, root long, links long, text_links long")
     )
     linked = cut_lineage(linked)
 
-    links = linked.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
-    parts = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    found = classes.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    links = linked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
+    parts = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    first = F.struct("no_id", "doc_id", "print")
+    grouped = classes.join(parts, "node").groupBy("component").agg(F.min(first).alias("kept"))
+    parts = parts.join(grouped, "component").select("node", "kept")
     zero = F.lit(0).cast("long")
-    placed = sketch.select("doc_id", *same).join(found, same, "left")
-    linkable = F.col("doc_id").isNotNull() & F.col("rep").isNotNull()
-    return placed.select(
-        "doc_id",
-        F.when(linkable, F.col("rep")).otherwise(F.col("doc_id")).alias("rep_id"),
-        F.when(linkable, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(linkable, F.col("weight") - 1 + F.coalesce("links", zero)).otherwise(zero).alias("n_links"),
-        F.when(linkable, F.coalesce("text_links", zero)).otherwise(zero).alias("n_text_links"),
-    )
+    whole = (
+        classes.join(links, "node", "left").join(parts, "node", "left").withColumn("kept", F.coalesce("kept", first))
+        .select(
+            *SAME, "node", F.col("doc_id").alias("rep"), "weight", F.coalesce("links", zero).alias("links"), F.coalesce("text_links", zero).alias("text_links"),
+            F.col("kept.doc_id").alias("least_id"), F.col("kept.doc_id").alias("kept_id"), F.col("kept.print").alias("kept_print"),
+        )
+    )
+    return sketch.select("doc_id", "print", *SAME).join(whole, SAME, "left")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Rows of ``node, band, bucket, blocks`` for every pair of blocks that a member's own block is in."""
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    members = members.select("node", "band", "bucket", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return members.select("node", "band", "bucket", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
 
 def _band_values(sig: str):
@@ -374,16 +429,21 @@ def _band_values(sig: str):
 
 
 def drop_near_duplicates(docs: DataFrame, **join) -> DataFrame:
-    """Keep the document of least doc_id of each class; of rows with equal doc_id and text one stays; rows without doc_id stay."""
-    found = similarity_classes(docs, **join).where("doc_id is not null")
-    gone = found.where("class_id <> doc_id").select("doc_id").distinct()
-    repeated = found.where("class_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone, repeated = cut_lineage(gone), cut_lineage(repeated)
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    if n := repeated.count():
-        once = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
-        kept = kept.join(once, "doc_id", "left_anti").unionByName(kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.select(*docs.columns)
+    """Keep the document of least doc_id of each class (one without doc_id only if none has one).
+
+    Of rows with equal doc_id and text one stays; documents without words stay. Different texts under one doc_id are judged apart.
+    """
+    placed = _placed_texts(docs, **join)
+    leads = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("print").eqNullSafe(F.col("kept_print")))
+    judged = placed.groupBy("doc_id", "print").agg(F.count("*").alias("n"), F.bool_or(leads).alias("stays")).where("not stays or n > 1")
+    judged = cut_lineage(judged.select(F.col("doc_id").alias("its_id"), F.col("print").alias("its_print"), "stays"))
+    listed = F.broadcast(judged) if judged.count() <= BROADCAST_IDS else judged
+    rows, restore = set_aside(docs, ("doc_id", "text"))
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    same = F.col("print").eqNullSafe(F.col("its_print")) & F.col("doc_id").cast("long").eqNullSafe(F.col("its_id"))
+    single = rows.join(listed, same, "left_anti")
+    repeated = rows.join(listed.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "print"])
+    return restore(single.unionByName(repeated))
 
 
 def op2_ngram_join(docs: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def plain_classes(docs):
     return {i: (find(i), links[i]) for i in docs}
 
 
-@pytest.mark.parametrize("block", [256, 7])
+@pytest.mark.parametrize("block", [minhash_join.BLOCK, 7])
 def test_join_against_all_pairs(spark, texts, block):
     rng = np.random.default_rng(2)
     vocabulary = [f"w{i}" for i in range(300)]
@@ -147,15 +147,66 @@ def test_join_against_all_pairs(spark, texts, block):
 
 
 def test_join_edges(spark):
-    rows = [(5, "one two three four five six", "x"), (5, "one two three four five six", "x"), (3, "ONE two three four five six", "x"), (None, "one two three four five six", "x"), (9, None, None), (9, None, None), (7, "other words", "x")]
+    same = "one two three four five six"
+    rows = [(5, same, "x"), (5, same, "x"), (3, same.upper(), "x"), (None, same, "x"), (9, None, None), (9, None, None), (7, "other words", "x")]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, class_id STRING")
     got = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in minhash_join.similarity_classes(df).collect())
-    assert got == [("3", "3", 2), ("5", "3", 2), ("5", "3", 2), ("7", "7", 0), ("9", "9", 0), ("9", "9", 0), ("None", "None", 0)]
+    assert got == [("3", "3", 3), ("5", "3", 3), ("5", "3", 3), ("7", "7", 0), ("9", "9", 0), ("9", "9", 0), ("None", "3", 3)]
     kept = sorted(str(r["doc_id"]) for r in minhash_join.drop_near_duplicates(df).collect())
-    assert kept == ["3", "7", "9", "None"]
+    assert kept == ["3", "7", "9"]
     twice = df.where("doc_id = 5")
     assert minhash_join.drop_near_duplicates(twice).count() == 1
-    assert minhash_join.similarity_classes(df.limit(0)).count() == 0
+    assert minhash_join.similarity_classes(df.limit(0)).count() == 0 == minhash_join.drop_near_duplicates(df.limit(0)).count()
+    no_ids = spark.createDataFrame([(None, same), (None, same), (None, same + " seven"), (None, "quite another text")], "doc_id BIGINT, text STRING")
+    assert sorted(r["text"] for r in minhash_join.drop_near_duplicates(no_ids).collect())[-1] == "quite another text"
+    assert sorted(r["n_links"] for r in minhash_join.similarity_classes(no_ids).collect()) == [0, 0, 1, 1]
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = "the first text of seven words here", "a second text that is not like it"
+    rows = [(1, a), (5, a), (5, b), (6, b + " at all"), (5, "third one")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = {(r["doc_id"], r["text"]) for r in minhash_join.drop_near_duplicates(df).collect()}
+    assert got == {(1, a), (5, b), (6, b + " at all"), (5, "third one")}
+    everything = spark.createDataFrame([(1, t) for _, t in rows], "doc_id BIGINT, text STRING")
+    assert sorted(r["text"] for r in minhash_join.drop_near_duplicates(everything).collect()) == sorted({t for _, t in rows})
+
+
+def test_large_group_of_near_copies(spark):
+    """3,000 near copies in one group: links as all pairs give them, and members go to as many tasks as there are blocks."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(3000):
+        copy = list(base)
+        for _ in range(int(rng.integers(0, 5))):
+            copy[int(rng.integers(200))] = f"x{int(rng.integers(5000))}"
+        docs.append((i, " ".join(copy)))
+    sets = [{" ".join(t[k : k + 5]) for k in range(196)} for t in (d[1].split() for d in docs)]
+    known = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    matrix = np.zeros((3000, len(known)), np.float32)
+    for i, s in enumerate(sets):
+        matrix[i, [known[g] for g in s]] = 1
+    common = matrix @ matrix.T
+    linked = common >= 0.8 * (matrix.sum(1)[:, None] + matrix.sum(1)[None, :] - common) - 1e-6
+    want = linked.sum(1) - 1
+    got = {r["doc_id"]: r for r in minhash_join.similarity_classes(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), block=1024).collect()}
+    assert [got[i]["n_links"] for i in range(3000)] == want.tolist()
+    assert {r["class_id"] for r in got.values()} == {0}
+
+
+def test_recall_of_every_fiftieth_against_all(spark):
+    """Links of the rows whose id is divisible by 50 against all rows of a table, by comparing sets."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    sets = {i: shingle_set(t or "") for i, t in docs.items()}
+    got = {r["doc_id"]: r["n_links"] for r in queries.QUERIES["op2_ngram_join"](spark, "/root/testdata/sf0.01").collect()}
+    for i in (i for i in docs if i % 50 == 0):
+        want = 0
+        for j, other in sets.items():
+            if i != j and sets[i] and 0.8 * len(sets[i]) <= len(other) + 1e-9 and len(other) * 0.8 <= len(sets[i]) + 1e-9:
+                common = len(sets[i] & other)
+                want += common >= 0.8 * (len(sets[i]) + len(other) - common) - 1e-9
+        assert got[i] == want, i
 
 
 def test_pruning_keeps_pairs_at_the_threshold():
