@@ -3,14 +3,18 @@
 Each language has a context tree over bytes, of variable order up to ``max_order``. The cost of a byte after a context
 is exact: -log2 of its share among the context's counts plus escapes (method C: an escape weighs the number of distinct
 successors); an unseen byte pays the escape and asks the context one byte shorter, down to one of 256 equally likely
-bytes. A text belongs to the language that codes it in the fewest bits.
+bytes. (A context's counts are used whole: bytes that a longer context has ruled out are not excluded from them.) A text
+belongs to the language that codes it in the fewest bits.
 
-Because the statistics are frozen, the costs of all languages are tables over the union of their contexts, and the
-longest context is the state of a small automaton: scoring is a few table look-ups per byte, on whole batches in numpy.
+Because the statistics are frozen, the costs of LANGUAGES_AT_ONCE languages are tables over the union of their contexts, and
+the longest context is the state of a small automaton: scoring is a few table look-ups per byte, on whole batches in numpy.
+Each language has a tree of its own (its ``contexts`` most frequent contexts, with their suffixes), however many languages
+there are. Beyond PASS_LANGUAGES languages the texts are scored in several passes, each holding the tables of so many.
 
 Only the labelled rows (about ``fit_rows`` a language, picked by hash) are a sample; every text is scored whole.
+``keep_identified`` also rejects texts that even their best language codes badly: the limit is calibrated on labelled rows.
 
-Edge cases: a null text or one without a letter is ``und`` with score 0; a text that is all foreign bytes still gets the
+A letter is a character of Unicode's category L. Edge cases: a null text or one without a letter is ``und`` with score 0; a text that is all foreign bytes still gets the
 language of least cost; without labelled rows everything is ``und``; ties go to the first language in order; repeated
 rows are scored one by one; other columns pass through ``identify`` and clashing names are replaced.
 """
@@ -18,19 +22,25 @@ rows are scored one by one; other columns pass through ``identify`` and clashing
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.columns import bound_batches, set_aside
 from tallyloom.llm.textbatch import pieces, utf8_column
+from tallyloom.plans.lineage import cut_lineage
 
 UNKNOWN = "und"
-MAX_ORDER, MAX_CONTEXTS, FIT_ROWS, MAX_LANGUAGES = 3, 8192, 500, 64
+MAX_ORDER, CONTEXTS, FIT_ROWS = 3, 2048, 500
+#: Languages that share tables, and languages whose tables a worker holds.
+LANGUAGES_AT_ONCE, PASS_LANGUAGES = 4, 64
+#: A text is rejected beyond so many times the worst rate of the labelled rows looked at, and beyond the bits of a byte without any
+#: model; so many bits are free, as short texts cost more.
+MARGIN, NO_MODEL, FREE_BITS = 1.25, 8.0, 128.0
 PIECE_BYTES = 1 << 20
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -91,35 +101,41 @@ def _grams(order: int):
     return count
 
 
-def fit(labelled: DataFrame, max_order: int = MAX_ORDER, max_contexts: int = MAX_CONTEXTS, fit_rows: int = FIT_ROWS) -> ContextTrees | None:
+def _sample(labelled: DataFrame, fit_rows: int, other_end: bool = False) -> DataFrame:
+    """About ``fit_rows`` rows of each language, from one end of a hash of doc_id; the other end is disjoint where languages have twice as many."""
+    labelled = labelled.where("lang is not null and text is not null")
+    shares = labelled.groupBy("lang").count().select(F.col("lang").alias("its_lang"), (F.lit(float(fit_rows)) / F.col("count")).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
+    near = (F.lit(1.0) - place <= F.col("share")) if other_end else (place < F.col("share"))
+    return labelled.join(shares, (F.col("lang") == F.col("its_lang")) & near).select(*labelled.columns)
+
+
+def fit(labelled: DataFrame, max_order: int = MAX_ORDER, contexts: int = CONTEXTS, fit_rows: int = FIT_ROWS) -> list[ContextTrees]:
     """Fit on about ``fit_rows`` rows of each language (``doc_id, text, lang``), picked by a hash of doc_id.
 
-    Order 4 is the most that a gram's number holds. The contexts kept are the ``max_contexts`` most frequent ones, each
-    with all its suffixes; the table of costs is at most max_contexts x 256 x languages x 4 bytes, which bounds the broadcast.
+    Order 4 is the most that a gram's number holds. Of each language the ``contexts`` most frequent ones are kept, each with
+    all its suffixes; the tables of LANGUAGES_AT_ONCE languages take at most that many times contexts x 256 x languages x 4
+    bytes, which bounds a broadcast. An empty list without labelled rows.
     """
     if not 1 <= max_order <= 4:
         raise ValueError("max_order is 1 to 4")
-    labelled = labelled.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if not sizes:
-        return None
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.lit(None).cast("double")
-    for name, rows in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(fit_rows / rows)).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) / float(1 << 20) < share)
-    counts = bound_batches(sample).select("lang", "text").mapInArrow(_grams(max_order), "lang string, n int, gram long, times long")
-    counts = counts.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
-    contexts = (
-        counts.where("n > 0").groupBy("n", F.shiftright("gram", 8).alias("context")).agg(F.sum("times").alias("times"))
-        .orderBy(F.desc("times"), "n", "context").limit(max_contexts)
-    )
-    chosen = {(r["n"], r["context"]) for r in contexts.collect()}
-    chosen |= {(k, c & ((1 << 8 * k) - 1)) for n, c in chosen for k in range(1, n)}
-    kept = F.broadcast(labelled.sparkSession.createDataFrame([(0, 0), *sorted(chosen)], "n int, context long"))
-    rows = counts.withColumn("context", F.shiftright("gram", 8)).join(kept, ["n", "context"]).select("lang", "n", "context", "gram", "times").toArrow()
-    return _tables(sorted({*rows["lang"].to_pylist()}), sorted(chosen), rows, max_order) if len(rows) else None
+    counts = bound_batches(_sample(labelled, fit_rows)).select("lang", "text").mapInArrow(_grams(max_order), "lang string, n int, gram long, times long")
+    counts = cut_lineage(counts.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")))
+    frequent = counts.where("n > 0").groupBy("lang", "n", F.shiftright("gram", 8).alias("context")).agg(F.sum("times").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("times"), "n", "context"))
+    own: dict[str, set[tuple[int, int]]] = {r["lang"]: set() for r in counts.select("lang").distinct().collect()}
+    for r in frequent.withColumn("rank", rank).where(F.col("rank") <= contexts).select("lang", "n", "context").toLocalIterator():
+        own[r["lang"]].add((r["n"], r["context"]))
+    out, names = [], sorted(own)
+    for at in range(0, len(names), LANGUAGES_AT_ONCE):
+        languages = names[at : at + LANGUAGES_AT_ONCE]
+        chosen = set().union(*(own[x] for x in languages))
+        chosen |= {(k, c & ((1 << 8 * k) - 1)) for n, c in chosen for k in range(1, n)}
+        kept = F.broadcast(labelled.sparkSession.createDataFrame([(0, 0), *sorted(chosen)], "n int, context long"))
+        mine = counts.where(F.col("lang").isin(languages)).withColumn("context", F.shiftright("gram", 8))
+        rows = mine.join(kept, ["n", "context"]).select("lang", "n", "context", "gram", "times").toArrow()
+        out.append(_tables(languages, sorted(chosen), rows, max_order))
+    return out
 
 
 def _tables(languages: list[str], chosen: list[tuple[int, int]], rows: pa.Table, order: int) -> ContextTrees:
@@ -157,26 +173,42 @@ def has_letter(text: bytes) -> bool:
 OUT = ("lang_pred", "score", "bits_per_byte")
 
 
-def _scorer(shared, drop: tuple[str, ...]):
+#: What one pass tells the next: the best language, its bits, and the likelihood of all relative to it.
+STATE = ("__lang", "__bits", "__mass")
+
+
+def _scorer(shared: Sequence, drop: tuple[str, ...], first: bool, last: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: ContextTrees | None = shared.value
+        trees: list[ContextTrees] = [s.value for s in shared]
         for batch in batches:
             view, offsets = utf8_column(batch["text"])
-            names, scores, rates = [], [], []
+            n_rows = batch.num_rows
+            names = np.full(n_rows, UNKNOWN, object) if first else np.array(batch["__lang"].to_pylist(), object)
+            bits = np.full(n_rows, np.inf) if first else batch["__bits"].to_numpy(zero_copy_only=False).copy()
+            mass = np.zeros(n_rows) if first else batch["__mass"].to_numpy(zero_copy_only=False).copy()
+            known = np.zeros(n_rows, bool)
             for a, b in pieces(offsets, PIECE_BYTES):
                 cut = offsets[a : b + 1] - offsets[a]
                 data = np.frombuffer(view[offsets[a] : offsets[b]], np.uint8)
-                sums = _costs(trees, data, cut) if trees else np.zeros((b - a, 1))
-                best = sums.argmin(axis=1)
-                least = sums[np.arange(len(sums)), best]
-                share = 1 / np.exp2(-np.minimum(sums - least[:, None], 1000)).sum(axis=1)
-                for i in range(b - a):
-                    known = trees is not None and has_letter(bytes(data[cut[i] : cut[i + 1]]))
-                    names.append(trees.languages[best[i]] if known else UNKNOWN)
-                    scores.append(float(share[i]) if known else 0.0)
-                    rates.append(float(least[i] / (cut[i + 1] - cut[i])) if known else None)
-            columns = {c: batch[c] for c in batch.schema.names if c not in drop}
-            columns |= {OUT[0]: pa.array(names, pa.string()), OUT[1]: pa.array(scores, pa.float64()), OUT[2]: pa.array(rates, pa.float64())}
+                for t in trees:
+                    sums = _costs(t, data, cut)
+                    best = sums.argmin(axis=1)
+                    least = np.minimum(bits[a:b], sums[np.arange(len(sums)), best])
+                    old = np.where(mass[a:b] > 0, mass[a:b] * np.exp2(-np.minimum(np.where(mass[a:b] > 0, bits[a:b] - least, 0), 1000)), 0)
+                    mass[a:b] = old + np.exp2(-np.minimum(sums - least[:, None], 1000)).sum(axis=1)
+                    names[a:b] = np.where(least < bits[a:b], np.array(t.languages, object)[best], names[a:b])
+                    bits[a:b] = least
+                if last and trees:
+                    known[a:b] = [has_letter(bytes(data[cut[i] : cut[i + 1]])) for i in range(b - a)]
+            columns = {c: batch[c] for c in batch.schema.names if c not in (*drop, *STATE)}
+            if last:
+                columns |= {
+                    OUT[0]: pa.array(np.where(known, names, UNKNOWN), pa.string()),
+                    OUT[1]: pa.array(np.where(known, 1 / np.maximum(mass, 1), 0.0), pa.float64()),
+                    OUT[2]: pa.array(np.where(known, bits / np.maximum(np.diff(offsets), 1), 0.0), pa.float64(), mask=~known),
+                }
+            else:
+                columns |= dict(zip(STATE, (pa.array(names, pa.string()), pa.array(bits), pa.array(mass)), strict=True))
             yield pa.RecordBatch.from_pydict(columns)
 
     return score
@@ -195,28 +227,47 @@ def _costs(trees: ContextTrees, data: np.ndarray, offsets: np.ndarray) -> np.nda
     return total
 
 
-def identify(docs: DataFrame, trees: ContextTrees | None, keep_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, trees: Sequence[ContextTrees], keep_text: bool = False) -> DataFrame:
     """The columns of ``docs`` (``text`` on demand), with ``lang_pred``, ``score`` (its share of the likelihood) and ``bits_per_byte``."""
-    drop = OUT if keep_text else ("text", *OUT)
     kept = [c for c in docs.columns if c not in OUT]
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(c for c in kept if c not in drop)).schema]
-        + ["lang_pred string", "score double", "bits_per_byte double"]
-    )
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
-    return bound_batches(docs).select(*kept).mapInArrow(_scorer(shared, drop), schema)
-
-
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told: not ``und``, and with a score of at least ``least_score``.
+    shared = [docs.sparkSession.sparkContext.broadcast(t) for t in trees]
+    each = PASS_LANGUAGES // LANGUAGES_AT_ONCE
+    passes = [shared[at : at + each] for at in range(0, len(shared), each)] or [[]]
+    state = bound_batches(docs).select(*kept)
+    for k, some in enumerate(passes):
+        last = k == len(passes) - 1
+        drop = () if keep_text or not last else ("text",)
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(c for c in kept if c not in drop)).schema]
+        fields += [f"{OUT[0]} string", f"{OUT[1]} double", f"{OUT[2]} double"] if last else [f"{STATE[0]} string", f"{STATE[1]} double", f"{STATE[2]} double"]
+        state = state.mapInArrow(_scorer(some, drop, not k, last), ", ".join(fields))
+        if not last:
+            state = cut_lineage(state)
+    return state
+
+
+def worst_rate(labelled: DataFrame, trees: Sequence[ContextTrees], fit_rows: int = FIT_ROWS) -> float | None:
+    """The most bits a byte, beyond FREE_BITS, that a labelled row takes, among about ``fit_rows`` of each language not learned from."""
+    found = identify(_sample(labelled, fit_rows, other_end=True).withColumn("n_bytes", F.octet_length("text")), trees)
+    rate = F.col("bits_per_byte") - FREE_BITS / F.col("n_bytes")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("n_bytes") > 0)).agg(F.max(rate)).first()[0]
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.5, margin: float = MARGIN) -> DataFrame:
+    """The rows of ``docs`` whose language is told: not ``und``, with a score of at least ``least_score``, and coded by it in
+    no more than FREE_BITS and NO_MODEL or ``margin`` times the ``worst_rate`` a byte (other scripts, and encoded data, take more).
 
     Learns from the labelled rows of ``docs`` that are not held out; without any, all rows with a letter stay.
     """
-    trees = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
-    if trees is None:
+    labelled = docs.select("doc_id", "text", "lang").where(~held_out())
+    trees = fit(labelled)
+    if not trees:
         return docs.where(F.col("text").rlike(r"\p{L}"))
+    worst = worst_rate(labelled, trees)
     rows, restore = set_aside(docs, ("doc_id", "text"))
-    return restore(identify(rows, trees, keep_text=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)))
+    told = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)
+    if worst is not None:
+        told &= F.col("bits_per_byte") <= max(NO_MODEL, margin * worst) + FREE_BITS / F.greatest(F.octet_length("text"), F.lit(1))
+    return restore(identify(rows, trees, keep_text=True).where(told))
 
 
 def held_out(doc_id: str = "doc_id"):

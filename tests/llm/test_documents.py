@@ -257,7 +257,7 @@ def plain_cost(data, counts, order):
 def test_costs_are_exact_ppm(spark):
     lines = {"x": ["abab abba", "bab aba"], "y": ["çaça zaz", "zaça"]}
     rows = [(i, t, k) for k, ts in lines.items() for i, t in enumerate(ts)]
-    trees = language_id.fit(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"), fit_rows=100)
+    (trees,) = language_id.fit(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"), fit_rows=100)
     samples = ["abba zaz", "ç", "qqq", "", "aba" * 50]
     data = [s.encode() for s in samples]
     offsets = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
@@ -301,6 +301,43 @@ def test_language_edges(spark):
     assert language_id.keep_identified(none).count() == 4
 
 
+@pytest.mark.parametrize("text", ["² ½ ①", "Ⅷ 12", "_ - 3", "\u0301\u0301"])
+def test_what_is_no_letter(spark, text):
+    assert not language_id.has_letter(text.encode())
+    df = spark.createDataFrame([(1, text, "en"), (2, "ab", "en")], "doc_id BIGINT, text STRING, lang STRING")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, language_id.fit(df, fit_rows=100)).collect()} == {1: "und", 2: "en"}
+
+
+def test_two_hundred_languages(spark, monkeypatch):
+    """Each of its own words; one with very few rows keeps its contexts; passes of 8 and of 200 languages agree."""
+    rng = np.random.default_rng(8)
+    rows, told = [], []
+    for k in range(200):
+        letters = [chr(0x4E00 + 5 * k + i) for i in range(5)]
+        say = lambda letters=letters: " ".join("".join(rng.choice(letters, 5)) for _ in range(12))
+        rows += [(1000 * k + i, say(), f"l{k:03d}") for i in range(2 if k == 7 else 4)]
+        told.append((k, say()))
+    trees = language_id.fit(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"))
+    assert len(trees) == 50
+    df = spark.createDataFrame(told, "doc_id BIGINT, text STRING")
+    monkeypatch.setattr(language_id, "PASS_LANGUAGES", 100)
+    two = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(df, trees).collect()}
+    assert all(two[k][0] == f"l{k:03d}" for k in range(200))
+    monkeypatch.setattr(language_id, "PASS_LANGUAGES", 200)
+    assert two == {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(df, trees).collect()}
+
+
+def test_unlearned_languages_and_data_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(6)
+    blob = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 3000))
+    foreign = [(-1, "これは学習されていない言語の文章です。" * 20), (-2, "это предложение на незнакомом языке " * 20), (-3, blob)]
+    more = spark.createDataFrame([(i, t, None, "x", len(t)) for i, t in foreign], docs.schema)
+    kept = {r["doc_id"] for r in language_id.keep_identified(docs.unionByName(more)).select("doc_id").collect()}
+    assert not kept & {-1, -2, -3}
+    assert kept == {r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
+
+
 # --- licences ---
 
 
