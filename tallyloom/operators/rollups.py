@@ -1,14 +1,16 @@
 """Daily and snapshot rollups. All tenants and all days come out of one job.
 
-Events are first folded to one row per (tenant, store day, visitor): flags, counts and first times. Distinct counts of any
-condition are then plain sums of flags, so a rollup is one shuffle on the visitor and a small one on the day, and no row is
-expanded for several distinct aggregates.
+Events are first folded to one row per (tenant, store day, visitor, half hour), then per (tenant, store day, visitor): flags,
+counts and first times. Distinct counts of any condition are then plain sums of flags, and no row is expanded for several
+distinct aggregates. Sessions need no order of single events: gaps of more than half an hour only lie between half hours, so
+a visitor-day is at most some fifty rows when it is put in order, however many events it has (all anonymous ones share one).
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 from functools import reduce
+from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,29 +25,20 @@ DAY = ("tenant_id", "stat_date")
 
 
 def zones(tenants: DataFrame) -> DataFrame:
-    """``tenant_id, iana_timezone``; a name that is no zone counts as UTC. Tenants number thousands at most and pass the driver."""
-    spark = tenants.sparkSession
-    rows = tenants.select("tenant_id", "iana_timezone").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 tenants")
-    from zoneinfo import available_timezones
-
-    known = available_timezones()
-    return small_table(
-        spark,
-        [(r["tenant_id"], r["iana_timezone"] if r["iana_timezone"] in known else "UTC") for r in rows], "tenant_id INT, iana_timezone STRING"
-    )
+    """``tenant_id, iana_timezone``; a name that is no zone counts as UTC."""
+    known = F.expr("iana_timezone in (" + ", ".join(f"'{z}'" for z in sorted(available_timezones())) + ")")
+    return tenants.select("tenant_id", F.when(known, F.col("iana_timezone")).otherwise("UTC").alias("iana_timezone"))
 
 
 def with_day(df: DataFrame, tenants: DataFrame, at: str) -> DataFrame:
     """Add ``stat_date``, the store's local day of ``at``; rows of unknown tenants go."""
     named = zones(tenants).withColumnRenamed("iana_timezone", "_zone")
-    return df.join(F.broadcast(named), "tenant_id").withColumn("stat_date", local_day(at, "_zone")).drop("_zone")
+    return df.join(named, "tenant_id").withColumn("stat_date", local_day(at, "_zone")).drop("_zone")
 
 
 def with_provisional(df: DataFrame, tenants: DataFrame, now: datetime | str) -> DataFrame:
     named = zones(tenants).withColumnRenamed("iana_timezone", "_zone")
-    return df.join(F.broadcast(named), "tenant_id").withColumn(
+    return df.join(named, "tenant_id").withColumn(
         "is_provisional", is_provisional(F.col("stat_date"), F.lit(now).cast("timestamp"), F.col("_zone"), RECLOSE_DAYS)
     ).drop("_zone")
 
@@ -74,25 +67,32 @@ def days_from(tenants: DataFrame, start: str, now: datetime | str, cap: int = 12
     return zones(tenants).select("tenant_id", F.explode(F.when(begin <= end, F.slice(F.sequence(begin, end), 1, cap))).alias("stat_date"))
 
 
-def mark_sessions(events: DataFrame, *by: str) -> DataFrame:
-    """Add ``starts_session``: no earlier event of the group, or a gap of more than 30 minutes."""
-    before = F.lag("occurred_at").over(Window.partitionBy(*by).orderBy("occurred_at", "event_uid"))
-    gap = F.col("occurred_at").cast("long") - before.cast("long")
-    return events.withColumn("starts_session", (before.isNull() | (gap > SESSION_GAP_SECONDS)).cast("long"))
+def session_slots(events: DataFrame, *by: str, aggregates: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per group of ``by`` and slot of SESSION_GAP_SECONDS, with ``starts_session`` and ``aggregates`` of its events.
+
+    Two events of a slot are never further apart than the gap, so a session starts at the first event of a slot or not in
+    it: where no earlier slot has events, or the last of them is more than the gap before.
+    """
+    second = F.col("occurred_at").cast("long")
+    slots = events.groupBy(*by, F.floor(second / SESSION_GAP_SECONDS).alias("_slot")).agg(F.min(second).alias("_first"), F.max(second).alias("_last"), *aggregates)
+    before = F.lag("_last").over(Window.partitionBy(*by).orderBy("_slot"))
+    return slots.withColumn("starts_session", (before.isNull() | (F.col("_first") - before > SESSION_GAP_SECONDS)).cast("long"))
 
 
 def visitor_days(events: DataFrame) -> DataFrame:
     """One row per (tenant, day, visitor): sessions, page views, ``n_<code>`` counts and ``t_<code>`` first times.
 
-    The session window and the grouping share one shuffle.
+    Both groupings are combined before their shuffle, so the events of a busy visitor never meet in one task.
     """
     codes = sorted({PAGE, PAYMENT, *FUNNEL_STEPS.values(), *CHECKOUT_STAGES.values()})
     is_code = {c: F.col("event_type") == c for c in codes}
-    return mark_sessions(events, *DAY, "visitor_key").groupBy(*DAY, "visitor_key").agg(
-        F.sum("starts_session").alias("sessions"),
-        *(F.count_if(is_code[c]).alias(f"n_{c}") for c in codes),
-        *(F.min(F.when(is_code[c], F.col("occurred_at"))).alias(f"t_{c}") for c in codes),
+    slots = session_slots(
+        events, *DAY, "visitor_key",
+        aggregates=(*(F.count_if(is_code[c]).alias(f"n_{c}") for c in codes), *(F.min(F.when(is_code[c], F.col("occurred_at"))).alias(f"t_{c}") for c in codes)),
     )
+    return slots.groupBy(*DAY, "visitor_key").agg(
+        F.sum("starts_session").alias("sessions"), *(F.sum(f"n_{c}").alias(f"n_{c}") for c in codes), *(F.min(f"t_{c}").alias(f"t_{c}") for c in codes)
+    )
 
 
 def _flag(code: int) -> Column:
@@ -100,13 +100,13 @@ def _flag(code: int) -> Column:
 
 
 def sessions_daily(events: DataFrame) -> DataFrame:
-    marked = mark_sessions(events, *DAY, "visitor_key")
+    marked = session_slots(events, *DAY, "visitor_key")
     return marked.groupBy(*DAY).agg(F.sum("starts_session").alias("sessions"))
 
 
 def sessions_by_campaign(events: DataFrame) -> DataFrame:
     tagged = events.withColumn("campaign_id", F.coalesce("campaign_id", F.lit(0).cast("bigint")))
-    marked = mark_sessions(tagged, *DAY, "campaign_id", "visitor_key")
+    marked = session_slots(tagged, *DAY, "campaign_id", "visitor_key")
     return marked.groupBy(*DAY, "campaign_id").agg(F.sum("starts_session").alias("sessions"))
 
 
@@ -191,12 +191,13 @@ def _models(spark, name: str = "model") -> DataFrame:
 def campaign_daily(events: DataFrame, orders: DataFrame, attribution: DataFrame) -> DataFrame:
     """Traffic of each campaign (the same under every model) beside the orders that each model credits to it."""
     campaign = F.coalesce(F.col("campaign_id"), F.lit(0).cast("bigint"))
-    tagged = mark_sessions(events.withColumn("campaign_id", campaign), *DAY, "campaign_id", "visitor_key")
-    per_visitor = tagged.groupBy(*DAY, "campaign_id", "visitor_key").agg(
-        F.sum("starts_session").alias("sessions"),
-        *(F.count_if(F.col("event_type") == c).alias(n) for n, c in (("product_views", PRODUCT), ("atc", CART), ("checkouts_started", CHECKOUT))),
+    counts = (("product_views", PRODUCT), ("atc", CART), ("checkouts_started", CHECKOUT))
+    slots = session_slots(
+        events.withColumn("campaign_id", campaign), *DAY, "campaign_id", "visitor_key",
+        aggregates=tuple(F.count_if(F.col("event_type") == c).alias(n) for n, c in counts),
     )
-    sums = ("sessions", "product_views", "atc", "checkouts_started")
+    sums = ("sessions", *(n for n, _ in counts))
+    per_visitor = slots.withColumnRenamed("starts_session", "sessions").groupBy(*DAY, "campaign_id", "visitor_key").agg(*(F.sum(c).alias(c) for c in sums))
     traffic = per_visitor.groupBy(*DAY, "campaign_id").agg(F.count("*").alias("visitors"), *(F.sum(c).alias(c) for c in sums))
     credited = orders.where("cancelled_at is null").join(
         attribution.select("tenant_id", "order_id", "model", campaign.alias("campaign_id")), ["tenant_id", "order_id"]
@@ -324,4 +325,4 @@ def person_orders(orders: DataFrame, tenants: DataFrame, now: datetime | str) ->
     counts = valid.groupBy("tenant_id", "person_id").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("tenant_id", F.least("n", F.lit(4)).cast("int").alias("order_count_bucket")).agg(F.count("*").alias("persons"))
     today = local_day(F.lit(now).cast("timestamp"), "iana_timezone").alias("as_of_date")
-    return buckets.join(F.broadcast(zones(tenants)), "tenant_id").select("tenant_id", today, "order_count_bucket", "persons")
+    return buckets.join(zones(tenants), "tenant_id").select("tenant_id", today, "order_count_bucket", "persons")

@@ -158,3 +158,20 @@ def test_dst_days(spark):
     rows = [(1, 1, datetime(2024, 3, 30, 23, 30)), (1, 1, datetime(2024, 3, 31, 21, 59)), (1, 1, datetime(2024, 3, 31, 22, 0))]
     got = [r["stat_date"].day for r in rollups.with_day(events(spark, rows), zone, "occurred_at").orderBy("event_uid").collect()]
     assert got == [31, 31, 1]
+
+
+def test_one_visitor_with_very_many_events(spark, tenants):
+    """All anonymous events share a visitor: what is put in order is half hours, not events."""
+    e = spark.range(200_000).selectExpr("1 as tenant_id", "id as event_uid", "timestamp'2024-06-03 00:00:00' + make_interval(0,0,0,0,0,0,cast(id % 86400 as int)) as occurred_at", "1 as event_type", "0L as visitor_key")
+    e = rollups.with_day(e.where("second(occurred_at) = 0 and minute(occurred_at) in (0, 31)"), tenants, "occurred_at")
+    slots = rollups.session_slots(e, *rollups.DAY, "visitor_key")
+    assert slots.count() == 48
+    # pauses of 31 and 29 minutes by turns; both days begin with the second half of a pair
+    assert {str(r["stat_date"]): r["sessions"] for r in rollups.sessions_daily(e).collect()} == {"2024-06-03": 19, "2024-06-04": 6}
+
+
+def test_more_tenants_than_a_driver_lists(spark):
+    stores = spark.range(150_000).selectExpr("cast(id as int) as tenant_id", "if(id % 2 = 0, 'Asia/Kolkata', 'No/Where') as iana_timezone")
+    e = stores.selectExpr("tenant_id", "timestamp'2024-06-03 20:00:00' as occurred_at")
+    days = rollups.with_day(e, stores, "occurred_at").groupBy("stat_date").count().collect()
+    assert {(str(r["stat_date"]), r["count"]) for r in days} == {("2024-06-04", 75_000), ("2024-06-03", 75_000)}
