@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.small import small_table
@@ -14,7 +13,8 @@ from tallyloom.schemas import DEFAULT_RULES, DIRECT, GRACE_HOURS, LOOKBACK_DAYS,
 
 FACTS = ("utm_source", "utm_medium", "utm_campaign", "referrer_host", "landing_path", "has_gclid", "has_fbclid")
 TRIPLE = ("tenant_id", "campaign_id", "referrer_id", "path_id")
-MAX_RULES = 5_000
+#: Touches of a visitor are put in order inside hours, and hours among each other.
+SLOT_SECONDS = 3600
 
 
 def attr_pending(orders: DataFrame, attribution: DataFrame, now: datetime | str, limit: int = 500) -> DataFrame:
@@ -43,7 +43,7 @@ def attr_touches(events: DataFrame, visitor_set: DataFrame, own_hosts: DataFrame
     touches = events.where("campaign_id is not null or referrer_id is not null")
     if own_hosts is not None:
         own = own_hosts.select("tenant_id", "referrer_id", F.lit(True).alias("_own"))
-        touches = touches.join(F.broadcast(own), ["tenant_id", "referrer_id"], "left").where("campaign_id is not null or _own is null").drop("_own")
+        touches = touches.join(own, ["tenant_id", "referrer_id"], "left").where("campaign_id is not null or _own is null").drop("_own")
     wanted = visitor_set.select("tenant_id", "visitor_key").distinct()
     columns = ["tenant_id", "visitor_key", "occurred_at", "event_uid", "campaign_id", "referrer_id", "path_id"]
     return touches.join(wanted, ["tenant_id", "visitor_key"], "left_semi").select(columns)
@@ -52,13 +52,42 @@ def attr_touches(events: DataFrame, visitor_set: DataFrame, own_hosts: DataFrame
 def attr_pixel_first_last(orders: DataFrame, visitor_set: DataFrame, touches: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Two rows per order, with or without a touch: the first and last in the lookback, both ends included.
 
-    The pair join is folded to one first and one last touch per (order, visitor) before anything else, by map-side
-    combined min/max; ties are broken by event_uid.
+    Orders are not paired with touches. The last touch is the latest up to the order's time, the first one the earliest from
+    the begin of its lookback on; each is looked up as a point on the visitor's time line: inside the point's hour in time
+    order, else in the nearest hour before or after that has touches. A visitor's rows spread over as many tasks as hours,
+    and only one row an hour is put in order as a whole. Ties are broken by event_uid.
     """
-    window = (F.col("occurred_at") <= F.col("created_at")) & (F.col("occurred_at") >= F.col("created_at") - F.expr(f"INTERVAL {lookback_days} DAYS"))
-    touch = F.struct("occurred_at", "event_uid", "campaign_id", "referrer_id", "path_id")
-    pairs = visitor_set.join(touches, ["tenant_id", "visitor_key"]).where(window)
-    ends = pairs.groupBy("tenant_id", "order_id").agg(F.min(touch).alias("pixel_first"), F.max(touch).alias("pixel_last"))
+    keys = ["tenant_id", "visitor_key"]
+    touch = F.struct("occurred_at", "event_uid", "campaign_id", "referrer_id", "path_id").alias("touch")
+    nothing = lambda t: F.lit(None).cast(t)
+    back = F.expr(f"INTERVAL {lookback_days} DAYS")
+    ends = F.inline(F.array(
+        F.struct(F.lit(0).alias("is_last"), (F.col("created_at") - back).alias("at"), F.col("created_at").alias("other")),
+        F.struct(F.lit(1).alias("is_last"), F.col("created_at").alias("at"), (F.col("created_at") - back).alias("other")),
+    ))
+    points = visitor_set.select(*keys, "order_id", ends)
+    seen = touches.select(*keys, nothing(visitor_set.schema["order_id"].dataType).alias("order_id"), nothing("int").alias("is_last"), F.col("occurred_at").alias("at"), nothing("timestamp").alias("other"), touch)
+    line = seen.unionByName(points.withColumn("touch", nothing(seen.schema["touch"].dataType)))
+    line = line.withColumn("slot", F.floor(F.col("at").cast("long") / SLOT_SECONDS)).withColumn("is_point", F.col("is_last").isNotNull())
+
+    slots = line.groupBy(*keys, "slot").agg(F.min("touch").alias("earliest"), F.max("touch").alias("latest"))
+    in_order = Window.partitionBy(*keys).orderBy("slot")
+    slots = slots.select(
+        *keys, "slot",
+        F.max("latest").over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.min("earliest").over(in_order.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+    )
+    inside = Window.partitionBy(*keys, "slot")
+    so_far = Window.unboundedPreceding, Window.currentRow
+    up_to = F.max("touch").over(inside.orderBy("at", "is_point").rowsBetween(*so_far))
+    since = F.min("touch").over(inside.orderBy(F.desc("at"), "is_point").rowsBetween(*so_far))
+    placed = line.withColumns({"up_to": up_to, "since": since}).where("is_point").join(slots, [*keys, "slot"])
+    last = F.when(F.col("is_last") == 1, F.coalesce("up_to", "before"))
+    first = F.when(F.col("is_last") == 0, F.coalesce("since", "after"))
+    ends = placed.select(
+        "tenant_id", "order_id",
+        F.when(first["occurred_at"] <= F.col("other"), first).alias("first"), F.when(last["occurred_at"] >= F.col("other"), last).alias("last"),
+    ).groupBy("tenant_id", "order_id").agg(F.min("first").alias("pixel_first"), F.max("last").alias("pixel_last"))
     joined = orders.select("tenant_id", "order_id").join(ends, ["tenant_id", "order_id"], "left")
     rows = F.array(*(
         F.struct(
@@ -77,62 +106,38 @@ def default_rules(spark, tenant_id: int = 0) -> DataFrame:
     )
 
 
-def _rule_matches(field: str, op: str, value: str | None) -> Column | None:
-    """A rule as a column over FACTS (texts are lower-case, not null); None if it can never match.
+def _usable(rules: DataFrame) -> DataFrame:
+    """``tenant_id, _rules``: each tenant's enabled rules that can match at all, by priority, as far as people have typed them.
 
-    Regular expressions see the lower-case text too, under ``(?i)``.
+    A regular expression that is none never matches.
     """
-    if field in ("has_gclid", "has_fbclid"):
-        return F.col(field) if op == "exists" else None
-    if field not in FACTS:
-        return None
-    if op == "exists":
-        return F.col(field) != ""
-    if op == "equals":
-        return F.col(field) == (value or "").lower()
-    if op == "contains":
-        return F.col(field).contains(value.lower()) if value else None
-    if op == "regex" and value is not None:
-        try:
-            re.compile(value)
-        except re.error:
-            return None
-        return F.col(field).rlike("(?i)" + value)
-    return None
-
-
-def channel_of(rules: list[tuple]) -> Column:
-    """The channel of a row with FACTS: the first matching enabled rule of its tenant, as one flat CASE.
-
-    Rules are (tenant_id, priority, match_field, match_op, match_value, channel, enabled).
+    flag, value = F.col("match_field").startswith("has_"), F.coalesce("match_value", F.lit(""))
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), F.col("match_value"), F.lit("")).isNotNull()
+    fits = (
+        F.when(F.col("match_op") == "exists", True).when(flag, False).when(F.col("match_op") == "equals", True)
+        .when(F.col("match_op") == "contains", value != "").when(F.col("match_op") == "regex", compiles).otherwise(False)
+    )
+    pattern = F.when(F.col("match_op") == "regex", F.concat(F.lit("(?i)"), value)).otherwise(F.lower(value))
+    rule = F.struct("priority", F.col("match_field").alias("field"), F.col("match_op").alias("op"), pattern.alias("value"), "channel")
+    kept = rules.where(F.col("enabled") & F.col("match_field").isin(*FACTS) & fits)
+    return kept.groupBy("tenant_id").agg(F.sort_array(F.collect_list(rule)).alias("_rules"))
+
+
+def _matches(rule: Column) -> Column:
+    """Whether a rule matches a row with ``_facts``: lower-case texts, and a flag that is set as some text.
+
+    Regular expressions see the lower-case text too, under ``(?i)``.
     """
-    anything = reduce(lambda a, b: a | b, [*(F.col(f) != "" for f in FACTS[:5]), F.col("has_gclid"), F.col("has_fbclid")])
-    several = len({r[0] for r in rules}) > 1
-    whens = []
-    for tenant, _, field, op, value, channel, enabled in sorted(rules, key=lambda r: (r[0], r[1])):
-        hit = _rule_matches(field, op, value) if enabled else None
-        if hit is not None:
-            whens.append(((F.col("tenant_id") == tenant) & hit if several else hit, channel))
-    if not several and rules:
-        whens = [(F.col("tenant_id") != rules[0][0], None), *whens]
-    fallback = F.when(anything, OTHER).otherwise(DIRECT)
-    chain = None
-    for hit, channel in whens:
-        value = F.lit(channel) if channel is not None else fallback
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return fallback if chain is None else chain.otherwise(fallback)
-
-
-def _collected(rules: DataFrame) -> list[tuple]:
-    """Rules are typed by people; their number is checked before they become expressions."""
-    rows = rules.select("tenant_id", "priority", "match_field", "match_op", "match_value", "channel", "enabled").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} channel rules")
-    return [tuple(r) for r in rows]
+    fact, value = F.element_at("_facts", rule["field"]), rule["value"]
+    return F.when(rule["op"] == "exists", fact != "").when(rule["op"] == "equals", fact == value).when(rule["op"] == "contains", fact.contains(value)).otherwise(F.rlike(fact, value))
 
 
 def channel_classify(triples: DataFrame, rules: DataFrame, campaigns: DataFrame, referrers: DataFrame, paths: DataFrame) -> DataFrame:
-    """Add ``channel`` to ``tenant_id, campaign_id, referrer_id, path_id``; give it distinct triples, not events."""
+    """Add ``channel`` to ``tenant_id, campaign_id, referrer_id, path_id``; give it distinct triples, not events.
+
+    The first matching rule of the row's tenant wins. Rules meet their tenant's rows by an equi-join, one row a tenant, so
+    any number of tenants may have rules of their own.
+    """
     facts = (
         triples.join(campaigns.select("tenant_id", "campaign_id", *FACTS[:3], "has_gclid", "has_fbclid"), ["tenant_id", "campaign_id"], "left")
         .join(referrers.select("tenant_id", "referrer_id", "referrer_host"), ["tenant_id", "referrer_id"], "left")
@@ -141,7 +146,11 @@ def channel_classify(triples: DataFrame, rules: DataFrame, campaigns: DataFrame,
     texts = [F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in FACTS[:5]]
     flags = [F.coalesce(f, F.lit(False)).alias(f) for f in FACTS[5:]]
     plain = facts.select(*triples.columns, *texts, *flags)
-    return plain.withColumn("channel", channel_of(_collected(rules))).select(*triples.columns, "channel")
+    entries = [x for f in FACTS for x in (F.lit(f), F.when(F.col(f), "set").otherwise("") if f.startswith("has_") else F.col(f))]
+    anything = reduce(lambda a, b: a | b, [*(F.col(f) != "" for f in FACTS[:5]), *(F.col(f) for f in FACTS[5:])])
+    ruled = plain.withColumn("_facts", F.create_map(*entries)).join(_usable(rules), "tenant_id", "left")
+    first = F.get(F.filter("_rules", _matches), F.lit(0))["channel"]
+    return ruled.withColumn("channel", F.coalesce(first, F.when(anything, OTHER).otherwise(DIRECT))).select(*triples.columns, "channel")
 
 
 def _with_channel(attribution: DataFrame, rules, campaigns, referrers, paths) -> DataFrame:

@@ -74,3 +74,37 @@ def test_hot_visitor(spark):
     rows = at.attr_pixel_first_last(orders, wanted, events).where("model = 'pixel_last'").collect()
     assert len(rows) == 300
     assert all(r["campaign_id"] == (24 * 60 + r["order_id"]) // 4 for r in rows)
+
+
+def test_first_and_last_against_a_loop(spark):
+    """Few visitors, many touches and orders, ties in time: as by looking at every pair."""
+    import random
+
+    rng = random.Random(9)
+    at0 = datetime(2024, 5, 1)
+    touches = [(1, i, rng.randrange(4), at0 + timedelta(seconds=rng.randrange(0, 60 * 86_400, 1800)), i, None, None) for i in range(800)]
+    placed = [(1, 9000 + i, at0 + timedelta(seconds=rng.randrange(0, 70 * 86_400, 900)), rng.randrange(5)) for i in range(300)]
+    placed += [(1, 9000, at0, 2)]  # an order with two visitors
+    events = spark.createDataFrame(touches, "tenant_id INT, event_uid BIGINT, visitor_key BIGINT, occurred_at TIMESTAMP, campaign_id BIGINT, referrer_id BIGINT, path_id BIGINT")
+    wanted = spark.createDataFrame(placed, "tenant_id INT, order_id BIGINT, created_at TIMESTAMP, visitor_key BIGINT")
+    orders = wanted.select("tenant_id", "order_id").distinct()
+    got = {(r["order_id"], r["model"]): r["campaign_id"] for r in at.attr_pixel_first_last(orders, wanted, events).collect()}
+    for order in {p[1] for p in placed}:
+        mine = [(t[3], t[1]) for p in placed if p[1] == order for t in touches if t[2] == p[3] and p[2] - timedelta(days=30) <= t[3] <= p[2]]
+        assert got[order, "pixel_first"] == (min(mine)[1] if mine else None), order
+        assert got[order, "pixel_last"] == (max(mine)[1] if mine else None), order
+
+
+def test_ten_thousand_tenants_with_rules_of_their_own(spark):
+    triples = spark.range(1, 10_001).selectExpr("cast(id as int) as tenant_id", "1L as campaign_id", "cast(null as bigint) as referrer_id", "cast(null as bigint) as path_id")
+    campaigns = spark.range(1, 10_001).selectExpr("cast(id as int) as tenant_id", "1L as campaign_id", "concat('source', id % 7) as utm_source", "cast(null as string) as utm_medium", "cast(null as string) as utm_campaign", "false as has_gclid", "false as has_fbclid")
+    own = spark.range(1, 10_001).selectExpr("cast(id as int) as tenant_id", "5 as priority", "'utm_source' as match_field", "if(id % 2 = 0, 'regex', 'equals') as match_op", "if(id % 2 = 0, '^SOURCE[0-3]$', 'source1') as match_value", "concat('own', id) as channel", "true as enabled")
+    rules = own.unionByName(at.channel_rules_seed(at.default_rules(spark), triples))
+    assert rules.count() == 29 * 10_000
+    hosts = spark.createDataFrame([], "tenant_id INT, referrer_id BIGINT, referrer_host STRING")
+    paths = spark.createDataFrame([], "tenant_id INT, path_id BIGINT, path STRING")
+    got = {r["tenant_id"]: r["channel"] for r in at.channel_classify(triples, rules, campaigns, hosts, paths).collect()}
+    assert len(got) == 10_000
+    for t in range(1, 10_001):
+        hit = t % 7 <= 3 if t % 2 == 0 else t % 7 == 1
+        assert got[t] == (f"own{t}" if hit else "Other")
