@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROLLUPS_KEPT = True
-MAX_TENANTS = 100_000
+#: Up to so many purged tenants are broadcast (8 bytes each); beyond it the join is shuffled.
+BROADCAST_TENANTS = 100_000
+#: What a tombstone keeps nothing of, where the column exists.
+SECRETS = ("admin_token_enc", "refresh_token_enc", "token_expires_at", "refresh_expires_at", "custom_domain", "salt")
 
 
 def purge_due(tenants: DataFrame, now: datetime | str) -> DataFrame:
@@ -22,7 +25,7 @@ def purge_store(tables: dict[str, DataFrame], due: DataFrame, rollups: tuple[str
     Tables that are named in ``rollups`` stay whole while ``keep_rollups``.
     """
     gone = due.select("tenant_id").distinct()
-    if gone.count() <= MAX_TENANTS:
+    if gone.count() <= BROADCAST_TENANTS:
         gone = F.broadcast(gone)
     kept, counts = {}, None
     for name, df in tables.items():
@@ -36,22 +39,69 @@ def purge_store(tables: dict[str, DataFrame], due: DataFrame, rollups: tuple[str
     return kept, counts
 
 
-def redact_person(orders: DataFrame, visitors: DataFrame, keys: DataFrame, request: DataFrame) -> dict[str, DataFrame]:
-    """Forget persons. ``request``: ``tenant_id, key_type, key_hash`` of those who asked (a few rows, checked).
+def purge_tombstone(tenants: DataFrame, due: DataFrame, now: datetime | str) -> DataFrame:
+    """The tenants after a purge: the purged ones stay as uninstalled, with the time and without tokens, domain and salt."""
+    marked = tenants.join(due.select("tenant_id", F.lit(True).alias("_gone")).distinct(), "tenant_id", "left")
+    gone = F.col("_gone").isNotNull()
+    changed = {c: F.when(~gone, F.col(c)) for c in SECRETS if c in tenants.columns}
+    changed |= {"status": F.when(gone, "uninstalled").otherwise(F.col("status")), "purged_at": F.when(gone, F.lit(now).cast("timestamp")).otherwise(F.col("purged_at"))}
+    return marked.withColumns(changed).select(*tenants.columns)
 
-    Their keys go; their orders stay without person, customer and hashes; their visitors lose the link.
+
+def _marked(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``_hit`` set where ``column`` is among the tenant's ``wanted`` values (``tenant_id, value``, distinct)."""
+    named = wanted.select("tenant_id", F.col("value").alias(column), F.lit(True).alias("_new"))
+    joined = df.join(named, ["tenant_id", column], "left")
+    hit = F.coalesce("_new", F.lit(False))
+    return joined.withColumn("_hit", F.col("_hit") | hit if "_hit" in df.columns else hit).drop("_new")
+
+
+def _cleared(df: DataFrame, marks: list[tuple[DataFrame, str]], columns: tuple[str, ...]) -> DataFrame:
+    marked = df
+    for wanted, column in marks:
+        if column in df.columns:
+            marked = _marked(marked, wanted, column)
+    if "_hit" not in marked.columns:
+        return df
+    return marked.withColumns({c: F.when(~F.col("_hit"), F.col(c)) for c in columns if c in df.columns}).select(*df.columns)
+
+
+def _without(df: DataFrame, marks: list[tuple[DataFrame, str]]) -> DataFrame:
+    marked = df
+    for wanted, column in marks:
+        if column in df.columns:
+            marked = _marked(marked, wanted, column)
+    return marked.where("not _hit").select(*df.columns) if "_hit" in marked.columns else df
+
+
+def redact_person(tables: dict[str, DataFrame], request: DataFrame) -> dict[str, DataFrame]:
+    """Forget persons in all tables that know them.
+
+    ``request``: ``tenant_id, key_type, key_hash`` of those who asked, and ``shopify_customer_id`` where it is known. Their
+    persons are those of ``tables["identity_keys"]`` with one of these hashes, whatever its type. Orders and open checkouts
+    stay, without person, customer and hashes (a hash that stays would rebuild the person); visitors and customers lose the
+    link; the customers who asked, keys, persons, merges and renumbering requests go. Tables that are not given are left out.
     """
-    if request.limit(MAX_TENANTS + 1).count() > MAX_TENANTS:
-        raise ValueError("too many redaction requests at once")
-    asked = F.broadcast(request.select("tenant_id", "key_type", "key_hash").distinct())
-    people = keys.join(asked, ["tenant_id", "key_type", "key_hash"], "left_semi").select("tenant_id", "person_id").distinct()
-    marked = people.withColumn("_gone", F.lit(True))
-    left_keys = keys.join(people, ["tenant_id", "person_id"], "left_anti")
-    out = orders.join(marked, ["tenant_id", "person_id"], "left")
-    cleared = [c for c in ("person_id", "customer_hash", "phone_hash", "email_hash", "shopify_customer_id") if c in orders.columns]
-    out = out.withColumns({c: F.when(F.col("_gone").isNull(), F.col(c)) for c in cleared}).select(*orders.columns)
-    seen = visitors.join(marked, ["tenant_id", "person_id"], "left").withColumn("person_id", F.when(F.col("_gone").isNull(), F.col("person_id"))).select(*visitors.columns)
-    return {"orders": out, "visitors": seen, "identity_keys": left_keys}
+    hashes = request.select("tenant_id", F.col("key_hash").alias("value")).where("value is not null").distinct()
+    keys = tables["identity_keys"]
+    people = keys.join(hashes.withColumnRenamed("value", "key_hash"), ["tenant_id", "key_hash"], "left_semi").select("tenant_id", F.col("person_id").alias("value")).distinct()
+    owners = [(people, "person_id")]
+    contacts = [(hashes, c) for c in ("email_hash", "phone_hash", "customer_hash")]
+    asked = []
+    if "shopify_customer_id" in request.columns:
+        asked = [(request.select("tenant_id", F.col("shopify_customer_id").alias("value")).where("value is not null").distinct(), "shopify_customer_id")]
+    links = ("person_id", "shopify_customer_id", "email_hash", "phone_hash", "customer_hash")
+    how = {
+        "orders": lambda df: _cleared(df, [*owners, *contacts, *asked], links),
+        "abandoned_checkouts": lambda df: _cleared(df, [*owners, *contacts], links),
+        "visitors": lambda df: _cleared(df, owners, ("person_id",)),
+        "customers": lambda df: _cleared(_without(df, asked), owners, ("person_id",)),
+        "identity_keys": lambda df: _without(df, [*owners, (hashes, "key_hash")]),
+        "persons": lambda df: _without(df, owners),
+        "person_merges": lambda df: _without(df, [(people, "survivor_id"), (people, "absorbed_id")]),
+        "resequence_queue": lambda df: _without(df, owners),
+    }
+    return {name: how[name](df) for name, df in tables.items()}
 
 
 def orphan_events(events: DataFrame, tenants: DataFrame) -> DataFrame:
