@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.small import small_table
+from tallyloom.sources.feeds import FEED_FILE, FEED_HOUR
 
 # Hours after which a job without success is late.
 JOB_HOURS = {"import": 2, "rollup": 3, "sync": 3, "identity": 3, "attribute": 3, "compliance": 48}
@@ -49,10 +50,23 @@ def mon_capacity(sizes: DataFrame, limit_bytes: int) -> DataFrame:
     return used.where("pct >= 80").select(F.concat(F.lit("capacity:"), "partition_key").alias("alert_key"), severity.alias("severity"), F.format_string("%.1f%% used", "pct").alias("message"))
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file_path, bytes, modified_at`` of all files below ``path``, from Spark's listing; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("path").alias("file_path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified_at"))
+
+
+def feed_files(spark: SparkSession, path: str, now: datetime) -> DataFrame:
+    """``file_name, closed_at, bytes`` of the feed files of closed hours: what ``mon_backlog`` takes."""
+    hour = F.regexp_extract("file_path", FEED_HOUR, 1)
+    closed = listed_files(spark, path).where((hour != "") & (hour < now.strftime("%Y%m%d%H")))
+    return closed.select(F.regexp_extract("file_path", FEED_FILE, 1).alias("file_name"), F.col("modified_at").alias("closed_at"), "bytes")
+
+
 def file_sizes(spark: SparkSession, path: str, partition_column: str) -> DataFrame:
-    """Bytes of each file of a Parquet table, once per file, by partition."""
-    table = spark.read.parquet(path).select(partition_column, "_metadata.file_path", "_metadata.file_size").distinct()
-    return table.select(F.col(partition_column).cast("string").alias("partition_key"), F.col("file_size").alias("bytes"))
+    """``partition_key, bytes``, one row a file, of a table in folders of ``partition_column``: what ``mon_capacity`` takes."""
+    files = listed_files(spark, path).withColumn("partition_key", F.regexp_extract("file_path", f"/{partition_column}=([^/]*)/", 1))
+    return files.where("partition_key <> ''").select("partition_key", "bytes")
 
 
 def mon_compliance(requests: DataFrame, now: datetime | str) -> DataFrame:

@@ -51,7 +51,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("k").alias("path_id"),
         F.when(F.col("k") % 4 != 0, F.col("k")).alias("campaign_id"),
         F.when(F.col("k") % 3 != 0, F.col("k") % 5 + 1).alias("referrer_id"),
-        F.when(F.col("event_type").isin("view", "click"), F.col("k")).alias("product_id"),
+        F.when(F.col("event_type").isin("view", "click", "signup"), F.col("k")).alias("product_id"),
         (F.col("k") % 10).alias("geo_id"),
         F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 7).alias("ua_id"),
         F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("order_ref"),

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from tallyloom.schemas import RAW_EVENTS, RAW_ORDERS
 
 #: A feed file is named <tenant>-<yyyymmddhh>.ndjson, or lies in a folder hour=<yyyymmddhh>.
-_HOUR = r"(?:-|hour=)(\d{10})(?:\.ndjson$|/)"
+FEED_HOUR = r"(?:-|hour=)(\d{10})(?:\.ndjson$|/)"
+#: What names a file: also the folder of its hour, as files of several folders may be called alike.
+FEED_FILE = r"((?:hour=\d{10}/)?[^/]*)$"
 
 
 def _with_file(raw: DataFrame) -> DataFrame:
     path = F.col("_metadata.file_path")
-    return raw.select("*", F.element_at(F.split(path, "/"), -1).alias("_file"), F.regexp_extract(path, _HOUR, 1).alias("_hour"))
+    return raw.select("*", F.regexp_extract(path, FEED_FILE, 1).alias("_file"), F.regexp_extract(path, FEED_HOUR, 1).alias("_hour"))
 
 
 def src_event_feed(spark: SparkSession, path: str, now: datetime, max_files: int | None = None) -> DataFrame:
@@ -31,11 +33,33 @@ def src_event_feed(spark: SparkSession, path: str, now: datetime, max_files: int
     return closed
 
 
-def stream_event_feed(spark: SparkSession, path: str, max_files: int = 200) -> DataFrame:
-    """The same feed as a stream; the checkpoint takes the place of moving files away."""
+def closed_units(spark: SparkSession, path: str, now: datetime) -> list[str]:
+    """Glob patterns, relative to ``path``, of its feed files of closed hours: one per folder and hour.
+
+    Listed by Spark, so any store it reads will do; there are as many as hours since old files were last put away.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    hour = F.regexp_extract("path", FEED_HOUR, 1)
+    unit = F.regexp_replace(F.regexp_replace("path", r"/[^/]*-(\d{10}\.ndjson)$", "/*-$1"), r"(/hour=\d{10})/.*$", "$1/*")
+    units = files.where((hour != "") & (hour < now.strftime("%Y%m%d%H"))).select(hour.alias("hour"), unit.alias("unit")).distinct().orderBy("hour", "unit")
+    # schemes are written with one slash or three
+    tail = lambda text: text.split(":", 1)[-1].replace("//", "/").replace("//", "/")
+    return [tail(r["unit"])[len(tail(base)) + 1 :] for r in units.toLocalIterator()]
+
+
+def stream_event_feed(spark: SparkSession, path: str, now: datetime, max_files: int = 200) -> DataFrame:
+    """The feed's hours that are closed at ``now``, as a stream; the checkpoint takes the place of moving files away.
+
+    A file source never reads a file again, so one that lines may still be appended to must not be offered: each run
+    offers the hours that are closed when it starts.
+    """
+    units = closed_units(spark, path, now)
+    offered = f"{path}/{{{','.join(units)}}}" if units else f"{path}/none-closed-*"
     raw = (
         spark.readStream.schema(RAW_EVENTS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        .option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).json(path)
+        .option("maxFilesPerTrigger", max_files).json(offered)
     )
     return _with_file(raw)
 

@@ -39,26 +39,32 @@ def stream_live_visitors(events: DataFrame, delay: str = "3 days") -> DataFrame:
     return hourly.agg(F.approx_count_distinct("visitor_key").alias("visitors"), F.count("*").alias("events")).select(F.col("window.start").alias("hour"), "tenant_id", "visitors", "events")
 
 
-def stream_ingest(spark: SparkSession, feed: str, table: str, checkpoint: str, tenants: DataFrame, now: Callable[[], datetime], max_files: int = 200) -> StreamingQuery:
-    """Drain the landed files into the event table, each event once.
+def stream_ingest(
+    spark: SparkSession, feed: str, table: str, checkpoint: str, tenants: DataFrame, now: Callable[[], datetime], max_files: int = 200, audit: str | None = None
+) -> StreamingQuery:
+    """Drain the landed files of closed hours into the event table, each event once.
 
     A batch is deduplicated in itself and against the table's partitions of the days it touches. A retried batch finds
-    its own rows there and adds nothing.
+    its own rows there and adds nothing. With ``audit``, each batch leaves its ``import_audit`` there: what of each file was
+    accepted, a duplicate, skipped or malformed (a retried batch replaces its own).
     """
 
-    def store(batch: DataFrame, _: int) -> None:
-        mapped = ingest.event_map_type(batch.where("_corrupt is null"))
-        typed = ingest.event_shred(mapped, tenants, now()).withColumn("event_date", F.to_date("occurred_at")).persist()
+    def store(batch: DataFrame, number: int) -> None:
+        mapped = ingest.event_map_type(batch).persist()
         try:
+            typed = ingest.event_shred(mapped.where("_corrupt is null"), tenants, now()).withColumn("event_date", F.to_date("occurred_at"))
             stored = None
             if _exists(spark, table):
                 days = typed.select("tenant_id", "event_date").distinct()
-                stored = spark.read.parquet(table).select("tenant_id", "event_uid", "event_date").join(F.broadcast(days), ["tenant_id", "event_date"], "left_semi")
+                stored = spark.read.parquet(table).select("tenant_id", "event_uid", "event_date").join(days, ["tenant_id", "event_date"], "left_semi")
+            if audit:
+                counts = ingest.import_audit(ingest.classify_lines(mapped, stored))
+                counts.write.mode("overwrite").parquet(f"{audit}/batch={number}")
             sink_events(ingest.event_dedup(typed, stored).drop("event_date"), table)
         finally:
-            typed.unpersist()
+            mapped.unpersist()
 
-    writer = stream_event_feed(spark, feed, max_files).writeStream.foreachBatch(store)
+    writer = stream_event_feed(spark, feed, now(), max_files).writeStream.foreachBatch(store)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -90,16 +96,81 @@ def stream_kpi(arriving: DataFrame, table: str, rollup_path: str, checkpoint: st
     return arriving.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Parts of a tenant's orders; a batch rewrites only those it has orders of.
+ORDER_PARTS = 64
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, DataFrame] | None:
+    """The newest complete version and its list of ``tenant_id, part, version``: where each part's rows are."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    names = [x.getPath().getName() for x in system.listStatus(folder)]
+    done = [int(n.split("=")[1]) for n in names if n.startswith("at=") and _exists(spark, f"{path}/manifest/{n}/_SUCCESS")]
+    return (max(done), spark.read.parquet(f"{path}/manifest/at={max(done)}")) if done else None
+
+
+def read_orders(spark: SparkSession, path: str) -> DataFrame:
+    """The stored orders: of each part the version that the newest manifest names."""
+    found = _manifest(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no complete version of the orders in {path}")
+    rows = spark.read.parquet(f"{path}/data").join(F.broadcast(found[1]), ["version", "tenant_id", "part"], "left_semi")
+    return rows.drop("version", "part")
+
+
 def stream_order_merge(arriving: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep one row per order in ``path``: each batch is merged with the stored versions of its tenants' partitions.
+    """Keep one row per order in ``path``, to be read by ``read_orders``.
 
-    The merged table is written beside the old one and read by its batch number, so a reader never sees a half-written one.
+    Orders lie in ORDER_PARTS parts a tenant. A batch is merged with the stored rows of the parts it touches, and these are
+    written as a new version beside the old ones; then a manifest that names each part's version is written, so a reader
+    sees a batch as a whole or not at all. Repeating a batch changes nothing. A batch that should follow others but finds no
+    manifest, or not the rows it names, fails rather than start anew; a new checkpoint on stored orders goes on from them.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = f"{path}/version={number - 1}"
-        versions = batch.unionByName(spark.read.parquet(old)) if number and _exists(spark, old) else batch
-        orders_merge(versions).write.mode("overwrite").parquet(f"{path}/version={number}")
+        found = _manifest(spark, path)
+        if found is None and number:
+            raise RuntimeError(f"batch {number} finds no stored orders in {path}, though batches before it stored some")
+        version = found[0] + 1 if found else 0
+        fresh = batch.withColumn("part", F.pmod(F.xxhash64("order_id"), F.lit(ORDER_PARTS)).cast("int"))
+        touched = fresh.select("tenant_id", "part").distinct().persist()
+        try:
+            versions, kept = fresh, None
+            if found:
+                parts = spark.read.parquet(f"{path}/data")
+                wanted = found[1].join(touched, ["tenant_id", "part"], "left_semi")
+                missing = wanted.join(parts.select("version", "tenant_id", "part").distinct(), ["version", "tenant_id", "part"], "left_anti")
+                if not missing.isEmpty():
+                    raise RuntimeError(f"stored parts that the manifest names are missing in {path}")
+                old = parts.join(F.broadcast(wanted), ["version", "tenant_id", "part"], "left_semi")
+                versions = fresh.unionByName(old.select(*fresh.columns))
+                kept = found[1].join(touched, ["tenant_id", "part"], "left_anti")
+            merged = orders_merge(versions.drop("part")).withColumn("part", F.pmod(F.xxhash64("order_id"), F.lit(ORDER_PARTS)).cast("int"))
+            merged.repartition("tenant_id", "part").write.mode("overwrite").partitionBy("tenant_id", "part").parquet(f"{path}/data/version={version}")
+            now = touched.select("tenant_id", "part", F.lit(version).alias("version"))
+            listed = now if kept is None else now.unionByName(kept.select(*now.columns))
+            listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/at={version}")
+        finally:
+            touched.unpersist()
 
     return arriving.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> int:
+    """Delete versions and manifests that the newest manifest does not need; returns how many versions went."""
+    found = _manifest(spark, path)
+    if found is None:
+        return 0
+    needed = {r["version"] for r in found[1].select("version").distinct().collect()}
+    system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for kind, keep in (("data", needed), ("manifest", {found[0]})):
+        for entry in system.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}")):
+            number = entry.getPath().getName().partition("=")[2]
+            if number.isdigit() and int(number) not in keep:
+                system.delete(entry.getPath(), True)
+                gone += kind == "data"
+    return gone

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import exprs
-from tallyloom.operators import dims, ingest, orders
+from tallyloom.operators import dims, ingest, monitors, orders
 
 from tallyloom.sources import feeds, sinks
 from tallyloom.streaming import streams
@@ -103,6 +103,87 @@ def test_stream_ingest_replay_and_restart(spark, tenants, tmp_path):
     assert spark.read.parquet(table).count() == 3
 
 
+def test_open_hours_wait_until_they_close(spark, tenants, tmp_path):
+    """Lines appended to an hour that is still open are not lost; both layouts of the feed, and its audit."""
+    feed, table, mark, audit = tmp_path / "feed", str(tmp_path / "events"), str(tmp_path / "mark"), str(tmp_path / "audit")
+    write_feed(feed, "1-2024061010.ndjson", [line(id="a"), "{broken"])
+    write_feed(feed, "1-2024061011.ndjson", [line(id="b")])
+    write_feed(feed / "hour=2024061009", "part.json", [line(id="x"), line(n="input_changed", id="y")])
+    run = lambda now: streams.stream_ingest(spark, str(feed), table, mark, tenants, lambda: now, audit=audit).awaitTermination()
+    run(datetime(2024, 6, 10, 11, 30))
+    assert spark.read.parquet(table).count() == 2
+    write_feed(feed, "1-2024061011.ndjson", [line(id="b"), line(id="c")])  # the hour was open: more came
+    run(datetime(2024, 6, 10, 11, 59))
+    assert spark.read.parquet(table).count() == 2
+    run(datetime(2024, 6, 10, 12))
+    assert spark.read.parquet(table).count() == 4
+    counts = spark.read.parquet(audit).groupBy().sum("accepted", "duplicate", "skipped", "malformed").first()
+    assert tuple(counts) == (4, 0, 1, 1)
+
+
+def test_ingest_with_nothing_closed(spark, tenants, tmp_path):
+    write_feed(tmp_path / "feed", "1-2024061012.ndjson", [line(id="a")])
+    streams.stream_ingest(spark, str(tmp_path / "feed"), str(tmp_path / "events"), str(tmp_path / "mark"), tenants, lambda: NOW).awaitTermination()
+    assert not (tmp_path / "events").exists()
+
+
+ORDER = "tenant_id INT, order_id BIGINT, updated_at TIMESTAMP, total_minor BIGINT"
+
+
+def merge_orders(spark, rows, feed, name, path, mark):
+    spark.createDataFrame(rows, ORDER).coalesce(1).write.parquet(str(feed / name))
+    run = streams.stream_order_merge(spark.readStream.schema(ORDER).parquet(f"{feed}/*"), path, mark)
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+
+
+def test_order_merge_touches_parts_and_goes_on(spark, tmp_path):
+    feed, path = tmp_path / "feed", str(tmp_path / "orders")
+    at = lambda h: NOW + timedelta(hours=h)
+    merge_orders(spark, [(1, i, at(0), 10) for i in range(300)], feed, "a", path, str(tmp_path / "m1"))
+    merge_orders(spark, [(1, 7, at(1), 11), (1, 8, at(-1), 12)], feed, "b", path, str(tmp_path / "m1"))
+    got = {r["order_id"]: r["total_minor"] for r in streams.read_orders(spark, path).collect()}
+    assert len(got) == 300 and (got[7], got[8], got[9]) == (11, 10, 10)
+    second = spark.read.parquet(f"{path}/data/version=1")
+    assert second.select("part").distinct().count() <= 2  # only the touched parts were written
+    # a fresh checkpoint on stored orders: all files come again, and nothing is lost or doubled
+    merge_orders(spark, [(2, 1, at(0), 5)], feed, "c", path, str(tmp_path / "m2"))
+    rows = streams.read_orders(spark, path).collect()
+    assert len(rows) == 301 and {r["order_id"]: r["total_minor"] for r in rows if r["tenant_id"] == 1} == got
+    assert streams.drop_old_versions(spark, path) >= 1
+    assert streams.read_orders(spark, path).count() == 301
+
+
+def test_order_merge_refuses_a_missing_predecessor(spark, tmp_path):
+    import shutil
+
+    feed, path, mark = tmp_path / "feed", str(tmp_path / "orders"), str(tmp_path / "m")
+    merge_orders(spark, [(1, 1, NOW, 1)], feed, "a", path, mark)
+    shutil.move(path, str(tmp_path / "elsewhere"))
+    with pytest.raises(Exception, match="finds no stored orders"):
+        merge_orders(spark, [(1, 2, NOW, 2)], feed, "b", path, mark)
+
+
+def test_file_listings(spark, tmp_path):
+    feed = tmp_path / "feed"
+    write_feed(feed, "1-2024061010.ndjson", ["x" * 99])
+    write_feed(feed, "1-2024061012.ndjson", ["y"])
+    files = monitors.feed_files(spark, str(feed), NOW).collect()
+    assert [(f["file_name"], f["bytes"]) for f in files] == [("1-2024061010.ndjson", 100)]
+    df = spark.range(1000).selectExpr("id", "id % 2 as day")
+    df.write.partitionBy("day").parquet(str(tmp_path / "t"))
+    sizes = {r["partition_key"]: r["sum(bytes)"] for r in monitors.file_sizes(spark, str(tmp_path / "t"), "day").groupBy("partition_key").sum("bytes").collect()}
+    assert sizes == {str(d): sum(f.stat().st_size for f in (tmp_path / "t" / f"day={d}").glob("*.parquet")) for d in (0, 1)}
+
+
+def test_unknown_currencies_are_null(spark, tenants, tmp_path):
+    write_feed(tmp_path / "feed", "1-2024061011.ndjson", [line(id=str(i), c=c) for i, c in enumerate(("inr", "Usd", "xyz", "", None))])
+    rows = shred(feeds.src_event_feed(spark, str(tmp_path / "feed"), NOW), tenants).select("currency").collect()
+    assert sorted(str(r["currency"]) for r in rows) == ["INR", "None", "None", "None", "USD"]
+
+
 def test_rollup_sink_replaces_only_its_days(spark, tmp_path):
     path = str(tmp_path / "rollup")
     frame = lambda rows: spark.createDataFrame(rows, "tenant_id INT, stat_date STRING, v INT")
