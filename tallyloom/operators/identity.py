@@ -85,7 +85,7 @@ def order_sequence(orders: DataFrame, tenants: DataFrame) -> DataFrame:
 
     Cancelled orders never qualify; refunded ones only where the tenant counts them.
     """
-    policy = F.broadcast(tenants.select("tenant_id", F.coalesce("refunded_counts_as_order", F.lit(True)).alias("_counts")))
+    policy = tenants.select("tenant_id", F.coalesce("refunded_counts_as_order", F.lit(True)).alias("_counts"))
     base = orders.drop("order_sequence").join(policy, "tenant_id", "left")
     refunded = F.coalesce(F.upper("financial_status"), F.lit("")) == "REFUNDED"
     fits = F.col("cancelled_at").isNull() & F.col("person_id").isNotNull() & (F.coalesce("_counts", F.lit(True)) | ~refunded)

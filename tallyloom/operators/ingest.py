@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from tallyloom.functions.exprs import I63, U16, U32, fitted, ip_number, key63, unsigned, url_part
 from tallyloom.functions.small import small_table
 from tallyloom.operators.dims import agent_key, path_key, referrer_key, visitor_hash, with_campaign
-from tallyloom.schemas import EVENT_CODES, THEME
+from tallyloom.schemas import CURRENCIES, EVENT_CODES, THEME
 
 MAX_BATCH_BYTES, MAX_BATCH_EVENTS, MAX_BATCHES_A_MINUTE = 65_536, 100, 240
 
 
 def ingest_gate(batches: DataFrame, tenants: DataFrame) -> DataFrame:
     """Add ``tenant_id`` and ``reject_reason`` (null: accepted) to batches with ``body, write_key, n_events``."""
-    known = F.broadcast(tenants.where("status = 'active'").select("write_key", "tenant_id"))
+    known = tenants.where("status = 'active'").select("write_key", "tenant_id")
     joined = batches.join(known, "write_key", "left")
     reason = (
         F.when(F.octet_length("body") > MAX_BATCH_BYTES, "too_large").when(F.coalesce("n_events", F.lit(0)) == 0, "empty")
@@ -29,7 +29,7 @@ def ingest_gate(batches: DataFrame, tenants: DataFrame) -> DataFrame:
 def ingest_origin_check(batches: DataFrame, tenants: DataFrame) -> DataFrame:
     """Add ``origin_ok``: the sender's host is one of the tenant's domains or below one; no host passes."""
     domains = F.filter(F.array(F.lower("shop_domain"), F.lower("custom_domain")), lambda d: F.coalesce(d, F.lit("")) != "")
-    allowed = F.broadcast(tenants.select("tenant_id", domains.alias("_domains")))
+    allowed = tenants.select("tenant_id", domains.alias("_domains"))
     host = F.coalesce(url_part(F.col("origin"), "host"), F.lit(""))
     fits = F.exists("_domains", lambda d: (F.col("_host") == d) | F.col("_host").endswith(F.concat(F.lit("."), d)))
     joined = batches.withColumn("_host", host).join(allowed, "tenant_id", "left")
@@ -78,9 +78,9 @@ def _identity() -> Column:
 def event_shred(mapped: DataFrame, tenants: DataFrame, now: datetime) -> DataFrame:
     """Raw lines with ``event_type`` to typed rows; ``tenants`` needs ``salt``.
 
-    Numbers that are none, or negative, become null; too large ones are clamped. Money arrives in minor units. Currency
-    codes keep their upper-case text."""
-    salts = F.broadcast(tenants.select(F.col("tenant_id").alias("_t"), F.col("salt").alias("_salt")))
+    Numbers that are none, or negative, become null; too large ones are clamped. Money arrives in minor units. A currency
+    code that is not in CURRENCIES, in either case, becomes null."""
+    salts = tenants.select(F.col("tenant_id").alias("_t"), F.col("salt").alias("_salt"))
     rows = mapped.where("event_type is not null").join(salts, "_t")
     tenant = F.col("_t").cast("string")
     client = visitor_hash(F.col("cid"), F.col("_salt"))
@@ -94,7 +94,7 @@ def event_shred(mapped: DataFrame, tenants: DataFrame, now: datetime) -> DataFra
         unsigned(F.col("cu"), I63).alias("customer_ref"), path_key(F.col("u")).alias("path_id"), referrer_key(F.col("r")).alias("referrer_id"), "campaign_id",
         agent_key(F.col("_ua")).alias("ua_id"), unsigned(F.col("p"), I63).alias("product_id"),
         unsigned(F.col("v"), I63).alias("variant_id"), unsigned(F.col("q"), U16).cast("int").alias("qty"),
-        unsigned(F.col("a"), U32).alias("amount_minor"), F.upper(F.trim("c")).alias("currency"),
+        unsigned(F.col("a"), U32).alias("amount_minor"), F.when(F.upper(F.trim("c")).isin(*CURRENCIES), F.upper(F.trim("c"))).alias("currency"),
         F.when(F.length("ct") > 0, key63(F.col("ct"))).alias("checkout_token"), unsigned(F.col("o"), I63).alias("order_ref"),
         F.when(term.isNotNull(), key63(F.lower(term))).alias("search_term_id"),
         F.when(F.col("cl").isNotNull(), key63(F.concat_ws("\x1f", *(F.coalesce(F.col(f"cl.{k}"), F.lit("")) for k in "tsh")))).alias("click_target_id"),

@@ -119,7 +119,7 @@ def normal_email(email: Column) -> Column:
 
 def orders_hash_contacts(flat: DataFrame, pads: DataFrame) -> DataFrame:
     """Replace email, phone and customer id by salted hashes. ``pads``: ``tenant_id, inner_pad, outer_pad`` (one row a tenant)."""
-    keyed = flat.join(F.broadcast(pads), "tenant_id")
+    keyed = flat.join(pads, "tenant_id")
     hashed = lambda value: F.when(value.isNotNull(), hmac_hex(value, F.col("inner_pad"), F.col("outer_pad")))
     return keyed.withColumns({
         "email_hash": hashed(normal_email(F.col("email"))), "phone_hash": hashed(normal_phone(F.col("phone"))),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import change, divide, percent
 from tallyloom.operators.rollups import with_day
-from tallyloom.schemas import COHORT_DAYS, DEVICE_NAMES, DIRECT, FUNNEL_NAMES, OTHER, STAGE_NAMES
+from tallyloom.schemas import CAMPAIGN_NUMBER, COHORT_DAYS, DEVICE_NAMES, DIRECT, FACEBOOK_CLICK, FUNNEL_NAMES, GOOGLE_CLICK, NO_CAMPAIGN, OTHER, STAGE_NAMES
 
 
 def report_range(start: date | None, end: date | None, today: date) -> tuple[date, date, date, date]:
@@ -101,9 +101,9 @@ def campaign_name() -> Column:
     parts = [F.when(F.length(c) > 0, clipped(F.col(c), n)) for c, n in (("utm_source", 22), ("utm_medium", 18), ("utm_campaign", 34))]
     label = F.concat_ws(" / ", *parts)
     return (
-        F.when(F.col("campaign_id") == 0, "No campaign tag").when(label != "", label)
-        .when(F.col("has_gclid"), "Google Ads (auto-tagged)").when(F.col("has_fbclid"), "Facebook link (fbclid)")
-        .otherwise(F.concat(F.lit("Campaign #"), F.col("campaign_id").cast("string")))
+        F.when(F.col("campaign_id") == 0, NO_CAMPAIGN).when(label != "", label)
+        .when(F.col("has_gclid"), GOOGLE_CLICK).when(F.col("has_fbclid"), FACEBOOK_CLICK)
+        .otherwise(F.concat(F.lit(CAMPAIGN_NUMBER), F.col("campaign_id").cast("string")))
     )
 
 
@@ -171,7 +171,7 @@ def report_abandonment(stages: DataFrame, start: date, end: date) -> DataFrame:
     )
 
 
-def report_retention(cohorts: DataFrame, today: date, months: int = 12) -> DataFrame:
+def report_repeat(cohorts: DataFrame, today: date, months: int = 12) -> DataFrame:
     """The latest cohort months, buckets across; a bucket that is not over yet is flagged ``too_soon``."""
     latest = F.dense_rank().over(Window.partitionBy("tenant_id").orderBy(F.desc("cohort_month")))
     recent = cohorts.withColumn("_rank", latest).where(F.col("_rank") <= months)
@@ -192,7 +192,7 @@ def order_distribution(snapshots: DataFrame) -> DataFrame:
     return rows.select("tenant_id", "as_of_date", "order_count_bucket", "persons", percent(F.col("persons"), total).alias("share"), percent(again, total).alias("bought_again_pct"))
 
 
-def campaign_retention(cohorts: DataFrame, campaigns: DataFrame, bucket: int = 90, limit: int = 25) -> DataFrame:
+def campaign_repeat(cohorts: DataFrame, campaigns: DataFrame, bucket: int = 90, limit: int = 25) -> DataFrame:
     sums = cohorts.where(F.col("days_bucket") == bucket).groupBy("tenant_id", "campaign_id").agg(F.sum("cohort_size").alias("cohort_size"), F.sum("reordered").alias("reordered"))
     top = _top(sums.where("cohort_size > 0"), limit, F.desc("cohort_size"), F.col("campaign_id"))
     return _campaign_names(top.withColumn("repeat_pct", percent("reordered", "cohort_size")), campaigns)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.small import small_table
@@ -10,7 +13,7 @@ from tallyloom.operators import identity, metrics_extra, reports, rollups
 from tallyloom.plans import common as c
 from tallyloom.plans.cte import channel_case, pct, ratio, sql
 from tallyloom.plans.registry import query
-from tallyloom.schemas import DEFAULT_RULES, FUNNEL_NAMES, STAGE_NAMES
+from tallyloom.schemas import CAMPAIGN_NUMBER, DEFAULT_RULES, FACEBOOK_CLICK, FUNNEL_NAMES, GOOGLE_CLICK, NO_CAMPAIGN, STAGE_NAMES
 from tallyloom.sources import adapters as ad
 
 A = "stat_date BETWEEN DATE '2024-01-11' AND DATE '2024-01-25'"
@@ -57,6 +60,24 @@ def device_rows(s, d):
     return rollups.device_daily(c.ev(s, d), c.ob(s, d), ad.dim_useragent(s))
 
 
+_CHECKED = {"kpi": ("kpi", "pageviews"), "funnel": ("funnel", "events"), "campaign": ("campaign_rows", "sessions"), "channel": ("channel_rows", "revenue_minor"), "landing": ("landing_rows", "visitors"), "geo": ("geo_rows", "revenue_minor"), "device": ("device_rows", "visitors"), "abandon": ("stages", "entered")}
+_DAILY = " UNION ALL ".join(f"SELECT '{n}' AS rollup, stat_date, count(*) AS n_rows, CAST(sum({m}) AS BIGINT) AS total FROM {t} GROUP BY stat_date" for n, (t, m) in _CHECKED.items())
+
+
+@query("daily_rollups", sql(_DAILY, *(t for t, _ in _CHECKED.values())))
+def daily_rollups(s, d):
+    """Rows of each day of the daily rollups that one job makes, and the sum of one measure (product_daily has a query of its own)."""
+    made = c.daily_rollups(s, d)
+    counted = [made[n].groupBy("stat_date").agg(F.count("*").alias("n_rows"), F.sum(m).cast("bigint").alias("total")).select(F.lit(n).alias("rollup"), "stat_date", "n_rows", "total") for n, (_, m) in _CHECKED.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query("days_from", "SELECT 1 AS tenant_id, CAST(d AS DATE) AS stat_date FROM generate_series((SELECT CAST(min(ts) AS DATE) FROM events), DATE '2024-01-31', INTERVAL 1 DAY) t(d)")
+def days_from(s, d):
+    first = ad.events(s, d).agg(F.to_date(F.min("occurred_at")).cast("string")).first()[0] or "2024-01-31"
+    return rollups.days_from(c.store(s), first, ad.NOW_EVENTS)
+
+
 # --- cohorts ---------------------------------------------------------------------------------------------------------
 
 query("order_sequence", sql("SELECT tenant_id, order_id, person_id, order_sequence FROM oc", "oc"), dates=())(lambda s, d: identity.order_sequence(ad.star_orders(s, d), c.store(s)).select("tenant_id", "order_id", "person_id", "order_sequence"))
@@ -217,7 +238,7 @@ def report_funnel(s, d):
 
 
 _LABEL = "concat_ws(' / ', utm_source, utm_medium, utm_campaign)"
-_CAMPAIGN_NAME = f"CASE WHEN r.campaign_id = 0 THEN 'No campaign tag' WHEN {_LABEL} <> '' THEN {_LABEL} WHEN has_gclid THEN 'Google Ads (auto-tagged)' WHEN has_fbclid THEN 'Facebook link (fbclid)' ELSE 'Campaign #' || r.campaign_id END AS name"
+_CAMPAIGN_NAME = f"CASE WHEN r.campaign_id = 0 THEN '{NO_CAMPAIGN}' WHEN {_LABEL} <> '' THEN {_LABEL} WHEN has_gclid THEN '{GOOGLE_CLICK}' WHEN has_fbclid THEN '{FACEBOOK_CLICK}' ELSE '{CAMPAIGN_NUMBER}' || r.campaign_id END AS name"
 
 
 @query("report_campaigns", sql(
@@ -239,10 +260,10 @@ def model_comparison(s, d):
 
 
 # products seen in events, bought in purchases: both sides of adapter A
-_PROD = f"""SELECT tenant_id, product_id, CAST(sum(views) AS BIGINT) AS views, CAST(sum(viewers) AS BIGINT) AS viewers, CAST(0 AS BIGINT) AS atc, CAST(sum(purchases) AS BIGINT) AS purchases, CAST(sum(units) AS BIGINT) AS units, CAST(sum(revenue) AS BIGINT) AS revenue_minor, CAST(sum(abandons) AS BIGINT) AS abandons FROM (
-SELECT tenant_id, stat_date, product_id, count(*) FILTER (event_type = 3) AS views, count(DISTINCT CASE WHEN event_type = 3 THEN visitor_key END) AS viewers, 0 AS purchases, 0 AS units, 0 AS revenue, 0 AS abandons FROM ev WHERE product_id IS NOT NULL GROUP BY 1, 2, 3
-UNION ALL SELECT o.tenant_id, o.stat_date, l.product_id, 0, 0, count(DISTINCT o.order_id), sum(l.quantity), sum(l.quantity * 100 - 10), 0 FROM lb l JOIN ob o USING (order_id) WHERE cancelled_at IS NULL GROUP BY 1, 2, 3
-UNION ALL SELECT o.tenant_id, o.stat_date, l.product_id, 0, 0, 0, 0, 0, count(DISTINCT o.order_id) FROM lb l JOIN open_b b ON b.checkout_id = l.order_id JOIN ob o USING (order_id) GROUP BY 1, 2, 3) WHERE {A} GROUP BY 1, 2"""
+_PROD = f"""SELECT tenant_id, product_id, CAST(sum(views) AS BIGINT) AS views, CAST(sum(viewers) AS BIGINT) AS viewers, CAST(sum(atc) AS BIGINT) AS atc, CAST(sum(purchases) AS BIGINT) AS purchases, CAST(sum(units) AS BIGINT) AS units, CAST(sum(revenue) AS BIGINT) AS revenue_minor, CAST(sum(abandons) AS BIGINT) AS abandons FROM (
+SELECT tenant_id, stat_date, product_id, count(*) FILTER (event_type = 3) AS views, count(DISTINCT CASE WHEN event_type = 3 THEN visitor_key END) AS viewers, count(*) FILTER (event_type = 6) AS atc, 0 AS purchases, 0 AS units, 0 AS revenue, 0 AS abandons FROM ev WHERE product_id IS NOT NULL GROUP BY 1, 2, 3
+UNION ALL SELECT o.tenant_id, o.stat_date, l.product_id, 0, 0, 0, count(DISTINCT o.order_id), sum(l.quantity), sum(l.quantity * 100 - 10), 0 FROM lb l JOIN ob o USING (order_id) WHERE cancelled_at IS NULL GROUP BY 1, 2, 3
+UNION ALL SELECT o.tenant_id, o.stat_date, l.product_id, 0, 0, 0, 0, 0, 0, count(DISTINCT o.order_id) FROM lb l JOIN open_b b ON b.checkout_id = l.order_id JOIN ob o USING (order_id) GROUP BY 1, 2, 3) WHERE {A} GROUP BY 1, 2"""
 _PROD_NAMED = f"SELECT r.*, coalesce(p_name, 'Product ' || product_id) AS name, {pct('atc', 'views')} AS view_to_atc, {pct('purchases', 'views')} AS view_to_buy, {pct('abandons', 'atc')} AS abandon_rate FROM ({_PROD}) r LEFT JOIN part ON p_partkey = product_id"
 
 
@@ -270,11 +291,11 @@ def report_abandonment(s, d):
     return reports.report_abandonment(rows, c.START, c.END)
 
 
-@query("report_retention", sql(
+@query("report_repeat", sql(
     "SELECT tenant_id, cohort_month, cohort_size, " + ", ".join(f"CAST(sum(CASE WHEN days_bucket = {n} THEN reordered END) AS BIGINT) AS reordered_{n}, {pct(f'sum(CASE WHEN days_bucket = {n} THEN reordered END)', 'cohort_size')} AS pct_{n}, date_diff('day', cohort_month, DATE '2001-09-01') < {n} AS too_soon_{n}" for n in (30, 60, 90, 180))
     + " FROM cohorts WHERE cohort_month IN (SELECT DISTINCT cohort_month FROM cohorts ORDER BY 1 DESC LIMIT 12) GROUP BY 1, 2, 3", "cohorts"), dates=("cohort_month",))
-def report_retention(s, d):
-    return reports.report_retention(cohorts(s, d), c.C_TODAY)
+def report_repeat(s, d):
+    return reports.report_repeat(cohorts(s, d), c.C_TODAY)
 
 
 @query("order_distribution", sql(f"SELECT *, {pct('persons', 'sum(persons) OVER ()')} AS share, {pct('sum(CASE WHEN order_count_bucket > 1 THEN persons ELSE 0 END) OVER ()', 'sum(persons) OVER ()')} AS bought_again_pct FROM ({_PERSON})", "oc"), dates=("as_of_date",))
@@ -282,9 +303,9 @@ def order_distribution(s, d):
     return reports.order_distribution(person_orders(s, d))
 
 
-@query("campaign_retention", sql(f"SELECT r.*, {pct('reordered', 'cohort_size')} AS repeat_pct, {_CAMPAIGN_NAME} FROM (SELECT tenant_id, campaign_id, {_sum('cohort_size', 'reordered')} FROM cohorts_c WHERE days_bucket = 90 GROUP BY 1, 2 HAVING sum(cohort_size) > 0 ORDER BY sum(cohort_size) DESC, campaign_id LIMIT 25) r LEFT JOIN camp c ON c.campaign_id = r.campaign_id", "cohorts_c", "camp"), dates=())
-def campaign_retention(s, d):
-    return reports.campaign_retention(campaign_cohorts(s, d), ad.dim_campaign(s))
+@query("campaign_repeat", sql(f"SELECT r.*, {pct('reordered', 'cohort_size')} AS repeat_pct, {_CAMPAIGN_NAME} FROM (SELECT tenant_id, campaign_id, {_sum('cohort_size', 'reordered')} FROM cohorts_c WHERE days_bucket = 90 GROUP BY 1, 2 HAVING sum(cohort_size) > 0 ORDER BY sum(cohort_size) DESC, campaign_id LIMIT 25) r LEFT JOIN camp c ON c.campaign_id = r.campaign_id", "cohorts_c", "camp"), dates=())
+def campaign_repeat(s, d):
+    return reports.campaign_repeat(campaign_cohorts(s, d), ad.dim_campaign(s))
 
 
 _PLACE = "concat_ws(', ', CASE WHEN geo_id < 9 AND geo_id % 4 <> 0 THEN 'city' || geo_id END, CASE WHEN geo_id < 9 AND geo_id % 3 <> 0 THEN 'region' || geo_id END, CASE WHEN geo_id < 9 THEN CASE WHEN geo_id % 2 = 0 THEN 'in' ELSE 'us' END END)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.small import small_table
 from tallyloom.operators import attribution as at
 from tallyloom.operators import identity, rollups
+from tallyloom.plans.lineage import cut_lineage
 from tallyloom.sources import adapters as ad
 
 START, END = date(2024, 1, 11), date(2024, 1, 25)
@@ -103,11 +104,29 @@ def product_rows(spark: SparkSession, d: str) -> DataFrame:
     orders, lines = oc(spark, d), ad.star_lines(spark, d)
     left = open_checkouts(orders, "o_orderstatus = 'P'")
     items = lines.select("tenant_id", F.col("order_id").alias("checkout_id"), "product_id")
-    nothing = ev(spark, d).where("false").select("tenant_id", "stat_date", "product_id", "visitor_key", "event_type")
-    return rollups.product_daily(nothing, orders, lines, left, items)
+    return rollups.product_daily(ev(spark, d), orders, lines, left, items)
 
 
 def first_touch(orders: DataFrame) -> DataFrame:
     """Synthetic acquiring campaigns for star-schema orders."""
     c = F.col("order_id") % 40
     return orders.select("tenant_id", "order_id", F.lit("pixel_first").alias("model"), F.when(c % 4 != 0, c).alias("campaign_id"))
+
+
+DAILY = ("kpi", "funnel", "campaign", "channel", "landing", "product", "geo", "device", "abandon")
+
+
+def daily_rollups(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """All nine daily rollups from shared inputs: dated events, visitor days, numbered orders and attribution are each made once."""
+    events, orders = cut_lineage(ev(spark, d)), cut_lineage(ob(spark, d))
+    visitors, attributed = cut_lineage(rollups.visitor_days(events)), cut_lineage(attr(spark, d))
+    days, stores, lines = spine(spark, d), store(spark), ad.event_lines(spark, d)
+    left = open_checkouts(orders, "order_id % 5 = 0")
+    priced = lines.withColumns({"price_minor": F.lit(100), "discount_minor": F.lit(10)})
+    items = lines.select("tenant_id", F.col("order_id").alias("checkout_id"), "product_id")
+    return {
+        "kpi": rollups.kpi_daily(days, visitors, orders, lines, stores, ad.NOW_EVENTS), "funnel": rollups.funnel_daily(days, visitors),
+        "campaign": rollups.campaign_daily(events, orders, attributed), "channel": rollups.channel_daily(events, orders, attributed, classifier(spark)),
+        "landing": rollups.landing_daily(events, orders, attributed), "product": rollups.product_daily(events, orders, priced, left, items),
+        "geo": rollups.geo_daily(events, orders), "device": rollups.device_daily(events, orders, ad.dim_useragent(spark)), "abandon": rollups.abandon_daily(days, visitors, left),
+    }

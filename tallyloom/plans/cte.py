@@ -34,7 +34,7 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
 SELECT 1 AS tenant_id, event_id AS event_uid, date_trunc('second', ts) AS occurred_at, user_id AS visitor_key,
   CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 3 WHEN 'signup' THEN 6 WHEN 'error' THEN 8 WHEN 'purchase' THEN 13 END AS event_type,
   k AS path_id, CASE WHEN k % 4 <> 0 THEN k END AS campaign_id, CASE WHEN k % 3 <> 0 THEN k % 5 + 1 END AS referrer_id,
-  CASE WHEN event_type IN ('view', 'click') THEN k END AS product_id, k % 10 AS geo_id, CASE WHEN user_id % 7 <> 0 THEN user_id % 7 END AS ua_id,
+  CASE WHEN event_type IN ('view', 'click', 'signup') THEN k END AS product_id, k % 10 AS geo_id, CASE WHEN user_id % 7 <> 0 THEN user_id % 7 END AS ua_id,
   CASE WHEN event_type = 'purchase' THEN event_id END AS order_ref, value, CAST(date_trunc('second', ts) + INTERVAL 330 MINUTE AS DATE) AS stat_date
 FROM (SELECT *, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k FROM events)"""),
     "camp": ((), """
@@ -155,13 +155,13 @@ FROM (SELECT tenant_id, stat_date, coalesce(ua_id, 0) AS ua_id, count(DISTINCT v
     SELECT stat_date, visitor_key, coalesce(ua_id, 0) AS ua_id FROM ev QUALIFY row_number() OVER (PARTITION BY stat_date, visitor_key ORDER BY occurred_at DESC, event_uid DESC) = 1) l
   USING (stat_date, visitor_key) GROUP BY 1, 2) o USING (stat_date, ua_id)
 LEFT JOIN agents a ON a.ua_id = t.ua_id GROUP BY 1, 2, 3, 4, 5"""),
-    "product_rows": (("oc", "lc"), """
-SELECT 1 AS tenant_id, coalesce(s.stat_date, a.stat_date) AS stat_date, coalesce(s.product_id, a.product_id) AS product_id, CAST(0 AS BIGINT) AS views, CAST(0 AS BIGINT) AS viewers, CAST(0 AS BIGINT) AS atc,
-  coalesce(purchases, 0) AS purchases, coalesce(units, 0) AS units, coalesce(revenue_minor, 0) AS revenue_minor, coalesce(abandons, 0) AS abandons
-FROM (SELECT stat_date, product_id, count(DISTINCT order_id) AS purchases, CAST(sum(quantity) AS BIGINT) AS units, CAST(sum(quantity * price_minor - discount_minor) AS BIGINT) AS revenue_minor
-  FROM lc JOIN oc USING (order_id) WHERE cancelled_at IS NULL GROUP BY 1, 2) s
-FULL JOIN (SELECT stat_date, product_id, count(DISTINCT order_id) AS abandons FROM lc JOIN oc USING (order_id) WHERE o_orderstatus = 'P' GROUP BY 1, 2) a
-ON s.stat_date = a.stat_date AND s.product_id = a.product_id"""),
+    "product_rows": (("ev", "oc", "lc"), """
+SELECT tenant_id, stat_date, product_id, CAST(sum(views) AS BIGINT) AS views, CAST(sum(viewers) AS BIGINT) AS viewers, CAST(sum(atc) AS BIGINT) AS atc, CAST(sum(purchases) AS BIGINT) AS purchases,
+  CAST(sum(units) AS BIGINT) AS units, CAST(sum(revenue) AS BIGINT) AS revenue_minor, CAST(sum(abandons) AS BIGINT) AS abandons FROM (
+SELECT tenant_id, stat_date, product_id, count(*) FILTER (event_type = 3) AS views, count(DISTINCT CASE WHEN event_type = 3 THEN visitor_key END) AS viewers, count(*) FILTER (event_type = 6) AS atc,
+  0 AS purchases, 0 AS units, 0 AS revenue, 0 AS abandons FROM ev WHERE product_id IS NOT NULL GROUP BY 1, 2, 3
+UNION ALL SELECT oc.tenant_id, stat_date, product_id, 0, 0, 0, count(DISTINCT order_id), sum(quantity), sum(quantity * price_minor - discount_minor), 0 FROM lc JOIN oc USING (order_id) WHERE cancelled_at IS NULL GROUP BY 1, 2, 3
+UNION ALL SELECT oc.tenant_id, stat_date, product_id, 0, 0, 0, 0, 0, 0, count(DISTINCT order_id) FROM lc JOIN oc USING (order_id) WHERE o_orderstatus = 'P' GROUP BY 1, 2, 3) GROUP BY 1, 2, 3"""),
     "first_orders": (("oc",), """
 SELECT tenant_id, person_id, min(created_at) AS first_at, min(CASE WHEN order_sequence = 2 THEN created_at END) AS next_at,
   min(CASE WHEN order_sequence = 1 AND (order_id % 40) % 4 <> 0 THEN order_id % 40 END) AS campaign_id

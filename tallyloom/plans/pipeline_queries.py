@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ def _lines(s, d) -> DataFrame:
         F.when(k % 10 == 0, F.lit(12)).otherwise(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ts"), F.when(k % 8 != 0, F.concat(F.lit("u"), text(F.col("user_id")))).alias("cid"),
         F.concat(F.lit("https://shop.example/products/"), text(k), F.lit("?utm_source=s"), text(k % 3), F.lit("&utm_medium=a%20b")).alias("u"), F.when(k % 6 == 0, "https://www.google.com/").alias("r"),
         F.lit(None).cast("string").alias("cu"), F.when(k % 7 == 0, "1d").when(k % 7 == 1, "-5").otherwise(text(k)).alias("p"), F.lit("NaN").alias("v"), F.when(k % 5 == 0, "99999999999").otherwise(text(k)).alias("q"),
-        F.when(k % 11 == 0, "1e30").otherwise(text(F.round(F.col("value")))).alias("a"), F.lit("inr").alias("c"), text(F.when(k % 2 == 0, k)).alias("ct"), text(F.when(F.col("event_type") == "purchase", e)).alias("o"),
+        F.when(k % 11 == 0, "1e30").otherwise(text(F.round(F.col("value")))).alias("a"), F.when(k % 3 == 0, "inr").when(k % 3 == 1, " Usd ").otherwise("xxx").alias("c"), text(F.when(k % 2 == 0, k)).alias("ct"), text(F.when(F.col("event_type") == "purchase", e)).alias("o"),
         F.lit(" Red Shoes ").alias("st"), F.lit(None).cast("struct<t: string, s: string, h: string>").alias("cl"), F.lit(1).alias("_t"), F.lit("10.0.0.1").alias("_ip"),
         F.lit("Mozilla/5.0 (iPhone) Safari").alias("_ua"), F.unix_millis(F.col("ts").cast("timestamp") + F.expr("INTERVAL 5 SECONDS")).alias("_rx"), F.lit(None).cast("string").alias("_corrupt"),
         F.concat(F.lit("f"), text(F.dayofmonth("ts"))).alias("_file"),
@@ -112,16 +113,21 @@ def typed(s, d) -> DataFrame:
     return ingest.event_shred(ingest.event_map_type(_lines(s, d)), _salted(s), NOW)
 
 
+_NAME = "CASE event_type WHEN 'view' THEN ' Page_Viewed ' WHEN 'click' THEN 'product_viewed' WHEN 'signup' THEN 'input_changed' WHEN 'error' THEN 'checkout_started' ELSE 'identify' END"
+_MS = "CASE WHEN k % 10 = 0 THEN 12 ELSE epoch_us(ts) // 1000 END"
+_CONTENT = f"[CASE WHEN k % 8 = 0 THEN '' ELSE 'u' || user_id END, {_NAME}, CAST({_MS} AS VARCHAR), 'https://shop.example/products/' || k || '?utm_source=s' || (k % 3) || '&utm_medium=a%20b', CASE k % 7 WHEN 0 THEN '1d' WHEN 1 THEN '-5' ELSE CAST(k AS VARCHAR) END]"
+_ID = f"CASE WHEN event_id % 9 <> 0 THEN 'e' || event_id ELSE 'syn:' || sha256(CAST(to_json({_CONTENT}) AS VARCHAR)) END"
+_UID = key63(f"'1:' || {_ID}")
 _HASH = "substr(sha256('salt:u' || user_id), 1, 32)"
 
 
-@query("event_shred", f"""SELECT {key63("'1:e' || event_id")} AS event_uid, date_trunc('second', CASE WHEN k % 10 = 0 THEN ts + INTERVAL 5 SECOND ELSE ts END) AS occurred_at, CAST({_CODE} AS INT) AS event_type,
+@query("event_shred", f"""SELECT {_UID} AS event_uid, date_trunc('second', CASE WHEN k % 10 = 0 THEN ts + INTERVAL 5 SECOND ELSE ts END) AS occurred_at, CAST({_CODE} AS INT) AS event_type,
 CASE WHEN k % 8 = 0 THEN 0 ELSE {key63(f"'1:' || {_HASH}")} END AS visitor_key, {key63("'/products/' || k")} AS path_id, CASE WHEN k % 6 = 0 THEN {key63("'https://www.google.com/'")} END AS referrer_id,
 {key63("concat_ws(chr(31), 's' || (k % 3), 'a b', '', '', '', '0', '0')")} AS campaign_id, CASE WHEN k % 7 NOT IN (0, 1) THEN k END AS product_id, CAST(NULL AS BIGINT) AS variant_id, CAST(CASE WHEN k % 5 = 0 THEN 65535 ELSE k END AS INT) AS qty,
-CASE WHEN k % 11 = 0 THEN 4294967295 ELSE CAST(round(value) AS BIGINT) END AS amount_minor, 'INR' AS currency, CASE WHEN k % 2 = 0 THEN {key63("CAST(k AS VARCHAR)")} END AS checkout_token,
-CASE WHEN event_type = 'purchase' THEN event_id END AS order_ref, {key63("'red shoes'")} AS search_term_id FROM {_E} WHERE {_CODE} IS NOT NULL AND event_id % 9 <> 0""", dates=())
+CASE WHEN k % 11 = 0 THEN 4294967295 ELSE CAST(round(value) AS BIGINT) END AS amount_minor, CASE k % 3 WHEN 0 THEN 'INR' WHEN 1 THEN 'USD' END AS currency, CASE WHEN k % 2 = 0 THEN {key63("CAST(k AS VARCHAR)")} END AS checkout_token,
+CASE WHEN event_type = 'purchase' THEN event_id END AS order_ref, {key63("'red shoes'")} AS search_term_id FROM {_E} WHERE {_CODE} IS NOT NULL""", dates=())
 def event_shred(s, d):
-    rows = ingest.event_shred(ingest.event_map_type(_lines(s, d)).where("id is not null"), _salted(s), NOW)
+    rows = typed(s, d)
     return rows.select("event_uid", "occurred_at", "event_type", "visitor_key", "path_id", "referrer_id", "campaign_id", "product_id", "variant_id", "qty", "amount_minor", "currency", "checkout_token", "order_ref", "search_term_id")
 
 
@@ -316,12 +322,25 @@ def platform_attribution(s, d):
     return orders.platform_attribution(flat(s, d)).select("order_id", "model", "campaign_id", "landing_path_id", "touch_at")
 
 
-@query("orders_hash_contacts", dates=())
+_PADS = [p.hex() for p in hmac_pads(b"tenant-salt")]
+
+
+def _hmac(text: str) -> str:
+    return f"substr(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode({text})))), 1, 32)"
+
+
+@query("orders_hash_contacts", f"""SELECT 1 AS tenant_id, o_orderkey AS order_id, {_hmac("'user' || o_custkey || '@example.com'")} AS email_hash, {_hmac("'98765' || lpad(CAST(o_custkey % 100000 AS VARCHAR), 5, '0')")} AS phone_hash, {_hmac("CAST(o_custkey AS VARCHAR)")} AS customer_hash FROM orders""", dates=())
 def orders_hash_contacts(s, d):
     pads = small_table(s, [(1, *map(bytearray, hmac_pads(b"tenant-salt")))], "tenant_id INT, inner_pad BINARY, outer_pad BINARY")
     return orders.orders_hash_contacts(flat(s, d), pads).select("tenant_id", "order_id", "email_hash", "phone_hash", "customer_hash")
 
 
+@query("quarantine_report", "SELECT 1 AS tenant_id, count(*) AS rejected, string_agg(CASE WHEN n <= 5 THEN CAST(o_orderkey AS VARCHAR) END, ',' ORDER BY n) AS first_orders FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderkey % 50 = 0) HAVING count(*) > 0", dates=())
+def quarantine_report(s, d):
+    report = orders.quarantine_report(orders.orders_quarantine(flat(s, d))[1])
+    return report.select("tenant_id", "rejected", F.array_join(F.transform("examples", lambda x: x["order_id"].cast("string")), ",").alias("first_orders"))
+
+
 @query("order_visitor_link", sql("SELECT tenant_id, order_id, CASE WHEN order_id % 4 = 0 THEN visitor_key END AS own, visitor_key FROM ob", "ob"), dates=())
 def order_visitor_link(s, d):
     unlinked = ad.event_orders(s, d).withColumn("own", F.when(F.col("order_id") % 4 == 0, F.col("visitor_key"))).withColumn("visitor_key", F.col("own"))
@@ -389,24 +408,90 @@ query("purge_due", "SELECT tenant_id, CASE WHEN tenant_id = 2 THEN 'two.example.
 )
 
 
-@query("purge_store", sql("SELECT 'events' AS table_name, count(*) FILTER (event_uid % 2 = 1) AS rows_removed, count(*) FILTER (event_uid % 2 = 0) AS rows_left FROM ev UNION ALL SELECT 'orders', count(*) FILTER (order_id % 2 = 1), count(*) FILTER (order_id % 2 = 0) FROM oc UNION ALL SELECT 'rollup', 0, count(*) FROM ov", "ev", "oc", "ov"), dates=())
+_PURGED = {
+    "events": ("ev", "event_uid"), "orders": ("oc", "order_id"), "order_line_items": ("lc", "order_id"), "identity_keys": ("ikeys", "order_id"),
+    "persons": ("(SELECT DISTINCT person_id FROM oc)", "person_id"), "dim_visitor": ("(SELECT DISTINCT visitor_key FROM ev)", "visitor_key"),
+    "dim_campaign": ("camp", "campaign_id"), "dim_path": ("paths", "path_id"),
+}
+_PURGE = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) FILTER ({k} % 2 = 1) AS rows_removed, count(*) FILTER ({k} % 2 = 0) AS rows_left FROM {t}" for n, (t, k) in _PURGED.items())
+
+
+@query("purge_store", sql(_PURGE + " UNION ALL SELECT 'rollup', 0, count(*) FROM ov", "ev", "oc", "lc", "ikeys", "camp", "paths", "ov"), dates=())
 def purge_store(s, d):
-    tables = {"events": _split(ad.events(s, d), "event_uid"), "orders": _split(ad.star_orders(s, d), "order_id"), "rollup": rollups.orders_by_visitor(c.ob(s, d))}
+    events, placed = ad.events(s, d), ad.star_orders(s, d)
+    source = {
+        "events": events, "orders": placed, "order_line_items": ad.star_lines(s, d), "identity_keys": identity.identity_keys(ad.identity_orders(s, d)),
+        "persons": placed.select("person_id").distinct(), "dim_visitor": events.select("visitor_key").distinct(), "dim_campaign": ad.dim_campaign(s), "dim_path": ad.dim_path(s),
+    }
+    tables = {n: _split(df, _PURGED[n][1]) for n, df in source.items()} | {"rollup": rollups.orders_by_visitor(c.ob(s, d))}
     kept, counts = privacy.purge_store(tables, privacy.purge_due(ad.tenants(s), NOW), rollups=("rollup",))
-    left = [df.select(F.lit(n).alias("table_name")).groupBy("table_name").agg(F.count("*").alias("rows_left")) for n, df in kept.items()]
-    return left[0].unionByName(left[1]).unionByName(left[2]).join(counts.drop("tenant_id"), "table_name", "left").select("table_name", F.coalesce("rows_removed", F.lit(0)).alias("rows_removed"), "rows_left")
+    left = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("rows_left")).select(F.lit(n).alias("table_name"), "rows_left") for n, df in kept.items()])
+    return left.join(counts.drop("tenant_id"), "table_name", "left").select("table_name", F.coalesce("rows_removed", F.lit(0)).alias("rows_removed"), "rows_left")
 
 
-@query("redact_person", sql("""SELECT order_id, CASE WHEN gone THEN NULL ELSE person_id END AS person_id, CASE WHEN gone THEN NULL ELSE customer_hash END AS customer_hash, CASE WHEN gone THEN NULL ELSE phone_hash END AS phone_hash
-FROM (SELECT p.order_id, p.person_id, i.customer_hash, i.phone_hash, p.person_id IN (SELECT person_id FROM people JOIN ikeys USING (order_id) WHERE key_type = 'phone') AS gone FROM people p JOIN ident i USING (order_id))""", "people", "ident", "ikeys"), dates=())
-def redact_person(s, d):
+@query("purge_tombstone", "SELECT CAST(user_id AS INT) AS tenant_id, CASE WHEN user_id % 3 = 0 THEN 'uninstalled' ELSE 'active' END AS status, CASE WHEN user_id % 3 <> 0 THEN 'd' || user_id END AS custom_domain, CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '2024-01-31 00:00:00' END AS purged_at FROM (SELECT DISTINCT user_id FROM events)", dates=())
+def purge_tombstone(s, d):
+    gone = F.col("tenant_id") % 3 == 0
+    at = F.lit("2024-01-01").cast("timestamp")
+    stores = ad.events(s, d).select(F.col("visitor_key").cast("int").alias("tenant_id")).distinct().select(
+        "tenant_id", F.when(gone, "uninstalled").otherwise("active").alias("status"), F.concat(F.lit("d"), F.col("tenant_id").cast("string")).alias("custom_domain"),
+        F.when(gone, at).alias("purge_after"), F.lit(None).cast("timestamp").alias("purged_at"),
+    )
+    return privacy.purge_tombstone(stores, privacy.purge_due(stores, NOW), NOW).select("tenant_id", "status", "custom_domain", "purged_at")
+
+
+def _redacted(s, d) -> dict[str, DataFrame]:
+    """All tables that know persons, after every seventh customer, by hash of each type and some by number, has asked to be forgotten."""
     base = ad.identity_orders(s, d)
-    placed = base.join(identity.identity_resolve(base), ["tenant_id", "order_id"])
+    placed = base.join(identity.identity_resolve(base), ["tenant_id", "order_id"]).withColumn("shopify_customer_id", F.col("order_id") * 10)
     keys = identity.identity_keys(placed).join(placed.select("tenant_id", "order_id", "person_id"), ["tenant_id", "order_id"])
     keys = keys.select("tenant_id", "key_type", "key_hash", "person_id").distinct()
-    asked = keys.where("key_type = 'phone'").select("tenant_id", "key_type", "key_hash")
-    seen = placed.select("tenant_id", "visitor_key", "person_id")
-    return privacy.redact_person(placed, seen, keys, asked)["orders"].select("order_id", "person_id", "customer_hash", "phone_hash")
+    asked = identity.identity_keys(base).where(_ASKED).select("tenant_id", "key_type", "key_hash", F.when(F.col("order_id") % 2 == 0, F.col("order_id") * 10).alias("shopify_customer_id"))
+    merges = placed.where("person_id <> order_id").select("tenant_id", F.col("person_id").alias("survivor_id"), F.col("order_id").alias("absorbed_id"))
+    tables = {
+        "orders": placed, "abandoned_checkouts": placed.select("tenant_id", F.col("order_id").alias("checkout_id"), "person_id", "email_hash", "phone_hash"),
+        "visitors": placed.select("tenant_id", F.col("order_id").alias("visitor_key"), "person_id"), "customers": placed.select("tenant_id", "shopify_customer_id", "person_id"),
+        "identity_keys": keys, "persons": placed.select("tenant_id", "person_id").distinct(), "person_merges": merges, "resequence_queue": placed.select("tenant_id", "person_id").distinct(),
+    }
+    return privacy.redact_person(tables, asked)
+
+
+_ASKED = "(key_type = 'phone' AND order_id % 3 = 0) OR (key_type = 'email' AND order_id % 5 = 0) OR (key_type = 'customer' AND order_id % 49 = 3)"
+_FORGET = f"""asked AS (SELECT key_hash, CASE WHEN order_id % 2 = 0 THEN order_id * 10 END AS cust FROM ikeys WHERE {_ASKED}), hashes AS (SELECT DISTINCT key_hash FROM asked), custs AS (SELECT DISTINCT cust FROM asked WHERE cust IS NOT NULL),
+gone AS (SELECT DISTINCT person_id FROM people JOIN ikeys USING (order_id) JOIN hashes USING (key_hash)),
+base AS (SELECT p.order_id, p.person_id, p.person_id IN (SELECT person_id FROM gone) AS lost, coalesce(i.email_hash IN (SELECT key_hash FROM hashes) OR i.phone_hash IN (SELECT key_hash FROM hashes) OR i.customer_hash IN (SELECT key_hash FROM hashes), false) AS known,
+  coalesce(i.email_hash IN (SELECT key_hash FROM hashes), false) OR coalesce(i.phone_hash IN (SELECT key_hash FROM hashes), false) AS contact, coalesce(i.email_hash IN (SELECT key_hash FROM hashes), false) OR coalesce(i.phone_hash IN (SELECT key_hash FROM hashes), false) OR coalesce(i.customer_hash IN (SELECT key_hash FROM hashes), false) AS any_hash,
+  p.order_id * 10 IN (SELECT cust FROM custs) AS asked, i.customer_hash, i.phone_hash, i.email_hash FROM people p JOIN ident i USING (order_id))"""
+
+
+def _forgotten(body: str) -> str:
+    head = sql("", "people", "ident", "ikeys").rstrip()
+    return f"{head}, {_FORGET} {body}"
+
+
+@query("redact_person", _forgotten("SELECT order_id, " + ", ".join(f"CASE WHEN NOT (lost OR any_hash OR asked) THEN {c} END AS {c}" for c in ("person_id", "customer_hash", "phone_hash", "email_hash")) + ", CASE WHEN NOT (lost OR any_hash OR asked) THEN order_id * 10 END AS shopify_customer_id FROM base"), dates=())
+def redact_person(s, d):
+    return _redacted(s, d)["orders"].select("order_id", "person_id", "customer_hash", "phone_hash", "email_hash", "shopify_customer_id")
+
+
+_LEFT = {
+    "abandoned_checkouts": "SELECT count(*) AS n, sum(CASE WHEN NOT (lost OR contact) THEN person_id END) AS p FROM base",
+    "visitors": "SELECT count(*), sum(CASE WHEN NOT lost THEN person_id END) FROM base",
+    "customers": "SELECT count(*) FILTER (NOT asked), sum(CASE WHEN NOT asked AND NOT lost THEN person_id END) FROM base",
+    "identity_keys": "SELECT count(*), sum(person_id) FROM (SELECT DISTINCT key_type, key_hash, person_id FROM people JOIN ikeys USING (order_id)) WHERE person_id NOT IN (SELECT person_id FROM gone) AND key_hash NOT IN (SELECT key_hash FROM hashes)",
+    "persons": "SELECT count(*), sum(person_id) FROM (SELECT DISTINCT person_id FROM people) WHERE person_id NOT IN (SELECT person_id FROM gone)",
+    "person_merges": "SELECT count(*), sum(person_id) FROM people WHERE person_id <> order_id AND person_id NOT IN (SELECT person_id FROM gone) AND order_id NOT IN (SELECT person_id FROM gone)",
+    "resequence_queue": "SELECT count(*), sum(person_id) FROM (SELECT DISTINCT person_id FROM people) WHERE person_id NOT IN (SELECT person_id FROM gone)",
+}
+
+
+@query("redact_tables", _forgotten(" UNION ALL ".join(f"SELECT '{n}' AS table_name, CAST(n AS BIGINT) AS rows_left, CAST(coalesce(p, 0) AS BIGINT) AS person_sum FROM ({q}) t(n, p)" for n, q in _LEFT.items())), dates=())
+def redact_tables(s, d):
+    """Rows that each further table keeps, and the sum of the persons they still name."""
+    left = _redacted(s, d)
+    named = {n: F.col("survivor_id" if n == "person_merges" else "person_id") for n in _LEFT}
+    sums = [left[n].agg(F.count("*").alias("rows_left"), F.coalesce(F.sum(named[n]), F.lit(0)).cast("bigint").alias("person_sum")).select(F.lit(n).alias("table_name"), "rows_left", "person_sum") for n in _LEFT]
+    return reduce(DataFrame.unionByName, sums)
 
 
 query("orphan_events", sql("SELECT CAST(event_uid % 3 + 1 AS INT) AS tenant_id, event_uid FROM ev WHERE event_uid % 3 = 2", "ev"), dates=())(
@@ -464,6 +549,28 @@ def mon_backlog(s, d):
     return monitors.mon_backlog(log.select("file_name", F.col("imported_at").alias("closed_at")), log, NOW)
 
 
+@query("mon_backlog_files", f"SELECT 'import:backlog' AS alert_key, 'warn' AS severity, count(DISTINCT hour) AS hours FROM (SELECT {_MS} % 8 AS hour FROM {_E}) WHERE hour BETWEEN 3 AND 4 HAVING count(*) > 0", dates=())
+def mon_backlog_files(s, d):
+    """The monitor over a listing of landed files, of which those of the first three hours are imported."""
+    folder, later = _folder(s), datetime(2100, 1, 1)
+    _write_feed(s, d, f"{folder}/feed")
+    files = monitors.feed_files(s, f"{folder}/feed", datetime(2024, 1, 30, 5))
+    hour = F.regexp_extract("file_path", r"hour=(\d{10})/", 1)
+    done = monitors.listed_files(s, f"{folder}/feed").where(hour < "2024013003").select(F.regexp_extract("file_path", feeds.FEED_FILE, 1).alias("file_name"), F.lit("ok").alias("status"))
+    waiting = monitors.listed_files(s, f"{folder}/feed").where((hour >= "2024013003") & (hour < "2024013005")).select(hour.alias("hour")).distinct()
+    found = monitors.mon_backlog(files, done, later, most=10_000)
+    return found.join(waiting.agg(F.count("*").alias("hours"))).select("alert_key", "severity", "hours")
+
+
+@query("mon_capacity_files", sql("SELECT CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS event_date, true AS over FROM ev GROUP BY 1", "ev"), dates=())
+def mon_capacity_files(s, d):
+    """The monitor over the sizes of an event table's files, with a limit that each day is beyond."""
+    folder = _folder(s)
+    sinks.sink_events(ad.events(s, d), f"{folder}/events")
+    found = monitors.mon_capacity(monitors.file_sizes(s, f"{folder}/events", "event_date"), 1000)
+    return found.select(F.substring_index("alert_key", ":", -1).alias("event_date"), (F.col("severity") == "critical").alias("over"))
+
+
 _CAP = "SELECT event_type, CAST(sum(length(props) * 1000) AS BIGINT) AS b FROM events GROUP BY 1"
 
 
@@ -495,12 +602,12 @@ def mon_alert_state(s, d):
 
 def _write_feed(s, d, path: str) -> None:
     """Feed lines as NDJSON, a folder for each of eight hours."""
-    lines = _lines(s, d).where("id is not null").drop("_corrupt", "_file")
+    lines = _lines(s, d).drop("_corrupt", "_file")
     hour = F.concat(F.lit("202401300"), (F.col("ts") % 8).cast("string"))
     lines.withColumn("hour", hour).write.partitionBy("hour").json(path)
 
 
-@query("src_event_feed", f"SELECT '202401300' || ms % 8 AS hour, count(*) AS lines, count(DISTINCT id) AS ids FROM (SELECT 'e' || event_id AS id, CASE WHEN k % 10 = 0 THEN 12 ELSE epoch_us(ts) // 1000 END AS ms FROM {_E} WHERE event_id % 9 <> 0) WHERE ms % 8 < 5 GROUP BY 1", dates=())
+@query("src_event_feed", f"SELECT '202401300' || ms % 8 AS hour, count(*) AS lines, count(DISTINCT id) AS ids FROM (SELECT CASE WHEN event_id % 9 <> 0 THEN 'e' || event_id END AS id, {_MS} AS ms FROM {_E}) WHERE ms % 8 < 5 GROUP BY 1", dates=())
 def src_event_feed(s, d):
     folder = _folder(s)
     _write_feed(s, d, f"{folder}/feed")
@@ -609,15 +716,30 @@ def stream_kpi(s, d):
     return s.read.parquet(f"{folder}/rollup").select(F.col("stat_date").cast("date").alias("stat_date"), "sessions")
 
 
-@query("stream_ingest", f"SELECT {key63("'1:e' || event_id")} AS event_uid, date_trunc('second', CASE WHEN k % 10 = 0 THEN ts + INTERVAL 5 SECOND ELSE ts END) AS occurred_at, CAST({_CODE} AS INT) AS event_type FROM {_E} WHERE {_CODE} IS NOT NULL AND event_id % 9 <> 0", dates=())
+_TYPED = f"SELECT {_UID} AS event_uid, date_trunc('second', CASE WHEN k % 10 = 0 THEN ts + INTERVAL 5 SECOND ELSE ts END) AS occurred_at, CAST({_CODE} AS INT) AS event_type, date_trunc('second', ts + INTERVAL 5 SECOND) AS received_at, {_MS} % 8 AS hour FROM {_E} WHERE {_CODE} IS NOT NULL"
+
+
+@query("stream_ingest", f"SELECT event_uid, occurred_at, event_type FROM ({_TYPED}) WHERE hour < 5 QUALIFY row_number() OVER (PARTITION BY event_uid ORDER BY received_at, occurred_at) = 1", dates=())
 def stream_ingest(s, d):
     folder = _folder(s)
     _write_feed(s, d, f"{folder}/feed")
     _write_feed(s, d, f"{folder}/feed/again")  # replays add nothing
-    streams.stream_ingest(s, f"{folder}/feed", f"{folder}/events", f"{folder}/checkpoint", _salted(s), lambda: NOW, max_files=1000).awaitTermination()
+    now = datetime(2024, 1, 30, 5)  # three of eight hours are not closed
+    streams.stream_ingest(s, f"{folder}/feed", f"{folder}/events", f"{folder}/checkpoint", _salted(s), lambda: now, max_files=1000).awaitTermination()
     return s.read.parquet(f"{folder}/events").select("event_uid", "occurred_at", "event_type")
 
 
+@query("stream_ingest_audit", f"""SELECT CAST(2 * count(*) FILTER (c IS NOT NULL) AS BIGINT) AS typed_lines, CAST(2 * count(*) FILTER (c IS NULL) AS BIGINT) AS skipped, count(DISTINCT u) FILTER (c IS NOT NULL) AS accepted, CAST(0 AS BIGINT) AS malformed
+FROM (SELECT {_CODE} AS c, {_UID} AS u, {_MS} % 8 AS hour FROM {_E}) WHERE hour < 5""", dates=())
+def stream_ingest_audit(s, d):
+    folder = _folder(s)
+    _write_feed(s, d, f"{folder}/feed")
+    _write_feed(s, d, f"{folder}/feed/again")
+    streams.stream_ingest(s, f"{folder}/feed", f"{folder}/events", f"{folder}/checkpoint", _salted(s), lambda: datetime(2024, 1, 30, 5), max_files=1000, audit=f"{folder}/audit").awaitTermination()
+    counts = s.read.parquet(f"{folder}/audit")
+    return counts.agg((F.sum("accepted") + F.sum("duplicate")).alias("typed_lines"), *(F.sum(c).alias(c) for c in ("skipped", "accepted", "malformed")))
+
+
 @query("stream_order_merge", sql("SELECT order_id, CASE WHEN order_id % 3 = 0 THEN total_minor + 1 ELSE total_minor END AS total_minor FROM oc", "oc"), dates=())
 def stream_order_merge(s, d):
     folder = _folder(s)
@@ -627,8 +749,5 @@ def stream_order_merge(s, d):
     source = s.readStream.schema(versions.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/feed/*")
     run = streams.stream_order_merge(source, f"{folder}/orders", f"{folder}/checkpoint")
     run.processAllAvailable()
-    last = run.lastProgress["batchId"]
     run.stop()
-    while not streams._exists(s, f"{folder}/orders/version={last}"):
-        last -= 1
-    return s.read.parquet(f"{folder}/orders/version={last}").select("order_id", "total_minor")
+    return streams.read_orders(s, f"{folder}/orders").select("order_id", "total_minor")

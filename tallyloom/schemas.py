@@ -38,6 +38,11 @@ STAGE_NAMES = {
 }
 DEVICE_NAMES = {0: "Unknown", 1: "Mobile", 2: "Desktop", 3: "Tablet", 4: "Bot"}
 
+# Currencies that amounts may be in.
+CURRENCIES = ("INR", "USD", "AED", "GBP", "EUR")
+# What a campaign without tags is called.
+NO_CAMPAIGN, GOOGLE_CLICK, FACEBOOK_CLICK, CAMPAIGN_NUMBER = "No campaign tag", "Google Ads (auto-tagged)", "Facebook link (fbclid)", "Campaign #"
+
 MODELS = ("pixel_first", "pixel_last", "shopify_first", "shopify_last")
 DIRECT, OTHER = "Direct/Untracked", "Other"
 COHORT_DAYS = (30, 60, 90, 180)

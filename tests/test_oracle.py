@@ -46,7 +46,7 @@ def duck():
 def test_query_matches_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, DATA)
     got = rows_of(df.columns, df.collect())
-    assert got or name in ("products_leaky", "report_retention")  # thresholds that few rows do not reach
+    assert got or name in ("products_leaky", "report_repeat")  # thresholds that few rows do not reach
     if name in registry.ORACLE_SQL:
         cursor = duck.execute(registry.ORACLE_SQL[name])
         columns = [c[0] for c in cursor.description]
