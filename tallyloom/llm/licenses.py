@@ -5,10 +5,12 @@ words) and every window of WINDOWS words of every paragraph. A paragraph is all
 words), joined; windows of one length overlap by half, so each notice lies whole in a window at most about twice its
 length or in its whole paragraph, wherever lines break. The classifier is trained on notices of each family with random
 neighbours and gaps, and in windows of the same lengths, against paragraphs of a bounded sample of documents and windows
-of them. Its probabilities are calibrated by a temperature fitted on held-out examples. A line or window whose best
-family stays below ``sure`` while "no licence" is unlikely too is ``unknown``; and a family counts only if one of its
-notices confirms it by common word pairs, otherwise it is ``unknown`` as well. An unknown licence must have one of TERMS,
-else it is none.
+of them. ``unknown`` is a class of its own, trained on notices of licences that are no family. Calibration uses examples
+that did not train: a temperature for the probabilities; ``licensed``, from which probability on something is a licence
+at all, so that at most FALSE_ALARMS of the windows without one pass; and ``sure``, from which on a family counts, so that
+at most FALSE_FAMILIES of the notices of further licences, none of which trained, are taken for a family. A family also
+needs one of its notices to confirm it by common word pairs; what is a licence otherwise is ``unknown``, and must have one
+of TERMS. (The families' own notices both train and confirm: confirmation guards the wording, it is no second opinion.)
 
 Of matches that share words, the one stays that has the largest part of its notice; unknown ones come last. A match is
 the whole line where its notice lies in one of at most MAX_WORDS words that has no other match, else it reaches from the
@@ -24,7 +26,7 @@ through ``scan_licenses`` and clashing names are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +102,27 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "No part of this publication may be reproduced without prior written permission of the publisher",
     ),
 }
+#: How licences outside the families announce themselves. The first list trains the unknown class, the second calibrates it.
+OTHER_LICENSES = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "Distributed under the Boost Software License, Version 1.0",
+    "This package is distributed under the terms of the Artistic License 2.0",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License",
+    "Licensed under the European Union Public Licence, version 1.2",
+    "This source is subject to the Microsoft Public License",
+    "Licensed under the terms of the Python Software Foundation license agreement",
+    "Licensed under the Open Software License version 3.0",
+    "This file may be used under a custom license that grants special rights to licensed users",
+)
+HELD_OUT_LICENSES = (
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1",
+    "This database is made available under the Open Database License",
+    "This software is governed by the CeCILL license under French law and abiding by the rules of distribution of free software",
+    "Licensed under the University of Illinois Open Source License",
+    "Use is subject to a commercial license with royalty payments",
+)
 #: Sentences that use the same words and are no licence.
 OTHER_PHRASES = (
     "the driver showed his license to the officer", "a public version of the work was released under the bridge",
@@ -110,13 +133,15 @@ OTHER_PHRASES = (
 TERMS = frozenset(
     b"license licence licensed licensing copyright copyrighted redistribution redistribute permission permitted rights warranty proprietary spdx copyleft royalty".split()
 )
-FAMILIES = (NONE, *NOTICES)
+FAMILIES = (NONE, *NOTICES, UNKNOWN)
 BITS, MAX_WORDS, PIECE_BYTES = 16, 64, 1 << 19
 #: Lengths of windows in words. Half of the last, and one, is at least the longest notice.
 WINDOWS = (8, 16, 32, MAX_WORDS)
 #: Windows are scored in runs of so many words.
 WORDS_AT_ONCE = 1 << 16
 PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Shares of windows without a licence, and of notices of other licences, that calibration lets pass.
+FALSE_ALARMS, FALSE_FAMILIES = 0.005, 0.02
 
 
 def grams(words: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +161,10 @@ class Classifier:
     weights: np.ndarray  # slots by families
     bias: np.ndarray
     temperature: float = 1.0
+    licensed: float = 0.5
+    sure: float = 0.7
+    #: On held-out examples: expected calibration error, and what share of further licences is told to be one, and no family.
+    quality: dict[str, float] = field(default_factory=dict)
 
     def probabilities(self, words: np.ndarray, n_words: np.ndarray) -> np.ndarray:
         """Rows by families; rows must have words."""
@@ -173,80 +202,98 @@ def _hashes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.bincount(rows, minlength=len(texts))
 
 
-def train(other: list[list[bytes]], rounds: int = 12, copies: int = 40, seed: int = 4) -> Classifier:
-    """Fit on varied notices against ``other`` paragraphs (lists of words), both as they are and in windows of WINDOWS words.
-
-    Every fifth example sets the temperature.
+def _noted(notices: tuple[str, ...], copies: int, rng: np.random.Generator, other: list[list[bytes]]) -> list[list[bytes]]:
+    """Varied copies of notices: with words left out, random neighbours, and in windows of WINDOWS words."""
+    examples = []
+    for notice in notices:
+        base = words_of(notice.encode())
+        for copy in range(copies):
+            words = [w for w in base if len(base) < 6 or copy == 0 or rng.random() > 0.08]
+            if copy % 2:
+                words = [*_filler(other, int(rng.integers(0, 6)), rng), *words, *_filler(other, int(rng.integers(0, 10)), rng)]
+            examples.append(words[:MAX_WORDS])  # notices are shorter
+            words = [w for w in base if len(base) < 6 or rng.random() > 0.08]
+            fits = [n for n in WINDOWS if len(words) <= n and (n == WINDOWS[0] or n < 4 * len(words))]
+            more = int(rng.choice(fits)) - len(words)
+            before = int(rng.integers(more + 1))
+            examples.append([*_filler(other, before, rng), *words, *_filler(other, more - before, rng)])
+    return examples
+
+
+def _filler(other: list[list[bytes]], n: int, rng: np.random.Generator) -> list[bytes]:
+    found: list[bytes] = []
+    while len(found) < n:
+        found += other[rng.integers(len(other))]
+    at = rng.integers(len(found) - n + 1)
+    return found[at : at + n]
+
+
+def train(other: list[list[bytes]], rounds: int = 20, copies: int = 40, seed: int = 4) -> Classifier:
+    """Fit on varied notices against ``other`` paragraphs (lists of words), both as they are (long ones cut at random) and in
+    windows of WINDOWS words. Every fifth example, and the held-out licences, calibrate.
     """
     rng = np.random.default_rng(seed)
-    other = [w[:MAX_WORDS] for w in other if w] + [words_of(p.encode()) for p in OTHER_PHRASES]
-    examples, labels = [], []
-
-    def filler(n: int) -> list[bytes]:
-        found: list[bytes] = []
-        while len(found) < n:
-            found += other[rng.integers(len(other))]
-        at = rng.integers(len(found) - n + 1)
-        return found[at : at + n]
-
-    for k, family in enumerate(FAMILIES[1:], 1):
-        for notice in NOTICES[family]:
-            base = words_of(notice.encode())
-            for copy in range(copies):
-                words = [w for w in base if len(base) < 6 or copy == 0 or rng.random() > 0.08]
-                if copy % 2:
-                    words = [*other[rng.integers(len(other))][: rng.integers(0, 6)], *words, *other[rng.integers(len(other))][: rng.integers(0, 10)]]
-                examples.append(words[:MAX_WORDS])
-                labels.append(k)
-                words = [w for w in base if len(base) < 6 or rng.random() > 0.08]
-                fits = [n for n in WINDOWS if len(words) <= n and (n == WINDOWS[0] or n < 4 * len(words))]
-                more = int(rng.choice(fits)) - len(words)
-                before = int(rng.integers(more + 1))
-                examples.append([*filler(before), *words, *filler(more - before)])
-                labels.append(k)
-    windows = [filler(int(rng.choice(WINDOWS))) for _ in other]
-    examples += windows
-    labels += [0] * len(windows)
-    phrases = [words_of(p.encode()) for p in OTHER_PHRASES] * (copies // 4)
-    examples += [*other, *phrases]
-    labels += [0] * (len(other) + len(phrases))
+    other = [w for w in other if w] + [words_of(p.encode()) for p in OTHER_PHRASES]
+    examples: list[list[bytes]] = []
+    labels: list[int] = []
+    for k, notices in enumerate([*NOTICES.values(), OTHER_LICENSES], 1):
+        made = _noted(notices, copies, rng, other)
+        examples += made
+        labels += [k] * len(made)
+    cuts = [w if len(w) <= MAX_WORDS else w[(at := int(rng.integers(len(w) - MAX_WORDS + 1))) : at + MAX_WORDS] for w in other]
+    plain = [*cuts, *(_filler(other, int(rng.choice(WINDOWS)), rng) for _ in other), *([words_of(p.encode()) for p in OTHER_PHRASES] * (copies // 4))]
+    examples += plain
+    labels += [0] * len(plain)
     y = np.array(labels)
     words, n_words = _hashes(examples)
     slots, counts = grams(words, n_words)
     ends = np.cumsum(counts)
-    order = rng.permutation(len(y))
+    order = rng.permutation(np.flatnonzero(counts > 0))
     held, used = order[::5], np.setdiff1d(order, order[::5])
     model = Classifier(np.zeros((1 << BITS, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES)))
-    spread = np.full(model.weights.shape, 1e-3, np.float32)
+    seen, slots = np.unique(slots, return_inverse=True)
+    weights = np.zeros((len(seen), len(FAMILIES)), np.float32)
+    spread = np.full(weights.shape, 1e-4, np.float32)
     for _ in range(rounds):
-        for batch in np.array_split(rng.permutation(used), max(1, len(used) // 32)):
+        for batch in np.array_split(rng.permutation(used), max(1, len(used) // 192)):
             at = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in batch])
-            owner = np.repeat(np.arange(len(batch)), counts[batch])
-            scale = 1 / np.sqrt(counts[batch])
-            z = np.zeros((len(batch), len(FAMILIES)))
-            np.add.at(z, owner, model.weights[slots[at]])
-            z = z * scale[:, None] + model.bias
+            n, mine = counts[batch], slots[at]
+            scale = 1 / np.sqrt(n)
+            z = np.add.reduceat(weights[mine], np.cumsum(n) - n, axis=0) * scale[:, None] + model.bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(batch)), y[batch]] -= 1
-            touched, inverse = np.unique(slots[at], return_inverse=True)
-            gradient = np.zeros((len(touched), len(FAMILIES)), np.float32)
-            np.add.at(gradient, inverse, (p * scale[:, None])[owner])
-            gradient = gradient / len(batch) + 1e-5 * model.weights[touched]
-            spread[touched] += gradient**2
-            model.weights[touched] -= 0.2 * gradient / np.sqrt(spread[touched])
+            share = np.repeat(p * scale[:, None] / len(batch), n, axis=0)
+            gradient = np.stack([np.bincount(mine, share[:, f], len(seen)) for f in range(share.shape[1])], axis=1).astype(np.float32)
+            spread += gradient**2
+            weights -= 0.2 * gradient / np.sqrt(spread)
             model.bias -= 0.05 * p.mean(axis=0)
-    words, n_words = _hashes([examples[i] for i in held])
-    keep = n_words > 0
+    model.weights[seen] = weights
+    _calibrate(model, [examples[i] for i in held], y[held], _noted(HELD_OUT_LICENSES, copies, rng, other))
+    return model
+
+
+def _calibrate(model: Classifier, held: list[list[bytes]], y: np.ndarray, further: list[list[bytes]]) -> None:
     best = None
     for temperature in np.geomspace(0.3, 3.0, 25):
         model.temperature = float(temperature)
-        p = model.probabilities(words, n_words[keep])
-        loss = -np.log(np.maximum(p[np.arange(int(keep.sum())), y[held][keep]], 1e-12)).mean()
+        p = model.probabilities(*_hashes(held))
+        loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean()
         if best is None or loss < best[0]:
             best = (loss, float(temperature))
     model.temperature = best[1]
-    return model
+    p, q = model.probabilities(*_hashes(held)), model.probabilities(*_hashes(further))
+    clean = np.sort(1 - p[y == 0, 0])
+    model.licensed = min(0.6, max(0.1, float(np.quantile(clean, 1 - FALSE_ALARMS)))) if len(clean) else 0.5
+    family = q[:, 1:-1].max(axis=1)
+    model.sure = min(0.95, max(0.5, float(np.quantile(family, 1 - FALSE_FAMILIES))))
+    told, right = p.max(axis=1), p.argmax(axis=1) == y
+    bins = np.minimum((told * 10).astype(int), 9)
+    model.quality = {
+        "calibration_error": float(sum(abs(told[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in np.unique(bins))),
+        "accuracy": float(right.mean()), "false_alarms": float((clean >= model.licensed).mean()) if len(clean) else 0.0,
+        "further_told": float((1 - q[:, 0] >= model.licensed).mean()), "further_as_family": float((family >= model.sure).mean()),
+    }
 
 
 def _pairs(words: list[bytes]) -> set[bytes]:
@@ -291,7 +338,7 @@ OUT = ("n_paragraphs", "n_license", "family", "score", "matches")
 _MATCH = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
-def _scanner(shared, sure: float):
+def _scanner(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Classifier = shared.value
         for batch in batches:
@@ -299,7 +346,7 @@ def _scanner(shared, sure: float):
             kept = [c for c in batch.schema.names if c not in ("text", *OUT)]
             for a, b in pieces(offsets, PIECE_BYTES):
                 part, cut = view[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                found, n_paragraphs = _matches(model, bytes(part), cut, sure)
+                found, n_paragraphs = _matches(model, bytes(part), cut)
                 rows = []
                 for i in range(b - a):
                     text, mine = bytes(part[cut[i] : cut[i + 1]]), found.get(i, [])
@@ -339,7 +386,7 @@ def _windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[order], last[order]
 
 
-def _matches(model: Classifier, part: bytes, cut: np.ndarray, sure: float) -> tuple[dict[int, list[tuple[str, int, int, float]]], np.ndarray]:
+def _matches(model: Classifier, part: bytes, cut: np.ndarray) -> tuple[dict[int, list[tuple[str, int, int, float]]], np.ndarray]:
     """Matches of each row as (family, first byte, end, probability), and its number of lines with words."""
     lines = _paragraph_offsets(np.frombuffer(part, np.uint8), cut)
     words, owner, begins = hashed_words(memoryview(part), lines)
@@ -359,12 +406,12 @@ def _matches(model: Classifier, part: bytes, cut: np.ndarray, sure: float) -> tu
     known, unknown = [], []
     for is_line, a, b in ((True, starts, ends), (False, first, last)):
         p = model.of_windows(words, a, b)
-        for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
+        for k in np.flatnonzero(1 - p[:, 0] >= model.licensed).tolist():
             i, j = int(a[k]), int(b[k])
             its_words = words_of(part[begins_to[i] : begins_to[j]])
-            best = int(p[k, 1:].argmax()) + 1
+            best = int(p[k, 1:-1].argmax()) + 1
             chance = float(p[k, best])
-            notice = _best_notice(FAMILIES[best], its_words) if chance >= sure else None
+            notice = _best_notice(FAMILIES[best], its_words) if chance >= model.sure else None
             if notice:
                 c, d = _core(its_words, notice[2])
                 known.append((notice[0], notice[1], is_line, chance, i + c, i + d, FAMILIES[best]))
@@ -405,17 +452,17 @@ def fit(docs: DataFrame, fit_rows: int = 400, fit_paragraphs: int = 3000) -> Cla
     picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     lines = picked.select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0").distinct()
     lines = [words_of(r["line"].encode()) for r in lines.orderBy(F.xxhash64("line"), "line").limit(fit_paragraphs).collect()]
-    return train([w for w in lines if not any(confirmed(f, w[:MAX_WORDS]) for f in NOTICES)])
+    return train([w for w in lines if not any(confirmed(f, w) for f in NOTICES)])
 
 
-def scan_licenses(docs: DataFrame, model: Classifier, sure: float = 0.7) -> DataFrame:
+def scan_licenses(docs: DataFrame, model: Classifier) -> DataFrame:
     """The columns of ``docs`` but ``text``, with the number of paragraphs, the licence matches and the surest family."""
     kept = docs.select(*(c for c in docs.columns if c not in OUT))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"]
     fields += ["n_paragraphs bigint", "n_license bigint", "family string", "score double"]
     fields += ["matches array<struct<family: string, start: bigint, end: bigint, score: double>>"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return bound_batches(kept).mapInArrow(_scanner(shared, sure), ", ".join(fields))
+    return bound_batches(kept).mapInArrow(_scanner(shared), ", ".join(fields))
 
 
 def op4_licenses(docs: DataFrame) -> DataFrame:
