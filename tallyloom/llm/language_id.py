@@ -107,7 +107,8 @@ def _sample(labelled: DataFrame, fit_rows: int, other_end: bool = False) -> Data
     shares = labelled.groupBy("lang").count().select(F.col("lang").alias("its_lang"), (F.lit(float(fit_rows)) / F.col("count")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
     near = (F.lit(1.0) - place <= F.col("share")) if other_end else (place < F.col("share"))
-    return labelled.join(shares, (F.col("lang") == F.col("its_lang")) & near).select(*labelled.columns)
+    # a row a language: far less than the tables that the model holds of each
+    return labelled.join(F.broadcast(shares), (F.col("lang") == F.col("its_lang")) & near).select(*labelled.columns)
 
 
 def fit(labelled: DataFrame, max_order: int = MAX_ORDER, contexts: int = CONTEXTS, fit_rows: int = FIT_ROWS) -> list[ContextTrees]:
