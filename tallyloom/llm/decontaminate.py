@@ -4,18 +4,20 @@ The automaton holds every run of words of every item. Document words stream thro
 ends at each word is tracked, and where it reaches the window length (or a whole item shorter than that) those words
 are hit. ``decontaminate`` cuts hit spans out of the text and drops documents that are hit beyond a limit.
 
-Items are taken in blocks of bounded size, one pass over the documents per block, so the automaton that is
-broadcast never grows with the benchmark.
+Items are taken in blocks of bounded size, so the automaton that is broadcast never grows with the benchmark. One block, the
+usual case, takes one pass over the documents. More of them take a pass each, over documents that are written once: a pass
+only leaves the rows that are hit, and a last one puts their spans together.
 
 Edge cases: null or empty texts have no words and stay; empty items are ignored, repeated items count once per
 item_id, items without id hit words but are not listed; repeated documents are judged one by one; columns that
-clash with the added ones are replaced.
+clash with the added ones (or ``__row``) are replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -142,9 +144,9 @@ class ItemAutomaton:
 
 FOUND = StructType(
     [
-        StructField("n_words", LongType()),
-        StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
-        StructField("items", ArrayType(StringType())),
+        StructField("_n_words", LongType()),
+        StructField("_spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
+        StructField("_items", ArrayType(StringType())),
     ]
 )
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -185,47 +187,82 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, text[at:]]).decode("utf-8", "replace")
 
 
-def _scanner(shared, clean: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _found(columns: dict, texts: Iterator[bytes], leaks: Iterator[tuple[list[tuple[int, int]], list[str]]], clean: bool) -> pa.RecordBatch:
+    """``columns`` with what was found in each text."""
+    n_words, spans, items, cleaned = [], [], [], []
+    for text, (here, names) in zip(texts, leaks, strict=True):
+        n_words.append(len(words_of(text)))
+        spans.append([{"start": s, "end": e} for s, e in here])
+        items.append(names)
+        if clean:
+            cleaned.append(_cut(text, here) if here else None)
+    columns |= {"_n_words": pa.array(n_words, pa.int64()), "_spans": pa.array(spans, _ARROW_SPANS), "_items": pa.array(items, pa.list_(pa.string()))}
+    if clean:
+        columns["_cut"] = pa.array(cleaned, pa.string())
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _scan_all(shared, clean: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every row, with what one automaton finds."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine: ItemAutomaton = shared.value
+        for batch in batches:
+            leaks = ((here, sorted(names)) for here, names in (machine.scan(words_of(t)) for t in utf8_rows(batch["text"])))
+            yield _found({c: batch[c] for c in batch.schema.names}, utf8_rows(batch["text"]), leaks, clean)
+
+    return scan
+
+
+def _scan_hits(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Only rows that one automaton hits: their number, spans and items."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine: ItemAutomaton = shared.value
         for batch in batches:
-            n_words, spans, items, cleaned = [], [], [], []
-            before = zip(batch["_spans"].to_pylist(), batch["_items"].to_pylist(), strict=True)
-            for text, (old_spans, old_items) in zip(utf8_rows(batch["text"]), before, strict=True):
-                words = words_of(text)
-                here, names = machine.scan(words)
-                if old_spans:
-                    here = _merged(here, [(s["start"], s["end"]) for s in old_spans])
-                n_words.append(len(words))
-                spans.append([{"start": s, "end": e} for s, e in here])
-                items.append(sorted(names | set(old_items or ())))
-                if clean:
-                    cleaned.append(_cut(text, here) if here else None)
-            columns = {c: batch[c] for c in batch.schema.names if c not in ("_n_words", "_spans", "_items", "_cut")}
-            columns |= {"_n_words": pa.array(n_words, pa.int64()), "_spans": pa.array(spans, _ARROW_SPANS), "_items": pa.array(items, pa.list_(pa.string()))}
-            if clean:
-                columns["_cut"] = pa.array(cleaned, pa.string())
+            rows, spans, items = [], [], []
+            for row, text in zip(batch["__row"].to_pylist(), utf8_rows(batch["text"]), strict=True):
+                here, names = machine.scan(words_of(text))
+                if here:
+                    rows.append(row)
+                    spans.append([{"start": s, "end": e} for s, e in here])
+                    items.append(sorted(names))
+            columns = {"__row": pa.array(rows, pa.int64()), "_spans": pa.array(spans, _ARROW_SPANS), "_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(columns)
 
     return scan
 
 
+def _put_together(clean: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch["_spans"].to_pylist(), batch["_items"].to_pylist(), strict=True)
+            leaks = ((_merged([(s["start"], s["end"]) for s in spans or ()], []), sorted(set(items or ()))) for spans, items in both)
+            kept = {c: batch[c] for c in batch.schema.names if c not in ("_spans", "_items")}
+            yield _found(kept, utf8_rows(batch["text"]), leaks, clean)
+
+    return merge
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean: bool = False) -> DataFrame:
     """Add ``_n_words``, ``_spans`` (hit word spans), ``_items`` and, if ``clean``, ``_cut`` (the text without its spans)."""
-    state = bound_batches(docs).drop("_n_words", "_spans", "_items", "_cut").withColumns(
-        {"_n_words": F.lit(None).cast("long"), "_spans": F.lit(None).cast(FOUND["spans"].dataType), "_items": F.lit(None).cast("array<string>")}
-    )
-    if clean:
-        state = state.withColumn("_cut", F.lit(None).cast("string"))
-    for k, block in enumerate(_blocks(benchmark)):
-        if k:
-            state = cut_lineage(state)
-        shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(block, window))
-        order = [c for c in state.columns if c not in ("_n_words", "_spans", "_items", "_cut")]
-        order += ["_n_words", "_spans", "_items"] + ["_cut"] * clean
-        state = state.select(*order)
-        state = state.mapInArrow(_scanner(shared, clean), state.schema)
-    return state
+    docs = bound_batches(docs).drop("_n_words", "_spans", "_items", "_cut")
+    schema = StructType([*docs.schema, *FOUND] + [StructField("_cut", StringType())] * clean)
+    send = lambda block: docs.sparkSession.sparkContext.broadcast(ItemAutomaton(block, window))
+    blocks = _blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    if not second:
+        return docs.mapInArrow(_scan_all(send(first), clean), schema)
+    numbered = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    hits = None
+    for block in chain([first, second], blocks):
+        if block:
+            found = numbered.select("__row", "text").mapInArrow(_scan_hits(send(block)), StructType([StructField("__row", LongType()), *FOUND.fields[1:]]))
+            found = cut_lineage(found)
+            hits = found if hits is None else hits.unionByName(found)
+    together = hits.groupBy("__row").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.flatten(F.collect_list("_items")).alias("_items"))
+    joined = numbered.join(together, "__row", "left").select(*docs.columns, "_spans", "_items")
+    return joined.mapInArrow(_put_together(clean), schema)
 
 
 def decontaminate(
