@@ -21,13 +21,20 @@ def set_aside(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callab
     return df.select(*(F.col(f"`{k}`").alias(v) for k, v in names.items())), restore
 
 
-#: Texts may be long: at 10,000 rows, Spark's default, a batch of them takes tens of MB in each Python worker.
-ROWS_PER_BATCH = 1000
+#: Texts may be long: at 10,000 rows, Spark's default, a batch of them takes tens of MB in each Python worker, and far more where
+#: documents are books. A batch holds so many rows or bytes at most (one row at least).
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 4 << 20
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches held to ROWS_PER_BATCH rows."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name, "10000")) <= ROWS_PER_BATCH:
-        conf.set(name, str(ROWS_PER_BATCH))
+    """``df``, with its session's Arrow batches held to ROWS_PER_BATCH rows and BYTES_PER_BATCH bytes.
+
+    Spark has no such limit for one query, so the session's is lowered; a lower one that is set already stays.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(name).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
     return df

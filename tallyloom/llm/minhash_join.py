@@ -47,7 +47,7 @@ PIECE_BYTES = 1 << 19
 #: Members of a tile whose pairs are compared at a time, bands compared as matrices, bytes of bits for the exact check.
 TILE, DENSE_BANDS, BITS_AT_ONCE = 512, 4, 1 << 25
 #: Up to so many rows of two numbers a list of documents is broadcast (some 40 bytes each); beyond it the join is shuffled.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 200_000
 
 _WEIGHTS = mix(np.arange(1001, 1001 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 _MULTIPLY = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)

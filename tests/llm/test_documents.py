@@ -387,6 +387,45 @@ def test_licences_wrapped_and_straddling(spark):
         assert any(len(set(words(notice)) & set(words(s))) >= 0.6 * len(set(words(notice))) for s in spans), text
 
 
+@pytest.fixture(scope="module")
+def license_model(spark):
+    return licenses.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+
+
+def test_windows_are_scored_like_each_alone(spark, license_model, texts):
+    """All windows of a text at once, by differences of running sums, against each window by itself."""
+    for text in [*list(texts.values())[:5], "a b", "Released under the MIT License. " * 40]:
+        data = text.encode()
+        words, n_words = licenses._hashes([textbatch.words_of(data)])
+        if not len(words):
+            continue
+        first, last = licenses._windows(n_words)
+        got = license_model.of_windows(words, first, last)
+        for k in range(len(first)):
+            assert got[k] == pytest.approx(license_model.probabilities(words[first[k] : last[k]], np.array([last[k] - first[k]]))[0], abs=1e-4)
+        covered = {i for a, b in zip(first, last, strict=True) for i in range(a, b)}
+        assert covered == set(range(len(words)))
+
+
+@pytest.mark.parametrize("family", ["mit", "gpl", "bsd"])
+def test_a_notice_at_every_word_offset(spark, license_model, family):
+    rng, known = np.random.default_rng(3), sorted({w for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(50).collect() for w in (r["text"] or "").split() if w.isalpha()})
+    notice = licenses.NOTICES[family][0]
+    around = rng.choice(known, 300).tolist()
+    rows = [(n, " ".join([*around[:n], notice, *around[n : n + 40]])) for n in range(131)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), license_model).collect()
+    assert [r["doc_id"] for r in got if r["family"] != family] == []
+
+
+def test_unknown_class_is_calibrated(spark, license_model):
+    quality = license_model.quality
+    assert quality["calibration_error"] < 0.05 and quality["accuracy"] > 0.95 and quality["false_alarms"] < 0.01
+    assert quality["further_told"] > 0.6 and quality["further_as_family"] < 0.1
+    rows = [(i, f"some words before\n{t}\nand words after") for i, t in enumerate(licenses.HELD_OUT_LICENSES)]
+    got = {r["doc_id"]: r["family"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), license_model).collect()}
+    assert sum(f == "unknown" for f in got.values()) >= len(rows) - 1 and set(got.values()) <= {"unknown", "none"}
+
+
 # --- mixing ---
 
 

@@ -61,3 +61,26 @@ def test_shards_number_all_rows(stages):
 def test_run_equals_the_stages(spark, stages):
     key = lambda df: sorted((r["doc_id"], r["shard"], r["slot"]) for r in df.collect())
     assert key(corpus_pipeline.run(spark, DATA)) == key(stages[5])
+
+
+def test_run_on_hostile_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, one id for several texts, further columns with clashing names."""
+    real = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
+    text = "one two three four five six seven eight nine ten eleven"
+    odd = [
+        (None, text, "en", "web", 5), (None, text, "en", "web", 5), (1, None, None, None, None), (2, "", "en", None, 0), (3, "word " * 200_000, None, "web", 9),
+        (4, text + " twelve and so on", None, None, 1), (4, "something quite different under the same id", "en", "web", 1), (5, "12 34 ?", "en", "web", 1), (None, None, None, None, None),
+    ]
+    docs = spark.createDataFrame(real + odd, spark.read.parquet(f"{DATA}/documents.parquet").schema)
+    docs = docs.selectExpr("*", "1 as shard", "'x' as score", "2 as _spans", "3 as mix_shard", "4 as node", "5 as peer", "6 as place", "array(7) as print")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and all(r["score"] == "x" and r["peer"] == 5 and r["print"] == [7] for r in rows)
+    texts = {(r["doc_id"], r["text"]) for r in rows}
+    assert not any(t in (None, "", "12 34 ?") for _, t in texts)
+    assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/benchmark.parquet").limit(0).write.parquet(str(empty / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
