@@ -4,7 +4,8 @@
 the byte; a row of 64 blocks is a restart interval. ``decode_dc`` is a decoder for any baseline JPEG (8 bit, Huffman, up
 to 4 components, any sampling): it parses the markers, Huffman-decodes the scan and keeps the DC levels, which are the
 image scaled down by 8. The AC symbols are decoded only to be skipped. All restart intervals of all images of a batch
-are decoded side by side, one symbol at a time, by table look-ups; an image without restart intervals is one such lane.
+are decoded side by side, one symbol at a time, by table look-ups; an image without restart intervals is one such lane,
+and where few lanes are left they are walked one by one.
 
 Edge cases: a null text is the empty payload, which is stored as 64 zero bytes; payloads beyond 65,528 lines of pixels
 continue in further JPEGs, end to end; bytes that are no JPEG, are truncated or use another process (progressive,
@@ -260,6 +261,37 @@ def _signature(frame: Frame) -> tuple:
     return (tuple(frame.units()), tuple((c, frame.tables[dc], frame.tables[ac]) for c, dc, ac in frame.order))
 
 
+#: Up to so many lanes (an image without restart intervals is one) are walked one by one, symbol by symbol; more go side by side.
+FEW_LANES = 16
+
+
+def _finish_lane(data: bytes, limit: int, bit: int, done: int, place: int, last: list[int], units: list[int], dc_tables: np.ndarray, ac_tables: np.ndarray, levels: np.ndarray) -> bool:
+    """Walk a lane from ``bit`` to its end, filling ``levels`` (one a block); False if its codes run wrong."""
+    dc, ac = [memoryview(t) for t in dc_tables], [memoryview(t) for t in ac_tables]
+    n_units, total, found = len(units), len(levels), levels.tolist()
+    while done < total:
+        unit, at, shift = units[done % n_units], bit >> 3, bit & 7
+        window = int.from_bytes(data[at : at + 5], "big")
+        code = (ac if place else dc)[unit][window >> (24 - shift) & 0xFFFF]
+        length, symbol = code & 31, code >> 5
+        extra = symbol & 15
+        bit += length + extra
+        if not length or bit > limit:
+            return False
+        if place == 0:
+            if extra:
+                value = window >> (40 - shift - length - extra) & ((1 << extra) - 1)
+                last[unit] += value if value >> (extra - 1) else value - (1 << extra) + 1
+            found[done] = last[unit]
+            place = 1
+        else:
+            place = 64 if symbol == 0 else place + (symbol >> 4) + 1
+        if place >= 64:
+            done, place = done + 1, 0
+    levels[:] = found
+    return True
+
+
 def _decode_group(group: list[tuple[int, Frame, bytes]]) -> list[np.ndarray | None]:
     frame = group[0][1]
     units = np.array(frame.units())
@@ -299,13 +331,13 @@ def _decode_group(group: list[tuple[int, Frame, bytes]]) -> list[np.ndarray | No
     lane0 = np.concatenate(([0], np.cumsum(left)))
     levels = np.zeros(int(lane0[-1]), np.int32)
     bad = np.zeros(len(group), bool)
-    limit = (len(flat) - 8) * 8 + 32
+    limit = (len(flat) - 8) * 8 + 24
 
     done = np.zeros(len(bit), np.int64)  # blocks of each lane
     place = np.zeros(len(bit), np.int64)  # coefficient within the block
     last = np.zeros((len(bit), len(dc_tables)), np.int32)
     live = np.flatnonzero(left > 0)
-    while len(live):
+    while len(live) > FEW_LANES:
         at = bit[live]
         bits = (window[at >> 3] >> (np.uint64(8) - (at & 7).astype(np.uint64))) & np.uint64(0xFFFFFFFF)  # the next 32
         unit = units[done[live] % len(units)] if len(units) > 1 else np.full(len(live), units[0])
@@ -337,6 +369,11 @@ def _decode_group(group: list[tuple[int, Frame, bytes]]) -> list[np.ndarray | No
             bad[owner[live[wrong]]] = True
             left[live[wrong]] = 0
         live = live[done[live] < left[live]]
+    plain = flat.astype(np.uint8).tobytes()
+    for k in live.tolist():
+        lane = levels[lane0[k] : lane0[k + 1]]
+        if not _finish_lane(plain, limit, int(bit[k]), int(done[k]), int(place[k]), last[k].tolist(), units.tolist(), dc_tables, ac_tables, lane):
+            bad[owner[k]] = True
 
     results: list[np.ndarray | None] = []
     at = 0

@@ -519,14 +519,14 @@ def test_long_payload_takes_several_images(monkeypatch):
     assert len(frames) == 3 and b"".join(x.tobytes() for _, x in frames) == payload
 
 
-def colour_jpeg(interval):
-    """A 32 x 16 image of 4:2:0 with AC coefficients, written bit by bit."""
+def colour_jpeg(interval, mcus=2):
+    """An image 16 high and 16 wide for each of ``mcus``, of 4:2:0 with AC coefficients, written bit by bit."""
     rng = np.random.default_rng(3)
     bits, parts = "", []
     dc_codes = {s: f"{s:04b}" for s in range(12)}
     ac_codes = {0x00: "00", 0x01: "01", 0x12: "100", 0xF0: "101"}
-    luma, last = np.zeros((2, 4), int), [0, 0, 0]
-    for mcu in range(2):
+    luma, last = np.zeros((2, 2 * mcus), int), [0, 0, 0]
+    for mcu in range(mcus):
         if interval and mcu:
             parts.append(bits)
             bits, last = "", [0, 0, 0]
@@ -544,7 +544,7 @@ def colour_jpeg(interval):
         part += "1" * (-len(part) % 8)
         scan += int(part, 2).to_bytes(len(part) // 8, "big").replace(b"\xff", b"\xff\0") + (bytes([0xFF, 0xD0 + k]) if k + 1 < len(parts) else b"")
     table = lambda kind, codes: jpeg._segment(0xC4, bytes([kind]) + bytes(sum(len(v) == n for v in codes.values()) for n in range(1, 17)) + bytes(codes))
-    frame = jpeg._segment(0xC0, bytes([8, 0, 16, 0, 32, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    frame = jpeg._segment(0xC0, bytes([8, 0, 16, *(16 * mcus).to_bytes(2, "big"), 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
     head = b"\xff\xd8" + jpeg._segment(0xE0, b"JFIF\0") + jpeg._segment(0xDB, bytes([0, 16] + [1] * 63)) + frame + table(0, dc_codes) + table(0x10, ac_codes)
     if interval:
         head += jpeg._segment(0xDD, bytes([0, 1]))
@@ -559,6 +559,32 @@ def test_colour_subsampled_image(interval):
     assert image.tolist() == np.clip(luma * 2 + 128, 0, 255).tolist()
 
 
+def test_lanes_one_by_one_and_side_by_side(monkeypatch):
+    """Many payloads and a colour image, decoded either way; also where they break."""
+    rng = np.random.default_rng(12)
+    payload = rng.integers(0, 256, 64 * 200, dtype=np.uint8)
+    images = jpeg.encode_payloads(payload, np.arange(0, 64 * 201, 64 * 4))
+    images += [colour_jpeg(0)[0], colour_jpeg(1)[0]]
+    images += [bytes([*i[:-9], *rng.integers(0, 255, 7, dtype=np.uint8), *i[-2:]]) for i in images]
+    found = []
+    for few in (0, 1 << 30):
+        monkeypatch.setattr(jpeg, "FEW_LANES", few)
+        found.append([None if f is None else [x.tolist() for _, x in f] for f in jpeg.decode_dc(images)])
+    assert found[0] == found[1] and sum(f is not None for f in found[0]) >= 52
+
+
+def test_an_image_without_restarts_is_quick():
+    """A megapixel in one lane."""
+    import time
+
+    data, luma = colour_jpeg(0, mcus=4000)
+    start = time.monotonic()
+    frame, image = jpeg.decode_dc([data])[0][0]
+    assert (frame.width, frame.height) == (64_000, 16)
+    assert image.tolist() == np.clip(luma * 2 + 128, 0, 255).tolist()
+    assert time.monotonic() - start < 10
+
+
 def test_broken_images():
     good = jpeg.encode_payloads(np.arange(128, dtype=np.uint8), np.array([0, 128]))[0]
     cases = [b"", b"\xff\xd8", good[:40], good[:-8], good[1:], b"GIF89a", good.replace(b"\xff\xc0", b"\xff\xc2")]
