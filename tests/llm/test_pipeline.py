@@ -84,3 +84,16 @@ def test_run_on_hostile_rows(spark, tmp_path):
     docs.limit(0).write.parquet(str(empty / "documents.parquet"))
     spark.read.parquet(f"{DATA}/benchmark.parquet").limit(0).write.parquet(str(empty / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_stages_against_plain_versions(spark, stages):
+    """Near duplicates by comparing all pairs of shingle sets, leaks by comparing all windows."""
+    from test_documents import plain_classes, plain_leaks, words
+
+    texts = {r["doc_id"]: r["text"] for r in stages[1].collect()}
+    classes = plain_classes(texts)
+    assert {r["doc_id"] for r in stages[2].collect()} == {c for c, _ in classes.values()}
+    items = [(str(r["item_id"]), tuple(words(r["text"] or ""))) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    kept = {r["doc_id"]: r["text"] for r in stages[2].collect()}
+    clean = {i for i, t in kept.items() if not plain_leaks(words(t or ""), items, 10)[0]}
+    assert {r["doc_id"] for r in stages[3].collect()} == clean
