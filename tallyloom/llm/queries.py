@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, licenses, minhash_join, mixing, pii, secrets, url_filter
+from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, licenses, minhash_join, mixing, pii, secrets, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10_pii(_table(spark, sf_dir, "documents"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op12_token_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": _op1,
     "op2_ngram_join": _op2,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jpeg": _op8,
     "op9_hilbert_shards": _op9,
     "op10_pii": _op10,
+    "op12_token_counts": _op12,
 }
 
 _OP1_SQL = r"""
