@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, licenses, minhash_join, mixing, pii, secrets, token_counts, url_filter
+from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, licenses, merkle, minhash_join, mixing, pii, secrets, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op12_token_counts(_table(spark, sf_dir, "documents"))
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op13_merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": _op1,
     "op2_ngram_join": _op2,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hilbert_shards": _op9,
     "op10_pii": _op10,
     "op12_token_counts": _op12,
+    "op13_merkle_manifest": _op13,
 }
 
 _OP1_SQL = r"""
@@ -119,4 +124,44 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1_SQL, "op3_decontaminate": _OP3_SQL}
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in merkle.FIELDS) + ")"
+_CRC32 = """(list_reduce(list_prepend(4294967295::UBIGINT, [ord(x)::UBIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+  lambda c, b: xor(c >> 8, list_reduce(list_prepend(xor(c & 255, b), [0::UBIGINT FOR _ IN range(8)]), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END))))"""
+_OP13_SQL = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {_LEAF} AS leaf,
+         CASE WHEN n_chars IS NOT NULL AND xor({_CRC32}, 4294967295::UBIGINT) % 7 = 0 THEN {_LEAF.replace("n_chars", "(n_chars + 1)")} END AS changed FROM documents
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed
+), nodes AS (
+  SELECT lang, 0 AS lev, pos AS i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, lev + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value(n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, lev, i // 2
+), subroots AS MATERIALIZED (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, lev AS height FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS lev, i, h, n FROM subroots
+  UNION ALL
+  SELECT lev + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value(n + 1) // 2 FROM tops WHERE n > 1 GROUP BY lev, i // 2
+), tree AS MATERIALIZED (
+  SELECT s.i AS grp, nodes.lev, nodes.i, nodes.h, nodes.n FROM nodes JOIN subroots s ON s.lang IS NOT DISTINCT FROM nodes.lang
+  UNION ALL
+  SELECT -1, lev, i, h, n FROM tops
+), steps AS MATERIALIZED (  -- a row for each leaf and level on its way up
+  SELECT l.pos, s.i AS grp, t.lev, (l.pos >> t.lev) & 1 AS odd, o.h AS other FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+    JOIN tree t ON t.grp = s.i AND t.i = l.pos >> t.lev AND t.n > 1 LEFT JOIN tree o ON o.grp = t.grp AND o.lev = t.lev AND o.i = xor(t.i, 1)
+  UNION ALL
+  SELECT l.pos, s.i, s.height + t.lev, (s.i >> t.lev) & 1, o.h FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+    JOIN tree t ON t.grp = -1 AND t.i = s.i >> t.lev AND t.n > 1 LEFT JOIN tree o ON o.grp = -1 AND o.lev = t.lev AND o.i = xor(t.i, 1)
+), folded AS (
+  SELECT s.i AS grp, l.pos, 0 AS lev, coalesce(l.changed, l.leaf) AS h FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+  UNION ALL
+  SELECT f.grp, f.pos, f.lev + 1, sha256(CASE WHEN odd = 1 THEN coalesce(other, '') || h ELSE h || coalesce(other, '') END) FROM folded f JOIN steps USING (grp, pos, lev)
+), proofs AS (SELECT grp, pos, sha256(coalesce(string_agg(other, '' ORDER BY lev), '')) AS proof_sha256, count(*) AS height FROM steps GROUP BY 1, 2
+), root AS (SELECT h FROM tops WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.h AS subroot, root.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN root LEFT JOIN proofs p ON p.grp = s.i AND p.pos = l.pos
+JOIN folded f ON f.grp = s.i AND f.pos = l.pos AND f.lev = coalesce(p.height, 0)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1_SQL, "op3_decontaminate": _OP3_SQL, "op13_merkle_manifest": _OP13_SQL}
