@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, licenses, merkle, minhash_join, mixing, pii, secrets, token_counts, url_filter
+from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, licenses, merkle, minhash_join, mixing, pii, secrets, token_counts, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10_pii(_table(spark, sf_dir, "documents"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11_whitening(_table(spark, sf_dir, "embeddings"))
+
+
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op12_token_counts(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jpeg": _op8,
     "op9_hilbert_shards": _op9,
     "op10_pii": _op10,
+    "op11_whitening": _op11,
     "op12_token_counts": _op12,
     "op13_merkle_manifest": _op13,
 }
