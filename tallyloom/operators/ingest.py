@@ -36,11 +36,12 @@ def ingest_origin_check(batches: DataFrame, tenants: DataFrame) -> DataFrame:
     return joined.withColumn("origin_ok", (F.col("_host") == "") | F.coalesce(fits, F.lit(False))).drop("_host", "_domains")
 
 
-def ingest_rate_limit(batches: DataFrame, most: int = MAX_BATCHES_A_MINUTE) -> DataFrame:
-    """The first ``most`` batches of each address and UTC minute."""
+def ingest_rate_limit(batches: DataFrame, most: int = MAX_BATCHES_A_MINUTE, place: str | None = None) -> DataFrame:
+    """The first ``most`` batches of each address and UTC minute; ``place`` names a column for a batch's place in its minute."""
     minute = F.date_trunc("minute", F.col("received_at"))
-    place = F.row_number().over(Window.partitionBy("ip", "_minute").orderBy("received_at", "batch_id"))
-    return batches.withColumn("_minute", minute).withColumn("_n", place).where(F.col("_n") <= most).drop("_minute", "_n")
+    number = F.row_number().over(Window.partitionBy("ip", "_minute").orderBy("received_at", "batch_id"))
+    first = batches.withColumn("_minute", minute).withColumn("_place", number).where(F.col("_place") <= most)
+    return first.drop("_minute", "_place") if place is None else first.drop("_minute").withColumnRenamed("_place", place)
 
 
 def ingest_explode(batches: DataFrame) -> DataFrame:
@@ -69,6 +70,11 @@ def _clock(ms: Column, received: Column, now: datetime) -> Column:
     return F.date_trunc("second", F.coalesce(client, F.timestamp_millis(received), at_now))
 
 
+def _millis(ts: Column) -> Column:
+    """What a client sends as its time: a number, or text that starts with one; without its fraction."""
+    return F.regexp_extract(ts.cast("string"), r"^\s*([+-]?\d{1,18}(?:\.\d+)?(?:[eE][+-]?\d{1,3})?)", 1).try_cast("double").try_cast("bigint")
+
+
 def _identity() -> Column:
     """An event's own id, or a digest of its content where it has none."""
     content = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("cid", "n", "ts", "u", "p")))
@@ -88,7 +94,7 @@ def event_shred(mapped: DataFrame, tenants: DataFrame, now: datetime) -> DataFra
     term = fitted(F.col("st"), 255)
     return shown.select(
         F.col("_t").alias("tenant_id"), key63(F.concat(tenant, F.lit(":"), _identity())).alias("event_uid"),
-        _clock(F.col("ts"), F.col("_rx"), now).alias("occurred_at"), F.date_trunc("second", F.timestamp_millis("_rx")).alias("received_at"),
+        _clock(_millis(F.col("ts")), F.col("_rx"), now).alias("occurred_at"), F.date_trunc("second", F.timestamp_millis("_rx")).alias("received_at"),
         "event_type", "source",
         F.when(F.coalesce("cid", F.lit("")) == "", F.lit(0).cast("bigint")).otherwise(key63(F.concat(tenant, F.lit(":"), client))).alias("visitor_key"),
         unsigned(F.col("cu"), I63).alias("customer_ref"), path_key(F.col("u")).alias("path_id"), referrer_key(F.col("r")).alias("referrer_id"), "campaign_id",
@@ -110,27 +116,36 @@ def event_dedup(events: DataFrame, stored: DataFrame | None = None) -> DataFrame
 
 
 def import_audit(classified: DataFrame) -> DataFrame:
-    """Per file: accepted, duplicates, skipped, malformed and a status. ``classified`` has ``file_name, outcome``."""
+    """Per file: accepted, duplicates, skipped, malformed and a status. ``classified`` has ``file_name, outcome``.
+
+    A file with lines that are held back has failed, as has one of which nothing could be read."""
     counts = [F.count_if(F.col("outcome") == o).alias(o) for o in ("accepted", "duplicate", "skipped", "malformed")]
-    status = F.when((F.col("accepted") + F.col("duplicate") == 0) & (F.col("malformed") > 0), "failed").otherwise("ok")
-    return classified.groupBy("file_name").agg(*counts).withColumn("status", status)
+    status = F.when((F.col("_held") > 0) | (F.col("accepted") + F.col("duplicate") == 0) & (F.col("malformed") > 0), "failed").otherwise("ok")
+    return classified.groupBy("file_name").agg(*counts, F.count_if(F.col("outcome") == "held").alias("_held")).withColumn("status", status).drop("_held")
 
 
-def classify_lines(raw: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """``file_name, outcome`` of each line: malformed, skipped, duplicate or accepted."""
+def classify_lines(raw: DataFrame, stored: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """``file_name, outcome`` of each line: malformed, skipped, duplicate, accepted, or held (in a file of ``held``: ``_file``)."""
     tenant = F.col("_t").cast("string")
     key = key63(F.concat(tenant, F.lit(":"), _identity()))
-    keyed = raw.withColumn("_key", F.when(F.col("_corrupt").isNull() & F.col("event_type").isNotNull(), key))
-    place = F.row_number().over(Window.partitionBy("_t", "_key").orderBy("_rx", "_file"))
+    if held is None:
+        raw = raw.withColumn("_waits", F.lit(False))
+    else:
+        waiting = held.select("_file", F.lit(True).alias("_waits")).distinct()
+        raw = raw.join(F.broadcast(waiting), "_file", "left").withColumn("_waits", F.coalesce("_waits", F.lit(False)))
+    keyed = raw.withColumn("_key", F.when(F.col("_corrupt").isNull() & F.col("event_type").isNotNull() & ~F.col("_waits"), key))
+    # lines without a key get negative numbers, which are no keys, so that they do not meet in one task
+    keyed = keyed.withColumn("_spread", F.coalesce("_key", -1 - F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy("_t", "_spread").orderBy("_rx", "_file"))
     keyed = keyed.withColumn("_n", F.when(F.col("_key").isNotNull(), place))
     if stored is not None:
-        old = stored.select(F.col("tenant_id").alias("_t"), F.col("event_uid").alias("_key"), F.lit(True).alias("_old")).distinct()
-        keyed = keyed.join(old, ["_t", "_key"], "left")
+        old = stored.select(F.col("tenant_id").alias("_t"), F.col("event_uid").alias("_spread"), F.lit(True).alias("_old")).distinct()
+        keyed = keyed.join(old, ["_t", "_spread"], "left")
     else:
         keyed = keyed.withColumn("_old", F.lit(None).cast("boolean"))
     outcome = (
         F.when(F.col("_corrupt").isNotNull(), "malformed").when(F.col("event_type").isNull(), "skipped")
-        .when((F.col("_n") > 1) | F.coalesce("_old", F.lit(False)), "duplicate").otherwise("accepted")
+        .when(F.col("_waits"), "held").when((F.col("_n") > 1) | F.coalesce("_old", F.lit(False)), "duplicate").otherwise("accepted")
     )
     return keyed.select(F.col("_file").alias("file_name"), outcome.alias("outcome"))
 

@@ -40,21 +40,45 @@ def orders_flatten(raw: DataFrame) -> DataFrame:
     )
 
 
-def orders_merge(versions: DataFrame) -> DataFrame:
-    """The newest version of each order; some columns keep their first value, hashes survive a null."""
-    newest, oldest = F.col("updated_at"), F.col("updated_at")
-    keys = ["tenant_id", "order_id"]
+def order_states(versions: DataFrame) -> DataFrame:
+    """Order versions as states that can be merged: with when, and by which version, each kept value was set.
+
+    Of versions of one time the one with the larger digest of its values counts as the later; a version without a time as the earliest.
+    """
+    values = [c for c in versions.columns if c not in ("tenant_id", "order_id")]
+    stamp = F.struct(F.col("updated_at").alias("at"), F.xxhash64(*(F.to_json(F.struct(c)) for c in values)).alias("tie"))
+    hashes = {f"_set_{c}": F.when(F.col(c).isNotNull(), stamp) for c in KEEP_HASH if c in values}
+    return versions.withColumns({"_first": stamp, "_last": stamp, **hashes})
+
+
+def fold_states(states: DataFrame) -> DataFrame:
+    """One state an order. Any grouping and order of folds comes to the same."""
     columns = []
-    for c in versions.columns:
-        if c in keys:
+    for c in states.columns:
+        if c in ("tenant_id", "order_id", "part", "_first") or c.startswith("_set_"):
             continue
-        if c in FIRST_VALUE:
-            columns.append(F.min_by(c, oldest).alias(c))
+        if c == "_last":
+            columns += [F.min("_first").alias("_first"), F.max("_last").alias("_last")]
+        elif c in FIRST_VALUE:
+            columns.append(F.min_by(c, "_first").alias(c))
         elif c in KEEP_HASH:
-            columns.append(F.max_by(c, F.when(F.col(c).isNotNull(), newest)).alias(c))
+            columns += [F.max_by(c, f"_set_{c}").alias(c), F.max(f"_set_{c}").alias(f"_set_{c}")]
         else:
-            columns.append(F.max_by(c, newest).alias(c))
-    return versions.groupBy(*keys).agg(*columns).select(*versions.columns)
+            columns.append(F.max_by(c, "_last").alias(c))
+    keys = [k for k in ("tenant_id", "part", "order_id") if k in states.columns]
+    return states.groupBy(*keys).agg(*columns).select(*states.columns)
+
+
+def orders_of_states(states: DataFrame) -> DataFrame:
+    return states.drop(*(c for c in states.columns if c in ("_first", "_last") or c.startswith("_set_")))
+
+
+def orders_merge(versions: DataFrame) -> DataFrame:
+    """The newest version of each order; some columns keep their first value, hashes survive a null.
+
+    To merge step by step, keep the states of ``order_states`` and fold them.
+    """
+    return orders_of_states(fold_states(order_states(versions)))
 
 
 def orders_incremental(orders: DataFrame, watermark: datetime | str | None) -> tuple[DataFrame, DataFrame]:

@@ -75,6 +75,11 @@ def session_slots(events: DataFrame, *by: str, aggregates: tuple[Column, ...] =
     """
     second = F.col("occurred_at").cast("long")
     slots = events.groupBy(*by, F.floor(second / SESSION_GAP_SECONDS).alias("_slot")).agg(F.min(second).alias("_first"), F.max(second).alias("_last"), *aggregates)
+    return with_session_starts(slots, *by)
+
+
+def with_session_starts(slots: DataFrame, *by: str) -> DataFrame:
+    """Add ``starts_session`` to slots (``_slot`` with ``_first`` and ``_last``, in seconds)."""
     before = F.lag("_last").over(Window.partitionBy(*by).orderBy("_slot"))
     return slots.withColumn("starts_session", (before.isNull() | (F.col("_first") - before > SESSION_GAP_SECONDS)).cast("long"))
 
@@ -104,6 +109,11 @@ def sessions_daily(events: DataFrame) -> DataFrame:
     return marked.groupBy(*DAY).agg(F.sum("starts_session").alias("sessions"))
 
 
+def sessions_of_slots(slots: DataFrame) -> DataFrame:
+    """``sessions_daily`` from stored slots of (tenant, day, visitor, half hour)."""
+    return with_session_starts(slots, *DAY, "visitor_key").groupBy(*DAY).agg(F.sum("starts_session").alias("sessions"))
+
+
 def sessions_by_campaign(events: DataFrame) -> DataFrame:
     tagged = events.withColumn("campaign_id", F.coalesce("campaign_id", F.lit(0).cast("bigint")))
     marked = session_slots(tagged, *DAY, "campaign_id", "visitor_key")

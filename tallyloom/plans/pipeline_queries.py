@@ -694,16 +694,44 @@ def stream_dedup(s, d):
     return _collected(s, streams.stream_dedup(twice.unionByName(_arriving(s, d))).select("tenant_id", "event_uid", "occurred_at"), "append")
 
 
-@query("stream_rate_limit", "SELECT date_trunc('minute', ts) AS minute, '10.0.0.' || (user_id % 3) AS ip, count(*) AS batches, CAST(0 AS BIGINT) AS dropped FROM events GROUP BY 1, 2", dates=())
-def stream_rate_limit(s, d):
+@query("stream_rate_counts", "SELECT date_trunc('minute', ts) AS minute, '10.0.0.' || (user_id % 3) AS ip, count(*) AS batches, CAST(greatest(count(*) - 1, 0) AS BIGINT) AS dropped FROM events GROUP BY 1, 2", dates=())
+def stream_rate_counts(s, d):
     batches = _arriving(s, d).withColumn("ip", F.concat(F.lit("10.0.0."), (F.col("visitor_key") % 3).cast("string")))
-    return _collected(s, streams.stream_rate_limit(batches), "complete")
+    return _collected(s, streams.stream_rate_counts(batches, most=1), "complete")
 
 
-@query("stream_sessions", sql("""SELECT tenant_id, visitor_key, min(occurred_at) AS started_at, max(occurred_at) + INTERVAL 30 MINUTE AS ends_at, count(*) AS events FROM (
+@query("stream_rate_limit", "SELECT event_id AS batch_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 3, date_trunc('day', ts) ORDER BY ts, event_id) <= 3", dates=())
+def stream_rate_limit(s, d):
+    """Days are shrunk to minutes, so addresses send more than the limit; the stream stops and goes on after half of its files."""
+    folder = _folder(s)
+    at = F.col("ts").cast("timestamp")
+    shrunk = F.timestamp_millis((F.unix_date(F.to_date(at)).cast("long") * 60_000 + F.floor((F.unix_millis(at) - F.unix_millis(F.date_trunc("day", at))) / 1440)).cast("long"))
+    rows = _raw(s, d).select(F.col("event_id").alias("batch_id"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 3).cast("string")).alias("ip"), shrunk.alias("received_at"), at.alias("ts"), F.dayofmonth("ts").alias("day"))
+    schema = "batch_id BIGINT, ip STRING, received_at TIMESTAMP, ts TIMESTAMP"
+    for k, part in enumerate(("day <= 10", "day > 10 and day <= 20", "day > 20")):
+        rows.where(part).select("batch_id", "ip", "received_at", "ts").coalesce(1).write.parquet(f"{folder}/feed/part={k}")
+        source = s.readStream.schema(schema).parquet(f"{folder}/feed/*")
+        # within a minute the order is that of the unshrunk times
+        source = source.withColumn("batch_id", F.struct("ts", F.col("batch_id").alias("id"))).select("batch_id", "ip", F.date_trunc("minute", "received_at").alias("received_at"))
+        streams.stream_rate_limit(source, f"{folder}/out", f"{folder}/checkpoint", most=3).awaitTermination()
+    return streams.read_passed(s, f"{folder}/out").select(F.col("batch_id.id").alias("batch_id"))
+
+
+@query("stream_session_windows", sql("""SELECT tenant_id, visitor_key, min(occurred_at) AS started_at, max(occurred_at) + INTERVAL 30 MINUTE AS ends_at, count(*) AS events FROM (
 SELECT *, sum(fresh) OVER (PARTITION BY visitor_key ORDER BY occurred_at, event_uid) AS n FROM (SELECT *, CASE WHEN lag(occurred_at) OVER (PARTITION BY visitor_key ORDER BY occurred_at, event_uid) > occurred_at - INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM ev)) GROUP BY tenant_id, visitor_key, n""", "ev"), dates=())
+def stream_session_windows(s, d):
+    return _collected(s, streams.stream_session_windows(_arriving(s, d)), "complete")
+
+
+@query("stream_sessions", sql("SELECT stat_date, CAST(sum(starts) AS BIGINT) AS sessions FROM marked GROUP BY 1", "marked"))
 def stream_sessions(s, d):
-    return _collected(s, streams.stream_sessions(_arriving(s, d)), "complete")
+    """Half of the events arrive late, after a restart."""
+    folder = _folder(s)
+    for k in range(2):
+        ad.events(s, d).where(F.col("event_uid") % 2 == k).write.parquet(f"{folder}/feed/part={k}")
+        source = s.readStream.schema(ad.events(s, d).schema).parquet(f"{folder}/feed/*")
+        streams.stream_sessions(source, f"{folder}/slots", f"{folder}/rollup", f"{folder}/checkpoint", c.store(s)).awaitTermination()
+    return s.read.parquet(f"{folder}/rollup").select(F.col("stat_date").cast("date").alias("stat_date"), "sessions")
 
 
 @query("stream_kpi", sql("SELECT stat_date, sessions FROM (SELECT stat_date, CAST(sum(starts) AS BIGINT) AS sessions FROM marked GROUP BY 1) WHERE stat_date > DATE '2024-01-28'", "marked"))
@@ -740,6 +768,74 @@ def stream_ingest_audit(s, d):
     return counts.agg((F.sum("accepted") + F.sum("duplicate")).alias("typed_lines"), *(F.sum(c).alias(c) for c in ("skipped", "accepted", "malformed")))
 
 
+@query("stream_ingest_replays", f"SELECT event_uid, occurred_at, event_type FROM ({_TYPED}) QUALIFY row_number() OVER (PARTITION BY event_uid ORDER BY received_at, occurred_at) = 1", dates=())
+def stream_ingest_replays(s, d):
+    """All lines are sent again three days later, which moves those with an impossible clock to other days; another checkpoint reads all files twice."""
+    folder = _folder(s)
+    lines = _lines(s, d).drop("_corrupt", "_file")
+    lines.withColumn("hour", F.lit("2024013000")).write.partitionBy("hour").json(f"{folder}/feed")
+    now = lambda: datetime(2024, 1, 30, 5)
+    for checkpoint in ("one", "one", "two"):
+        streams.stream_ingest(s, f"{folder}/feed", f"{folder}/events", f"{folder}/{checkpoint}", _salted(s), now, max_files=1000).awaitTermination()
+        if checkpoint == "one":
+            later = lines.withColumn("_rx", F.col("_rx") + 3 * 86_400_000).withColumn("hour", F.lit("2024013001"))
+            later.write.mode("append").partitionBy("hour").json(f"{folder}/feed")
+    return s.read.parquet(f"{folder}/events").select("event_uid", "occurred_at", "event_type")
+
+
+_ROUTED = f"""SELECT event_uid, max(CAST(occurred_at AS DATE)) OVER (PARTITION BY file) > DATE '2024-01-20' AS waits FROM (
+SELECT {_UID} AS event_uid, CASE WHEN k % 10 = 0 THEN ts + INTERVAL 5 SECOND ELSE ts END AS occurred_at, CAST(ts + to_days(CAST(k % 4 AS INT)) AS DATE) AS file FROM {_E} WHERE {_CODE} IS NOT NULL)"""
+
+
+@query("stream_ingest_held", f"SELECT event_uid, count(*) AS copies FROM (SELECT DISTINCT event_uid FROM ({_ROUTED}) WHERE NOT waits) GROUP BY 1", dates=())
+def stream_ingest_held(s, d):
+    """A file with an event of a day without a place is held as a whole; files hold events of four days."""
+    folder = _folder(s)
+    at = F.timestamp_millis(F.col("_rx") - 5000)
+    late = F.regexp_extract("u", r"products/(\d+)", 1).cast("int") % 4
+    lines = _lines(s, d).drop("_corrupt", "_file").withColumn("hour", F.concat(F.date_format(F.date_add(F.to_date(at), late), "yyyyMMdd"), F.lit("00")))
+    lines.repartition("hour").write.partitionBy("hour").json(f"{folder}/feed")
+    registry = s.sql("SELECT 1 AS shard_id, DATE'2024-01-01' AS valid_from, DATE'2024-01-20' AS valid_to")
+    streams.stream_ingest(s, f"{folder}/feed", f"{folder}/events", f"{folder}/checkpoint", _salted(s), lambda: datetime(2024, 3, 1), max_files=1000, registry=registry).awaitTermination()
+    return s.read.parquet(f"{folder}/events").groupBy("event_uid").agg(F.count("*").alias("copies"))
+
+
+def _late_versions(s, d) -> DataFrame:
+    """Three versions of every order; what the middle one says first stays hidden behind the older one."""
+    o, at = F.col("order_id"), F.col("created_at")
+    base = ad.star_orders(s, d).select("tenant_id", "order_id", "created_at", "total_minor", "person_id")
+    version = lambda k, site, mail: base.select(
+        "tenant_id", "order_id", (at + F.expr(f"INTERVAL {k} HOURS")).alias("created_at"), (at + F.expr(f"INTERVAL {k} HOURS")).alias("updated_at"), F.lit(f"C{k}").alias("currency"),
+        site.alias("landing_site"), (F.col("total_minor") + k).alias("total_minor"), mail.alias("email_hash"),
+    )
+    hashed = F.concat(F.lit("h"), F.col("person_id").cast("string"))
+    none = F.lit(None).cast("string")
+    return version(0, F.when(o % 4 != 0, "/first"), hashed).unionByName(version(1, F.lit("/second"), F.when(o % 3 == 0, "middle"))).unionByName(version(2, F.lit("/third"), none))
+
+
+_LATE_ORDERS = sql("SELECT tenant_id, order_id, created_at, created_at + INTERVAL 2 HOUR AS updated_at, 'C0' AS currency, CASE WHEN order_id % 4 <> 0 THEN '/first' END AS landing_site, total_minor + 2 AS total_minor, CASE WHEN order_id % 3 = 0 THEN 'middle' ELSE 'h' || person_id END AS email_hash FROM oc", "oc")
+
+
+@query("orders_merge_steps", _LATE_ORDERS, dates=())
+def orders_merge_steps(s, d):
+    """Versions merged in two steps: the first and the third, then the one between."""
+    states = orders.order_states(_late_versions(s, d))
+    early = orders.fold_states(states.where("currency <> 'C1'"))
+    return orders.orders_of_states(orders.fold_states(early.unionByName(states.where("currency = 'C1'"))))
+
+
+@query("stream_order_merge_late", _LATE_ORDERS, dates=())
+def stream_order_merge_late(s, d):
+    folder = _folder(s)
+    versions = _late_versions(s, d)
+    for k in (2, 0, 1):  # the newest arrives first
+        versions.where(F.col("currency") == f"C{k}").write.parquet(f"{folder}/feed/part={k}")
+        run = streams.stream_order_merge(s.readStream.schema(versions.schema).parquet(f"{folder}/feed/*"), f"{folder}/orders", f"{folder}/checkpoint")
+        run.processAllAvailable()
+        run.stop()
+    return streams.read_orders(s, f"{folder}/orders").select(*versions.columns)
+
+
 @query("stream_order_merge", sql("SELECT order_id, CASE WHEN order_id % 3 = 0 THEN total_minor + 1 ELSE total_minor END AS total_minor FROM oc", "oc"), dates=())
 def stream_order_merge(s, d):
     folder = _folder(s)

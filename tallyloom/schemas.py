@@ -81,7 +81,7 @@ DEFAULT_RULES: tuple[tuple[int, str, str, str | None, str], ...] = (
 )
 
 RAW_EVENTS = (
-    "n STRING, s INT, id STRING, ts BIGINT, cid STRING, u STRING, r STRING, cu STRING, p STRING, v STRING, q STRING, "
+    "n STRING, s INT, id STRING, ts STRING, cid STRING, u STRING, r STRING, cu STRING, p STRING, v STRING, q STRING, "
     "a STRING, c STRING, ct STRING, o STRING, st STRING, cl STRUCT<t: STRING, s: STRING, h: STRING>, "
     "_t INT, _ip STRING, _ua STRING, _rx BIGINT, _corrupt STRING"
 )

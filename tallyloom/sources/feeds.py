@@ -17,45 +17,59 @@ FEED_FILE = r"((?:hour=\d{10}/)?[^/]*)$"
 
 def _with_file(raw: DataFrame) -> DataFrame:
     path = F.col("_metadata.file_path")
-    return raw.select("*", F.regexp_extract(path, FEED_FILE, 1).alias("_file"), F.regexp_extract(path, FEED_HOUR, 1).alias("_hour"))
+    return raw.select("*", F.regexp_extract(path, FEED_FILE, 1).alias("_file"), F.regexp_extract(path, FEED_HOUR, 1).alias("_hour"), path.alias("_path"))
+
+
+def _reader(spark: SparkSession):
+    """Lines as they are typed on arrival; undecodable ones keep their text in ``_corrupt``."""
+    return spark.read.schema(RAW_EVENTS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+
+
+def read_feed_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The lines of named feed files."""
+    return _with_file(_reader(spark).json(paths))
+
+
+def _closed_files(spark: SparkSession, path: str, now: datetime) -> DataFrame:
+    """``path, hour`` of the feed's files of closed hours, from a listing: no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return files.withColumn("hour", F.regexp_extract("path", FEED_HOUR, 1)).where((F.col("hour") != "") & (F.col("hour") < now.strftime("%Y%m%d%H")))
 
 
 def src_event_feed(spark: SparkSession, path: str, now: datetime, max_files: int | None = None) -> DataFrame:
     """Lines of closed hours (named before the current UTC hour); undecodable lines keep their text in ``_corrupt``.
 
-    ``max_files`` takes only the oldest ones; file names are listed by Spark, so any store it reads will do.
+    ``max_files`` takes only the oldest ones, by a listing of names.
     """
-    raw = spark.read.schema(RAW_EVENTS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path)
-    closed = _with_file(raw).where((F.col("_hour") != "") & (F.col("_hour") < now.strftime("%Y%m%d%H")))
     if max_files is not None:
-        oldest = closed.select("_file", "_hour").distinct().orderBy("_hour", "_file").limit(max_files).select("_file")
-        closed = closed.join(F.broadcast(oldest), "_file", "left_semi")  # at most max_files rows
-    return closed
+        oldest = _closed_files(spark, path, now).orderBy("hour", F.regexp_extract("path", FEED_FILE, 1)).limit(max_files)
+        names = [r["path"] for r in oldest.select("path").collect()]  # at most max_files
+        return read_feed_files(spark, names) if names else _with_file(_reader(spark).option("recursiveFileLookup", True).json(path)).limit(0)
+    raw = _reader(spark).option("recursiveFileLookup", True).json(path)
+    return _with_file(raw).where((F.col("_hour") != "") & (F.col("_hour") < now.strftime("%Y%m%d%H")))
 
 
-def closed_units(spark: SparkSession, path: str, now: datetime) -> list[str]:
-    """Glob patterns, relative to ``path``, of its feed files of closed hours: one per folder and hour.
+def closed_units(spark: SparkSession, path: str, now: datetime, since: str = "") -> list[str]:
+    """Glob patterns, relative to ``path``, of its feed files of closed hours (from ``since`` on): one per folder and hour.
 
-    Listed by Spark, so any store it reads will do; there are as many as hours since old files were last put away.
+    Listed by Spark, so any store it reads will do.
     """
     base = spark._jvm.org.apache.hadoop.fs.Path(path)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    hour = F.regexp_extract("path", FEED_HOUR, 1)
     unit = F.regexp_replace(F.regexp_replace("path", r"/[^/]*-(\d{10}\.ndjson)$", "/*-$1"), r"(/hour=\d{10})/.*$", "$1/*")
-    units = files.where((hour != "") & (hour < now.strftime("%Y%m%d%H"))).select(hour.alias("hour"), unit.alias("unit")).distinct().orderBy("hour", "unit")
+    units = _closed_files(spark, path, now).where(F.col("hour") >= since).select("hour", unit.alias("unit")).distinct().orderBy("hour", "unit")
     # schemes are written with one slash or three
     tail = lambda text: text.split(":", 1)[-1].replace("//", "/").replace("//", "/")
     return [tail(r["unit"])[len(tail(base)) + 1 :] for r in units.toLocalIterator()]
 
 
-def stream_event_feed(spark: SparkSession, path: str, now: datetime, max_files: int = 200) -> DataFrame:
+def stream_event_feed(spark: SparkSession, path: str, now: datetime, max_files: int = 200, since: str = "") -> DataFrame:
     """The feed's hours that are closed at ``now``, as a stream; the checkpoint takes the place of moving files away.
 
     A file source never reads a file again, so one that lines may still be appended to must not be offered: each run
-    offers the hours that are closed when it starts.
+    offers the hours that are closed when it starts, from ``since`` (``yyyymmddhh``) on.
     """
-    units = closed_units(spark, path, now)
+    units = closed_units(spark, path, now, since)
     offered = f"{path}/{{{','.join(units)}}}" if units else f"{path}/none-closed-*"
     raw = (
         spark.readStream.schema(RAW_EVENTS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")

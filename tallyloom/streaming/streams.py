@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyloom.operators import ingest
-from tallyloom.operators.orders import orders_merge
-from tallyloom.sources.feeds import stream_event_feed
+from tallyloom.operators import ingest, orders, rollups
+from tallyloom.schemas import SESSION_GAP_SECONDS
+from tallyloom.sources.feeds import read_feed_files, stream_event_feed
+from tallyloom.sources.files import Folder, PartStore, TableFiles
 from tallyloom.sources.sinks import sink_events, sink_rollup
+from tallyloom.streaming.key_index import KeyIndex
 
 
 def stream_dedup(events: DataFrame, delay: str = "3 days") -> DataFrame:
@@ -20,59 +23,190 @@ def stream_dedup(events: DataFrame, delay: str = "3 days") -> DataFrame:
     return events.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["tenant_id", "event_uid"])
 
 
-def stream_rate_limit(batches: DataFrame, delay: str = "2 minutes") -> DataFrame:
+def stream_rate_counts(batches: DataFrame, delay: str = "2 minutes", most: int = ingest.MAX_BATCHES_A_MINUTE) -> DataFrame:
     """Batches per address and UTC minute, with how many are over the limit."""
     counts = batches.withWatermark("received_at", delay).groupBy(F.window("received_at", "1 minute"), "ip").agg(F.count("*").alias("batches"))
-    over = F.greatest(F.lit(0), F.col("batches") - ingest.MAX_BATCHES_A_MINUTE)
-    return counts.select(F.col("window.start").alias("minute"), "ip", "batches", over.alias("dropped"))
+    return counts.select(F.col("window.start").alias("minute"), "ip", "batches", F.greatest(F.lit(0), F.col("batches") - most).alias("dropped"))
 
 
-def stream_sessions(events: DataFrame, delay: str = "3 days") -> DataFrame:
-    """Live sessions by a 30-minute gap. An approximation: the batch job restarts at the store's midnight and splits later."""
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """What names a stream for good: a fresh checkpoint is another stream."""
+    return json.loads(Folder(spark, checkpoint).read_text("metadata"))["id"]
+
+
+#: Address-minutes are kept in so many parts an hour.
+RATE_PARTS = 16
+
+
+def stream_rate_limit(batches: DataFrame, path: str, checkpoint: str, most: int = ingest.MAX_BATCHES_A_MINUTE, memory_hours: int = 2) -> StreamingQuery:
+    """Pass on the first ``most`` batches of each address and UTC minute, to be read by ``read_passed``; drop the others.
+
+    How many batches a minute has had lies beside the output, so the limit holds across micro-batches and restarts. With
+    batches that arrive in the order of their receive times the output is that of ``ingest_rate_limit``; in any other order
+    as many pass, the ones that arrived first. Minutes are remembered for ``memory_hours`` after the newest one. Before they are
+    shuffled, the rows of an address and minute are cut to ``most`` a task, so one address may send a third of all rows.
+    """
+
+    def total(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("hour", "part", "minute", "ip").agg(F.sum("seen").alias("seen"))
+
+    def gate(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        commit = f"{_stream_id(spark, checkpoint)}-{number}"
+        counts = PartStore(spark, f"{path}/counts", ("hour", "part"), total)
+        if counts.commit() == commit:
+            return  # output and counts are there already
+        minute = F.date_trunc("minute", F.col("received_at"))
+        hour = F.floor(F.unix_timestamp(minute) / 3600).alias("hour")
+        own = batch.groupBy(minute.alias("minute"), "ip").agg(F.count("*").alias("seen"))
+        own = own.select(F.floor(F.unix_timestamp("minute") / 3600).alias("hour"), F.pmod(F.xxhash64("ip"), F.lit(RATE_PARTS)).cast("int").alias("part"), "minute", "ip", "seen").persist()
+        try:
+            before = counts.read(own.select("hour", "part").distinct())
+            first = ingest.ingest_rate_limit(batch.withColumn("_at", minute), most, place="_n")
+            if before is not None:
+                first = first.join(before.select(F.col("minute").alias("_at"), "ip", F.col("seen").alias("_seen")), ["_at", "ip"], "left")
+                first = first.where(F.col("_n") + F.coalesce("_seen", F.lit(0)) <= most)
+            first.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/passed/commit={commit}")
+            newest = own.agg(F.max("hour")).first()[0]
+            if newest is not None:
+                counts.merge(own, commit, keep=F.col("hour") >= newest - memory_hours)
+        finally:
+            own.unpersist()
+
+    return batches.writeStream.foreachBatch(gate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_passed(spark: SparkSession, path: str) -> DataFrame:
+    """The batches that a rate limit let through."""
+    return spark.read.parquet(f"{path}/passed").drop("commit")
+
+
+def stream_session_windows(events: DataFrame, delay: str = "3 days") -> DataFrame:
+    """Sessions by a 30-minute gap as Spark's session windows have them: they span the store's midnight and split at the gap itself."""
     sessions = events.withWatermark("occurred_at", delay).groupBy(F.session_window("occurred_at", "30 minutes"), "tenant_id", "visitor_key")
     return sessions.agg(F.count("*").alias("events")).select("tenant_id", "visitor_key", F.col("session_window.start").alias("started_at"), F.col("session_window.end").alias("ends_at"), "events")
 
 
+#: Slots of a store day lie in so many parts.
+SLOT_PARTS = 16
+
+
+def stream_sessions(events: DataFrame, path: str, rollup_path: str, checkpoint: str, tenants: DataFrame, open_days: int | None = None) -> StreamingQuery:
+    """Sessions of each store day, as ``rollups.sessions_daily`` counts them, kept current in ``rollup_path``.
+
+    The state is a row per (tenant, store day, visitor, half hour) with its first and last event, which more events only widen: so late
+    events, replays and repeated batches need no care. A batch rewrites the parts of the days it touches and counts these days again.
+    With ``open_days``, events of days that are further behind their tenant's newest day are left out.
+    """
+    keys = (*rollups.DAY, "visitor_key", "_slot")
+
+    def widen(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, "part").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        store = PartStore(spark, path, (*rollups.DAY, "part"), widen)
+        second = F.col("occurred_at").cast("long")
+        slots = rollups.with_day(batch, tenants, "occurred_at").withColumn("stat_date", F.col("stat_date").cast("string"))
+        slots = slots.groupBy(*rollups.DAY, "visitor_key", F.floor(second / SESSION_GAP_SECONDS).alias("_slot")).agg(F.min(second).alias("_first"), F.max(second).alias("_last"))
+        slots = slots.withColumn("part", F.pmod(F.xxhash64("visitor_key", "_slot"), F.lit(SLOT_PARTS)).cast("int")).persist()
+        try:
+            days = slots.select(*rollups.DAY).distinct()
+            if open_days is not None:
+                known = store.manifest()
+                seen = days if known is None else days.unionByName(known[1].select("tenant_id", F.col("stat_date").cast("string").alias("stat_date")).distinct())
+                newest = seen.groupBy("tenant_id").agg(F.max("stat_date").alias("_newest"))
+                days = days.join(newest, "tenant_id").where(F.datediff("_newest", "stat_date") <= open_days).drop("_newest")
+            days = days.persist()
+            store.merge(slots.join(days, list(rollups.DAY), "left_semi"), f"{_stream_id(spark, checkpoint)}-{number}")
+            stored = store.read(days)
+            sink_rollup(rollups.sessions_of_slots(stored), rollup_path)
+            days.unpersist()
+        finally:
+            slots.unpersist()
+
+    return events.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_live_visitors(events: DataFrame, delay: str = "3 days") -> DataFrame:
     """Visitors an hour, approximately; exact figures come from ``stream_kpi``."""
     hourly = events.withWatermark("occurred_at", delay).groupBy(F.window("occurred_at", "1 hour"), "tenant_id")
     return hourly.agg(F.approx_count_distinct("visitor_key").alias("visitors"), F.count("*").alias("events")).select(F.col("window.start").alias("hour"), "tenant_id", "visitors", "events")
 
 
+def _held(files: TableFiles) -> dict:
+    """``run``: how often held files were offered again, and ``files``: the path of each by its name."""
+    return json.loads(files.folder.read_text("_held.json")) if files.folder.exists("_held.json") else {"run": 0, "files": {}}
+
+
+def held_files(spark: SparkSession, table: str) -> DataFrame:
+    """``_file, _path`` of feed files that wait because a line of theirs has no place yet."""
+    return spark.createDataFrame(sorted(_held(TableFiles(spark, table))["files"].items()), "_file string, _path string")
+
+
 def stream_ingest(
-    spark: SparkSession, feed: str, table: str, checkpoint: str, tenants: DataFrame, now: Callable[[], datetime], max_files: int = 200, audit: str | None = None
+    spark: SparkSession, feed: str, table: str, checkpoint: str, tenants: DataFrame, now: Callable[[], datetime], max_files: int = 200, audit: str | None = None,
+    registry: DataFrame | None = None, since: str = "",
 ) -> StreamingQuery:
-    """Drain the landed files of closed hours into the event table, each event once.
+    """Drain the landed files of closed hours into the event table, each event once, for good.
 
-    A batch is deduplicated in itself and against the table's partitions of the days it touches. A retried batch finds
-    its own rows there and adds nothing. With ``audit``, each batch leaves its ``import_audit`` there: what of each file was
-    accepted, a duplicate, skipped or malformed (a retried batch replaces its own).
-    """
+    Keys are looked up in an index of all stored ones (``KeyIndex``), whatever day or clock an event has. With ``registry`` (see
+    ``ingest.event_route``), a file with an event of a day that has no place is held back as a whole: none of its lines is stored
+    or counts as seen, its audit says failed, and each later run offers it again, until the registry has that day. With ``audit``, each
+    batch leaves its ``import_audit`` there.
 
-    def store(batch: DataFrame, number: int) -> None:
-        mapped = ingest.event_map_type(batch).persist()
+    A batch is staged, then a journal brings its files into the table and its keys into the index. If it is tried again, what it had
+    staged is dropped before the journal, and completed after it. ``since`` (``yyyymmddhh``) leaves older hours out of the listing,
+    once they have been read.
+    """
+    index = KeyIndex(spark, f"{table}/_keys")
+
+    def remember(commit: str, paths: list[str]) -> None:
+        if paths:
+            index.add(spark.read.option("basePath", files.folder.path).parquet(*paths), commit)
+
+    files = TableFiles(spark, table, then=remember)
+    files.recover()
+    if not index.commits() and files.folder.files(""):  # a table from before there was an index
+        index.add(spark.read.parquet(table), "table")
+
+    def store(lines: DataFrame, commit: str, offered: int = 0) -> None:
+        if files.finished(commit):
+            return
+        files.abandon(commit)
+        index.merge_commits()
+        mapped = ingest.event_map_type(lines).persist()
+        kept = [mapped]
         try:
-            typed = ingest.event_shred(mapped.where("_corrupt is null"), tenants, now()).withColumn("event_date", F.to_date("occurred_at"))
-            stored = None
-            if _exists(spark, table):
-                days = typed.select("tenant_id", "event_date").distinct()
-                stored = spark.read.parquet(table).select("tenant_id", "event_uid", "event_date").join(days, ["tenant_id", "event_date"], "left_semi")
+            typed = ingest.event_shred(mapped.where("_corrupt is null"), tenants, now())
+            held, waiting = None, _held(files)
+            if registry is not None:
+                astray = ingest.event_route(typed, registry).where("shard_id is null").select("_file").distinct()
+                held = mapped.select("_file", "_path").distinct().join(astray, "_file", "left_semi").persist()  # at most the files of a batch
+                kept.append(held)
+                typed = typed.join(F.broadcast(held.select("_file")), "_file", "left_anti")
+                for r in mapped.select("_file").distinct().collect():
+                    waiting["files"].pop(r["_file"], None)
+                waiting["files"] |= {r["_file"]: r["_path"] for r in held.collect()}
+                waiting["run"] += offered
+            stored = index.stored(typed.select("tenant_id", "event_uid")).persist()
+            kept.append(stored)
             if audit:
-                counts = ingest.import_audit(ingest.classify_lines(mapped, stored))
-                counts.write.mode("overwrite").parquet(f"{audit}/batch={number}")
-            sink_events(ingest.event_dedup(typed, stored).drop("event_date"), table)
+                counts = ingest.import_audit(ingest.classify_lines(mapped, stored, held))
+                counts.write.mode("overwrite").parquet(f"{audit}/batch={commit}")
+            sink_events(ingest.event_dedup(typed, stored), files.staging(commit), "overwrite")
+            files.commit(commit, texts={"_held.json": json.dumps(waiting)} if registry is not None else None)
         finally:
-            mapped.unpersist()
+            for df in kept:
+                df.unpersist()
 
-    writer = stream_event_feed(spark, feed, now(), max_files).writeStream.foreachBatch(store)
+    waiting = _held(files) if registry is not None else {"files": {}}
+    if waiting["files"]:
+        store(read_feed_files(spark, sorted(waiting["files"].values())), f"held-{waiting['run']}", 1)
+    writer = stream_event_feed(spark, feed, now(), max_files, since).writeStream.foreachBatch(lambda batch, number: store(batch, f"{_stream_id(spark, checkpoint)}-{number}"))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def stream_kpi(arriving: DataFrame, table: str, rollup_path: str, checkpoint: str, compute: Callable[[DataFrame, DataFrame], DataFrame], day_of: Callable[[DataFrame], DataFrame], is_open: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Recompute the open store days that a batch touches, from the stored events, and overwrite those partitions.
 
@@ -100,77 +234,42 @@ def stream_kpi(arriving: DataFrame, table: str, rollup_path: str, checkpoint: st
 ORDER_PARTS = 64
 
 
-def _manifest(spark: SparkSession, path: str) -> tuple[int, DataFrame] | None:
-    """The newest complete version and its list of ``tenant_id, part, version``: where each part's rows are."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return None
-    names = [x.getPath().getName() for x in system.listStatus(folder)]
-    done = [int(n.split("=")[1]) for n in names if n.startswith("at=") and _exists(spark, f"{path}/manifest/{n}/_SUCCESS")]
-    return (max(done), spark.read.parquet(f"{path}/manifest/at={max(done)}")) if done else None
+def order_store(spark: SparkSession, path: str) -> PartStore:
+    """Orders as mergeable states (see ``orders.order_states``)."""
+    return PartStore(spark, path, ("tenant_id", "part"), orders.fold_states)
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
     """The stored orders: of each part the version that the newest manifest names."""
-    found = _manifest(spark, path)
-    if found is None:
+    states = order_store(spark, path).read()
+    if states is None:
         raise FileNotFoundError(f"no complete version of the orders in {path}")
-    rows = spark.read.parquet(f"{path}/data").join(F.broadcast(found[1]), ["version", "tenant_id", "part"], "left_semi")
-    return rows.drop("version", "part")
+    return orders.orders_of_states(states.drop("part"))
+
+
+def merge_into_orders(spark: SparkSession, versions: DataFrame, path: str, commit: str) -> bool:
+    """Merge order versions into the stored orders, in any order of arrival; see ``PartStore.merge``."""
+    states = orders.order_states(versions).withColumn("part", F.pmod(F.xxhash64("order_id"), F.lit(ORDER_PARTS)).cast("int"))
+    return order_store(spark, path).merge(states, commit)
 
 
 def stream_order_merge(arriving: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep one row per order in ``path``, to be read by ``read_orders``.
 
-    Orders lie in ORDER_PARTS parts a tenant. A batch is merged with the stored rows of the parts it touches, and these are
-    written as a new version beside the old ones; then a manifest that names each part's version is written, so a reader
-    sees a batch as a whole or not at all. Repeating a batch changes nothing. A batch that should follow others but finds no
-    manifest, or not the rows it names, fails rather than start anew; a new checkpoint on stored orders goes on from them.
+    Orders lie in ORDER_PARTS parts a tenant, as states that carry when each kept value was set: whatever order versions
+    arrive in, the result is that of all at once. A batch that should follow others but finds no manifest, or not the rows it
+    names, fails rather than start anew; a new checkpoint on stored orders goes on from them.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        found = _manifest(spark, path)
-        if found is None and number:
+        if number and order_store(spark, path).manifest() is None:
             raise RuntimeError(f"batch {number} finds no stored orders in {path}, though batches before it stored some")
-        version = found[0] + 1 if found else 0
-        fresh = batch.withColumn("part", F.pmod(F.xxhash64("order_id"), F.lit(ORDER_PARTS)).cast("int"))
-        touched = fresh.select("tenant_id", "part").distinct().persist()
-        try:
-            versions, kept = fresh, None
-            if found:
-                parts = spark.read.parquet(f"{path}/data")
-                wanted = found[1].join(touched, ["tenant_id", "part"], "left_semi")
-                missing = wanted.join(parts.select("version", "tenant_id", "part").distinct(), ["version", "tenant_id", "part"], "left_anti")
-                if not missing.isEmpty():
-                    raise RuntimeError(f"stored parts that the manifest names are missing in {path}")
-                old = parts.join(F.broadcast(wanted), ["version", "tenant_id", "part"], "left_semi")
-                versions = fresh.unionByName(old.select(*fresh.columns))
-                kept = found[1].join(touched, ["tenant_id", "part"], "left_anti")
-            merged = orders_merge(versions.drop("part")).withColumn("part", F.pmod(F.xxhash64("order_id"), F.lit(ORDER_PARTS)).cast("int"))
-            merged.repartition("tenant_id", "part").write.mode("overwrite").partitionBy("tenant_id", "part").parquet(f"{path}/data/version={version}")
-            now = touched.select("tenant_id", "part", F.lit(version).alias("version"))
-            listed = now if kept is None else now.unionByName(kept.select(*now.columns))
-            listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/at={version}")
-        finally:
-            touched.unpersist()
+        merge_into_orders(spark, batch, path, f"{_stream_id(spark, checkpoint)}-{number}")
 
     return arriving.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 
 
 def drop_old_versions(spark: SparkSession, path: str) -> int:
     """Delete versions and manifests that the newest manifest does not need; returns how many versions went."""
-    found = _manifest(spark, path)
-    if found is None:
-        return 0
-    needed = {r["version"] for r in found[1].select("version").distinct().collect()}
-    system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    gone = 0
-    for kind, keep in (("data", needed), ("manifest", {found[0]})):
-        for entry in system.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}")):
-            number = entry.getPath().getName().partition("=")[2]
-            if number.isdigit() and int(number) not in keep:
-                system.delete(entry.getPath(), True)
-                gone += kind == "data"
-    return gone
+    return order_store(spark, path).retire(keep=1)
