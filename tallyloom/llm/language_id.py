@@ -102,17 +102,22 @@ def _grams(order: int):
 
 
 def _sample(labelled: DataFrame, fit_rows: int, other_end: bool = False) -> DataFrame:
-    """About ``fit_rows`` rows of each language, from one end of a hash of doc_id; the other end is disjoint where languages have twice as many."""
+    """About ``fit_rows`` rows of each language, from one end of a hash of the row; the other end is disjoint where languages have twice as many.
+
+    The row at that end is always among them, so no language is left out, whatever its ids are.
+    """
     labelled = labelled.where("lang is not null and text is not null")
-    shares = labelled.groupBy("lang").count().select(F.col("lang").alias("its_lang"), (F.lit(float(fit_rows)) / F.col("count")).alias("share"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
-    near = (F.lit(1.0) - place <= F.col("share")) if other_end else (place < F.col("share"))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
+    if other_end:
+        place = F.lit(1.0) - place
+    ends = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(place).alias("least"))
+    shares = ends.select(F.col("lang").alias("its_lang"), F.greatest(F.lit(float(fit_rows)) / F.col("count"), "least").alias("share"))
     # a row a language: far less than the tables that the model holds of each
-    return labelled.join(F.broadcast(shares), (F.col("lang") == F.col("its_lang")) & near).select(*labelled.columns)
+    return labelled.join(F.broadcast(shares), (F.col("lang") == F.col("its_lang")) & (place <= F.col("share"))).select(*labelled.columns)
 
 
 def fit(labelled: DataFrame, max_order: int = MAX_ORDER, contexts: int = CONTEXTS, fit_rows: int = FIT_ROWS) -> list[ContextTrees]:
-    """Fit on about ``fit_rows`` rows of each language (``doc_id, text, lang``), picked by a hash of doc_id.
+    """Fit on about ``fit_rows`` rows of each language (``doc_id, text, lang``), picked by a hash of id and text; equal texts count once.
 
     Order 4 is the most that a gram's number holds. Of each language the ``contexts`` most frequent ones are kept, each with
     all its suffixes; the tables of LANGUAGES_AT_ONCE languages take at most that many times contexts x 256 x languages x 4
@@ -120,7 +125,7 @@ def fit(labelled: DataFrame, max_order: int = MAX_ORDER, contexts: int = CONTEXT
     """
     if not 1 <= max_order <= 4:
         raise ValueError("max_order is 1 to 4")
-    counts = bound_batches(_sample(labelled, fit_rows)).select("lang", "text").mapInArrow(_grams(max_order), "lang string, n int, gram long, times long")
+    counts = bound_batches(_sample(labelled, fit_rows).select("lang", "text").distinct()).mapInArrow(_grams(max_order), "lang string, n int, gram long, times long")
     counts = cut_lineage(counts.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")))
     frequent = counts.where("n > 0").groupBy("lang", "n", F.shiftright("gram", 8).alias("context")).agg(F.sum("times").alias("times"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("times"), "n", "context"))

@@ -443,14 +443,19 @@ def _matches(model: Classifier, part: bytes, cut: np.ndarray) -> tuple[dict[int,
     return found, n_paragraphs
 
 
+#: The longest piece of a line that is an example of no licence.
+PIECE_CHARS = 2000
+
+
 def fit(docs: DataFrame, fit_rows: int = 400, fit_paragraphs: int = 3000) -> Classifier:
-    """Train against at most ``fit_paragraphs`` paragraphs of about ``fit_rows`` documents, picked by a hash of doc_id.
+    """Train against at most ``fit_paragraphs`` paragraphs of about ``fit_rows`` documents, picked by a hash of id and text.
 
-    Sampled paragraphs that a notice confirms are left out: they are not examples of "no licence".
+    A line is cut into pieces of PIECE_CHARS before it leaves the tasks, so the sample is of bounded size. Sampled paragraphs that a notice confirms are left out: they are not examples of "no licence".
     """
     share = min(1.0, fit_rows / max(docs.count(), 1))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    lines = picked.select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0").distinct()
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(4)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    pieces = F.regexp_extract_all("text", F.lit(f"[^\n]{{1,{PIECE_CHARS}}}"), F.lit(0))
+    lines = picked.select(F.explode(pieces).alias("line")).where("length(trim(line)) > 0").distinct()
     lines = [words_of(r["line"].encode()) for r in lines.orderBy(F.xxhash64("line"), "line").limit(fit_paragraphs).collect()]
     return train([w for w in lines if not any(confirmed(f, w) for f in NOTICES)])
 

@@ -385,7 +385,7 @@ def planted(words: list[bytes], seed: int = 10) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit_model(docs: DataFrame, fit_rows: int = 4000, fit_candidates: int = 20_000, precision: float = 0.95) -> BoostedTrees | None:
-    """Fit on planted examples and on the candidates (at most ``fit_candidates``) of about ``fit_rows`` documents, picked by a hash of doc_id.
+    """Fit on planted examples and on the candidates (at most ``fit_candidates``) of about ``fit_rows`` documents, picked by a hash of id and text.
 
     None without documents.
     """
@@ -393,7 +393,7 @@ def fit_model(docs: DataFrame, fit_rows: int = 4000, fit_candidates: int = 20_00
     if not n:
         return None
     share = min(1.0, fit_rows / max(n, 1))
-    picked = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    picked = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     found = bound_batches(picked).select("text").mapInArrow(_sample, "x array<double>, y boolean, word string")
     found = found.orderBy(F.xxhash64("x", "word"), "y").limit(fit_candidates).toArrow()
     words = [w.encode() for w in found["word"].to_pylist() if w and not _DIGIT.search(w.encode())]

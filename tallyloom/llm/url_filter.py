@@ -4,15 +4,18 @@ All glob rules are packed into one multiword Shift-And register. A batch of cano
 ``path``) is simulated together in numpy: one step per character position moves every rule on every URL.
 
 Globs: ``*`` matches any run without ``/``, ``**`` any run, ``?`` one character except ``/``; every other
-character stands for itself; a glob must fit the whole canonical URL. The rule with the longest text wins,
+character, and each after a ``\\``, stands for itself; a glob must fit the whole canonical URL. The rule with the longest text wins,
 ties go to the rule listed first.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, matches no rule and is blocked;
 empty tables give empty results; repeated rows are judged one by one; other columns pass through, whatever their names.
+A rule's host and path are taken literally, also ``*`` and ``?`` in them; in a table of rules a null path is an empty one, and a
+row without host or verdict is no rule. URLs may be of any length: they are simulated in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,11 +24,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.columns import set_aside
+from tallyloom.llm.columns import bound_batches, set_aside
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of state that URLs simulated together may take, and the most of them: many rules make chunks short, not memory large.
 STATE_BYTES, CHUNK = 1 << 25, 8192
+#: Characters of a URL whose classes are looked up at once, for a chunk of URLs.
+BLOCK = 256
+
+
+#: The symbol of a glob that fits any character but ``/``.
+ANY = "any"
 
 
 @dataclass(frozen=True)
@@ -39,7 +48,8 @@ class Rule:
 
 def site_rule(host: str, path: str, verdict: str) -> Rule:
     """A rule on ``host`` with all its subdomains, for paths that start with ``path``."""
-    return Rule(host + path, (f"{host}{path}**", f"*.{host}{path}**"), verdict)
+    literal = re.sub(r"([*?\\])", r"\\\1", host + path)
+    return Rule(host + path, (f"{literal}**", f"*.{literal}**"), verdict)
 
 
 #: The production rules: (host, path) rules first, which outrank the method's own blocklist.
@@ -60,7 +70,7 @@ class ShiftAnd:
 
     def __init__(self, globs: Sequence[str]):
         parsed = [self._parse(g) for g in globs]
-        literals = sorted({s for symbols, _ in parsed for s in symbols if s != "any"} | {"/"})
+        literals = sorted({s for symbols, _ in parsed for s in symbols if s != ANY} | {"/"})
         self.literals = np.array([ord(c) for c in literals], dtype=np.uint32)
         classes, bits = len(literals) + 1, sum(len(symbols) + 1 for symbols, _ in parsed)
         self.words = max(1, -(-bits // 64))
@@ -71,7 +81,7 @@ class ShiftAnd:
         for symbols, loops in parsed:
             self.start[at] = True
             for i, symbol in enumerate(symbols):
-                if symbol == "any":
+                if symbol == ANY:
                     step[:, at + i] = True
                     step[slash, at + i] = False
                 else:
@@ -97,7 +107,11 @@ class ShiftAnd:
                 loops[len(symbols)] = "all" if run > 1 or loops.get(len(symbols)) == "all" else "host"
                 i += run
                 continue
-            symbols.append("any" if glob[i] == "?" else glob[i])
+            if glob[i] == "\\" and i + 1 < len(glob):
+                i += 1
+                symbols.append(glob[i])
+            else:
+                symbols.append(ANY if glob[i] == "?" else glob[i])
             i += 1
         return symbols, loops
 
@@ -129,20 +143,24 @@ class ShiftAnd:
 
     def _match_sorted(self, texts: list[str]) -> np.ndarray:
         """``texts`` come longest first, so that those still running are always a leading slice."""
-        lengths = np.array([len(t) for t in texts])
-        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        found = np.minimum(np.searchsorted(self.literals, flat), len(self.literals) - 1)
-        classes = np.where(self.literals[found] == flat, found, len(self.literals))
-        offsets = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        lengths = np.array([len(t) for t in texts], np.int64)
         state = np.repeat(self.start[None], len(texts), axis=0)
         one, top = np.uint64(1), np.uint64(63)
-        for position in range(int(lengths[0]) if len(lengths) else 0):
-            n = int(np.searchsorted(-lengths, -position, side="left"))
-            c = classes[offsets[:n] + position]
-            moved = state[:n] & self.step[c]
-            shifted = moved << one
-            shifted[:, 1:] |= moved[:, :-1] >> top
-            state[:n] = shifted | (state[:n] & self.stay[c])
+        for begin in range(0, int(lengths[0]) if len(lengths) else 0, BLOCK):
+            running = int(np.searchsorted(-lengths, -begin, side="left"))
+            parts = [t[begin : begin + BLOCK] for t in texts[:running]]
+            flat = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            found = np.minimum(np.searchsorted(self.literals, flat), len(self.literals) - 1)
+            classes = np.where(self.literals[found] == flat, found, len(self.literals))
+            here = np.minimum(lengths[:running] - begin, BLOCK)
+            offsets = np.cumsum(here) - here
+            for position in range(int(here[0])):
+                n = int(np.searchsorted(-here, -position, side="left"))
+                c = classes[offsets[:n] + position]
+                moved = state[:n] & self.step[c]
+                shifted = moved << one
+                shifted[:, 1:] |= moved[:, :-1] >> top
+                state[:n] = shifted | (state[:n] & self.stay[c])
         return (state[:, self.accept_word] & self.accept_bit) != 0
 
 
@@ -184,6 +202,7 @@ def judge_urls(
     decide_udf = F.pandas_udf(decide, "rule string, method_rule string, verdict string")
     added = ("host", "path", "rule", "method_rule", "verdict")
     others = [c for c in pages.columns if c not in added]
+    pages = bound_batches(pages)
     kept, restore = set_aside(pages.select(*others), ())
     split = (
         pages.select(F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("address"), *(F.col(f"`{c}`").alias(k) for c, k in zip(others, kept.columns, strict=True)))
@@ -199,7 +218,7 @@ def judge_urls(
 
 def site_rules(rules: DataFrame) -> list[Rule]:
     """Rules from a table of ``host, path, verdict``, in order of host and path; they become one automaton, so the table must fit a worker."""
-    rows = rules.select("host", "path", "verdict").distinct().orderBy("host", "path", "verdict").toLocalIterator()
+    rows = rules.where("host is not null and verdict is not null").select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct().orderBy("host", "path", "verdict").toLocalIterator()
     return [site_rule(r["host"], r["path"], r["verdict"]) for r in rows]
 
 

@@ -717,3 +717,13 @@ def test_ten_thousand_sources(spark):
     target = plain_targets(sizes)
     assert all(r["target"] == pytest.approx(target[f"s{r['doc_id'] % 10_000:05d}"]) for r in got)
     assert sum(r["taken"] for r in got) == pytest.approx(sum(target.values()), rel=0.1)
+
+
+@pytest.mark.parametrize("doc_id", [0, 1, 3, 7, 9])
+def test_every_language_is_learned_whatever_its_ids(spark, doc_id):
+    rows = [(doc_id, f"the house and garden number {k} of the town", "en") for k in range(2000)] + [(k, f"la maison numero {k} du village", "fr") for k in range(300)] + [(doc_id, "ein einziger Satz", "de")] * 900
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    models = language_id.fit(df, fit_rows=100)
+    assert sorted(x for m in models for x in m.languages) == ["de", "en", "fr"]
+    none = language_id.fit(df.selectExpr("cast(null as bigint) doc_id", "text", "lang"), fit_rows=100)
+    assert sorted(x for m in none for x in m.languages) == ["de", "en", "fr"]

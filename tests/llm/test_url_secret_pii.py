@@ -362,3 +362,32 @@ def test_trees_learn_and_calibrate():
     assert ((p > 0.5) == y[2500:]).mean() > 0.95
     chosen = model.select(x[2500:])
     assert y[2500:][chosen].mean() > 0.9 and chosen.sum() > 100
+
+
+def test_rules_are_literal_and_may_lack_parts(spark):
+    table = spark.createDataFrame([("a.net", "/q*x?", "block"), ("a.net", "/\\d", "block"), ("b.net", None, "block"), (None, "/x", "block"), ("c.net", "/", None)], "host STRING, path STRING, verdict STRING")
+    rules = url_filter.site_rules(table)
+    urls = {"http://a.net/q*x": "allow", "http://a.net/qZZx1": "allow", "http://s.a.net/q*x": "allow", "http://a.net/\\d1": "block", "http://a.net/d": "allow", "http://b.net": "block", "http://x.b.net/y": "block", "http://c.net/": "allow"}
+    df = spark.createDataFrame([(u,) for u in urls], "url STRING")
+    got = {r["url"]: r["verdict"] for r in url_filter.judge_urls(df, rules=rules).collect()}
+    assert got == urls
+    assert url_filter.ShiftAnd(["a\\*b*", "\\?"]).match(["a*b", "axb", "a*bcd", "?", "x"]).tolist() == [[True, False], [False, False], [True, False], [False, True], [False, False]]
+
+
+def test_long_urls_in_bounded_memory():
+    import tracemalloc
+
+    machine = url_filter.ShiftAnd([g for r in url_filter.SITE_RULES for g in r.globs])
+    long = ["org/" + "x" * 100_000 + str(k) for k in range(300)] + ["org/", "net/a"]
+    tracemalloc.start()
+    fits = machine.match(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    assert fits[:301, 0].all() and not fits[301].any()
+    assert peak < 100e6
+
+
+def test_sampling_does_not_hang_on_ids(spark):
+    docs = spark.createDataFrame([(7, f"text {k} call +49 30 1234{k:04d}") for k in range(300)], "doc_id BIGINT, text STRING")
+    share = [r["n"] for r in docs.selectExpr("pmod(xxhash64(doc_id, text), 10) n").distinct().collect()]
+    assert len(share) > 3
+    assert pii.fit_model(docs, fit_rows=100) is not None
