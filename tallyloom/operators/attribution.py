@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.small import small_table
+from tallyloom.plans.lineage import cut_lineage
 from tallyloom.schemas import DEFAULT_RULES, DIRECT, GRACE_HOURS, LOOKBACK_DAYS, OTHER, RECLOSE_DAYS
 
 FACTS = ("utm_source", "utm_medium", "utm_campaign", "referrer_host", "landing_path", "has_gclid", "has_fbclid")
@@ -17,14 +18,15 @@ TRIPLE = ("tenant_id", "campaign_id", "referrer_id", "path_id")
 SLOT_SECONDS = 3600
 
 
-def attr_pending(orders: DataFrame, attribution: DataFrame, now: datetime | str, limit: int = 500) -> DataFrame:
-    """Orders past the grace time with no pixel touch row, or still young with a campaign-less one; oldest first."""
+def attr_pending(orders: DataFrame, attribution: DataFrame, now: datetime | str, limit: int | None = 500) -> DataFrame:
+    """Orders past the grace time with no pixel touch row, or still young with a campaign-less one; oldest first (all without ``limit``)."""
     at = F.lit(now).cast("timestamp")
     last = attribution.where("model = 'pixel_last'").select("tenant_id", "order_id", F.col("campaign_id").alias("_c"), F.lit(True).alias("_has"))
     joined = orders.join(last, ["tenant_id", "order_id"], "left")
     fresh = F.col("created_at") > at - F.expr(f"INTERVAL {RECLOSE_DAYS} DAYS")
     due = (F.col("created_at") < at - F.expr(f"INTERVAL {GRACE_HOURS} HOURS")) & (F.col("_has").isNull() | (F.col("_c").isNull() & fresh))
-    return joined.where(due).select("tenant_id", "order_id", "created_at", "visitor_key", "person_id").orderBy("created_at", "order_id").limit(limit)
+    found = joined.where(due).select("tenant_id", "order_id", "created_at", "visitor_key", "person_id")
+    return found if limit is None else found.orderBy("created_at", "order_id").limit(limit)
 
 
 def attr_visitor_set(orders: DataFrame, visitors: DataFrame) -> DataFrame:
@@ -35,12 +37,23 @@ def attr_visitor_set(orders: DataFrame, visitors: DataFrame) -> DataFrame:
     return own.unionByName(others.select(own.columns)).distinct()
 
 
-def attr_touches(events: DataFrame, visitor_set: DataFrame, own_hosts: DataFrame | None = None) -> DataFrame:
+def touch_window(orders: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> tuple[datetime, datetime] | None:
+    """From when to when touches of these orders can lie; None without orders."""
+    first, last = orders.agg(F.min("created_at") - F.expr(f"INTERVAL {lookback_days} DAYS"), F.max("created_at")).first()
+    return None if first is None else (first, last)
+
+
+def attr_touches(events: DataFrame, visitor_set: DataFrame, own_hosts: DataFrame | None = None, window: tuple[datetime, datetime] | None = None) -> DataFrame:
     """Events with a campaign or a referrer, of visitors that matter.
 
-    ``own_hosts`` (``tenant_id, referrer_id``) leaves self-referrals out; by default they count.
+    ``own_hosts`` (``tenant_id, referrer_id``) leaves self-referrals out; by default they count. With a ``window`` (see
+    ``touch_window``) only its days are read of a table with ``event_date`` partitions.
     """
     touches = events.where("campaign_id is not null or referrer_id is not null")
+    if window is not None:
+        touches = touches.where(F.col("occurred_at").between(*map(F.lit, window)))
+        if "event_date" in events.columns:
+            touches = touches.where(F.col("event_date").between(*(F.lit(t.date()) for t in window)))
     if own_hosts is not None:
         own = own_hosts.select("tenant_id", "referrer_id", F.lit(True).alias("_own"))
         touches = touches.join(own, ["tenant_id", "referrer_id"], "left").where("campaign_id is not null or _own is null").drop("_own")
@@ -98,6 +111,21 @@ def attr_pixel_first_last(orders: DataFrame, visitor_set: DataFrame, touches: Da
     return joined.select("tenant_id", "order_id", F.inline(rows))
 
 
+def attr_resolve_due(orders: DataFrame, attribution: DataFrame, events: DataFrame, visitors: DataFrame, now: datetime | str, limit: int | None = None) -> DataFrame:
+    """``attribution`` with the two pixel rows of each order that is due, found again from the events of its window only.
+
+    The due orders are few beside all; their window is what the scan of ``events`` is cut to, and no other order's rows change.
+    """
+    due = cut_lineage(attr_pending(orders, attribution, now, limit))
+    window = touch_window(due)
+    if window is None:
+        return attribution
+    whose = attr_visitor_set(due, visitors)
+    fresh = attr_pixel_first_last(due, whose, attr_touches(events, whose, window=window))
+    kept = attribution.join(fresh.select("tenant_id", "order_id", "model"), ["tenant_id", "order_id", "model"], "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True).select(*attribution.columns)
+
+
 def default_rules(spark, tenant_id: int = 0) -> DataFrame:
     return small_table(
         spark,

@@ -12,9 +12,11 @@ from tallyloom.operators import attribution as at
 from tallyloom.operators import identity, metrics_extra, reports, rollups
 from tallyloom.plans import common as c
 from tallyloom.plans.cte import channel_case, pct, ratio, sql
+from tallyloom.plans.lineage import folder_of
 from tallyloom.plans.registry import query
 from tallyloom.schemas import CAMPAIGN_NUMBER, DEFAULT_RULES, FACEBOOK_CLICK, FUNNEL_NAMES, GOOGLE_CLICK, NO_CAMPAIGN, STAGE_NAMES
 from tallyloom.sources import adapters as ad
+from tallyloom.sources.sinks import sink_events
 
 A = "stat_date BETWEEN DATE '2024-01-11' AND DATE '2024-01-25'"
 A0 = "stat_date BETWEEN DATE '2023-12-27' AND DATE '2024-01-10'"
@@ -129,6 +131,22 @@ def attr_touches(s, d):
 
 
 query("attr_pixel_first_last", sql("SELECT * FROM pixel", "pixel"), dates=())(c.pixel)
+
+
+@query("attr_incremental", sql("SELECT * FROM pixel", "pixel"), dates=())
+def attr_incremental(s, d):
+    """Two runs, the second with orders that the first could not have: each reads the days of its due orders only."""
+    folder = folder_of(s)
+    sink_events(ad.events(s, d), f"{folder}/events")
+    stored, orders = s.read.parquet(f"{folder}/events"), ad.event_orders(s, d)
+    rows = c.pixel(s, d).limit(0)
+    for now in ("2024-01-15 00:00:00", "2024-02-15 00:00:00"):
+        rows = at.attr_resolve_due(orders.where(F.col("created_at") < F.lit(now).cast("timestamp")), rows, stored, c.visitors(s, d), now)
+        rows.write.parquet(f"{folder}/rows/{now[:10]}")
+        rows = s.read.parquet(f"{folder}/rows/{now[:10]}")
+    return rows
+
+
 _TRIPLES = "SELECT DISTINCT tenant_id, campaign_id, referrer_id, path_id FROM ev"
 
 

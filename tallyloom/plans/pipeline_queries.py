@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 from functools import reduce
 
@@ -11,14 +10,14 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import PAGE_PREFIXES, hmac_pads
 from tallyloom.functions.small import small_table
-from tallyloom.operators import dims, identity, ingest, monitors, orders, privacy, rollups
+from tallyloom.operators import dims, geo, identity, ingest, monitors, orders, privacy, rollups
 from tallyloom.plans import common as c
 from tallyloom.plans.cte import sql
-from tallyloom.plans.lineage import ensure_checkpoint_dir
+from tallyloom.plans.lineage import folder_of
 from tallyloom.plans.registry import query
 from tallyloom.sources import adapters as ad
-from tallyloom.sources import feeds, sinks
-from tallyloom.streaming import streams
+from tallyloom.sources import edits, feeds, sinks
+from tallyloom.streaming import order_sync, streams
 
 NOW = datetime(2024, 1, 31)
 
@@ -182,6 +181,19 @@ def geo_enrich(s, d):
     return ingest.geo_enrich(_addresses(s, d), _ranges(s))
 
 
+@query("geo_enrich_networks", f"""SELECT event_id, CASE WHEN f = 1 AND k // 64 = 1 THEN 'six-42' WHEN f = 1 AND u = 3 THEN 'six-128' WHEN f = 1 THEN 'six' WHEN u = 1 AND k < 64 THEN 'four-18' WHEN u = 1 THEN 'four-16' WHEN u < 3 THEN 'four' END AS country
+FROM (SELECT event_id, k, user_id % 4 AS u, event_id % 3 AS f FROM {_E})""", dates=())
+def geo_enrich_networks(s, d):
+    """Addresses of both families, a third of IPv4 written as mapped ones; networks lie inside each other."""
+    e, k, u = F.col("event_id"), F.col("k"), F.col("user_id") % 4
+    quad = F.format_string("1%d.%d.%d.7", F.when(u == 3, 1).otherwise(0), u, k)
+    six = F.when((u == 3) & (F.floor(k / 64) != 1), "2001:DB8::3").otherwise(F.concat(F.lit("2001:db8:"), F.lower(F.hex(k)), F.lit("::1")))
+    rows = _raw(s, d).select("event_id", F.when(e % 3 == 1, six).when(e % 3 == 2, F.concat(F.lit("::ffff:"), quad)).otherwise(quad).alias("ip"))
+    names = {"10.0.0.0/8": "four", "10.1.0.0/16": "four-16", "10.1.0.0/18": "four-18", "2001:db8::/32": "six", "2001:db8:40::/42": "six-42", "2001:db8::3": "six-128"}
+    networks = s.createDataFrame([(n, c, None, None, None, None) for n, c in names.items()], "network STRING, country STRING, region STRING, city STRING, lat DOUBLE, lon DOUBLE")
+    return geo.geo_enrich_networks(rows, networks).select("event_id", "country")
+
+
 # --- dimensions ------------------------------------------------------------------------------------------------------
 
 
@@ -306,6 +318,17 @@ def orders_incremental(s, d):
     return fresh.join(F.broadcast(mark))  # one row
 
 
+@query("orders_sync", sql("SELECT order_id, total_minor FROM oc", "oc"), dates=())
+def orders_sync(s, d):
+    """Three tenants pulled page by page into the stored orders, in runs that stop after two pages each."""
+    folder = folder_of(s)
+    source = ad.star_orders(s, d).select((F.col("order_id") % 3).cast("int").alias("tenant_id"), "order_id", F.col("created_at").alias("updated_at"), "created_at", "total_minor")
+    page = max(1, source.count() // 10)
+    for run in range(4):
+        order_sync.sync_orders(s, source, f"{folder}/cursors", lambda rows, name: streams.merge_into_orders(s, rows, f"{folder}/orders", name), f"run{run}", page=page, pages=2)
+    return streams.read_orders(s, f"{folder}/orders").select("order_id", "total_minor")
+
+
 @query("orders_quarantine", "SELECT o_orderkey AS order_id, 'bad created_at' AS reason FROM orders WHERE o_orderkey % 50 = 0", dates=())
 def orders_quarantine(s, d):
     return orders.orders_quarantine(flat(s, d))[1].select("order_id", "reason")
@@ -494,6 +517,27 @@ def redact_tables(s, d):
     return reduce(DataFrame.unionByName, sums)
 
 
+@query("purge_files", sql("SELECT CAST(event_uid % 5 AS INT) AS tenant_id, count(*) AS rows_left, CAST(0 AS BIGINT) AS rows_removed FROM ev WHERE event_uid % 5 NOT IN (1, 3) GROUP BY 1 UNION ALL SELECT CAST(event_uid % 5 AS INT), 0, count(*) FROM ev WHERE event_uid % 5 IN (1, 3) GROUP BY 1", "ev"), dates=())
+def purge_files(s, d):
+    """Two of five tenants leave a stored table by their folders."""
+    folder, tenant = folder_of(s), (F.col("event_uid") % 5).cast("int")
+    sinks.sink_events(ad.events(s, d).withColumn("tenant_id", tenant), f"{folder}/events")
+    due = ad.events(s, d).select(tenant.alias("tenant_id")).where("tenant_id in (1, 3)").distinct()
+    gone = edits.purge_tenants(s, f"{folder}/events", due, "purge")
+    left = s.read.parquet(f"{folder}/events").groupBy("tenant_id").agg(F.count("*").alias("rows_left"))
+    return left.join(gone, "tenant_id", "full").select(F.col("tenant_id").cast("int").alias("tenant_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rows_left", "rows_removed")))
+
+
+@query("redact_files", sql("SELECT event_uid, CASE WHEN visitor_key % 10 <> 0 THEN visitor_key END AS visitor_key FROM ev WHERE event_uid % 97 <> 0", "ev"), dates=())
+def redact_files(s, d):
+    """Events deleted by key and visitors cleared, file by file, in a stored table."""
+    folder, events = folder_of(s), ad.events(s, d)
+    sinks.sink_events(events, f"{folder}/events")
+    edits.delete_hits(s, f"{folder}/events", events.where("event_uid % 97 = 0"), ["tenant_id", "event_uid"], "delete")
+    edits.clear_hits(s, f"{folder}/events", events.where("visitor_key % 10 = 0"), ["tenant_id", "visitor_key"], ("visitor_key",), "clear")
+    return s.read.parquet(f"{folder}/events").select("event_uid", "visitor_key")
+
+
 query("orphan_events", sql("SELECT CAST(event_uid % 3 + 1 AS INT) AS tenant_id, event_uid FROM ev WHERE event_uid % 3 = 2", "ev"), dates=())(
     lambda s, d: privacy.orphan_events(ad.events(s, d).withColumn("tenant_id", (F.col("event_uid") % 3 + 1).cast("int")), ad.tenants(s)).select("tenant_id", "event_uid")
 )
@@ -552,7 +596,7 @@ def mon_backlog(s, d):
 @query("mon_backlog_files", f"SELECT 'import:backlog' AS alert_key, 'warn' AS severity, count(DISTINCT hour) AS hours FROM (SELECT {_MS} % 8 AS hour FROM {_E}) WHERE hour BETWEEN 3 AND 4 HAVING count(*) > 0", dates=())
 def mon_backlog_files(s, d):
     """The monitor over a listing of landed files, of which those of the first three hours are imported."""
-    folder, later = _folder(s), datetime(2100, 1, 1)
+    folder, later = folder_of(s), datetime(2100, 1, 1)
     _write_feed(s, d, f"{folder}/feed")
     files = monitors.feed_files(s, f"{folder}/feed", datetime(2024, 1, 30, 5))
     hour = F.regexp_extract("file_path", r"hour=(\d{10})/", 1)
@@ -565,7 +609,7 @@ def mon_backlog_files(s, d):
 @query("mon_capacity_files", sql("SELECT CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS event_date, true AS over FROM ev GROUP BY 1", "ev"), dates=())
 def mon_capacity_files(s, d):
     """The monitor over the sizes of an event table's files, with a limit that each day is beyond."""
-    folder = _folder(s)
+    folder = folder_of(s)
     sinks.sink_events(ad.events(s, d), f"{folder}/events")
     found = monitors.mon_capacity(monitors.file_sizes(s, f"{folder}/events", "event_date"), 1000)
     return found.select(F.substring_index("alert_key", ":", -1).alias("event_date"), (F.col("severity") == "critical").alias("over"))
@@ -609,7 +653,7 @@ def _write_feed(s, d, path: str) -> None:
 
 @query("src_event_feed", f"SELECT '202401300' || ms % 8 AS hour, count(*) AS lines, count(DISTINCT id) AS ids FROM (SELECT CASE WHEN event_id % 9 <> 0 THEN 'e' || event_id END AS id, {_MS} AS ms FROM {_E}) WHERE ms % 8 < 5 GROUP BY 1", dates=())
 def src_event_feed(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     _write_feed(s, d, f"{folder}/feed")
     closed = feeds.src_event_feed(s, f"{folder}/feed", datetime(2024, 1, 30, 5))
     return closed.groupBy(F.col("_hour").alias("hour")).agg(F.count("*").alias("lines"), F.countDistinct("id").alias("ids"))
@@ -617,14 +661,14 @@ def src_event_feed(s, d):
 
 @query("src_orders_feed", f"SELECT o_orderkey AS order_id, o_custkey AS shopify_customer_id, {_MINOR} AS total_minor FROM orders", dates=())
 def src_orders_feed(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     raw_orders(s, d).write.json(f"{folder}/orders")
     return orders.orders_flatten(feeds.src_orders_feed(s, f"{folder}/orders")).select("order_id", "shopify_customer_id", "total_minor")
 
 
 @query("src_bulk_export", "SELECT o_orderkey AS order_key, count(l_orderkey) AS lines, coalesce(CAST(sum(l_quantity) AS BIGINT), 0) AS units FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1", dates=())
 def src_bulk_export(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     gid = lambda c: F.concat(F.lit("gid://shop/Order/"), F.col(c).cast("string"))
     parents = ad.table(s, d, "orders").select(F.to_json(F.struct(gid("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))).alias("value"))
     kids = ad.table(s, d, "lineitem").select(F.to_json(F.struct(F.concat(F.lit("gid://shop/LineItem/"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_quantity").cast("bigint").alias("quantity"), gid("l_orderkey").alias("__parentId"))).alias("value"))
@@ -636,7 +680,7 @@ def src_bulk_export(s, d):
 
 @query("src_geo_ranges", "SELECT k * 256 AS ip_start, k * 256 + 255 AS ip_end, count(*) AS events FROM (SELECT CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k FROM events) GROUP BY 1, 2", dates=())
 def src_geo_ranges(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     k = F.col("k")
     ranges = _raw(s, d).select((k * 256).alias("ip_start"), (k * 256 + 255).alias("ip_end"), *(F.lit("x").alias(n) for n in ("country", "region", "city")), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
     ranges.write.parquet(f"{folder}/ranges")
@@ -645,14 +689,14 @@ def src_geo_ranges(s, d):
 
 @query("sink_events", sql("SELECT CAST(occurred_at AS DATE) AS event_date, count(*) AS events, CAST(sum(event_uid) AS BIGINT) AS uid_sum FROM ev GROUP BY 1", "ev"), dates=("event_date",))
 def sink_events(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     sinks.sink_events(ad.events(s, d), f"{folder}/events")
     return s.read.parquet(f"{folder}/events").groupBy("event_date").agg(F.count("*").alias("events"), F.sum("event_uid").alias("uid_sum"))
 
 
 @query("sink_rollup", sql("SELECT stat_date, sessions FROM (SELECT stat_date, CAST(sum(starts) AS BIGINT) AS sessions FROM marked GROUP BY 1)", "marked"))
 def sink_rollup(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     days = rollups.sessions_daily(c.ev(s, d))
     sinks.sink_rollup(days.withColumn("sessions", F.lit(-1).cast("bigint")), f"{folder}/rollup")
     sinks.sink_rollup(days, f"{folder}/rollup")  # replaces, never adds
@@ -669,14 +713,9 @@ def _arriving(s, d) -> DataFrame:
     return raw.select(F.lit(1).alias("tenant_id"), F.col("event_id").alias("event_uid"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("occurred_at"), F.col("ts").cast("timestamp").alias("received_at"), F.col("user_id").alias("visitor_key"), "event_type", "value")
 
 
-def _folder(s) -> str:
-    ensure_checkpoint_dir(s)
-    return f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-
-
 def _collected(s, stream: DataFrame, mode: str) -> DataFrame:
     """Run a bounded stream to its end and read what it wrote (the last complete result in complete mode)."""
-    folder = _folder(s)
+    folder = folder_of(s)
 
     def keep(batch: DataFrame, number: int) -> None:
         if mode == "append":
@@ -703,7 +742,7 @@ def stream_rate_counts(s, d):
 @query("stream_rate_limit", "SELECT event_id AS batch_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 3, date_trunc('day', ts) ORDER BY ts, event_id) <= 3", dates=())
 def stream_rate_limit(s, d):
     """Days are shrunk to minutes, so addresses send more than the limit; the stream stops and goes on after half of its files."""
-    folder = _folder(s)
+    folder = folder_of(s)
     at = F.col("ts").cast("timestamp")
     shrunk = F.timestamp_millis((F.unix_date(F.to_date(at)).cast("long") * 60_000 + F.floor((F.unix_millis(at) - F.unix_millis(F.date_trunc("day", at))) / 1440)).cast("long"))
     rows = _raw(s, d).select(F.col("event_id").alias("batch_id"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 3).cast("string")).alias("ip"), shrunk.alias("received_at"), at.alias("ts"), F.dayofmonth("ts").alias("day"))
@@ -726,7 +765,7 @@ def stream_session_windows(s, d):
 @query("stream_sessions", sql("SELECT stat_date, CAST(sum(starts) AS BIGINT) AS sessions FROM marked GROUP BY 1", "marked"))
 def stream_sessions(s, d):
     """Half of the events arrive late, after a restart."""
-    folder = _folder(s)
+    folder = folder_of(s)
     for k in range(2):
         ad.events(s, d).where(F.col("event_uid") % 2 == k).write.parquet(f"{folder}/feed/part={k}")
         source = s.readStream.schema(ad.events(s, d).schema).parquet(f"{folder}/feed/*")
@@ -736,7 +775,7 @@ def stream_sessions(s, d):
 
 @query("stream_kpi", sql("SELECT stat_date, sessions FROM (SELECT stat_date, CAST(sum(starts) AS BIGINT) AS sessions FROM marked GROUP BY 1) WHERE stat_date > DATE '2024-01-28'", "marked"))
 def stream_kpi(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     ad.events(s, d).withColumn("event_date", F.to_date("occurred_at")).write.partitionBy("event_date").parquet(f"{folder}/events")
     day_of = lambda df: rollups.with_day(df, c.store(s), "occurred_at")
     is_open = lambda days: rollups.with_provisional(days, c.store(s), ad.NOW_EVENTS).where("is_provisional = 1").drop("is_provisional")
@@ -749,7 +788,7 @@ _TYPED = f"SELECT {_UID} AS event_uid, date_trunc('second', CASE WHEN k % 10 = 0
 
 @query("stream_ingest", f"SELECT event_uid, occurred_at, event_type FROM ({_TYPED}) WHERE hour < 5 QUALIFY row_number() OVER (PARTITION BY event_uid ORDER BY received_at, occurred_at) = 1", dates=())
 def stream_ingest(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     _write_feed(s, d, f"{folder}/feed")
     _write_feed(s, d, f"{folder}/feed/again")  # replays add nothing
     now = datetime(2024, 1, 30, 5)  # three of eight hours are not closed
@@ -760,7 +799,7 @@ def stream_ingest(s, d):
 @query("stream_ingest_audit", f"""SELECT CAST(2 * count(*) FILTER (c IS NOT NULL) AS BIGINT) AS typed_lines, CAST(2 * count(*) FILTER (c IS NULL) AS BIGINT) AS skipped, count(DISTINCT u) FILTER (c IS NOT NULL) AS accepted, CAST(0 AS BIGINT) AS malformed
 FROM (SELECT {_CODE} AS c, {_UID} AS u, {_MS} % 8 AS hour FROM {_E}) WHERE hour < 5""", dates=())
 def stream_ingest_audit(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     _write_feed(s, d, f"{folder}/feed")
     _write_feed(s, d, f"{folder}/feed/again")
     streams.stream_ingest(s, f"{folder}/feed", f"{folder}/events", f"{folder}/checkpoint", _salted(s), lambda: datetime(2024, 1, 30, 5), max_files=1000, audit=f"{folder}/audit").awaitTermination()
@@ -771,7 +810,7 @@ def stream_ingest_audit(s, d):
 @query("stream_ingest_replays", f"SELECT event_uid, occurred_at, event_type FROM ({_TYPED}) QUALIFY row_number() OVER (PARTITION BY event_uid ORDER BY received_at, occurred_at) = 1", dates=())
 def stream_ingest_replays(s, d):
     """All lines are sent again three days later, which moves those with an impossible clock to other days; another checkpoint reads all files twice."""
-    folder = _folder(s)
+    folder = folder_of(s)
     lines = _lines(s, d).drop("_corrupt", "_file")
     lines.withColumn("hour", F.lit("2024013000")).write.partitionBy("hour").json(f"{folder}/feed")
     now = lambda: datetime(2024, 1, 30, 5)
@@ -790,7 +829,7 @@ SELECT {_UID} AS event_uid, CASE WHEN k % 10 = 0 THEN ts + INTERVAL 5 SECOND ELS
 @query("stream_ingest_held", f"SELECT event_uid, count(*) AS copies FROM (SELECT DISTINCT event_uid FROM ({_ROUTED}) WHERE NOT waits) GROUP BY 1", dates=())
 def stream_ingest_held(s, d):
     """A file with an event of a day without a place is held as a whole; files hold events of four days."""
-    folder = _folder(s)
+    folder = folder_of(s)
     at = F.timestamp_millis(F.col("_rx") - 5000)
     late = F.regexp_extract("u", r"products/(\d+)", 1).cast("int") % 4
     lines = _lines(s, d).drop("_corrupt", "_file").withColumn("hour", F.concat(F.date_format(F.date_add(F.to_date(at), late), "yyyyMMdd"), F.lit("00")))
@@ -826,7 +865,7 @@ def orders_merge_steps(s, d):
 
 @query("stream_order_merge_late", _LATE_ORDERS, dates=())
 def stream_order_merge_late(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     versions = _late_versions(s, d)
     for k in (2, 0, 1):  # the newest arrives first
         versions.where(F.col("currency") == f"C{k}").write.parquet(f"{folder}/feed/part={k}")
@@ -838,7 +877,7 @@ def stream_order_merge_late(s, d):
 
 @query("stream_order_merge", sql("SELECT order_id, CASE WHEN order_id % 3 = 0 THEN total_minor + 1 ELSE total_minor END AS total_minor FROM oc", "oc"), dates=())
 def stream_order_merge(s, d):
-    folder = _folder(s)
+    folder = folder_of(s)
     versions = _versions(s, d)
     for k, kept in enumerate(("order_id % 3 <> 0 or currency = 'INR'", "currency = 'USD'")):
         versions.where(kept).write.parquet(f"{folder}/feed/part={k}")
