@@ -17,7 +17,7 @@ from tallyloom.plans.lineage import folder_of
 from tallyloom.plans.registry import query
 from tallyloom.sources import adapters as ad
 from tallyloom.sources import edits, feeds, sinks
-from tallyloom.streaming import order_sync, streams
+from tallyloom.streaming import order_sync, person_orders, streams
 
 NOW = datetime(2024, 1, 31)
 
@@ -538,6 +538,20 @@ def redact_files(s, d):
     return s.read.parquet(f"{folder}/events").select("event_uid", "visitor_key")
 
 
+@query("person_changes", sql("SELECT tenant_id, order_id, person_id * 2 AS person_id, order_sequence FROM oc", "oc"), dates=())
+def person_changes(s, d):
+    """Persons that were split in two are merged by a second run, which brings every third order; only what changes is renumbered."""
+    folder, orders, half = folder_of(s), ad.star_orders(s, d), F.col("order_id") % 2
+    split = F.col("person_id") * 2 + half
+    node = lambda kind, at, to: (F.lit(kind).alias("node_kind"), at.cast("bigint").alias("node_id"), to.cast("bigint").alias("person_id"))
+    first, second = orders.where("order_id % 3 <> 0"), orders.where("order_id % 3 = 0")
+    person_orders.apply_identity(s, folder, first.select("tenant_id", *node("order", F.col("order_id"), split)), first, c.store(s), 0)
+    merged = second.select("tenant_id", *node("order", F.col("order_id"), F.col("person_id") * 2))
+    merges = first.where(half == 1).select("tenant_id", *node("person", split, F.col("person_id") * 2)).distinct()
+    person_orders.apply_identity(s, folder, merged.unionByName(merges), second, c.store(s), 1)
+    return person_orders.stored_orders(s, folder).select("tenant_id", "order_id", "person_id", "order_sequence")
+
+
 query("orphan_events", sql("SELECT CAST(event_uid % 3 + 1 AS INT) AS tenant_id, event_uid FROM ev WHERE event_uid % 3 = 2", "ev"), dates=())(
     lambda s, d: privacy.orphan_events(ad.events(s, d).withColumn("tenant_id", (F.col("event_uid") % 3 + 1).cast("int")), ad.tenants(s)).select("tenant_id", "event_uid")
 )
