@@ -727,3 +727,18 @@ def test_every_language_is_learned_whatever_its_ids(spark, doc_id):
     assert sorted(x for m in models for x in m.languages) == ["de", "en", "fr"]
     none = language_id.fit(df.selectExpr("cast(null as bigint) doc_id", "text", "lang"), fit_rows=100)
     assert sorted(x for m in none for x in m.languages) == ["de", "en", "fr"]
+
+
+def test_items_without_id_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "one two three four five"), (4, None)], "doc_id BIGINT, text STRING")
+    items = spark.createDataFrame([(None, "one two three"), ("b", "four five"), (None, "two"), ("c", None)], "item_id STRING, text STRING")
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    items.coalesce(1).write.parquet(str(tmp_path / "b"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'; CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/b/*.parquet'")
+    got = decontaminate.op3_decontaminate(docs, items)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op3_decontaminate']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {r["doc_id"]: (r["n_items"], r["contaminated"]) for r in got.collect()} == {1: (0, True), 2: (1, True), 3: (1, True), 4: (0, False)}
