@@ -435,12 +435,15 @@ def _scanner(model: BoostedTrees | None):
             bases = [base_spans(t) for t in texts]
             added: list[list[Span]] = [[] for _ in texts]
             taken = [Taken(base) for base in bases]
+            likely: list[tuple[int, float, Span]] = []
             for some in _at_once((i, c) for i, t in enumerate(texts if model else ()) for c in candidates(t) if not taken[i].overlaps(c)):
-                chosen = model.select(np.array([features(texts[i], c) for i, c in some]))
-                for (i, c), yes in zip(some, chosen, strict=True):
-                    if yes and not taken[i].overlaps(c):
-                        added[i].append(c)
-                        taken[i].add(c)
+                x = np.array([features(texts[i], c) for i, c in some])
+                chance = model.probability(x)
+                likely += [(i, -p, c) for (i, c), p, yes in zip(some, chance.tolist(), model.select(x), strict=True) if yes]
+            for i, _, c in sorted(likely):  # of overlapping spans the likeliest is kept; of equal ones the first
+                if not taken[i].overlaps(c):
+                    added[i].append(c)
+                    taken[i].add(c)
             counts = [[sum(x[1] == k for x in b) for b in bases] for k in range(4)]
             digests, spans = [], []
             for text, base, more in zip(texts, bases, added, strict=True):
