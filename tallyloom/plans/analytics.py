@@ -16,6 +16,7 @@ from tallyloom.plans.lineage import folder_of
 from tallyloom.plans.registry import query
 from tallyloom.schemas import CAMPAIGN_NUMBER, DEFAULT_RULES, FACEBOOK_CLICK, FUNNEL_NAMES, GOOGLE_CLICK, NO_CAMPAIGN, STAGE_NAMES
 from tallyloom.sources import adapters as ad
+from tallyloom.sources.files import read_table
 from tallyloom.sources.sinks import sink_events
 
 A = "stat_date BETWEEN DATE '2024-01-11' AND DATE '2024-01-25'"
@@ -138,7 +139,7 @@ def attr_incremental(s, d):
     """Two runs, the second with orders that the first could not have: each reads the days of its due orders only."""
     folder = folder_of(s)
     sink_events(ad.events(s, d), f"{folder}/events")
-    stored, orders = s.read.parquet(f"{folder}/events"), ad.event_orders(s, d)
+    stored, orders = read_table(s, f"{folder}/events", ad.events(s, d)), ad.event_orders(s, d)
     rows = c.pixel(s, d).limit(0)
     for now in ("2024-01-15 00:00:00", "2024-02-15 00:00:00"):
         rows = at.attr_resolve_due(orders.where(F.col("created_at") < F.lit(now).cast("timestamp")), rows, stored, c.visitors(s, d), now)

@@ -16,7 +16,7 @@ from tallyloom.plans.cte import sql
 from tallyloom.plans.lineage import folder_of
 from tallyloom.plans.registry import query
 from tallyloom.sources import adapters as ad
-from tallyloom.sources import edits, feeds, sinks
+from tallyloom.sources import edits, feeds, files, sinks
 from tallyloom.streaming import order_sync, person_orders, streams
 
 NOW = datetime(2024, 1, 31)
@@ -326,7 +326,7 @@ def orders_sync(s, d):
     page = max(1, source.count() // 10)
     for run in range(4):
         order_sync.sync_orders(s, source, f"{folder}/cursors", lambda rows, name: streams.merge_into_orders(s, rows, f"{folder}/orders", name), f"run{run}", page=page, pages=2)
-    return streams.read_orders(s, f"{folder}/orders").select("order_id", "total_minor")
+    return streams.read_orders(s, f"{folder}/orders", source).select("order_id", "total_minor")
 
 
 @query("orders_quarantine", "SELECT o_orderkey AS order_id, 'bad created_at' AS reason FROM orders WHERE o_orderkey % 50 = 0", dates=())
@@ -524,7 +524,7 @@ def purge_files(s, d):
     sinks.sink_events(ad.events(s, d).withColumn("tenant_id", tenant), f"{folder}/events")
     due = ad.events(s, d).select(tenant.alias("tenant_id")).where("tenant_id in (1, 3)").distinct()
     gone = edits.purge_tenants(s, f"{folder}/events", due, "purge")
-    left = s.read.parquet(f"{folder}/events").groupBy("tenant_id").agg(F.count("*").alias("rows_left"))
+    left = files.read_table(s, f"{folder}/events", ad.events(s, d)).groupBy("tenant_id").agg(F.count("*").alias("rows_left"))
     return left.join(gone, "tenant_id", "full").select(F.col("tenant_id").cast("int").alias("tenant_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rows_left", "rows_removed")))
 
 
@@ -535,7 +535,7 @@ def redact_files(s, d):
     sinks.sink_events(events, f"{folder}/events")
     edits.delete_hits(s, f"{folder}/events", events.where("event_uid % 97 = 0"), ["tenant_id", "event_uid"], "delete")
     edits.clear_hits(s, f"{folder}/events", events.where("visitor_key % 10 = 0"), ["tenant_id", "visitor_key"], ("visitor_key",), "clear")
-    return s.read.parquet(f"{folder}/events").select("event_uid", "visitor_key")
+    return files.read_table(s, f"{folder}/events", events).select("event_uid", "visitor_key")
 
 
 @query("person_changes", sql("SELECT tenant_id, order_id, person_id * 2 AS person_id, order_sequence FROM oc", "oc"), dates=())
@@ -549,7 +549,8 @@ def person_changes(s, d):
     merged = second.select("tenant_id", *node("order", F.col("order_id"), F.col("person_id") * 2))
     merges = first.where(half == 1).select("tenant_id", *node("person", split, F.col("person_id") * 2)).distinct()
     person_orders.apply_identity(s, folder, merged.unionByName(merges), second, c.store(s), 1)
-    return person_orders.stored_orders(s, folder).select("tenant_id", "order_id", "person_id", "order_sequence")
+    found = person_orders.stored_orders(s, folder)
+    return (identity.order_sequence(orders, c.store(s)) if found is None else found).select("tenant_id", "order_id", "person_id", "order_sequence")
 
 
 query("orphan_events", sql("SELECT CAST(event_uid % 3 + 1 AS INT) AS tenant_id, event_uid FROM ev WHERE event_uid % 3 = 2", "ev"), dates=())(

@@ -69,6 +69,11 @@ class Folder:
         return sorted(found)
 
 
+def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A Parquet table, or no rows of the columns of ``like`` where nothing is stored yet."""
+    return spark.read.parquet(path) if Folder(spark, path).files("") else like.limit(0)
+
+
 class Versions:
     """Numbered versions of a small table, each written as a whole; the newest complete one counts."""
 
@@ -131,9 +136,9 @@ class PartStore:
         return same.join(listed, ["version", *self.parts], "left_semi")
 
     def read(self, only: DataFrame | None = None) -> DataFrame | None:
-        """The stored rows (of the parts in ``only``), or None where there is no complete version."""
+        """The stored rows (of the parts in ``only``), or None where nothing is stored."""
         found = self.manifest()
-        if found is None:
+        if found is None or found[1].isEmpty():
             return None
         named = found[1] if only is None else found[1].join(only, [c for c in self.parts if c in only.columns], "left_semi")
         if named.isEmpty():

@@ -239,9 +239,11 @@ def order_store(spark: SparkSession, path: str) -> PartStore:
     return PartStore(spark, path, ("tenant_id", "part"), orders.fold_states)
 
 
-def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    """The stored orders: of each part the version that the newest manifest names."""
+def read_orders(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    """The stored orders: of each part the version that the newest manifest names (no rows of ``like`` where none are stored)."""
     states = order_store(spark, path).read()
+    if states is None and like is not None:
+        return like.limit(0)
     if states is None:
         raise FileNotFoundError(f"no complete version of the orders in {path}")
     return orders.orders_of_states(states.drop("part"))
