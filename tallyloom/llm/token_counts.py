@@ -10,7 +10,7 @@ Defined results: null text counts as empty (0 tokens, 0 bytes); white space alon
 one token, and a part of it is ordinary text; repeated rows and equal or null ids keep a row each; further columns stay.
 A prefix ends between characters: a mark that composes with the letter before it belongs to that letter, and positions
 inside such a character hold the count of its end. Texts are read in pieces of bounded size, so a text may be of any
-length; a single word of n bytes takes 4 n bytes of memory.
+length; a single word of n bytes, which is walked as a whole, takes some 20 n bytes of memory.
 """
 
 from __future__ import annotations
@@ -203,11 +203,15 @@ class PrefixCounter:
     def word(self, symbols: str) -> array:
         """For a word in the vocabulary's symbols: the token counts of its prefixes, each read as a word of its own."""
         n, tree, fits, fit = len(symbols), self._tree, self._merges.fits, self._merges.fit
-        counts, inner, last = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        # no token reaches further than the longest one, so what was before it is written over
+        ring = self._longest + 1
+        counts, inner, last = array("i", bytes(4 * (n + 1))), [0] * ring, [0] * ring
         for start in range(n):
-            before, tokens, end, node = last[start] << 32, inner[start] + 1, start, tree
+            here = start % ring
+            before, tokens, end, node = last[here] << 32, inner[here] + 1, start, tree
             if start and tokens == 1:
                 raise ValueError("a symbol that the vocabulary lacks")
+            inner[here] = 0
             for c in symbols[start : start + self._longest]:
                 node = node[0].get(c)
                 if node is None:
@@ -215,18 +219,17 @@ class PrefixCounter:
                 end += 1
                 # each prefix has one encoding, so an end that is reached needs no further tries
                 token = node[1]
-                if token is not None and not inner[end]:
+                if token is not None and not inner[end % ring]:
                     if start and (fitting := fits.get(before | token)) is None:
                         fitting = fit(before | token)
                     if not start or fitting:
-                        last[end], inner[end] = token, tokens
+                        last[end % ring], inner[end % ring] = token, tokens
                 token = node[2]
                 if token is not None and not counts[end]:
                     if start and (fitting := fits.get(before | token)) is None:
                         fitting = fit(before | token)
                     if not start or fitting:
                         counts[end] = tokens
-        counts = array("i", counts)
         return counts
 
     def words(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -278,10 +281,10 @@ class PrefixCounter:
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts of the prefixes of a run without special tokens, by code points (0 first)."""
-        pieces = self._split(text)
         if text.isascii():
             read, ends = text.lower(), None
         else:
+            pieces = self._split(text)
             normal, known = self._library.normalizer.normalize_str, self._characters
             for c in {p for p in pieces if p not in known}:
                 if len(known) >= KEPT_RUNS:

@@ -99,3 +99,17 @@ def test_stored_prefixes_answer_questions(spark, library):
 def test_other_kinds_of_vocabulary_are_refused():
     with pytest.raises(ValueError, match="white space"):
         tc.PrefixCounter(tc.vocabulary_path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("unit", ["q", "the", "x1!", "日本"])
+def test_a_long_word_in_bounded_memory(library, unit):
+    import tracemalloc
+
+    text = (unit * 200_000)[:200_000]
+    counter = tc.counter(tc.VOCABULARY)
+    tracemalloc.start()
+    total = int(counter.run(text)[-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == plain(library, text)
+    assert peak < 200 * len(text.encode())
