@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,7 +188,7 @@ def stream_ingest(
                 typed = typed.join(F.broadcast(held.select("_file")), "_file", "left_anti")
                 for r in mapped.select("_file").distinct().collect():
                     waiting["files"].pop(r["_file"], None)
-                waiting["files"] |= {r["_file"]: r["_path"] for r in held.collect()}
+                waiting["files"] |= {r["_file"]: unquote(r["_path"]) for r in held.collect()}
                 waiting["run"] += offered
             stored = index.stored(typed.select("tenant_id", "event_uid")).persist()
             kept.append(stored)

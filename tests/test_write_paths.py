@@ -184,12 +184,12 @@ def test_a_file_waits_until_its_day_has_a_place(spark, tenants, tmp_path):
     feed, audit = tmp_path / "feed", str(tmp_path / "audit")
     places = lambda end: spark.createDataFrame([(1, datetime(2024, 1, 1).date(), end.date())], "shard_id INT, valid_from DATE, valid_to DATE")
     write_feed(feed, "1-2024060910.ndjson", [line(id="a", ts=MS - 2 * DAY_MS), line(id="x", ts=MS - 2 * DAY_MS)])
-    write_feed(feed, "1-2024061010.ndjson", [line(id="b", ts=MS - 2 * DAY_MS), line(id="c", ts=MS), line(id="a"), "{broken"])
+    write_feed(feed, "a b-2024061010.ndjson", [line(id="b", ts=MS - 2 * DAY_MS), line(id="c", ts=MS), line(id="a"), "{broken"])
     short, long = places(datetime(2024, 6, 9)), places(datetime(2024, 12, 31))
     assert ingest_all(spark, tmp_path, tenants, registry=short, audit=audit).count() == 2
     status = {r["file_name"]: (r["status"], r["accepted"], r["duplicate"], r["malformed"]) for r in spark.read.parquet(audit).collect()}
-    assert status == {"1-2024060910.ndjson": ("ok", 2, 0, 0), "1-2024061010.ndjson": ("failed", 0, 0, 1)}
-    assert [r["_file"] for r in streams.held_files(spark, str(tmp_path / "events")).collect()] == ["1-2024061010.ndjson"]
+    assert status == {"1-2024060910.ndjson": ("ok", 2, 0, 0), "a%20b-2024061010.ndjson": ("failed", 0, 0, 1)}
+    assert [r["_file"] for r in streams.held_files(spark, str(tmp_path / "events")).collect()] == ["a%20b-2024061010.ndjson"]
     # offered again and still without a place; a line of it may be stored by another file
     write_feed(feed, "1-2024061011.ndjson", [line(id="b", ts=MS - 2 * DAY_MS)])
     assert ingest_all(spark, tmp_path, tenants, registry=short, audit=audit).count() == 3
