@@ -152,19 +152,17 @@ def _usable(rules: DataFrame) -> DataFrame:
 
 
 def _matches(rule: Column) -> Column:
-    """Whether a rule matches a row with ``_facts``: lower-case texts, and a flag that is set as some text.
-
-    Regular expressions see the lower-case text too, under ``(?i)``.
-    """
+    """Whether a rule that is no regular expression matches a row with ``_facts``: lower-case texts, and a flag that is set as some text."""
     fact, value = F.element_at("_facts", rule["field"]), rule["value"]
-    return F.when(rule["op"] == "exists", fact != "").when(rule["op"] == "equals", fact == value).when(rule["op"] == "contains", fact.contains(value)).otherwise(F.rlike(fact, value))
+    return F.when(rule["op"] == "exists", fact != "").when(rule["op"] == "equals", fact == value).when(rule["op"] == "contains", fact.contains(value)).otherwise(False)
 
 
 def channel_classify(triples: DataFrame, rules: DataFrame, campaigns: DataFrame, referrers: DataFrame, paths: DataFrame) -> DataFrame:
     """Add ``channel`` to ``tenant_id, campaign_id, referrer_id, path_id``; give it distinct triples, not events.
 
     The first matching rule of the row's tenant wins. Rules meet their tenant's rows by an equi-join, one row a tenant, so
-    any number of tenants may have rules of their own.
+    any number of tenants may have rules of their own. Regular expressions (which see the lower-case text under ``(?i)``) are
+    tried only where no plain rule comes before them, and sorted, so that a task compiles each of its expressions once.
     """
     facts = (
         triples.join(campaigns.select("tenant_id", "campaign_id", *FACTS[:3], "has_gclid", "has_fbclid"), ["tenant_id", "campaign_id"], "left")
@@ -177,8 +175,21 @@ def channel_classify(triples: DataFrame, rules: DataFrame, campaigns: DataFrame,
     entries = [x for f in FACTS for x in (F.lit(f), F.when(F.col(f), "set").otherwise("") if f.startswith("has_") else F.col(f))]
     anything = reduce(lambda a, b: a | b, [*(F.col(f) != "" for f in FACTS[:5]), *(F.col(f) for f in FACTS[5:])])
     ruled = plain.withColumn("_facts", F.create_map(*entries)).join(_usable(rules), "tenant_id", "left")
-    first = F.get(F.filter("_rules", _matches), F.lit(0))["channel"]
-    return ruled.withColumn("channel", F.coalesce(first, F.when(anything, OTHER).otherwise(DIRECT))).select(*triples.columns, "channel")
+    # rules are in order, so the least one wins
+    plain_hit = F.get(F.filter("_rules", _matches), F.lit(0))
+    ruled = ruled.withColumn("_hit", plain_hit)
+    tried = F.filter("_rules", lambda r: (r["op"] == "regex") & (F.col("_hit").isNull() | (r < F.col("_hit"))))
+    tried = F.concat(F.array("_hit"), F.coalesce(tried, F.array().cast(ruled.schema["_rules"].dataType)))
+    fallback = F.when(anything, OTHER).otherwise(DIRECT).alias("_fallback")
+    tests = ruled.select(*triples.columns, fallback, "_facts", F.posexplode(tried).alias("_test", "_rule"))
+    tests = tests.withColumn("_fact", F.element_at("_facts", F.col("_rule.field"))).drop("_facts").sortWithinPartitions("_rule.value")
+    # regexp_instr keeps the last expression that it compiled, rlike keeps none
+    holds = F.when(F.col("_test") == 0, F.col("_rule").isNotNull()).otherwise(F.regexp_instr("_fact", "_rule.value") > 0)
+    won = F.min_by(F.col("_rule.channel"), F.when(holds, F.col("_rule")))
+    # each row has one test 0, so that repeated rows stay
+    judged = tests.groupBy(*triples.columns, "_fallback").agg(won.alias("_won"), F.count_if(F.col("_test") == 0).cast("int").alias("_n"))
+    channel = F.explode(F.array_repeat(F.coalesce("_won", "_fallback"), F.col("_n")))
+    return judged.select(*triples.columns, channel.alias("channel"))
 
 
 def _with_channel(attribution: DataFrame, rules, campaigns, referrers, paths) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -78,7 +79,6 @@ def test_hot_visitor(spark):
 
 def test_first_and_last_against_a_loop(spark):
     """Few visitors, many touches and orders, ties in time: as by looking at every pair."""
-    import random
 
     rng = random.Random(9)
     at0 = datetime(2024, 5, 1)
@@ -108,3 +108,35 @@ def test_ten_thousand_tenants_with_rules_of_their_own(spark):
     for t in range(1, 10_001):
         hit = t % 7 <= 3 if t % 2 == 0 else t % 7 == 1
         assert got[t] == (f"own{t}" if hit else "Other")
+
+
+def test_expressions_among_plain_rules(spark):
+    import re
+
+    rng = random.Random(8)
+    fields = ("utm_source", "utm_medium", "landing_path")
+    words = ("news", "mail", "ad", "shop", "")
+    rules = [
+        (t, p, rng.choice(fields), op, rng.choice(("^news", "a[id]", "s.op$", "x|mail")) if op == "regex" else rng.choice(words[:4]), f"{t}-{p}", True)
+        for t in (1, 2) for p in range(12) for op in [rng.choice(("regex", "equals", "contains"))]
+    ]
+    campaigns = [(t, c, rng.choice(words), rng.choice(words)) for t in (1, 2, 3) for c in range(20)]
+    paths = [(t, p, w) for t in (1, 2, 3) for p, w in enumerate(words)]
+    rows = [(t, c, None, rng.randrange(5)) for t, c, *_ in campaigns for _ in range(3)]
+    rows += rows[:10]  # repeated rows stay
+    triples = spark.createDataFrame(rows, "tenant_id INT, campaign_id BIGINT, referrer_id BIGINT, path_id BIGINT")
+    tagged = spark.createDataFrame(campaigns, "tenant_id INT, campaign_id BIGINT, utm_source STRING, utm_medium STRING").selectExpr("*", "cast(null as string) as utm_campaign", "false as has_gclid", "false as has_fbclid")
+    hosts = spark.createDataFrame([], "tenant_id INT, referrer_id BIGINT, referrer_host STRING")
+    landed = spark.createDataFrame(paths, "tenant_id INT, path_id BIGINT, path STRING")
+    got = at.channel_classify(triples, spark.createDataFrame(rules, RULES), tagged, hosts, landed).collect()
+    where, tag = {(t, p): w for t, p, w in paths}, {(t, c): (s, m) for t, c, s, m in campaigns}
+
+    def channel(t, c, p):
+        facts = dict(zip(fields, (*tag[t, c], where[t, p]), strict=True))
+        for rt, _, field, op, value, name, _ in rules:
+            fact = facts[field]
+            if rt == t and (re.search(value, fact) if op == "regex" else fact == value if op == "equals" else value in fact):
+                return name
+        return "Other" if any(facts.values()) else "Direct/Untracked"
+
+    assert sorted((r["tenant_id"], r["campaign_id"], r["path_id"], r["channel"]) for r in got) == sorted((t, c, p, channel(t, c, p)) for t, c, _, p in rows)

@@ -73,3 +73,31 @@ def test_visitor_keeps_its_person(spark):
     seen = spark.createDataFrame([(1, 5, 77), (1, 6, None), (1, 7, None)], "tenant_id INT, visitor_key BIGINT, person_id BIGINT")
     placed = spark.createDataFrame([(1, 2, 6, 9, AT + timedelta(1)), (1, 1, 6, 8, AT), (1, 3, 5, 8, AT)], "tenant_id INT, order_id BIGINT, visitor_key BIGINT, person_id BIGINT, created_at TIMESTAMP")
     assert {r["visitor_key"]: r["person_id"] for r in identity.visitor_person_link(seen, placed).collect()} == {5: 77, 6: 8, 7: None}
+
+
+def test_shares_of_a_key_hang_together(spark):
+    many = [(i, None, "A", None) for i in range(1, 500)] + [(i, f"c{i}", None, None) for i in range(500, 520)] + [(600, "c500", "A", None)]
+    got = people(identity.identity_resolve(orders(spark, many)))
+    assert got == {i: 1 if i <= 500 or i == 600 else i for i, *_ in many}
+    stored = spark.createDataFrame([(1, "phone", "A", 7), (1, "phone", "A", 9), (1, "customer", "c501", 8)], "tenant_id INT, key_type STRING, key_hash STRING, person_id BIGINT")
+    run = {(r["node_kind"], r["node_id"]): r["person_id"] for r in identity.identity_incremental(stored, orders(spark, many)).collect()}
+    assert run == {("order", i): 7 if i <= 500 or i == 600 else 8 if i == 501 else i for i, *_ in many} | {("person", 7): 7, ("person", 9): 7, ("person", 8): 8}
+
+
+def test_numbers_of_a_busy_person(spark):
+    rng = random.Random(5)
+    rows = []
+    for o in range(600):
+        at = None if o % 97 == 0 else AT + timedelta(seconds=rng.randrange(0, 40 * 3600, 1800))
+        rows.append((rng.choice((1, 2)), o, at, rng.choice((5, 5, 5, 6, None)), AT if o % 11 == 0 else None, rng.choice(("paid", "refunded", None))))
+    placed = spark.createDataFrame(rows, "tenant_id INT, order_id BIGINT, created_at TIMESTAMP, person_id BIGINT, cancelled_at TIMESTAMP, financial_status STRING")
+    tenants = spark.createDataFrame([(1, True), (2, False)], "tenant_id INT, refunded_counts_as_order BOOLEAN")
+    got = {r["order_id"]: r["order_sequence"] for r in identity.order_sequence(placed, tenants).collect()}
+    seen, want = {}, {}
+    for t, o, at, person, cancelled, status in sorted(rows, key=lambda r: (r[2] is not None, r[2] or AT, r[1])):
+        if cancelled is None and person is not None and (t == 1 or status != "refunded"):
+            seen[t, person] = seen.get((t, person), 0) + 1
+            want[o] = seen[t, person]
+        else:
+            want[o] = None
+    assert got == want
