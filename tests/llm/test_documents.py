@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 from tallyloom.llm import decontaminate, hilbert_shards, jpeg, language_id, licenses, minhash_join, mixing, queries, ranks, textbatch
@@ -481,6 +482,34 @@ def test_mixing_edges(spark):
     assert [r["taken"] for r in mixing.op7_mixing(nothing).collect()] == [0]
 
 
+def test_mixing_shards_are_runs_of_permuted_blocks(spark):
+    """Which rows a source's last pass takes, and that blocks go to shards whole, in runs, about as many to each."""
+    rows = [(i, "w " * (1 + i * 7 % 23), "en", ["a", "b", "c", "d"][min(3, i % 7)], 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.op7_mixing(df).collect()
+    hashed = df.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", mixing.word_count(), F.lit(0).cast("long")).alias("h")).collect()
+    order, source_of = {r["doc_id"]: r["h"] for r in hashed}, {r[0]: r[3] for r in rows}
+    per_shard, n_sources = Counter(), set(source_of.values())
+    for source in n_sources:
+        mine = [r for r in got if source_of[r["doc_id"]] == source]
+        n_blocks, size, target = -(-len(mine) // mixing.ROWS_PER_BLOCK), mine[0]["source_size"], mine[0]["target"]
+        mine.sort(key=lambda r: (order[r["doc_id"]] % n_blocks, order[r["doc_id"]], r["doc_id"]))
+        places = sorted({order[r["doc_id"]] % n_blocks for r in mine})
+        epochs, start, shard_at = int(target // size), 0, {}
+        for r in mine:
+            again = start + r["size"] / 2 <= target - epochs * size and target > epochs * size
+            assert len(r["shards"]) == epochs + again
+            start += r["size"]
+            for p, shard in enumerate(r["shards"]):
+                shard_at.setdefault(p * len(places) + places.index(order[r["doc_id"]] % n_blocks), set()).add(shard)
+        runs = [shard_at[k] for k in sorted(shard_at)]
+        assert all(len(x) == 1 for x in runs)
+        assert [min(x) for x in runs] == sorted(min(x) for x in runs)
+        per_shard.update(min(x) for x in runs)
+    counts = [per_shard[k] for k in range(8)]
+    assert max(counts) - min(counts) <= 4 + len(n_sources)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 500), min_size=1, max_size=12), st.integers(1, 9), st.integers(0, 5))
 def test_splitting_tree_meets_quotas(blocks, shards, seed):
