@@ -11,8 +11,9 @@ the longest context is the state of a small automaton: scoring is a few table lo
 Each language has a tree of its own (its ``contexts`` most frequent contexts, with their suffixes), however many languages
 there are. Beyond PASS_LANGUAGES languages the texts are scored in several passes, each holding the tables of so many.
 
-Only the labelled rows (about ``fit_rows`` a language, picked by hash) are a sample; every text is scored whole.
-``keep_identified`` also rejects texts that even their best language codes badly: the limit is calibrated on labelled rows.
+All labelled rows are counted, and every text is scored whole. (``fit`` takes fewer rows a language on demand; no query asks for that.)
+``keep_identified`` also rejects texts that even their best language codes badly: the limit is calibrated on all labelled rows, each
+scored by a model that has not learned from it.
 
 A letter is a character of Unicode's category L. Edge cases: a null text or one without a letter is ``und`` with score 0; a text that is all foreign bytes still gets the
 language of least cost; without labelled rows everything is ``und``; ties go to the first language in order; repeated
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.columns import bound_batches, set_aside
@@ -35,13 +36,16 @@ from tallyloom.llm.textbatch import pieces, utf8_column
 from tallyloom.plans.lineage import cut_lineage
 
 UNKNOWN = "und"
-MAX_ORDER, CONTEXTS, FIT_ROWS = 3, 2048, 500
+MAX_ORDER, CONTEXTS = 3, 2048
 #: Languages that share tables, and languages whose tables a worker holds.
 LANGUAGES_AT_ONCE, PASS_LANGUAGES = 4, 64
-#: A text is rejected beyond so many times the worst rate of the labelled rows looked at, and beyond the bits of a byte without any
+#: A text is rejected beyond so many times the worst rate of the labelled rows, and beyond the bits of a byte without any
 #: model; so many bits are free, as short texts cost more.
 MARGIN, NO_MODEL, FREE_BITS = 1.25, 8.0, 128.0
 PIECE_BYTES = 1 << 20
+#: Counts that a task collects before it merges them, and that it keeps merged before it passes them on.
+MERGE_COUNTS, KEEP_COUNTS = 1 << 20, 1 << 19
+COUNTS = "lang string, half int, n int, gram long, times long"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -72,61 +76,112 @@ class ContextTrees:
         return out
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([t for _, t in parts]), len(keys)).astype(np.int64)
+
+
 def _grams(order: int):
-    """Counts of (context, next byte) of all orders: a gram is its bytes as a number, with its length."""
+    """Counts of (context, next byte) of all orders: a gram is its bytes as a number, with its length.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = np.array([x or "" for x in batch["lang"].to_pylist()], object)
-            view, offsets = utf8_column(batch["text"])
-            data = np.frombuffer(view, np.uint8).astype(np.int64)
-            place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-            known, rows = np.unique(names, return_inverse=True)
-            owner = np.repeat(rows, np.diff(offsets))
-            for n in range(order + 1):
-                keep = place >= n
-                gram = np.zeros(len(data), np.int64)
-                for back in range(n, -1, -1):
-                    gram[n:] = gram[n:] << 8 | data[n - back : len(data) - back]
-                both, times = np.unique(owner[keep] << 40 | gram[keep], return_counts=True)
+    Only grams of the highest order are counted at every byte: those of an order below are their ends, and one more at each
+    text's begin. A task merges the counts of its batches as long as they are few.
+    """
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def passed_on(held: list[list], owners: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+        longer = none
+        for n in range(order, -1, -1):
+            keys, times = _merged([*held[n], longer])
+            longer = keys >> 40 << 40 | keys & ((1 << 8 * n) - 1), times
+            for at in range(0, len(keys), 1 << 16):
+                some = keys[at : at + (1 << 16)]
+                who = pa.array(some >> 40)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "lang": pa.array(known[both >> 40].tolist(), pa.string()),
-                        "n": pa.array(np.full(len(both), n), pa.int32()),
-                        "gram": pa.array(both & ((1 << 40) - 1), pa.int64()),
-                        "times": pa.array(times, pa.int64()),
+                        "lang": pa.array([x for x, _ in owners], pa.string()).take(who),
+                        "half": pa.array([x for _, x in owners], pa.int32()).take(who),
+                        "n": pa.array(np.full(len(some), n), pa.int32()),
+                        "gram": pa.array(some & ((1 << 40) - 1), pa.int64()),
+                        "times": pa.array(times[at : at + (1 << 16)], pa.int64()),
                     }
                 )
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[tuple[str, int], int] = {}
+        held, waiting = [[] for _ in range(order + 1)], 0
+        for batch in batches:
+            pairs = zip(batch["lang"].to_pylist(), batch["half"].to_pylist(), strict=True)
+            owners = np.array([numbers.setdefault(x, len(numbers)) for x in pairs], np.int64)
+            view, offsets = utf8_column(batch["text"])
+            data = np.frombuffer(view, np.uint8)
+            for start in range(0, len(data), PIECE_BYTES):
+                end, lead = min(len(data), start + PIECE_BYTES), min(order, start)
+                first, last = np.searchsorted(offsets, start, "right") - 1, np.searchsorted(offsets, end)
+                lengths = np.diff(np.clip(offsets[first : last + 1], start, end))
+                place = np.arange(start, end) - np.repeat(offsets[first:last], lengths)
+                window = np.concatenate([np.zeros(order - lead, np.uint8), data[start - lead : end]])
+                gram = np.zeros(end - start, np.int64)
+                for at in range(order + 1):
+                    gram = gram << 8 | window[at : at + end - start]
+                keys = np.repeat(owners[first:last], lengths) << 40 | gram
+                held[order].append(np.unique(keys[place >= order], return_counts=True))
+                for n in range(order):
+                    begins = keys[place == n]
+                    held[n].append(np.unique(begins >> 40 << 40 | begins & ((1 << 8 * (n + 1)) - 1), return_counts=True))
+                waiting += sum(len(part[-1][0]) for part in held)
+                if waiting > MERGE_COUNTS:
+                    held = [[_merged(part)] for part in held]
+                    waiting = sum(len(part[0][0]) for part in held)
+                    if waiting > KEEP_COUNTS:
+                        yield from passed_on(held, list(numbers))
+                        held, waiting = [[] for _ in range(order + 1)], 0
+        yield from passed_on(held, list(numbers))
+
     return count
 
 
-def _sample(labelled: DataFrame, fit_rows: int, other_end: bool = False) -> DataFrame:
-    """About ``fit_rows`` rows of each language, from one end of a hash of the row; the other end is disjoint where languages have twice as many.
+def _sample(labelled: DataFrame, fit_rows: int) -> DataFrame:
+    """About ``fit_rows`` rows of each language, from one end of a hash of the row.
 
     The row at that end is always among them, so no language is left out, whatever its ids are.
     """
-    labelled = labelled.where("lang is not null and text is not null")
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
-    if other_end:
-        place = F.lit(1.0) - place
     ends = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(place).alias("least"))
     shares = ends.select(F.col("lang").alias("its_lang"), F.greatest(F.lit(float(fit_rows)) / F.col("count"), "least").alias("share"))
     # a row a language: far less than the tables that the model holds of each
     return labelled.join(F.broadcast(shares), (F.col("lang") == F.col("its_lang")) & (place <= F.col("share"))).select(*labelled.columns)
 
 
-def fit(labelled: DataFrame, max_order: int = MAX_ORDER, contexts: int = CONTEXTS, fit_rows: int = FIT_ROWS) -> list[ContextTrees]:
-    """Fit on about ``fit_rows`` rows of each language (``doc_id, text, lang``), picked by a hash of id and text; equal texts count once.
+def _half() -> Column:
+    """Labelled rows fall into two halves, equal texts into one, so that each half can be scored by what the other one taught."""
+    return F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2)).cast("int")
+
+
+def _count(labelled: DataFrame, max_order: int = MAX_ORDER, fit_rows: int | None = None, half: Column | None = None) -> DataFrame:
+    """How often each language has each gram (COUNTS), by ``half``; equal texts count once."""
+    labelled = labelled.where("lang is not null and text is not null")
+    if fit_rows is not None:
+        labelled = _sample(labelled, fit_rows)
+    rows = labelled.select("lang", "text").distinct().withColumn("half", F.lit(0) if half is None else half)
+    counts = bound_batches(rows).mapInArrow(_grams(max_order), COUNTS)
+    return cut_lineage(counts.groupBy("lang", "half", "n", "gram").agg(F.sum("times").alias("times")))
+
+
+def fit(labelled: DataFrame, max_order: int = MAX_ORDER, contexts: int = CONTEXTS, fit_rows: int | None = None) -> list[ContextTrees]:
+    """Fit on all labelled rows (``doc_id, text, lang``); equal texts count once.
 
+    With ``fit_rows``, only about so many rows of each language are taken, picked by a hash of id and text.
     Order 4 is the most that a gram's number holds. Of each language the ``contexts`` most frequent ones are kept, each with
     all its suffixes; the tables of LANGUAGES_AT_ONCE languages take at most that many times contexts x 256 x languages x 4
     bytes, which bounds a broadcast. An empty list without labelled rows.
     """
     if not 1 <= max_order <= 4:
         raise ValueError("max_order is 1 to 4")
-    counts = bound_batches(_sample(labelled, fit_rows).select("lang", "text").distinct()).mapInArrow(_grams(max_order), "lang string, n int, gram long, times long")
-    counts = cut_lineage(counts.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")))
+    return _learn(_count(labelled, max_order, fit_rows), max_order, contexts)
+
+
+def _learn(counts: DataFrame, max_order: int = MAX_ORDER, contexts: int = CONTEXTS) -> list[ContextTrees]:
     frequent = counts.where("n > 0").groupBy("lang", "n", F.shiftright("gram", 8).alias("context")).agg(F.sum("times").alias("times"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("times"), "n", "context"))
     own: dict[str, set[tuple[int, int]]] = {r["lang"]: set() for r in counts.select("lang").distinct().collect()}
@@ -137,7 +192,7 @@ def fit(labelled: DataFrame, max_order: int = MAX_ORDER, contexts: int = CONTEXT
         languages = names[at : at + LANGUAGES_AT_ONCE]
         chosen = set().union(*(own[x] for x in languages))
         chosen |= {(k, c & ((1 << 8 * k) - 1)) for n, c in chosen for k in range(1, n)}
-        kept = F.broadcast(labelled.sparkSession.createDataFrame([(0, 0), *sorted(chosen)], "n int, context long"))
+        kept = F.broadcast(counts.sparkSession.createDataFrame([(0, 0), *sorted(chosen)], "n int, context long"))
         mine = counts.where(F.col("lang").isin(languages)).withColumn("context", F.shiftright("gram", 8))
         rows = mine.join(kept, ["n", "context"]).select("lang", "n", "context", "gram", "times").toArrow()
         out.append(_tables(languages, sorted(chosen), rows, max_order))
@@ -251,11 +306,20 @@ def identify(docs: DataFrame, trees: Sequence[ContextTrees], keep_text: bool = F
     return state
 
 
-def worst_rate(labelled: DataFrame, trees: Sequence[ContextTrees], fit_rows: int = FIT_ROWS) -> float | None:
-    """The most bits a byte, beyond FREE_BITS, that a labelled row takes, among about ``fit_rows`` of each language not learned from."""
-    found = identify(_sample(labelled, fit_rows, other_end=True).withColumn("n_bytes", F.octet_length("text")), trees)
+def worst_rate(labelled: DataFrame, trees: Sequence[ContextTrees], halves: Sequence[Sequence[ContextTrees]]) -> float | None:
+    """The most bits a byte, beyond FREE_BITS, that any labelled row takes, by a model that has not learned from it or an equal text.
+
+    That is the other half's (``halves``); rows of a language that only one half has are scored by ``trees``, learned from all.
+    """
+    rows = labelled.where("lang is not null and text is not null").withColumn("n_bytes", F.octet_length("text"))
+    first, second = ({x for t in half for x in t.languages} for half in halves)
+    lone = F.col("lang").isin(sorted(first ^ second))
+    parts = [(rows.where(~lone & (_half() == k)), halves[1 - k]) for k in (0, 1)] if first & second else []
+    if first ^ second:
+        parts.append((rows.where(lone), trees))
     rate = F.col("bits_per_byte") - FREE_BITS / F.col("n_bytes")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("n_bytes") > 0)).agg(F.max(rate)).first()[0]
+    worst = [identify(part, by).where((F.col("lang_pred") != UNKNOWN) & (F.col("n_bytes") > 0)).agg(F.max(rate)).first()[0] for part, by in parts]
+    return max((x for x in worst if x is not None), default=None)
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, margin: float = MARGIN) -> DataFrame:
@@ -265,10 +329,11 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, margin: float = M
     Learns from the labelled rows of ``docs`` that are not held out; without any, all rows with a letter stay.
     """
     labelled = docs.select("doc_id", "text", "lang").where(~held_out())
-    trees = fit(labelled)
+    counts = _count(labelled, half=_half())
+    trees = _learn(counts)
     if not trees:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    worst = worst_rate(labelled, trees)
+    worst = worst_rate(labelled, trees, [_learn(counts.where(F.col("half") == k)) for k in (0, 1)])
     rows, restore = set_aside(docs, ("doc_id", "text"))
     told = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)
     if worst is not None:

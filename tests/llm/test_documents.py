@@ -339,6 +339,59 @@ def test_unlearned_languages_and_data_go(spark):
     assert kept == {r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
 
 
+@pytest.mark.parametrize("order, keep", [(1, 8), (3, 8), (4, 8), (3, 1000)])
+def test_grams_of_all_bytes_are_counted(monkeypatch, order, keep):
+    """Pieces, merges and counts passed on early, against counting byte by byte."""
+    import pyarrow as pa
+
+    for name, value in (("PIECE_BYTES", 7), ("MERGE_COUNTS", 10), ("KEEP_COUNTS", keep)):
+        monkeypatch.setattr(language_id, name, value)
+    rows = [("x", 0, "abab abba"), ("y", 1, ""), ("y", 1, "çaça zaz\0\0"), ("x", 1, "a"), ("y", 1, "zaça"), ("x", 0, "bab"), ("x", 0, "ÿ" * 9)]
+    batches = [pa.RecordBatch.from_pylist([{"lang": k, "half": h, "text": t} for k, h, t in rows[a : a + 3]]) for a in range(0, len(rows), 3)]
+    want, got = Counter(), Counter()
+    for k, h, t in rows:
+        raw = t.encode()
+        for i in range(len(raw)):
+            for n in range(min(order, i) + 1):
+                want[k, h, n, int.from_bytes(raw[i - n : i + 1])] += 1
+    out = list(language_id._grams(order)(iter(batches)))
+    for r in pa.Table.from_batches(out).to_pylist():
+        got[r["lang"], r["half"], r["n"], r["gram"]] += r["times"]
+    assert got == want and (len(out) > order + 1) == (keep == 8)
+
+
+def test_all_labelled_rows_are_learned(spark):
+    """More rows than a sample took: the first byte's costs tell all counts."""
+    rows = [(i, f"{'q' if i % 3 else 'z'}{i}", "en") for i in range(3000)]
+    (trees,) = language_id.fit(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"))
+    seen = Counter(b for _, t, _ in rows for b in t.encode())
+    total, kinds = sum(seen.values()), len(seen)
+    for letter, n in seen.items():
+        assert trees.bits[0, trees.classes[letter], 0] == pytest.approx(np.log2((total + kinds) / n), abs=1e-5)
+
+
+def test_the_limit_comes_from_all_labelled_rows(spark):
+    """One labelled row among thousands is coded worst; the limit follows it, by a model that has not learned from it."""
+    odd, like = "щука жевала чужой плащ у ручья ", "пчела жужжала у чаши "
+    rows = [(i, f"the house and garden number {i} of the town", "en") for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows += [(4001, odd * 20, "en"), (7001, "ein einziger Satz", "de")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    assert {zlib.crc32(str(i).encode()) % 4 == 2 for i in (4001, 7001)} == {False}
+    halves = dict(df.select("doc_id", language_id._half()).collect())
+    parts = [language_id.fit(df.where(language_id._half() == k)) for k in (0, 1)]
+    trees = language_id.fit(df)
+    want = 0.0
+    for i, text, lang in rows:
+        raw = text.encode()
+        models = trees if lang == "de" else parts[1 - halves[i]]
+        bits = min(m.costs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).min() for m in models)
+        want = max(want, (bits - language_id.FREE_BITS) / len(raw))
+    worst = language_id.worst_rate(df, trees, parts)
+    assert worst == pytest.approx(want, rel=1e-5) and worst > language_id.NO_MODEL
+    more = df.unionByName(spark.createDataFrame([(9001, like * 20, None)], df.schema))
+    assert language_id.keep_identified(more).count() == len(rows) + 1
+
+
 # --- licences ---
 
 
