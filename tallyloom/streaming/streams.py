@@ -82,10 +82,15 @@ def read_passed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/passed").drop("commit")
 
 
+#: Session windows also join events that lie just the gap apart; times have microseconds, so a gap that is one shorter splits there.
+WINDOW_GAP = f"{SESSION_GAP_SECONDS * 1_000_000 - 1} microseconds"
+
+
 def stream_session_windows(events: DataFrame, delay: str = "3 days") -> DataFrame:
-    """Sessions by a 30-minute gap as Spark's session windows have them: they span the store's midnight and split at the gap itself."""
-    sessions = events.withWatermark("occurred_at", delay).groupBy(F.session_window("occurred_at", "30 minutes"), "tenant_id", "visitor_key")
-    return sessions.agg(F.count("*").alias("events")).select("tenant_id", "visitor_key", F.col("session_window.start").alias("started_at"), F.col("session_window.end").alias("ends_at"), "events")
+    """Sessions by a 30-minute gap in Spark's session windows: they span the store's midnight and split at the gap itself."""
+    sessions = events.withWatermark("occurred_at", delay).groupBy(F.session_window("occurred_at", WINDOW_GAP), "tenant_id", "visitor_key")
+    ends_at = F.col("session_window.end") + F.expr("INTERVAL 1 MICROSECOND")
+    return sessions.agg(F.count("*").alias("events")).select("tenant_id", "visitor_key", F.col("session_window.start").alias("started_at"), ends_at.alias("ends_at"), "events")
 
 
 #: Slots of a store day lie in so many parts.

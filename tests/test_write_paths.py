@@ -177,6 +177,24 @@ def test_live_sessions_equal_the_batch(spark, tenants, tmp_path):
     assert got == {(r["tenant_id"], str(r["stat_date"]), r["sessions"]) for r in batch.collect()}
 
 
+def test_session_windows_split_at_the_gap_itself(spark, tmp_path):
+    gap, tick = timedelta(minutes=30), timedelta(microseconds=1)
+    schema = "tenant_id INT, visitor_key BIGINT, occurred_at TIMESTAMP"
+    rows = [(1, v, NOW + k * (gap + step)) for v, step in ((1, -tick), (2, timedelta(0)), (3, tick)) for k in range(3)]
+    rows += [(1, None, NOW), (1, None, NOW + gap), (1, None, NOW + gap), (1, 4, NOW), (2, 4, NOW + gap / 2), (1, 4, NOW + gap)]
+    want = sorted([(1, 1, NOW, NOW + 3 * gap - 2 * tick, 3), (1, None, NOW, NOW + gap, 1), (1, None, NOW + gap, NOW + 2 * gap, 2), (2, 4, NOW + gap / 2, NOW + gap * 3 / 2, 1)]
+        + [(1, v, NOW + k * (gap + step), NOW + gap + k * (gap + step), 1) for v, step in ((2, timedelta(0)), (3, tick)) for k in range(3)]
+        + [(1, 4, NOW, NOW + gap, 1), (1, 4, NOW + gap, NOW + 2 * gap, 1)], key=repr)
+    got = streams.stream_session_windows(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(tuple, got), key=repr) == want
+    for name in ("a", "b"):  # sessions in the state meet those of a later batch
+        spark.createDataFrame([r for k, r in enumerate(rows) if "ab"[k % 2] == name], schema).coalesce(1).write.parquet(str(tmp_path / "feed" / name))
+        source = streams.stream_session_windows(spark.readStream.schema(schema).parquet(f"{tmp_path}/feed/*"))
+        keep = lambda batch, number: batch.write.mode("overwrite").parquet(str(tmp_path / "out"))
+        source.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=repr) == want
+
+
 # --- files that wait as a whole ---
 
 
