@@ -16,3 +16,12 @@ def sink_events(events: DataFrame, path: str, mode: str = "append") -> None:
 def sink_rollup(rollup: DataFrame, path: str, keys: tuple[str, ...] = ("tenant_id", "stat_date")) -> None:
     """Replace exactly the partitions that ``rollup`` holds; running it again changes nothing."""
     rollup.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+#: Order documents in a file: compressed files are read whole by one task.
+FEED_DOCUMENTS = 100_000
+
+
+def sink_orders_feed(documents: DataFrame, path: str) -> None:
+    """Land order documents, one a line, as ``feeds.src_orders_feed`` reads them; compressed, as most of their text are names."""
+    documents.write.option("compression", "gzip").option("maxRecordsPerFile", FEED_DOCUMENTS).json(path)

@@ -4,11 +4,12 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tallyloom.functions import exprs
 from tallyloom.operators import dims, ingest, monitors, orders
-
+from tallyloom.plans import pipeline_queries
 from tallyloom.sources import feeds, sinks
 from tallyloom.streaming import streams
 
@@ -205,3 +206,26 @@ def test_quarantine_report(spark):
     rejects = spark.createDataFrame([(1, i, NOW, "no id") for i in range(8)], "tenant_id INT, order_id BIGINT, updated_at TIMESTAMP, reason STRING")
     row = orders.quarantine_report(rejects).first()
     assert row["rejected"] == 8 and len(row["examples"]) == 5
+
+
+def test_order_documents_land_compressed_and_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipeline_queries, "folder_of", lambda s: str(tmp_path))
+    monkeypatch.setattr(sinks, "FEED_DOCUMENTS", 100, raising=False)
+    assert pipeline_queries.src_orders_feed(spark, DATA).count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
+    files = list((tmp_path / "orders").glob("part-*"))
+    text = spark.read.text(str(tmp_path / "orders")).agg(F.sum(F.length("value"))).first()[0]
+    assert 5 * sum(f.stat().st_size for f in files) < text and len(files) >= 15
+    landed = feeds.src_orders_feed(spark, str(tmp_path / "orders")).select("id", "totalPriceSet", F.explode("lineItems.nodes").alias("i"))
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").join(spark.read.parquet(f"{DATA}/orders.parquet"), F.expr("l_orderkey = o_orderkey"))
+    want = lines.selectExpr(
+        "concat('gid://shop/Order/', o_orderkey)", "string(round(o_totalprice, 2))", "concat('gid://shop/LineItem/', l_orderkey * 1000 + l_partkey % 1000)", "concat('gid://shop/Product/', l_partkey)",
+        "if(l_linenumber = 2, null, int(l_quantity))", "string(round(l_extendedprice, 2))",
+    )
+    got = landed.select("id", "totalPriceSet.shopMoney.amount", "i.id", "i.product.id", "i.quantity", "i.originalUnitPriceSet.shopMoney.amount")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_order_lines_are_shuffled_bare(spark):
+    plan = pipeline_queries.raw_orders(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange hashpartitioning(l_orderkey", 1)[1].split("Scan", 1)[0]
+    assert "l_partkey" in below and "gid://" not in below
